@@ -158,8 +158,7 @@ def parse_sequence(html: str | None) -> list[dict]:
     return [{"pos": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(p.items)]
 
 
-@F.pandas_udf(ITEM)
-def sequence_of(html: pd.Series) -> pd.Series:
+def _sequence_of(html: pd.Series) -> pd.Series:
     return html.map(parse_sequence)
 
 
@@ -184,8 +183,8 @@ def describe_store(store: DataFrame) -> DataFrame:
 
 
 def interleave(pages: DataFrame, described: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """A row per item of each document: key, row (tells repeated documents apart), pos, kind, text, digest, caption, resolved and the store's properties."""
-    items = pages.select(F.col(f"`{key}`").alias("_key"), F.explode(sequence_of(F.col(f"`{html}`"))).alias("_item")).select("_key", "_item.*")
+    """A row per item of each document: key, pos, kind, text, digest, caption, resolved and the store's properties."""
+    items = pages.select(F.col(f"`{key}`").alias("_key"), F.explode(F.pandas_udf(_sequence_of, ITEM)(F.col(f"`{html}`"))).alias("_item")).select("_key", "_item.*")
     out = items.join(described, "digest", "left").withColumn("resolved", F.col("payload_bytes").isNotNull())
     return out.withColumnRenamed("_key", key)
 
