@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import ann, media, mixing, sentencepiece_fst
 from .common import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return sentencepiece_fst.encode_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark, sf_dir):
     return media.text_media_report(table(spark, sf_dir, "documents"))
 
@@ -14,9 +18,13 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return ann.search_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_media_columns, op3_mix_sources)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours)}
 
 
 def oracle_sql():
-    return {"op3_mix_sources": mixing.oracle()}
+    return {"op3_mix_sources": mixing.oracle(), "op4_nearest_neighbours": ann.oracle()}
