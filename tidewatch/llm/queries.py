@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, media, mixing, sentencepiece_fst
+from . import ann, media, mixing, pii, sentencepiece_fst, warc
 from .common import table
 
 
@@ -22,9 +22,17 @@ def op4_nearest_neighbours(spark, sf_dir):
     return ann.search_report(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours, op9_pii, op10_warc)}
 
 
 def oracle_sql():
-    return {"op3_mix_sources": mixing.oracle(), "op4_nearest_neighbours": ann.oracle()}
+    return {"op3_mix_sources": mixing.oracle(), "op4_nearest_neighbours": ann.oracle(), "op10_warc": warc.ORACLE}
