@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BUCKETS, DIM, SIZES = 1 << 18, 4, (3, 4, 5, 6)
 PASSAGE, PER_CLASS, EPOCHS, BATCH = 8, 2000, 3, 1024
@@ -288,7 +289,7 @@ def _scored(batches, model):
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs and _score; other columns pass through as they are."""
-    schema = docs.schema.add("_score", "double")
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
     return docs.mapInArrow(lambda batches: _scored(batches, model), schema)
 
 
