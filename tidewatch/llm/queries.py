@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, media, mixing, pii, sentencepiece_fst, toxicity, warc
+from . import ann, chosen_path, line_dedup, media, mixing, pii, sentencepiece_fst, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op4_nearest_neighbours(spark, sf_dir):
     return ann.search_report(table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op7_chosen_path_join(spark, sf_dir):
+    return chosen_path.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +43,7 @@ def op10_warc(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours, op8_toxicity, op9_pii, op10_warc)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours, op6_line_dedup, op7_chosen_path_join, op8_toxicity, op9_pii, op10_warc)}
 
 
 def oracle_sql():
