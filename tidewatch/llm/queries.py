@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chosen_path, line_dedup, media, mixing, pii, sentencepiece_fst, toxicity, warc
+from . import ann, chosen_path, html_mincut, line_dedup, media, mixing, pii, sentencepiece_fst, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_nearest_neighbours(spark, sf_dir):
     return ann.search_report(table(spark, sf_dir, "embeddings"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_warc(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours, op6_line_dedup, op7_chosen_path_join, op8_toxicity, op9_pii, op10_warc)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours, op5_html_extraction, op6_line_dedup, op7_chosen_path_join, op8_toxicity, op9_pii, op10_warc)}
 
 
 def oracle_sql():
