@@ -61,13 +61,13 @@ def detect_anomalies(spark: SparkSession, root: str, s: Settings = Settings()) -
     anomaly.check(s.window_seconds, s.threshold, s.min_windows)
     events = tables.scan(spark, root, "events")
     width = F.lit(s.window_seconds).alias("window_seconds")
-    tables.replace_partitions(anomaly.windows(events, s.window_seconds), root, "anomaly_windows")
+    tables.replace_partition(anomaly.windows(events, s.window_seconds), root, "anomaly_windows", s.window_seconds)
     windows = tables.scan(spark, root, "anomaly_windows", where=f"window_seconds = {s.window_seconds}")
-    tables.replace_partitions(anomaly.baselines(windows, s.min_windows).select("*", width), root, "anomaly_baselines")
+    tables.replace_partition(anomaly.baselines(windows, s.min_windows), root, "anomaly_baselines", s.window_seconds)
     lines = tables.scan(spark, root, "anomaly_baselines", where=f"window_seconds = {s.window_seconds}")
-    tables.replace_partitions(anomaly.findings(windows, lines, s.window_seconds, s.threshold), root, "anomaly_findings")
+    tables.replace_partition(anomaly.findings(windows, lines, s.window_seconds, s.threshold), root, "anomaly_findings", s.window_seconds)
     found = tables.scan(spark, root, "anomaly_findings", where=f"window_seconds = {s.window_seconds}")
-    tables.replace_partitions(anomaly.linked_events(events, found, s.window_seconds).select("*", width), root, "anomaly_events")
+    tables.replace_partition(anomaly.linked_events(events, found, s.window_seconds), root, "anomaly_events", s.window_seconds)
     run = spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run_id"), F.current_timestamp().alias("finished_at"), width, F.lit(s.threshold).alias("threshold"), F.lit(found.count()).alias("findings"))
     run.write.mode("append").parquet(f"{root}/anomaly_runs")
 

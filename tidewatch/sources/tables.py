@@ -44,9 +44,9 @@ def replace(df: DataFrame, root: str, table: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}")
 
 
-def replace_partitions(df: DataFrame, root: str, table: str, by: str = "window_seconds") -> None:
-    """Replaces only the partitions that df has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{root}/{table}")
+def replace_partition(df: DataFrame, root: str, table: str, value, by: str = "window_seconds") -> None:
+    """Replaces one partition, also by nothing; others stay as they are."""
+    df.drop(by).write.mode("overwrite").parquet(f"{root}/{table}/{by}={value}")
 
 
 def store_cases(case_rows: DataFrame, links: DataFrame, findings: DataFrame, root: str) -> None:
