@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +19,7 @@ def duck(sql: str, sf_dir: str = SF):
 
 def rows(df) -> list[tuple]:
     def value(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 

@@ -221,3 +221,38 @@ def test_streams_agree_with_batch(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert spark.table("s").count() == sessions.sessions(sessions.flows(frame(spark, rows))).count()
+
+
+def test_display_filter_names_both_directions_and_padded_time(spark):
+    s = spark.createDataFrame([("CASE-0001", 1, "10.0.0.1", 4000, "192.168.0.5", None, 1_000_000, 2_500_000)], "case_id string, ord int, src_ip string, src_port int, dest_ip string, dest_port int, first_us long, last_us long")
+    got = evidence.display_filter(s).first()["filter"]
+    assert got == (
+        "((ip.src == 10.0.0.1 && ip.dst == 192.168.0.5 && (tcp.srcport == 4000 || udp.srcport == 4000)) || (ip.src == 192.168.0.5 && ip.dst == 10.0.0.1 && (tcp.dstport == 4000 || udp.dstport == 4000)))"
+        " && frame.time_epoch >= -1.000000 && frame.time_epoch <= 4.500000"
+    )
+
+
+def test_dashboard_helpers(spark):
+    from tidewatch.functions.values import display_time, or_na
+    from tidewatch.operators import dashboard
+
+    e = frame(spark, [event(i, i * 86_400) for i in range(20)])
+    order = ["us", "id"]
+    assert [r.id for r in dashboard.page(e, 99, order).collect()] == [16, 17, 18, 19]
+    assert [r.id for r in dashboard.page(e, -1, order).collect()] == list(range(8))
+    assert dashboard.timeframe(e, hours=48).count() == 3 and dashboard.timeframe(e, year=1999).count() == 0
+    assert dashboard.search(e, "").count() == 20 and dashboard.search(e, "10\\.0\\.0", ["src_ip"]).count() == 20
+    assert dashboard.timeframe(e.limit(0), hours=24).count() == 0
+    x = dashboard.with_missing(e.select("src_ip"), {"src_ip": "Source", "nope": "Nothing"}).select(or_na(F.col("Nothing")).alias("n"), "Source").first()
+    assert (x.n, x.Source) == ("N/A", "10.0.0.1")
+    assert spark.range(1).select(display_time(F.timestamp_micros(F.lit(0))).alias("t")).first().t == "1970-01-01 00:00:00 UTC"
+    two = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "pcap_path string, packet_number long")
+    assert evidence.merge_packets([two, two]).count() == 2
+
+
+def test_empty_events_give_empty_tables(spark, tmp_path):
+    root = str(tmp_path / "db")
+    frame(spark, []).write.parquet(f"{root}/events")
+    pipeline.analyse(spark, root, with_anomaly=True)
+    assert {t: tables.scan(spark, root, t).count() for t in ("sessions", "findings", "cases", "anomaly_findings")} == dict.fromkeys(("sessions", "findings", "cases", "anomaly_findings"), 0)
+    assert pipeline.prioritized(spark, root, trees=5).count() == 0
