@@ -33,10 +33,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, shuffle_partitions, written
+from .common import components, discard, shuffle_partitions, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 RUNS, LEVELS, BUCKET = 12, 3, 1024
@@ -211,14 +211,15 @@ def _tiled(members: DataFrame, key, tiles):
     return rows.withColumn("key", F.xxhash64(key, low, high)).drop("_tiles", "_other")
 
 
-def candidate_edges(feats: DataFrame) -> DataFrame:
-    """Star edges between set ids that met in a bucket of some run and look alike."""
+def candidate_edges(feats: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Star edges between set ids that met in a bucket of some run and look alike, and the tables they are read from."""
     spark = feats.sparkSession
     sets = feats.select("sid", "n", "sketch", F.explode(F.arrays_zip("slots", "tokens")).alias("t")).select("sid", "n", "sketch", (F.col("t.slots") / LEVELS).cast("int").alias("run"), (F.col("t.slots") % LEVELS).alias("level"), F.col("t.tokens").alias("token"))
     cur = sets.where("level = 0").select(F.xxhash64("run", "token").alias("key"), "run", "sid", "n", "sketch", F.array("token").alias("path")).dropDuplicates(["key", "sid"])
-    leaves = None
+    leaves, read = None, []
     for level in range(1, LEVELS + 1):
         cur = written(cur, f"path-level{level}")
+        read.append(cur)
         met = cur.join(cur.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
         full = met.where(F.col("size") > BUCKET)
         small = met.where(F.col("size") <= BUCKET).select("key", "sid", "n", "sketch")
@@ -231,7 +232,7 @@ def candidate_edges(feats: DataFrame) -> DataFrame:
         cur = full.join(more, ["run", "sid"]).where(~F.array_contains("path", F.col("token")))
         cur = cur.select(F.xxhash64("key", "token").alias("key"), "run", "sid", "n", "sketch", F.array_append("path", F.col("token")).alias("path")).dropDuplicates(["key", "sid"])
     dealt = leaves.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(_compared, "a binary, b binary")
+    return dealt.mapInPandas(_compared, "a binary, b binary"), read
 
 
 def _sets_of(batches):
@@ -294,12 +295,15 @@ def _decided(batches):
 
 
 def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
-    """(sid, links, root) as tiles decide them; all pairs of sets at or above the threshold are counted once."""
+    """(sid, links, root) as tiles decide them, written; all pairs of sets at or above the threshold are counted once."""
     spark = docs.sparkSession
-    groups = components(candidate_edges(feats), "candidate-components").withColumnsRenamed({"id": "sid", "root": "group"})
+    edges, read = candidate_edges(feats)
+    groups = components(edges, "candidate-components")
+    discard(*read)
     # one document for each set; copies of its text hold the same set
-    one = feats.select("sid", "doc_id", "n").join(groups, "sid").groupBy("sid", "group", "n").agg(F.min("doc_id").alias("_rep"))
+    one = feats.select("sid", "doc_id", "n").join(groups.withColumnsRenamed({"id": "sid", "root": "group"}), "sid").groupBy("sid", "group", "n").agg(F.min("doc_id").alias("_rep"))
     one = written(one, "candidate-sets")
+    discard(groups)
     sizes = one.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     tiles = F.greatest(F.ceil(F.col("sets") / TILE_SETS), F.ceil(F.col("all") / TILE_TOKENS)).alias("tiles")
     found = docs.select("doc_id", "text").join(one.select("sid", "_rep").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "sid")
@@ -307,13 +311,15 @@ def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
     members = one.select("sid", "group").join(sizes.select("group", tiles), "group")
     members = _tiled(members, F.col("group"), F.col("tiles")).select("sid", "key", "chunk").join(sets, "sid")
     dealt = members.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "sid")
-    return dealt.mapInPandas(_decided, "sid binary, links long, root binary")
+    decided = written(dealt.mapInPandas(_decided, "sid binary, links long, root binary"), "set-links")
+    discard(one)
+    return decided
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, class_id, n_links (similar documents with other sets, copies counted once), n_copies."""
     feats = written(features(docs), "set-features")
-    decided = written(similar_sets(docs, feats), "set-links")
+    decided = similar_sets(docs, feats)
     roots = components(decided.where("root is not null").select(F.col("sid").alias("a"), F.col("root").alias("b")), "set-components").withColumnRenamed("id", "sid")
     links = decided.groupBy("sid").agg(F.sum("links").alias("n_links"))
     sets = feats.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")).join(roots, "sid", "left").join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -324,6 +330,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs reduced to the document with the smallest doc_id of each class; of repeated ids the first row by text."""
-    stay = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    out = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    stay = written(classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_stays")).agg((F.count("*") > 1).alias("_repeats")), "set-stays")
+    # the rest of a row travels as one column, so its names can't meet those used here
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    of = lambda ids: packed.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    out = of(stay.where("not _repeats")).select("_row")
+    if not stay.where("_repeats").isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.unionAll(of(stay.where("_repeats")).withColumn("_n", first).where("_n = 1").select("_row"))
+    return out.select([F.col("_row")[c].alias(c) for c in docs.columns])

@@ -35,7 +35,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -62,5 +72,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # a star forest is the fixed point: no node is both a leaf and a root, no leaf has two roots
         n, leaves = nxt.agg(F.count("*"), F.countDistinct("a")).first()
         if n == leaves and nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            return nxt.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(nxt.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+            discard(cur)
+            out = nxt.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(nxt.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+            out._scratch = nxt._scratch
+            return out
+        discard(cur)
         cur = nxt

@@ -153,8 +153,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text reduced to the lines that stay, and _lines, _dropped: how many there were and how many went."""
-    gone = dropped_lines(docs).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
+    """doc_id, text reduced to the lines that stay, _lines and _dropped (how many there were and went), and other columns in _rest."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", *([F.struct(*rest).alias("_rest")] if rest else []))
+    gone = dropped_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
     out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
     lines = F.split("text", "\n", -1)
     count = F.size(lines)
@@ -174,5 +176,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs after dedup; those of which nothing but blanks is left go. n_chars follows the text."""
     out = dedup_lines(docs)
     out = out.where(~((F.col("_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", "")) == "")))
-    names = [F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*names)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0))}
+    return out.select([made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col("_rest")[c].alias(c) for c in docs.columns])

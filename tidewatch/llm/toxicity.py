@@ -46,7 +46,7 @@ def words_and_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = WORD_BYTE[a]
     begin = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     b = np.where(inside, a, 32).astype(np.uint32)
-    number = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]])) - 1
+    number = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]), dtype=np.int32) - 1
     gaps = np.concatenate([[0], np.cumsum(~inside)])
     n_all = len(a)
     h, words, grams = b.copy(), [], []
@@ -62,7 +62,7 @@ def words_and_grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         grams.append(((x ^ (x >> np.uint32(15))) & np.uint32(BUCKETS - 1)).astype(np.int32))
         words.append(number[at + 1])
     if not grams or not len(begin):
-        return begin, np.empty(0, np.int64), np.empty(0, np.int32)
+        return begin, np.empty(0, np.int32), np.empty(0, np.int32)
     return begin, np.concatenate(words), np.concatenate(grams)
 
 
@@ -125,10 +125,13 @@ class _Sample:
         self.tokens = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
         self.starts = np.append(np.concatenate(starts) if starts else [], total).astype(np.int64)
         self.owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
-        _, words, grams = words_and_grams(b" ".join(known))
-        order = np.argsort(words, kind="stable")
-        self.grams = grams[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(known)))]).astype(np.int64)
+        names, parts, sizes = list(known), [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(names), 1 << 15):
+            some = names[at : at + (1 << 15)]
+            _, words, grams = words_and_grams(b" ".join(some))
+            parts.append(grams[np.argsort(words, kind="stable")])
+            sizes.append(np.bincount(words, minlength=len(some)))
+        self.grams, self.first = np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -279,18 +282,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return train(got["text"].tolist(), got["toxic"].astype(int).tolist())
 
 
-def _scored(batches, model):
+def _scored(batches, model, name):
     import pyarrow as pa
 
     for b in batches:
         score = model.scores([t or "" for t in b.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "_score"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, name])
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and _score; other columns pass through as they are."""
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.mapInArrow(lambda batches: _scored(batches, model), schema)
+def with_scores(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """docs and a column of scores; other columns pass through as they are."""
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(lambda batches: _scored(batches, model, name), schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -301,4 +304,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without rows scored 0.5 or more."""
-    return with_scores(docs, fit(docs, labels, **options)).where("_score < 0.5").drop("_score")
+    name = "_score" + "_" * max(map(len, docs.columns))  # longer than any name in use
+    return with_scores(docs, fit(docs, labels, **options), name).where(F.col(name) < 0.5).drop(name)
