@@ -2,8 +2,8 @@
 
 Vectors are packed into blocks: ids, original components, int8 codes with one
 scale a vector, and the norm of each vector's quantisation residue. Query blocks
-meet candidate blocks in an equality join on the query block's number and a
-share of the candidate blocks, so every pair of blocks is one bounded tile. In a tile:
+meet candidate blocks in an equality join on their shares of a grid, so every
+pair of blocks is one bounded tile and no list of blocks is gathered. In a tile:
 
 1. a product of the int8 codes (held as floats, which is exact for such
    integers) gives approximate cosines;
@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import shuffle_partitions
 
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 QUERIES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 15
@@ -158,18 +158,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int
     first = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n = first.count()
     first = first.repartition(max(1, -(-n // query_block)), "vec_id")
-    packed = written(blocks(first, query_block), "ann-queries")
-    numbers = packed.select("block", "dim").collect()  # one number per QUERY_BLOCK queries
-    if not numbers:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sides = lambda df, p: df.select("block", "dim", *[F.col(c).alias(p + c) for c in ("n", "ids", "vectors", "codes", "scales", "residues")])
-    meets = spark.createDataFrame([(r.dim, r.block) for r in numbers], "dim int, q_block long")
-    # a query block meets the candidate blocks in several tasks: both sides carry a share number
+    # tasks form a grid: shares of the candidate blocks by shares of the query blocks
     shares = max(1, min(shuffle_partitions(spark), -(-vectors.count() // vector_block)))
-    share = F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")
-    right = sides(blocks(vectors, vector_block), "c_").withColumn("share", share).drop("block").join(F.broadcast(meets), "dim")
-    left = sides(packed, "q_").drop("dim").withColumnRenamed("block", "q_block").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    tiles = right.join(left, ["q_block", "share"])
+    query_shares = max(1, -(-n // (8 * query_block)))
+    of = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    side = lambda df, p: df.select("dim", "share", "query_share", *[F.col(c).alias(p + c) for c in ("n", "ids", "vectors", "codes", "scales", "residues")])
+    right = side(blocks(vectors, vector_block).withColumn("share", of(shares)).withColumn("query_share", every(query_shares)), "c_")
+    left = side(blocks(first, query_block).withColumn("query_share", of(query_shares)).withColumn("share", every(shares)), "q_")
+    tiles = right.join(left, ["dim", "share", "query_share"])
     # one tile at a time in memory
     found = tiles.mapInPandas(_tiles(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
