@@ -248,7 +248,7 @@ def generated_sentences(n: int = 160, seed: int = 7):
         return r.choice((
             lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", lambda: f"{r.randrange(1, 29)}.{r.randrange(1, 13)}.{r.randrange(1990, 2030)}", lambda: f"version {r.randrange(9)}.{r.randrange(20)}.{r.randrange(20)}",
             lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: digits(r.randrange(4, 9)), lambda: digits(r.choice((10, 12, 13, 20, 24))), lambda: f"{digits(3)},{digits(3)}.{digits(2)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()} {word()}",
-            lambda: f"{word()} at the {word()} com", lambda: hashlib.md5(digits(5).encode()).hexdigest(), lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"order {digits(16)}" if not luhn(x := digits(16)) else f"page {x[:3]}",
+            lambda: f"{word()} at the {word()} com", lambda: f"{word()} at the dot of {word()}", lambda: f"{word()} at {word()} {r.choice(sorted(DOT_WORDS))} {word()}", lambda: hashlib.md5(digits(5).encode()).hexdigest(), lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"order {digits(16)}" if not luhn(x := digits(16)) else f"page {x[:3]}",
         ))()
 
     for _ in range(n):

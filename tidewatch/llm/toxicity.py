@@ -19,10 +19,10 @@ first by hash of doc_id, of those for which crc32(doc_id) mod 5 is not 0.
 Everything else covers all rows. Once trained, n-gram scores are one table, and
 scoring is vectorised over the bytes of whole texts.
 
-Defined cases: null and empty texts get the score of an empty passage; documents
-without words likewise; labels that are null are ignored, of contradicting ones
-the larger counts; without both classes the score is the share of toxic labels
-(0 without labels); repeated rows get equal scores; other columns are carried.
+Defined cases: null and empty texts and others without words score 0; labels
+that are null are ignored, of contradicting ones the larger counts; without both
+classes the score is the share of toxic labels (0 without labels); repeated rows
+get equal scores; other columns are carried.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 BUCKETS, DIM, SIZES = 1 << 18, 4, (3, 4, 5, 6)
 PASSAGE, PER_CLASS, EPOCHS, BATCH = 8, 2000, 3, 1024
 SMOOTHING, PICKED = 4.0, 0.1
+UPDATES = 64  # at least, however few passages there are
 CHUNK = 1 << 19
 WORD_BYTE = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
 
@@ -82,8 +83,8 @@ class Model:
         return begin, total / np.maximum(np.bincount(words, minlength=len(begin)), 1)
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Largest passage logit of each text."""
-        out, at = np.full(len(texts), self.bias), 0
+        """Largest passage logit of each text; minus infinity without words."""
+        out, at = np.full(len(texts), -np.inf), 0
         while at < len(texts):
             parts, size, first = [], 0, at
             while at < len(texts) and (size < CHUNK or first == at):
@@ -98,7 +99,7 @@ class Model:
                 if len(s):
                     starts = passage_starts(len(s))
                     sums = np.add.reduceat(s, starts)
-                    out[first + k] += (sums / np.diff(np.append(starts, len(s)))).max()
+                    out[first + k] = self.bias + (sums / np.diff(np.append(starts, len(s)))).max()
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -193,8 +194,9 @@ def _fit(layers: _Layers, sample: _Sample, rows: np.ndarray, labels: np.ndarray,
     seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-9, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     weight = (0.5 / np.maximum(share, 1e-9))[labels].astype(np.float32)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+    batches = max(min(8, len(rows)), len(rows) // BATCH)
+    for _ in range(max(epochs, -(-UPDATES // batches))):
+        for part in np.array_split(rng.permutation(len(rows)), batches):
             p = rows[part]
             n_words = sample.starts[p + 1] - sample.starts[p]
             used, word = np.unique(sample.tokens[_ranges(sample.starts[p], n_words)], return_inverse=True)
@@ -226,14 +228,18 @@ def _fit(layers: _Layers, sample: _Sample, rows: np.ndarray, labels: np.ndarray,
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve with balanced classes; the shift separates the classes best."""
+    """Slope and shift of a logistic curve; the shift separates the classes best.
+
+    Where there is a gap between them it lies a third above the clean side, as
+    unseen forms of toxic words score below seen ones.
+    """
     order = np.argsort(x)
     x, y = x[order], y[order]
     wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
     best = np.flatnonzero(wrong == wrong.min())
     best = best[len(best) // 2]
     low, high = x[max(0, best - 1)], x[min(len(x) - 1, best)]
-    shift = float((low + high) / 2)
+    shift = float(low + (high - low) / 3)
     gap = float(np.abs(x - shift).mean()) or 1.0
     return 3.0 / gap, shift
 
@@ -263,7 +269,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     check = np.flatnonzero(aside)
     if len(set(y[check].tolist())) < 2:
         check = np.arange(len(texts))
-    slope, shift = _curve(raw.logits([texts[k] for k in check]), y[check])
+    x = raw.logits([texts[k] for k in check])
+    slope, shift = _curve(x[np.isfinite(x)], y[check][np.isfinite(x)])
     return Model(table, bias, slope, shift)
 
 
