@@ -63,7 +63,7 @@ def display_filter(selector_rows: DataFrame, padding_seconds: float = PADDING_SE
         port = lambda c, side: F.when(F.col(c).isNotNull(), F.concat(F.lit(f" && (tcp.{side}port == "), F.col(c).cast("string"), F.lit(f" || udp.{side}port == "), F.col(c).cast("string"), F.lit(")"))).otherwise("")
         return F.concat(F.lit("(ip.src == "), F.col(f"{a}_ip"), F.lit(" && ip.dst == "), F.col(f"{b}_ip"), port(f"{a}_port", "src"), port(f"{b}_port", "dst"), F.lit(")"))
 
-    second = lambda c, d: F.format_number((F.col(c) / 1e6 + d).cast("decimal(20,6)"), "0.000000")
+    second = lambda c, d: ((F.col(c) + int(d * 1_000_000)).cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)").cast("string")
     time = F.concat(F.lit(" && frame.time_epoch >= "), second("first_us", -padding_seconds), F.lit(" && frame.time_epoch <= "), second("last_us", padding_seconds))
     return selector_rows.select("case_id", "ord", F.concat(F.lit("("), part("src", "dest"), F.lit(" || "), part("dest", "src"), F.lit(")"), time).alias("filter"))
 
