@@ -84,7 +84,11 @@ def _tables(n: int) -> list:
 
 
 def segment_rows(line: str) -> list[tuple[int, int, int, int, str]]:
-    """Level 1: (key1, key2, m, j, deleted segment) for both lengths the pair's longer line can have."""
+    """Level 1: (key1, key2, deletes, deleted segment) for both lengths the pair's longer line can have.
+
+    The keys hash what is left, that length and the segment's number; deletes
+    says whether the line has that length itself.
+    """
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = len(codes)
     sums = []
@@ -97,8 +101,9 @@ def segment_rows(line: str) -> list[tuple[int, int, int, int, str]]:
         keys = []
         for total, down, p in sums:
             suffix = (total[n] + p - total[end]) % p * down[end] % p
-            keys.append(((total[begin] << np.uint64(31)) + suffix).astype(np.int64))
-        out += [(k1, k2, m, j, line[b:e]) for j, (k1, k2, b, e) in enumerate(zip(keys[0].tolist(), keys[1].tolist(), begin.tolist(), end.tolist(), strict=True))]
+            keys.append((total[begin] << np.uint64(31)) + suffix)
+        keys[0] += np.arange(len(begin), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m * 0x7FB5D329728EA185 % (1 << 64))
+        out += [(k1, k2, m == n, line[b:e]) for k1, k2, b, e in zip(keys[0].view(np.int64).tolist(), keys[1].view(np.int64).tolist(), begin.tolist(), end.tolist(), strict=True)]
     return out
 
 
@@ -106,14 +111,14 @@ def _segments(batches):
     for pdf in batches:
         out = []
         for doc_id, line_no, is_null, line in zip(pdf["doc_id"], pdf["line_no"], pdf["is_null"], pdf["line"], strict=True):
-            out += [(None if is_null else doc_id, line_no, len(line), *row) for row in segment_rows(line)]
+            out += [(None if is_null else doc_id, line_no, *row) for row in segment_rows(line)]
             if len(out) > 100_000:
                 yield pd.DataFrame(out, columns=SEGMENT_COLUMNS)
                 out = []
         yield pd.DataFrame(out, columns=SEGMENT_COLUMNS)
 
 
-SEGMENT_COLUMNS = ["doc_id", "line_no", "n", "key1", "key2", "m", "j", "mid"]
+SEGMENT_COLUMNS = ["doc_id", "line_no", "key1", "key2", "deletes", "mid"]
 
 
 def near_dropped(docs: DataFrame, occ: DataFrame, first: DataFrame) -> DataFrame:
@@ -127,13 +132,13 @@ def near_dropped(docs: DataFrame, occ: DataFrame, first: DataFrame) -> DataFrame
     lines = lines.select("doc_id", "line_no", F.col("doc_id").isNull().alias("is_null"), F.btrim(F.get("lines", F.col("line_no")), F.lit(BLANK)).alias("line")).where(F.length("line") >= NEAR)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     plain = lines.withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast(id_type))) if id_type in ("bigint", "int", "smallint") else lines
-    parts = plain.mapInPandas(_segments, f"doc_id {id_type}, line_no int, n int, key1 long, key2 long, m int, j int, mid string")
-    key = ["key1", "key2", "m", "j"]
-    several = parts.groupBy(*key).agg(F.min("mid").alias("low"), F.max("mid").alias("high")).where("low <> high").select(*key)
+    parts = plain.mapInPandas(_segments, f"doc_id {id_type}, line_no int, key1 long, key2 long, deletes boolean, mid string")
+    key = ["key1", "key2"]
+    several = parts.groupBy(*key).agg(F.min(F.xxhash64("mid")).alias("low"), F.max(F.xxhash64("mid")).alias("high")).where("low <> high").select(*key)
     parts = parts.join(several, key, "left_semi").withColumn("at", F.struct("doc_id", "line_no", "mid"))
     deleted = F.transform(F.sequence(F.lit(1), F.length("mid")), lambda i: F.struct(i.alias("pos"), F.concat(F.substring("mid", F.lit(1), i - 1), F.substring("mid", i + 1, F.length("mid"))).alias("variant")))
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.col("mid").alias("variant")))
-    rows = parts.withColumn("v", F.explode(F.when(F.col("n") == F.col("m"), deleted).otherwise(whole))).select(*key, "at", "v.pos", "v.variant")
+    rows = parts.withColumn("v", F.explode(F.when(F.col("deletes"), deleted).otherwise(whole))).select(*key, "at", "v.pos", "v.variant")
     same, same_pos = Window.partitionBy(*key, "variant"), Window.partitionBy(*key, "variant", "pos")
     rows = rows.withColumns({
         "whole_at": F.min(F.when(F.col("pos") == 0, F.col("at"))).over(same), "less_at": F.min(F.when(F.col("pos") > 0, F.col("at"))).over(same), "peer_at": F.min("at").over(same_pos),
