@@ -14,11 +14,15 @@ INTERNAL = ("192.168.0.0/24",)  # fixed value: the networks counted as internal
 PROTOCOLS = {"TCP": 6, "UDP": 17, "SCTP": 132}  # fixed values: protocol numbers
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ipv4_number(ip: Column) -> Column:
     """A dotted quad as a number; null for anything else."""
-    part = F.split(ip, r"\.")
-    value = part[0].cast("long") * (1 << 24) + part[1].cast("long") * (1 << 16) + part[2].cast("long") * (1 << 8) + part[3].cast("long")
-    return F.when(ip.rlike(IPV4), value)
+    parts = F.split(F.when(ip.rlike(IPV4), ip), r"\.")
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p.cast("long"))
 
 
 def is_internal(ip: Column, networks=INTERNAL) -> Column:
@@ -54,10 +58,12 @@ def community_id(src_ip: Column, src_port: Column, dest_ip: Column, dest_port: C
     """Community ID version 1; null unless TCP, UDP or SCTP with both addresses and ports."""
     two = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0"))
     number = F.element_at(F.create_map(*[x for k, v in PROTOCOLS.items() for x in (F.lit(k), F.lit(v))]), F.upper(proto))
-    a, b = packed(src_ip, ipv6), packed(dest_ip, ipv6)
-    first = (F.hex(a) < F.hex(b)) | (a == b) & (src_port <= dest_port)
-    low = F.when(first, F.concat(a, b)).otherwise(F.concat(b, a))
-    ports = F.when(first, F.concat(two(src_port), two(dest_port))).otherwise(F.concat(two(dest_port), two(src_port)))
-    data = F.concat(two(F.lit(seed)), low, F.unhex(F.lpad(F.hex(number), 2, "0")), F.unhex(F.lit("00")), ports)
-    ok = number.isNotNull() & (F.length(a) == F.length(b)) & src_port.isNotNull() & dest_port.isNotNull()
-    return F.when(ok, F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(data)))))
+
+    def made(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        # bytes compare as unsigned
+        low = F.when((a < b) | (a == b) & (x["p"] <= x["q"]), F.concat(a, b, two(x["n"] * 256), two(x["p"]), two(x["q"]))).otherwise(F.concat(b, a, two(x["n"] * 256), two(x["q"]), two(x["p"])))
+        ok = x["n"].isNotNull() & (F.length(a) == F.length(b)) & x["p"].isNotNull() & x["q"].isNotNull()
+        return F.when(ok, F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.concat(two(F.lit(seed)), low))))))
+
+    return let(F.struct(packed(src_ip, ipv6).alias("a"), packed(dest_ip, ipv6).alias("b"), src_port.alias("p"), dest_port.alias("q"), number.alias("n")), made)

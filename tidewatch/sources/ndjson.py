@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.net import community_id
+from ..functions.net import community_id, let
 from ..functions.values import parse_time
 
 EXCLUDED_TYPES = ("stats", "mdns", "dhcp")  # fixed values
@@ -26,27 +26,38 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     return lines.join(offsets, ["source_file", "block"]).select("source_file", (F.col("before") + F.col("mono") - F.col("first") + 1).alias("line_no"), "raw")
 
 
+def _judged(raw: Column) -> Column:
+    """(status, event_type) of a trimmed line; each part of it is computed once."""
+    # get_json_object also reads objects with repeated keys, which a strict variant parse refuses
+    whole = raw.startswith("{") & raw.endswith("}") & (F.try_parse_json(raw).isNotNull() | F.get_json_object(raw, "$").isNotNull())
+    parts = F.struct(F.coalesce(whole, F.lit(False)).alias("whole"), F.get_json_object(raw, "$.event_type").alias("kind"), raw.rlike(r'"timestamp"\s*:').alias("timed"), (raw == "").alias("blank"))
+    status = lambda x: F.when(x["blank"], "blank").when(~x["whole"] | ~x["timed"] | x["kind"].isNull(), "malformed").when(x["kind"].isin(*EXCLUDED_TYPES), "skipped").otherwise("event")
+    return let(parts, lambda x: F.struct(status(x).alias("status"), F.when(x["whole"], x["kind"]).alias("event_type")))
+
+
 def classified(lines: DataFrame) -> DataFrame:
     """Adds status: blank, malformed, skipped or event, and event_type."""
-    x = lines.withColumn("raw", F.trim(F.regexp_replace("raw", r"^[\s]+|[\s]+$", "")))
-    v = lambda p: F.get_json_object("raw", p)
-    # get_json_object also reads objects with repeated keys, which a strict variant parse refuses
-    whole = F.col("raw").startswith("{") & F.col("raw").endswith("}") & (F.try_parse_json("raw").isNotNull() | v("$").isNotNull())
-    x = x.withColumn("event_type", F.when(whole, v("$.event_type")))
-    has_time = F.coalesce(F.col("raw").rlike(r'"timestamp"\s*:'), F.lit(False)) & whole
-    bad = ~whole | ~has_time | F.col("event_type").isNull()
-    return x.withColumn("status", F.when(F.col("raw") == "", "blank").when(bad, "malformed").when(F.col("event_type").isin(*EXCLUDED_TYPES), "skipped").otherwise("event"))
+    x = lines.withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).withColumn("_judged", let(F.col("raw"), _judged))
+    return x.select(*lines.columns, "_judged.event_type", "_judged.status")
+
+
+#: Every field as text, so odd types leave nulls instead of errors.
+LINE = (
+    "struct<timestamp:string,flow_id:string,community_id:string,src_ip:string,src_port:string,dest_ip:string,dest_port:string,proto:string,app_proto:string,flow:struct<start:string,end:string>,"
+    "ssh:struct<client:struct<software_version:string>>,http:struct<http_method:string,url:string>,alert:struct<signature_id:string,signature:string,severity:string>>"
+)
 
 
 def events_of(lines: DataFrame) -> DataFrame:
-    """Typed events of classified lines; a null timestamp or a flow that is no object leaves nulls."""
-    v = lambda p: F.get_json_object("raw", p)
+    """Typed events of classified lines, each parsed once; a null timestamp or a flow that is no object leaves nulls."""
+    rows = lines.where("status = 'event'").withColumn("v", F.from_json("raw", LINE))
+    v = lambda p: F.col(f"v.{p}")
     n = lambda p, kind: v(p).try_cast(kind)
-    x = lines.where("status = 'event'").select(
-        "source_file", "line_no", parse_time(v("$.timestamp")).alias("ts"), v("$.timestamp").alias("ts_raw"), "event_type", n("$.flow_id", "long").alias("flow_id"), v("$.community_id").alias("given_community_id"),
-        v("$.src_ip").alias("src_ip"), n("$.src_port", "int").alias("src_port"), v("$.dest_ip").alias("dest_ip"), n("$.dest_port", "int").alias("dest_port"), v("$.proto").alias("proto"), v("$.app_proto").alias("app_proto"),
-        parse_time(v("$.flow.start")).alias("flow_start"), parse_time(v("$.flow.end")).alias("flow_end"), v("$.ssh.client.software_version").alias("ssh_client_software"), v("$.http.http_method").alias("http_method"), v("$.http.url").alias("http_url"),
-        n("$.alert.signature_id", "long").alias("alert_sid"), v("$.alert.signature").alias("alert_signature"), n("$.alert.severity", "int").alias("alert_severity"), "raw",
+    x = rows.select(
+        "source_file", "line_no", parse_time(v("timestamp")).alias("ts"), v("timestamp").alias("ts_raw"), "event_type", n("flow_id", "long").alias("flow_id"), v("community_id").alias("given_community_id"),
+        v("src_ip").alias("src_ip"), n("src_port", "int").alias("src_port"), v("dest_ip").alias("dest_ip"), n("dest_port", "int").alias("dest_port"), v("proto").alias("proto"), v("app_proto").alias("app_proto"),
+        parse_time(v("flow.start")).alias("flow_start"), parse_time(v("flow.end")).alias("flow_end"), v("ssh.client.software_version").alias("ssh_client_software"), v("http.http_method").alias("http_method"), v("http.url").alias("http_url"),
+        n("alert.signature_id", "long").alias("alert_sid"), v("alert.signature").alias("alert_signature"), n("alert.severity", "int").alias("alert_severity"), "raw",
     )
     made = community_id(F.col("src_ip"), F.col("src_port"), F.col("dest_ip"), F.col("dest_port"), F.col("proto"), ipv6=True)
     x = x.withColumn("community_id", F.coalesce("given_community_id", made)).drop("given_community_id")
