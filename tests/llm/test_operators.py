@@ -275,6 +275,17 @@ def test_join_equals_brute_force(spark, monkeypatch, bucket):
     assert sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in got) == brute_classes(docs)
 
 
+def test_pairs_at_the_threshold_meet_at_the_deepest_level(spark, monkeypatch):
+    """With nodes of one set at most, contained pairs at Jaccard 0.8 meet at the last level or not at all."""
+    monkeypatch.setattr(chosen_path, "BUCKET", 1)
+    r, docs = random.Random(6), []
+    for c in range(500):
+        words = [f"p{c}w{k}" for k in range(r.choice((14, 34, 104)))]
+        docs += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(words[: 4 + (len(words) - 4) * 4 // 5]))]
+    got = chosen_path.classes(spark.createDataFrame(docs, "doc_id long, text string")).where("n_links = 1 and class_id % 2 = 0 and doc_id - class_id <= 1").count() / 2
+    assert got >= 0.996 * 500
+
+
 def test_one_of_each_keeps_columns(odd, none):
     got = chosen_path.one_of_each(odd)
     assert got.columns == odd.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "7", "8", "None"]

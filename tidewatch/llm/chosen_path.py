@@ -5,13 +5,18 @@ has fewer); words are what ASCII white space separates. Documents with equal
 sets are one class from the start and are represented once.
 
 Candidates: in each of RUNS runs a set walks down a tree of sampled tokens. At a
-node it takes each of its tokens with probability 1 / (threshold |set|), decided
-by a hash all sets share, and goes to the child named by path and token. Two
-sets at the threshold meet in a child with probability about 2/3, whatever the
-other sets are. Nodes of at most BUCKET sets are compared by brute force; larger
-ones are split again, up to LEVELS times; what is still larger then is compared
-tile by tile, never cut off. RUNS is set for a recall of at least 0.999 at the
-deepest level and 0.99999 at the first.
+node below d tokens it takes each of its other tokens with probability
+1 / (threshold |set| - d), decided by a hash of token and node that all sets
+share, and goes to the child named by path and token. Two sets at the threshold
+have one common child on average at least (one, where one set holds the other),
+independently at every node they share, whatever the other sets are. Nodes of at
+most BUCKET sets are compared by brute force; larger ones are split again, up to
+LEVELS times; what is still larger then is compared tile by tile, never cut off.
+
+Recall by calculation: a run brings such a pair to a common node of level k with
+probability p(k) = 1 - exp(-p(k - 1)), p(0) = 1, or more: 0.632, 0.468, 0.374.
+RUNS is set for a recall 1 - (1 - p)^RUNS of at least 0.999 at the deepest level;
+it is 0.9999 at the second and 0.999999 at the first.
 
 In a bucket, sizes and 128-bit one-bit min-wise sketches sort out pairs; the
 limit lies 5.6 standard deviations below the threshold's expectation. Buckets
@@ -39,13 +44,13 @@ from pyspark.sql import functions as F
 from .common import components, discard, shuffle_partitions, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, LEVELS, BUCKET = 12, 3, 1024
+RUNS, LEVELS, BUCKET = 15, 3, 1024
 TILE_SETS, TILE_TOKENS = 1024, 2_000_000
 SKETCH_BITS, SKETCH_LIMIT = 128, 96
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.default_rng(20240229)
-ODD = _RNG.integers(0, 1 << 63, RUNS * LEVELS, dtype=np.uint64) * U(2) + U(1)
+ODD = _RNG.integers(0, 1 << 63, RUNS, dtype=np.uint64) * U(2) + U(1)
 SKETCH_ODD = _RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -99,12 +104,34 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((mix(low) & U(1)).astype(np.uint8)).tobytes()
 
 
+def _bar(n: int, depth: int) -> np.uint64:
+    """The greatest hash with which a set of n tokens takes one at a node below depth tokens."""
+    left = THRESHOLD * n - depth
+    return U(np.iinfo(np.uint64).max) if left <= 1 else U(int(2**64 / left))
+
+
+def descents(s: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, parent's key and key of the nodes a set reaches below nodes of the first level, given by key and token."""
+    levels, parents, found, path = [], [], [], tokens[:, None]
+    for depth in range(1, LEVELS):
+        bar, at_once = _bar(len(s), depth), max(1, (1 << 18) // len(s))
+        taken = [np.nonzero(mix(s ^ keys[at : at + at_once, None]) <= bar) for at in range(0, len(keys), at_once)]
+        i = np.concatenate([np.empty(0, np.int64), *(k + at for (k, _), at in zip(taken, range(0, len(keys), at_once), strict=True))])
+        token = s[np.concatenate([np.empty(0, np.int64), *(j for _, j in taken)])]
+        new = (path[i] != token[:, None]).all(axis=1)
+        i, token = i[new], token[new]
+        parents.append(keys[i])
+        path, keys = np.concatenate([path[i], token[:, None]], axis=1), mix(token + mix(keys[i]))
+        found.append(keys)
+        levels.append(np.full(len(keys), depth + 1, np.int32))
+    return np.concatenate(levels), np.concatenate(parents), np.concatenate(found)
+
+
 def sampled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots (run * LEVELS + level) and tokens the set takes there."""
+    """Runs and tokens the set takes at their roots."""
     if not len(s):
         return np.empty(0, np.int32), np.empty(0, np.int64)
-    bar = min(1.0, 1.0 / (THRESHOLD * len(s)))
-    bar = np.iinfo(np.uint64).max if bar >= 1 else U(int(bar * 2**64))
+    bar = _bar(len(s), 0)
     slots, tokens = [], []
     for at in range(0, len(s), 8192):
         i, j = np.nonzero(s[at : at + 8192, None] * ODD <= bar)
@@ -211,15 +238,39 @@ def _tiled(members: DataFrame, key, tiles):
     return rows.withColumn("key", F.xxhash64(key, low, high)).drop("_tiles", "_other")
 
 
-def candidate_edges(feats: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _below(batches):
+    for b in batches:
+        for at in range(0, len(b), 64):
+            part = b.slice(at, 64)
+            rows, cols = [], ([], [], [])
+            for k, (text, want, nodes) in enumerate(zip(part.column("text").to_pylist(), part.column("sid").to_pylist(), part.column("nodes").to_pylist(), strict=True)):
+                s = shingles(text)
+                if digest(s) == want:
+                    found = descents(s, *(np.array([x[c] for x in nodes], np.int64).view(np.uint64) for c in ("key", "token")))
+                    rows += [k] * len(found[0])
+                    for col, x in zip(cols, found, strict=True):
+                        col.append(x)
+            if rows:
+                level, parent, key = (np.concatenate(x) for x in cols)
+                kept = [part.column(c).take(pa.array(rows)) for c in ("sid", "n", "sketch")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(level), pa.array(parent.view(np.int64)), pa.array(key.view(np.int64))], names=["sid", "n", "sketch", "level", "parent", "key"])
+
+
+def below(docs: DataFrame, feats: DataFrame, full: DataFrame) -> DataFrame:
+    """The nodes of all deeper levels that the sets in over-full nodes of the first level reach."""
+    nodes = full.groupBy("sid", "n", "sketch").agg(F.collect_list(F.struct("key", "token")).alias("nodes"))
+    one = feats.select("sid", "doc_id").groupBy("sid").agg(F.min("doc_id").alias("_rep"))
+    found = docs.select("doc_id", "text").join(nodes.join(one, "sid").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep")))
+    return found.select("text", "sid", "n", "sketch", "nodes").mapInArrow(_below, "sid binary, n int, sketch binary, level int, parent long, key long").dropDuplicates(["level", "key", "sid"])
+
+
+def candidate_edges(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Star edges between set ids that met in a bucket of some run and look alike, and the tables they are read from."""
     spark = feats.sparkSession
-    sets = feats.select("sid", "n", "sketch", F.explode(F.arrays_zip("slots", "tokens")).alias("t")).select("sid", "n", "sketch", (F.col("t.slots") / LEVELS).cast("int").alias("run"), (F.col("t.slots") % LEVELS).alias("level"), F.col("t.tokens").alias("token"))
-    cur = sets.where("level = 0").select(F.xxhash64("run", "token").alias("key"), "run", "sid", "n", "sketch", F.array("token").alias("path")).dropDuplicates(["key", "sid"])
-    leaves, read = None, []
+    sets = feats.select("sid", "n", "sketch", F.explode(F.arrays_zip("slots", "tokens")).alias("t"))
+    cur = written(sets.select(F.xxhash64("t.slots", "t.tokens").alias("key"), "sid", "n", "sketch", F.col("t.tokens").alias("token")).dropDuplicates(["key", "sid"]), "path-level1")
+    leaves, deeper, read = None, None, [cur]
     for level in range(1, LEVELS + 1):
-        cur = written(cur, f"path-level{level}")
-        read.append(cur)
         met = cur.join(cur.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
         full = met.where(F.col("size") > BUCKET)
         small = met.where(F.col("size") <= BUCKET).select("key", "sid", "n", "sketch")
@@ -228,9 +279,12 @@ def candidate_edges(feats: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         leaves = small if leaves is None else leaves.unionAll(small)
         if level == LEVELS or full.isEmpty():
             break
-        more = sets.where(F.col("level") == level).select("run", "sid", "token").distinct()
-        cur = full.join(more, ["run", "sid"]).where(~F.array_contains("path", F.col("token")))
-        cur = cur.select(F.xxhash64("key", "token").alias("key"), "run", "sid", "n", "sketch", F.array_append("path", F.col("token")).alias("path")).dropDuplicates(["key", "sid"])
+        if deeper is None:
+            deeper = written(below(docs, feats, full), "path-below")
+            read.append(deeper)
+            cur = deeper.where("level = 2")
+        else:
+            cur = deeper.where(F.col("level") == level + 1).join(full.select(F.col("key").alias("parent")).distinct(), "parent", "left_semi")
     dealt = leaves.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     return dealt.mapInPandas(_compared, "a binary, b binary"), read
 
@@ -283,7 +337,7 @@ def _decided(batches):
         ids, chunk = [bytes(x) for x in group["sid"]], group["chunk"].to_numpy()
         sets = [np.frombuffer(bytes(x), np.uint64) for x in group["tokens"]]
         n = np.array([len(s) for s in sets], np.float64)
-        close = intersections(sets) * (1 + THRESHOLD) >= THRESHOLD * (n[:, None] + n) - 1e-6
+        close = intersections(sets).astype(np.float64) * (1 + THRESHOLD) >= THRESHOLD * (n[:, None] + n) - 1e-6
         np.fill_diagonal(close, False)
         if (chunk != chunk[0]).any():
             close &= chunk[:, None] != chunk  # pairs within a chunk belong to the chunk's own tile
@@ -297,7 +351,7 @@ def _decided(batches):
 def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
     """(sid, links, root) as tiles decide them, written; all pairs of sets at or above the threshold are counted once."""
     spark = docs.sparkSession
-    edges, read = candidate_edges(feats)
+    edges, read = candidate_edges(docs, feats)
     groups = components(edges, "candidate-components")
     discard(*read)
     # one document for each set; copies of its text hold the same set
