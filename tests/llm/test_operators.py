@@ -292,6 +292,14 @@ def test_one_of_each_keeps_columns(odd, none):
     assert chosen_path.classes(none).count() == 0 and chosen_path.one_of_each(none).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Rows without an id or with a common one have different texts; each class keeps exactly one row."""
+    texts = [" ".join(f"t{c}w{k}" for k in range(40)) for c in range(6)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[4]), (3, texts[5]), (5, texts[5]), (None, texts[5] + " end")]
+    got = chosen_path.one_of_each(spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], DOC).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("5", texts[3]), ("5", texts[4]), ("3", texts[5])])
+
+
 # 8 --------------------------------------------------------------------------
 
 

@@ -26,8 +26,8 @@ one tile. A tile emits a count of links per set and star edges, never pairs; the
 final classes are the components of these.
 
 Defined cases: null texts count as empty, documents without words are copies of
-each other without links; rows that share a doc_id are judged each by its text;
-the class id is the smallest doc_id of the class (null if it has none); an empty
+each other without links; rows that share a doc_id are judged each by its text,
+a row is told from others by doc_id and a hash of its text; the class id is the smallest doc_id of the class (null if it has none); an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -38,7 +38,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, shuffle_partitions, written
@@ -142,7 +142,7 @@ def sampled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _featured(batches):
     for b in batches:
-        ids, texts = b.column("doc_id"), b.column("text")
+        ids, texts, hashes = b.column("doc_id"), b.column("text"), b.column("text_hash")
         for at in range(0, len(b), 512):
             sids, sizes, marks, slots, tokens = [], [], [], [], []
             for text in texts.slice(at, 512).to_pylist():
@@ -155,14 +155,14 @@ def _featured(batches):
                 tokens.append(t)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in slots])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, 512), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(slots))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tokens)))],
-                names=["doc_id", "sid", "n", "sketch", "slots", "tokens"],
+                [ids.slice(at, 512), hashes.slice(at, 512), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(slots))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tokens)))],
+                names=["doc_id", "text_hash", "sid", "n", "sketch", "slots", "tokens"],
             )
 
 
 def features(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_featured, f"doc_id {kind}, sid binary, n int, sketch binary, slots array<int>, tokens array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_featured, f"doc_id {kind}, text_hash long, sid binary, n int, sketch binary, slots array<int>, tokens array<long>")
 
 
 class _Roots:
@@ -256,11 +256,17 @@ def _below(batches):
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(level), pa.array(parent.view(np.int64)), pa.array(key.view(np.int64))], names=["sid", "n", "sketch", "level", "parent", "key"])
 
 
+def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of sets with the text of the document that _rep names."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return keyed.join(sets.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep.doc_id")) & (F.col("text_hash") == F.col("_rep.text_hash")))
+
+
 def below(docs: DataFrame, feats: DataFrame, full: DataFrame) -> DataFrame:
     """The nodes of all deeper levels that the sets in over-full nodes of the first level reach."""
     nodes = full.groupBy("sid", "n", "sketch").agg(F.collect_list(F.struct("key", "token")).alias("nodes"))
-    one = feats.select("sid", "doc_id").groupBy("sid").agg(F.min("doc_id").alias("_rep"))
-    found = docs.select("doc_id", "text").join(nodes.join(one, "sid").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep")))
+    one = feats.groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("_rep"))
+    found = _texts(docs, nodes.join(one, "sid"))
     return found.select("text", "sid", "n", "sketch", "nodes").mapInArrow(_below, "sid binary, n int, sketch binary, level int, parent long, key long").dropDuplicates(["level", "key", "sid"])
 
 
@@ -355,12 +361,12 @@ def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
     groups = components(edges, "candidate-components")
     discard(*read)
     # one document for each set; copies of its text hold the same set
-    one = feats.select("sid", "doc_id", "n").join(groups.withColumnsRenamed({"id": "sid", "root": "group"}), "sid").groupBy("sid", "group", "n").agg(F.min("doc_id").alias("_rep"))
+    one = feats.select("sid", "doc_id", "text_hash", "n").join(groups.withColumnsRenamed({"id": "sid", "root": "group"}), "sid").groupBy("sid", "group", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("_rep"))
     one = written(one, "candidate-sets")
     discard(groups)
     sizes = one.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     tiles = F.greatest(F.ceil(F.col("sets") / TILE_SETS), F.ceil(F.col("all") / TILE_TOKENS)).alias("tiles")
-    found = docs.select("doc_id", "text").join(one.select("sid", "_rep").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "sid")
+    found = _texts(docs, one.select("sid", "_rep")).select("text", "sid")
     sets = found.mapInArrow(_sets_of, "sid binary, tokens binary").dropDuplicates(["sid"])
     members = one.select("sid", "group").join(sizes.select("group", tiles), "group")
     members = _tiled(members, F.col("group"), F.col("tiles")).select("sid", "key", "chunk").join(sets, "sid")
@@ -370,26 +376,36 @@ def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
     return decided
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, class_id, n_links (similar documents with other sets, copies counted once), n_copies."""
+def _with_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of the documents, and of each set sid, root (of its class), class_id, n_links, n_copies."""
     feats = written(features(docs), "set-features")
     decided = similar_sets(docs, feats)
     roots = components(decided.where("root is not null").select(F.col("sid").alias("a"), F.col("root").alias("b")), "set-components").withColumnRenamed("id", "sid")
     links = decided.groupBy("sid").agg(F.sum("links").alias("n_links"))
     sets = feats.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")).join(roots, "sid", "left").join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = sets.groupBy("root").agg(F.min("least").alias("class_id"))
-    sets = sets.join(least, "root").select("sid", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    return feats, sets.join(least, "root").select("sid", "root", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, class_id, n_links (similar documents with other sets, copies counted once), n_copies."""
+    feats, sets = _with_sets(docs)
     return feats.select("doc_id", "sid").join(sets, "sid").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs reduced to the document with the smallest doc_id of each class; of repeated ids the first row by text."""
-    stay = written(classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_stays")).agg((F.count("*") > 1).alias("_repeats")), "set-stays")
+    """docs reduced to one row of each class: of those with its smallest doc_id (none, if it has none) the first by a hash of the text."""
+    feats, sets = _with_sets(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = feats.groupBy("sid").agg(F.min(row).alias("row")).join(sets.select("sid", "root"), "sid").groupBy("root").agg(F.min("row").alias("row"))
+    stay = best.select(F.col("row.doc_id").alias("_stays"), F.col("row.text_hash").alias("_hash"))
+    # equal rows count as one: how often those that stay are there
+    met = (F.col("doc_id").eqNullSafe(F.col("_stays"))) & (F.col("text_hash") == F.col("_hash"))
+    stay = written(feats.select("doc_id", "text_hash").join(stay, met).groupBy("_stays", "_hash").agg((F.count("*") > 1).alias("_repeats")), "set-stays")
     # the rest of a row travels as one column, so its names can't meet those used here
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    of = lambda ids: packed.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    packed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    of = lambda keys: packed.join(keys.hint("shuffle_hash"), met, "left_semi")
     out = of(stay.where("not _repeats")).select("_row")
     if not stay.where("_repeats").isEmpty():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.unionAll(of(stay.where("_repeats")).withColumn("_n", first).where("_n = 1").select("_row"))
+        out = out.unionAll(of(stay.where("_repeats")).dropDuplicates(["doc_id", "text_hash"]).select("_row"))
     return out.select([F.col("_row")[c].alias(c) for c in docs.columns])
