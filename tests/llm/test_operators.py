@@ -286,6 +286,14 @@ def test_pairs_at_the_threshold_meet_at_the_deepest_level(spark, monkeypatch):
     assert got >= 0.996 * 500
 
 
+def test_pairs_are_counted_in_one_tile(spark, monkeypatch):
+    """Two near copies of many tokens are dealt to several tiles, most of which hold one chunk or none."""
+    monkeypatch.setattr(chosen_path, "TILE_TOKENS", 100)
+    docs = [(2 * c + k, " ".join(f"c{c}w{j}" for j in range(60 + k))) for c in range(40) for k in range(2)]
+    got = chosen_path.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 80 and {(r.n_links, r.class_id == r.doc_id - r.doc_id % 2) for r in got} == {(1, True)}
+
+
 def test_one_of_each_keeps_columns(odd, none):
     got = chosen_path.one_of_each(odd)
     assert got.columns == odd.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "7", "8", "None"]

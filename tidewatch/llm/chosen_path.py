@@ -231,11 +231,11 @@ def _compared(batches):
 
 
 def _tiled(members: DataFrame, key, tiles):
-    """Rows for every tile (a <= b) of chunk numbers that a member's chunk is in; adds key, chunk."""
+    """Rows for every tile (a <= b) of chunk numbers that a member's chunk is in; adds key, chunk and own (a = b)."""
     chunk = F.pmod(F.xxhash64(F.lit(3), "sid"), tiles).cast("int")
     rows = members.withColumn("_tiles", tiles.cast("int")).withColumn("chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     low, high = F.least("chunk", "_other"), F.greatest("chunk", "_other")
-    return rows.withColumn("key", F.xxhash64(key, low, high)).drop("_tiles", "_other")
+    return rows.withColumns({"key": F.xxhash64(key, low, high), "own": low == high}).drop("_tiles", "_other")
 
 
 def _below(batches):
@@ -345,7 +345,7 @@ def _decided(batches):
         n = np.array([len(s) for s in sets], np.float64)
         close = intersections(sets).astype(np.float64) * (1 + THRESHOLD) >= THRESHOLD * (n[:, None] + n) - 1e-6
         np.fill_diagonal(close, False)
-        if (chunk != chunk[0]).any():
+        if not group["own"].iloc[0]:
             close &= chunk[:, None] != chunk  # pairs within a chunk belong to the chunk's own tile
         links = close.sum(axis=1)
         i, j = np.nonzero(np.triu(close))
@@ -369,7 +369,7 @@ def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
     found = _texts(docs, one.select("sid", "_rep")).select("text", "sid")
     sets = found.mapInArrow(_sets_of, "sid binary, tokens binary").dropDuplicates(["sid"])
     members = one.select("sid", "group").join(sizes.select("group", tiles), "group")
-    members = _tiled(members, F.col("group"), F.col("tiles")).select("sid", "key", "chunk").join(sets, "sid")
+    members = _tiled(members, F.col("group"), F.col("tiles")).select("sid", "key", "chunk", "own").join(sets, "sid")
     dealt = members.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "sid")
     decided = written(dealt.mapInPandas(_decided, "sid binary, links long, root binary"), "set-links")
     discard(one)
