@@ -230,6 +230,18 @@ def test_lines_equal_brute_force(spark, odd, none):
     assert line_dedup.line_report(none).count() == 0
 
 
+def test_lines_go_from_their_own_row(spark):
+    """Rows without an id or with a common one and different texts."""
+    head, near = "a header that all of the documents have", "a long line of which there is a near copy"
+    docs = [(None, f"{head}\nown line {k} {'xyz'[k] * 30}\nlast {k}") for k in range(3)] + [(4, f"{near}\nfour"), (4, f"{near}!\nunique"), (4, f"alone\n{head}"), (None, "twice\n\nthe same"), (None, "twice\n\nthe same"), (None, None), (None, None)]
+    got = line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(docs)
+    kept = [line for r in got if r.text is not None for line in r.text.split("\n")]
+    want = {line for _, t in docs if t is not None for line in t.split("\n") if line}
+    assert sorted(line for line in kept if line and line[:6] != near[:6]) == sorted(line for line in want if line[:6] != near[:6])
+    assert sum(line[:6] == near[:6] for line in kept) == 1 and sum(r.n_dropped for r in got) == 3 - 1 + 1 + 1 + 2
+
+
 # 7 --------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Line dedup across documents by a deletion-neighbourhood join.
 
 A line (trimmed of blanks at both ends) goes if an earlier line, by (doc_id,
-line number), is equal to it or, for lines of at least NEAR code points, within
+hash of the row's text, line number), is equal to it or, for lines of at least NEAR code points, within
 one edit (insertion, deletion or substitution). Blank lines stay. What an earlier
 line is does not depend on whether that line stays itself, so the result does
 not depend on order of work.
@@ -21,9 +21,10 @@ segment marks an insertion. Per variant only minima are kept, never pairs, and
 the edit distance of the segments is verified before a line goes. Exact copies
 are grouped by a 128-bit hash with partial aggregation.
 
-Defined cases: null texts stay null; null doc_ids order first; rows that share a
-doc_id count as one document, equal lines at equal positions in them are one
-occurrence; lines end at line feeds only; an empty table gives no rows; other
+Defined cases: null texts stay null; null doc_ids order first; rows that share
+a doc_id are told apart by a hash of their texts, those with equal texts count as
+one document; of rows without an id and with equal texts the first, by the other
+columns, counts as the earlier document; lines end at line feeds only; an empty table gives no rows; other
 columns are carried.
 """
 
@@ -54,10 +55,12 @@ def _halves(line, n):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line that is not blank: h1, h2, doc_id, line_no and its level 0 keys."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
+    """Every line that is not blank: h1, h2, doc_id, row (hash of the text), line_no and its level 0 keys."""
+    # hashed below the generator, or each line would carry the text and hash it again
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
     n = F.length("line")
-    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "line_no", F.when(n >= NEAR, _halves(F.col("line"), n)).alias("halves"))
+    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "row", "line_no", F.when(n >= NEAR, _halves(F.col("line"), n)).alias("halves"))
 
 
 def _powers(n: int, base: int, prime: int) -> np.ndarray:
@@ -110,32 +113,32 @@ def segment_rows(line: str) -> list[tuple[int, int, int, int, str]]:
 def _segments(batches):
     for pdf in batches:
         out = []
-        for doc_id, line_no, is_null, line in zip(pdf["doc_id"], pdf["line_no"], pdf["is_null"], pdf["line"], strict=True):
-            out += [(None if is_null else doc_id, line_no, *row) for row in segment_rows(line)]
+        for doc_id, row, line_no, is_null, line in zip(pdf["doc_id"], pdf["row"], pdf["line_no"], pdf["is_null"], pdf["line"], strict=True):
+            out += [(None if is_null else doc_id, row, line_no, *part) for part in segment_rows(line)]
             if len(out) > 100_000:
                 yield pd.DataFrame(out, columns=SEGMENT_COLUMNS)
                 out = []
         yield pd.DataFrame(out, columns=SEGMENT_COLUMNS)
 
 
-SEGMENT_COLUMNS = ["doc_id", "line_no", "key1", "key2", "deletes", "mid"]
+SEGMENT_COLUMNS = ["doc_id", "row", "line_no", "key1", "key2", "deletes", "mid"]
 
 
 def near_dropped(docs: DataFrame, occ: DataFrame, first: DataFrame) -> DataFrame:
-    """First occurrences (doc_id, line_no) of lines within one edit of an earlier line."""
+    """First occurrences (doc_id, row, line_no) of lines within one edit of an earlier line."""
     halves = occ.where("halves is not null").select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
     met = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    places = first.join(met, "h1", "left_semi").select(F.col("at.doc_id").alias("p_id"), F.col("at.line_no").alias("line_no")).groupBy("p_id").agg(F.collect_list("line_no").alias("line_nos"))
-    found = docs.select("doc_id", "text").join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("p_id")))
-    lines = found.withColumn("lines", F.split("text", "\n", -1)).select("doc_id", F.explode("line_nos").alias("line_no"), "lines")
-    lines = lines.select("doc_id", "line_no", F.col("doc_id").isNull().alias("is_null"), F.btrim(F.get("lines", F.col("line_no")), F.lit(BLANK)).alias("line")).where(F.length("line") >= NEAR)
+    places = first.join(met, "h1", "left_semi").select(F.col("at.doc_id").alias("p_id"), F.col("at.row").alias("p_row"), F.col("at.line_no").alias("line_no")).groupBy("p_id", "p_row").agg(F.collect_list("line_no").alias("line_nos"))
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")))
+    lines = found.withColumn("lines", F.split("text", "\n", -1)).select("doc_id", "row", F.explode("line_nos").alias("line_no"), "lines")
+    lines = lines.select("doc_id", "row", "line_no", F.col("doc_id").isNull().alias("is_null"), F.btrim(F.get("lines", F.col("line_no")), F.lit(BLANK)).alias("line")).where(F.length("line") >= NEAR)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     plain = lines.withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast(id_type))) if id_type in ("bigint", "int", "smallint") else lines
-    parts = plain.mapInPandas(_segments, f"doc_id {id_type}, line_no int, key1 long, key2 long, deletes boolean, mid string")
+    parts = plain.mapInPandas(_segments, f"doc_id {id_type}, row long, line_no int, key1 long, key2 long, deletes boolean, mid string")
     key = ["key1", "key2"]
     several = parts.groupBy(*key).agg(F.min(F.xxhash64("mid")).alias("low"), F.max(F.xxhash64("mid")).alias("high")).where("low <> high").select(*key)
-    parts = parts.join(several, key, "left_semi").withColumn("at", F.struct("doc_id", "line_no", "mid"))
+    parts = parts.join(several, key, "left_semi").withColumn("at", F.struct("doc_id", "row", "line_no", "mid"))
     deleted = F.transform(F.sequence(F.lit(1), F.length("mid")), lambda i: F.struct(i.alias("pos"), F.concat(F.substring("mid", F.lit(1), i - 1), F.substring("mid", i + 1, F.length("mid"))).alias("variant")))
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.col("mid").alias("variant")))
     rows = parts.withColumn("v", F.explode(F.when(F.col("deletes"), deleted).otherwise(whole))).select(*key, "at", "v.pos", "v.variant")
@@ -145,15 +148,15 @@ def near_dropped(docs: DataFrame, occ: DataFrame, first: DataFrame) -> DataFrame
     })
     # beside a row's own line: of equal deletions at one position the earliest, and whole segments against deletions
     options = F.array(F.when(F.col("pos") > 0, F.col("peer_at")), F.when(F.col("pos") > 0, F.col("whole_at")), F.when(F.col("pos") == 0, F.col("less_at")))
-    ok = F.exists(options, lambda o: o.isNotNull() & (F.struct(o["doc_id"], o["line_no"]) < F.struct(F.col("at.doc_id"), F.col("at.line_no"))) & (F.levenshtein(o["mid"], F.col("at.mid")) == 1))
-    return rows.where(ok).select("at.doc_id", "at.line_no").distinct()
+    ok = F.exists(options, lambda o: o.isNotNull() & (F.struct(o["doc_id"], o["row"], o["line_no"]) < F.struct(F.col("at.doc_id"), F.col("at.row"), F.col("at.line_no"))) & (F.levenshtein(o["mid"], F.col("at.mid")) == 1))
+    return rows.where(ok).select("at.doc_id", "at.row", "at.line_no").distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of every line that goes."""
+    """(doc_id, row, line_no) of every line that goes."""
     occ = written(occurrences(docs), "line-occurrences")
-    first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
-    copies = occ.select("h1", "h2", "doc_id", "line_no").join(first.where("n > 1").select("h1", "h2", "at"), ["h1", "h2"]).where(F.struct("doc_id", "line_no") != F.col("at")).select("doc_id", "line_no")
+    first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("at"), F.count("*").alias("n"))
+    copies = occ.select("h1", "h2", "doc_id", "row", "line_no").join(first.where("n > 1").select("h1", "h2", "at"), ["h1", "h2"]).where(F.struct("doc_id", "row", "line_no") != F.col("at")).select("doc_id", "row", "line_no")
     return copies.unionAll(near_dropped(docs, occ, first)).distinct()
 
 
@@ -161,9 +164,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text reduced to the lines that stay, _lines and _dropped (how many there were and went), and other columns in _rest."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select("doc_id", "text", *([F.struct(*rest).alias("_rest")] if rest else []))
-    gone = dropped_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
+    gone = dropped_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
+    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    # rows without an id are documents of their own: all lines of a later one with the same text repeat the first one's
+    keyless = keyed.where("doc_id is null")
+    copied = not keyless.groupBy("_row").count().where("count > 1").isEmpty()
+    if copied:
+        nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.to_json("_rest") if rest else F.lit(0)))
+        keyed = keyed.where("doc_id is not null").withColumn("_again", F.lit(False)).unionAll(keyless.withColumn("_again", nth > 1))
+    out = keyed.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left").drop("_gone_id", "_gone_row", "_row")
     lines = F.split("text", "\n", -1)
+    if copied:
+        every = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.btrim(F.get(lines, i), F.lit(BLANK)) != "")
+        out = out.withColumn("_gone", F.when(F.col("_again") & F.col("text").isNotNull(), every).otherwise(F.col("_gone"))).drop("_again")
     count = F.size(lines)
     keep = F.array_except(F.sequence(F.lit(0), count - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
