@@ -186,6 +186,14 @@ def test_max_flow_equals_brute_force_cuts():
         assert abs(cost([level[k] >= 0 for k in range(n)]) - best) < 1e-6
 
 
+def test_hidden_parts_of_blocks_and_titles_about_hidden_things():
+    prose = "A long paragraph of the article that says many things about the world"
+    page = f"""<body><article title="a hidden gem" data-title='the hidden cost of'><h1>Title of it<a aria-hidden="true" href="#t">#</a></h1><p>{prose}. <span style="display:none">x</span></p><p>Not <i class="big hidden">this but</i>here, {prose} <b role="alert">so</b>.</p>
+<p>{prose} again <span class="ad">too</span></p><p hidden>{prose} gone.</p><div class="hidden"><p>{prose} gone.</p></div><p class="overflow-hidden" alt=hidden>{prose} last.</p></article><div><span role="dialog">{prose} gone.</span> </div></body>"""
+    want = ["Title of it", f"{prose}.", f"Not here, {prose} so.", f"{prose} again too", f"{prose} last."]
+    assert html_mincut.main_text(page, html_mincut.trained()).split("\n") == want
+
+
 # 6 --------------------------------------------------------------------------
 
 

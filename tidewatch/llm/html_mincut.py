@@ -41,6 +41,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)[^<>]*+>?|<[!?/][^>]*+>?|[^<]++|<", re.S)
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+HIDDEN = re.compile(r"(?:^|[\s/])hidden(?:[\s/]|$)", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp".split())
@@ -67,16 +69,17 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("tag", "hard", "good", "bad", "inside", "silent", "link", "number")
+    __slots__ = ("tag", "hard", "good", "bad", "inside", "silent", "link", "number", "up", "depth")
 
 
-def _cues(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element's role rules it out, and good and bad cue words of class and id."""
-    hard = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes)) and "hidden" in attributes
+def _cues(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is hidden, whether its role rules it out, and good and bad cue words of class and id."""
+    hidden, hard = bool(HIDDEN.search(VALUE.sub(" ", attributes))), False
     words: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
+            hidden = hidden or name == "class" and "hidden" in value.lower().split()
             words.update(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("_", " ").replace("-", " ").split())
         elif name == "role":
             hard = hard or value.lower() in HARD_ROLES
@@ -85,19 +88,19 @@ def _cues(attributes: str) -> tuple[bool, bool, bool]:
         elif name == "itemprop" and value.lower() == "articlebody":
             words.add("article")
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            hard = True
+            hidden = True
     good = not words.isdisjoint(GOOD)
-    return hard, good, not good and not words.isdisjoint(BAD)
+    return hidden, hard, good, not good and not words.isdisjoint(BAD)
 
 
 def blocks_of(page: str) -> list[Block]:
     root = _Element()
-    root.tag, root.hard, root.good, root.bad, root.inside, root.silent, root.link, root.number = "", False, False, False, False, False, False, 0
+    root.tag, root.hard, root.good, root.bad, root.inside, root.silent, root.link, root.number, root.up, root.depth = "", False, False, False, False, False, False, 0, None, 0
     stack, blocks, pieces, n_links, made = [root], [], [], 0, 0
-    at, n = 0, len(page)
+    at, n, blank = 0, len(page), True
 
     def flush():
-        nonlocal pieces, n_links
+        nonlocal pieces, n_links, blank
         if pieces:
             text = " ".join(_html.unescape("".join(pieces)).split())
             if text:
@@ -106,7 +109,7 @@ def blocks_of(page: str) -> list[Block]:
                 b.tag = next((x.tag for x in reversed(stack) if x.tag in BLOCK), "")
                 b.path = tuple(islice((x.number for x in reversed(stack) if x.tag in BLOCK), NEAREST))
                 blocks.append(b)
-            pieces, n_links = [], 0
+            pieces, n_links, blank = [], 0, True
 
     opened: Counter = Counter()
 
@@ -115,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
             opened[e.tag] -= 1
         del stack[k:]
 
-    holder = root
+    holder = root  # the innermost element around all text of the block so far
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -126,7 +129,12 @@ def blocks_of(page: str) -> list[Block]:
                 e = stack[-1]
                 if not e.silent:
                     pieces.append(m[0])
-                    holder = e
+                    if blank:
+                        holder = e
+                    elif not m[0].isspace():
+                        while holder.depth >= len(stack) or stack[holder.depth] is not holder:
+                            holder = holder.up
+                    blank = blank and m[0].isspace()
                     if e.link:
                         n_links += len(m[0])
             continue
@@ -167,13 +175,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         up, e = stack[-1], _Element()
         made += 1
-        hard, good, bad = _cues(m[3]) if m[3] and tag not in ("html", "body") else (False, False, False)
-        e.tag, e.number, e.link = tag, made, up.link or tag == "a"
-        e.silent = up.silent or tag in SILENT
+        hidden, hard, good, bad = _cues(m[3]) if m[3] and tag not in ("html", "body") else (False, False, False, False)
+        e.tag, e.number, e.link, e.up, e.depth = tag, made, up.link or tag == "a", up, len(stack)
+        # what is hidden inside a block is skipped, hidden blocks are ruled out
+        e.silent = up.silent or tag in SILENT or hidden and tag not in BLOCK
         if tag == "body" and up.tag in ("html", "", "head"):
             e.silent = False
         e.inside = up.inside or tag in ("article", "main")
-        e.hard = up.hard or hard or tag in HARD or tag == "header" and not up.inside
+        e.hard = up.hard or hidden or hard or tag in HARD or tag == "header" and not up.inside
         e.good, e.bad = up.good or good, up.bad or bad
         stack.append(e)
         opened[tag] += 1
