@@ -1,6 +1,7 @@
 import pytest
 from compare import SF, duck, rows
 
+from tidewatch.operators import prioritize
 from tidewatch.plans import queries as q
 
 SQL = q.oracle_sql()
@@ -22,6 +23,19 @@ def test_priorities_rank_every_case(spark):
     assert ((got.isolation_forest_score > 0.5) == (got.isolation_forest_classification == "Anomaly")).all()
 
 
+def test_priorities_come_from_all_trees(spark, monkeypatch):
+    grown = []
+
+    class Forest(prioritize.IsolationForest):
+        def __init__(self, *args, **kwargs):
+            super().__init__(*args, **kwargs)
+            grown.append(len(self.trees))
+
+    monkeypatch.setattr(prioritize, "IsolationForest", Forest)
+    q.case_priorities(spark, SF).count()
+    assert set(grown) == {300}
+
+
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as e
 

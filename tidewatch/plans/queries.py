@@ -201,7 +201,7 @@ def case_features(spark, sf_dir):
 
 def case_priorities(spark, sf_dir):
     f, c = features_and_cases(spark, sf_dir)
-    return prioritize.ranked(c, prioritize.scores(correlation._stored(f, "features"), c, trees=100)).select("case_id", "priority_rank", "priority_score", "priority_level", "isolation_forest_score", "isolation_forest_classification")
+    return prioritize.ranked(c, prioritize.scores(correlation._stored(f, "features"), c)).select("case_id", "priority_rank", "priority_score", "priority_level", "isolation_forest_score", "isolation_forest_classification")
 
 
 def percentile_scores(spark, sf_dir):
