@@ -406,6 +406,16 @@ def test_model_adds_forms_and_leaves_prose_alone(odd, none):
     assert pii.find_spans(none).count() == 0
 
 
+def test_long_words_and_white_space_around_anchors():
+    model, long = pii.trained(), "lin" * 40
+    for address in (f"bob at {long} dot com", f"bob at{' ' * 90}example dot com"):
+        t = f"Please write to {address} now."
+        assert [(t[b:e], k) for b, e, k in pii.all_spans(t, [], model)] == [(address, 0)]
+    t = f"call {long} {long} 555-123-4567 now"
+    b = t.index("555")
+    assert [(x.start(), x.end()) for x in re.finditer("call", t[slice(*next(pii.stretches(t)))])] == [(0, 4)] and (b, b + 12, 3) in pii.all_spans(t, [], model)
+
+
 def test_gradient_equals_differences():
     model = pii.SemiMarkov({k: np.zeros(len(pii.FEATURES)) for k in pii.KINDS})
     text, spans = next((t, s) for t, s in pii.generated_sentences(30, seed=3) if s)

@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -89,7 +90,7 @@ TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 # every candidate holds four digits with nothing but these marks between, or a written-out dot
 ANCHOR = re.compile(r"[0-9](?:[\s().\-+/:]*[0-9]){3}|\b(?:dot|punkt|punto|point)\b", re.I)
 HAS_ANCHOR = re.compile(r"[0-9]|dot|punkt|punto|point", re.I).search
-LONGEST, REACH = 12, 60
+LONGEST, BEFORE = 12, 4
 AT_WORDS, DOT_WORDS = {"at", "arroba"}, {"dot", "punkt", "punto", "point"}
 CUES = {
     "email": {"email", "mail", "contact", "write", "correo", "courriel", "reach"},
@@ -151,17 +152,21 @@ class Stretch:
             1, (j - i) / LONGEST, written, bool(bare) and bare[-1] in TOPS, len(groups) in (3, 4), len(groups) == 4 and marks <= {"."} and bool(marks),
             all(int(g) <= 255 for g in groups[:4] if len(g) <= 9) and len(groups) == 4, 14 <= len(digits) <= 19, bool(digits) and luhn(digits), 9 <= len(digits) <= 12,
             [len(g) for g in groups][-2:] == [3, 4], bool(marks & {"(", ")"}), len(marks - {"(", ")", "+"}) <= 1 and len(groups) > 1,
-            any(w in CUES[kind] for w in self.words[max(0, i - 4) : i]), bool(digits) and (near(i - 1) or near(j)), bool(glued), len(groups) == 1 and not marks,
+            any(w in CUES[kind] for w in self.words[max(0, i - BEFORE) : i]), bool(digits) and (near(i - 1) or near(j)), bool(glued), len(groups) == 1 and not marks,
         )
         x[:] = [float(v) for v in values]
         return x
 
 
 def stretches(text: str):
-    """Merged ranges of REACH code points around anchors, widened to spaces."""
+    """Merged ranges around anchors, wider by the longest segment and the words before it that count."""
     begin = end = None
-    for m in ANCHOR.finditer(text) if HAS_ANCHOR(text) else ():
-        b, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    anchors = [m.span() for m in ANCHOR.finditer(text)] if HAS_ANCHOR(text) else []
+    tokens = [m.span() for m in TOKEN.finditer(text)] if anchors else []
+    starts = [b for b, _ in tokens]
+    for first, last in anchors:
+        i, j = bisect_right(starts, first) - 1, bisect_left(starts, last)
+        b, e = tokens[max(0, i - LONGEST - BEFORE)][0], tokens[min(len(tokens), j + LONGEST + BEFORE) - 1][1]
         if end is not None and b <= end:
             end = e
             continue
