@@ -194,6 +194,11 @@ def test_hidden_parts_of_blocks_and_titles_about_hidden_things():
     assert html_mincut.main_text(page, html_mincut.trained()).split("\n") == want
 
 
+def test_letters_after_many_signs_count():
+    blocks = html_mincut.blocks_of(f"<p>{'1 ' * 150}and prose.</p><p>{'1 ' * 150}</p>")
+    assert html_mincut.features(blocks)[:, html_mincut.FEATURES.index("no letters")].tolist() == [0, 1]
+
+
 # 6 --------------------------------------------------------------------------
 
 

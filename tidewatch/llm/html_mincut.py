@@ -196,7 +196,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         words = b.text.count(" ") + 1
         x[k] = (
             1, np.log1p(words), b.links / max(1, len(b.text)), b.text[-1] in ".!?…:;\"”»)", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("p", "blockquote", "pre"), b.tag in ("li", "dd", "dt"), b.tag in ("td", "th"),
-            b.inside, b.good, b.bad, not any(map(str.isalpha, b.text[:200])), words <= 2, b.tag == "figcaption",
+            b.inside, b.good, b.bad, not any(map(str.isalpha, b.text)), words <= 2, b.tag == "figcaption",
         )
     return x
 
