@@ -300,15 +300,42 @@ def test_join_equals_brute_force(spark, monkeypatch, bucket):
     assert sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in got) == brute_classes(docs)
 
 
-def test_pairs_at_the_threshold_meet_at_the_deepest_level(spark, monkeypatch):
-    """With nodes of one set at most, contained pairs at Jaccard 0.8 meet at the last level or not at all."""
-    monkeypatch.setattr(chosen_path, "BUCKET", 1)
-    r, docs = random.Random(6), []
-    for c in range(500):
-        words = [f"p{c}w{k}" for k in range(r.choice((14, 34, 104)))]
-        docs += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(words[: 4 + (len(words) - 4) * 4 // 5]))]
-    got = chosen_path.classes(spark.createDataFrame(docs, "doc_id long, text string")).where("n_links = 1 and class_id % 2 = 0 and doc_id - class_id <= 1").count() / 2
-    assert got >= 0.996 * 500
+def test_contained_pairs_meet_below_nodes_of_any_depth():
+    """Of sets at Jaccard 0.8, one inside the other, enough share a node seven levels down in some run."""
+    r, met = np.random.default_rng(6), 0
+
+    def reached(s, depth):
+        slots, tokens = chosen_path.sampled(s)
+        keys, paths = chosen_path.mix(tokens.view(np.uint64) ^ chosen_path.mix(slots.astype(np.uint64) + np.uint64(1))), [[t] for t in tokens.tolist()]
+        for _ in range(depth):
+            i, token, keys = chosen_path.descents(s, keys, paths)
+            paths = [[*paths[k], t] for k, t in zip(i.tolist(), token.view(np.int64).tolist(), strict=True)]
+        return set(keys.tolist())
+
+    for _ in range(60):
+        s = np.sort(r.integers(0, 1 << 63, 100, dtype=np.uint64))
+        met += bool(reached(s, 6) & reached(s[np.sort(r.permutation(100)[:80])], 6))
+    assert met >= 59
+
+
+def test_large_groups_of_copies_go_by_pivots_and_cores(spark, monkeypatch):
+    """A group far above a bucket and a tile, some members only near others: equal to brute force, edges in proportion."""
+    monkeypatch.setattr(chosen_path, "BUCKET", 16)
+    monkeypatch.setattr(chosen_path, "TILE_SETS", 32)
+    r, docs = random.Random(9), []
+    base = [f"w{k}" for k in range(120)]
+    for _ in range(220):
+        x = list(base)
+        for _ in range(r.choice((0, 1, 1, 1, 2, 3, 4))):
+            x[r.randrange(len(x))] = f"v{r.randrange(3000)}"
+        docs.append((len(docs), " ".join(x)))
+    line = " ".join(f"common{k}" for k in range(12))
+    docs += [(1000 + k, line + " " + " ".join(f"o{k}x{j}" for j in range(60))) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = chosen_path.classes(df).collect()
+    assert sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in got) == brute_classes(docs)
+    edges, _ = chosen_path.candidate_edges(df, chosen_path.features(df))
+    assert edges.count() < 40 * chosen_path.RUNS * len(docs) / 10
 
 
 def test_pairs_are_counted_in_one_tile(spark, monkeypatch):

@@ -4,31 +4,44 @@ A document's set holds the hashes of its runs of SHINGLE words (all words, if it
 has fewer); words are what ASCII white space separates. Documents with equal
 sets are one class from the start and are represented once.
 
-Candidates: in each of RUNS runs a set walks down a tree of sampled tokens. At a
-node below d tokens it takes each of its other tokens with probability
-1 / (threshold |set| - d), decided by a hash of token and node that all sets
-share, and goes to the child named by path and token. Two sets at the threshold
-have one common child on average at least (one, where one set holds the other),
-independently at every node they share, whatever the other sets are. Nodes of at
-most BUCKET sets are compared by brute force; larger ones are split again, up to
-LEVELS times; what is still larger then is compared tile by tile, never cut off.
-
-Recall by calculation: a run brings such a pair to a common node of level k with
-probability p(k) = 1 - exp(-p(k - 1)), p(0) = 1, or more: 0.632, 0.468, 0.374.
-RUNS is set for a recall 1 - (1 - p)^RUNS of at least 0.999 at the deepest level;
-it is 0.9999 at the second and 0.999999 at the first.
-
-In a bucket, sizes and 128-bit one-bit min-wise sketches sort out pairs; the
-limit lies 5.6 standard deviations below the threshold's expectation. Buckets
-emit star edges only. Connected candidates then meet once more with their whole
-sets and all their pairs are decided exactly, again tile by tile, each pair in
-one tile. A tile emits a count of links per set and star edges, never pairs; the
-final classes are the components of these.
+Candidates: in each of RUNS runs a set walks down a tree of sampled tokens. At the
+root it takes each token with probability 1 / (threshold |set|), at a node below
+d tokens each of its other tokens with BRANCH times 1 / (threshold |set| - d),
+decided by a hash of token and node that all sets share, and goes to the child
+named by path and token. Two sets at the threshold have one common child of a
+root on average at least and BRANCH of any other node (just so many, where one
+set holds the other), independently at every node they share. Nodes of at most
+BUCKET sets are compared by brute force, larger ones are split again, as often as
+it takes.
+
+Recall by calculation: a common node leads to common nodes k levels below with
+probability q(k) = 1 - exp(-BRANCH q(k - 1)), q(0) = 1, which falls to 0.58 and
+no further; a run brings the pair to a common node of any depth with probability
+1 - exp(-0.58) = 0.44 at least, one of RUNS runs with 0.9998.
+
+Copies would stay together however often their node is split. So a node of more
+than BUCKET sets first meets PIVOTS of its own sets (those of the least hashes):
+sets within NEAR of a pivot join it and leave the node, and as Hamming distance
+is a metric, whatever is near one of those lies within 2 NEAR of the pivot and is
+joined to it as well. What stays is split. Each set gives a node one edge, so
+that the edges of a group of copies grow with the group, not with its square.
+
+Nodes compare sizes and one-bit min-wise sketches (SKETCH_BITS, and FINE_BITS for
+over-full nodes); the limits lie four standard deviations beyond the expectation
+at the threshold. Nodes emit star edges only. Connected candidates then meet once
+more with their whole sets and all their pairs are decided exactly. A group of
+more than one tile is first compared with PIVOTS of its sets: sets at 0.9 or more
+to one pivot are a core, and by the triangle inequality of Jaccard distance all
+pairs in a core are links, counted without a look at them. Only the pairs outside
+a common core are decided tile by tile, each pair in one tile. A tile emits a
+count of links per set and star edges, never pairs; the final classes are the
+components of these.
 
 Defined cases: null texts count as empty, documents without words are copies of
 each other without links; rows that share a doc_id are judged each by its text,
-a row is told from others by doc_id and a hash of its text; the class id is the smallest doc_id of the class (null if it has none); an empty
-table gives no rows; other columns are ignored.
+a row is told from others by doc_id and a hash of its text; the class id is the
+smallest doc_id of the class (null if it has none); an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,14 +57,14 @@ from pyspark.sql import functions as F
 from .common import components, discard, shuffle_partitions, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, LEVELS, BUCKET = 15, 3, 1024
-TILE_SETS, TILE_TOKENS = 1024, 2_000_000
-SKETCH_BITS, SKETCH_LIMIT = 128, 96
+RUNS, BRANCH, BUCKET, PIVOTS = 15, 1.5, 1024, 4
+TILE_SETS, TILE_TOKENS, CORE = 1024, 2_000_000, 0.9
+SKETCH_BITS, FINE_BITS = 256, 2048
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.default_rng(20240229)
 ODD = _RNG.integers(0, 1 << 63, RUNS, dtype=np.uint64) * U(2) + U(1)
-SKETCH_ODD = _RNG.integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64) * U(2) + U(1)
+FINE_ODD = _RNG.integers(0, 1 << 63, FINE_BITS, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -96,35 +109,49 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def sketch(s: np.ndarray) -> bytes:
+def sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     """One bit of each min-wise hash."""
-    low = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):
-        low = np.minimum(low, (s[at : at + 4096, None] * SKETCH_ODD).min(axis=0))
+    odd = FINE_ODD[:bits]
+    low, step = np.full(bits, np.iinfo(np.uint64).max, np.uint64), (1 << 17) // bits
+    for at in range(0, len(s), step):
+        np.minimum(low, (s[at : at + step, None] * odd).min(axis=0), out=low)
     return np.packbits((mix(low) & U(1)).astype(np.uint8)).tobytes()
 
 
+def near(bits: int) -> int:
+    """The greatest number of differing bits at which sketches count as near: four deviations over the threshold's mean."""
+    p = (1 - THRESHOLD) / 2
+    return int(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of differing bits of sketches, held as 64-bit words on the last axis."""
+    total = 0
+    for k in range(a.shape[-1]):
+        total = total + np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int32)
+    return total
+
+
 def _bar(n: int, depth: int) -> np.uint64:
     """The greatest hash with which a set of n tokens takes one at a node below depth tokens."""
-    left = THRESHOLD * n - depth
+    left = (THRESHOLD * n - depth) / (BRANCH if depth else 1)
     return U(np.iinfo(np.uint64).max) if left <= 1 else U(int(2**64 / left))
 
 
-def descents(s: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level, parent's key and key of the nodes a set reaches below nodes of the first level, given by key and token."""
-    levels, parents, found, path = [], [], [], tokens[:, None]
-    for depth in range(1, LEVELS):
-        bar, at_once = _bar(len(s), depth), max(1, (1 << 18) // len(s))
-        taken = [np.nonzero(mix(s ^ keys[at : at + at_once, None]) <= bar) for at in range(0, len(keys), at_once)]
-        i = np.concatenate([np.empty(0, np.int64), *(k + at for (k, _), at in zip(taken, range(0, len(keys), at_once), strict=True))])
-        token = s[np.concatenate([np.empty(0, np.int64), *(j for _, j in taken)])]
-        new = (path[i] != token[:, None]).all(axis=1)
-        i, token = i[new], token[new]
-        parents.append(keys[i])
-        path, keys = np.concatenate([path[i], token[:, None]], axis=1), mix(token + mix(keys[i]))
-        found.append(keys)
-        levels.append(np.full(len(keys), depth + 1, np.int32))
-    return np.concatenate(levels), np.concatenate(parents), np.concatenate(found)
+def descents(s: np.ndarray, keys: np.ndarray, paths: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Children a set reaches from nodes it is in, given by key and tokens taken: index of the node, token and key."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    path = np.array(paths, np.int64).view(np.uint64)
+    bar, at_once, i, j = _bar(len(s), path.shape[1]), max(1, (1 << 18) // max(1, len(s))), [], []
+    for at in range(0, len(keys), at_once):
+        a, b = np.nonzero(mix(s ^ keys[at : at + at_once, None]) <= bar)
+        i.append(a + at)
+        j.append(b)
+    i, token = np.concatenate(i), s[np.concatenate(j)]
+    new = (path[i] != token[:, None]).all(axis=1)
+    i, token = i[new], token[new]
+    return i, token, mix(token + mix(keys[i]))
 
 
 def sampled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +235,7 @@ def _grouped(batches, key: str):
 
 def _compared(batches):
     """Star edges of the pairs of each bucket that sizes and sketches leave."""
-    out = []
+    out, reach = [], near(SKETCH_BITS)
     for group in _grouped(batches, "key"):
         if len(group) < 2:
             continue
@@ -217,10 +244,7 @@ def _compared(batches):
         ids = [bytes(x) for x in group["sid"]]
         for at in range(0, len(n), 256):
             part = slice(at, at + 256)
-            differ = np.zeros((len(n[part]), len(n)), np.int64)
-            for k in range(marks.shape[1]):
-                differ += np.bitwise_count(marks[part, None, k] ^ marks[None, :, k])
-            close = (differ <= SKETCH_BITS - SKETCH_LIMIT) & (np.minimum(n[part, None], n) >= THRESHOLD * np.maximum(n[part, None], n) - 1e-9)
+            close = (differing(marks[part, None], marks[None]) <= reach) & (np.minimum(n[part, None], n) >= THRESHOLD * np.maximum(n[part, None], n) - 1e-9)
             i, j = np.nonzero(close)
             apart = i + at < j
             out += _stars(ids, i[apart] + at, j[apart])
@@ -230,69 +254,104 @@ def _compared(batches):
     yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def _tiled(members: DataFrame, key, tiles):
-    """Rows for every tile (a <= b) of chunk numbers that a member's chunk is in; adds key, chunk and own (a = b)."""
-    chunk = F.pmod(F.xxhash64(F.lit(3), "sid"), tiles).cast("int")
-    rows = members.withColumn("_tiles", tiles.cast("int")).withColumn("chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    low, high = F.least("chunk", "_other"), F.greatest("chunk", "_other")
-    return rows.withColumns({"key": F.xxhash64(key, low, high), "own": low == high}).drop("_tiles", "_other")
+def compared(nodes: DataFrame) -> DataFrame:
+    """Star edges (a, b) within nodes of at most BUCKET sets."""
+    dealt = nodes.select("key", "sid", "n", "sketch").repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "sid")
+    return dealt.mapInPandas(_compared, "a binary, b binary")
+
 
+def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of sets with the text of the document that _rep names."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return keyed.join(sets.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep.doc_id")) & (F.col("text_hash") == F.col("_rep.text_hash")))
 
-def _below(batches):
+
+def _finer(batches):
     for b in batches:
         for at in range(0, len(b), 64):
-            part = b.slice(at, 64)
-            rows, cols = [], ([], [], [])
-            for k, (text, want, nodes) in enumerate(zip(part.column("text").to_pylist(), part.column("sid").to_pylist(), part.column("nodes").to_pylist(), strict=True)):
+            rows = []
+            for text, want in zip(b.column("text").slice(at, 64).to_pylist(), b.column("sid").slice(at, 64).to_pylist(), strict=True):
                 s = shingles(text)
                 if digest(s) == want:
-                    found = descents(s, *(np.array([x[c] for x in nodes], np.int64).view(np.uint64) for c in ("key", "token")))
-                    rows += [k] * len(found[0])
-                    for col, x in zip(cols, found, strict=True):
-                        col.append(x)
-            if rows:
-                level, parent, key = (np.concatenate(x) for x in cols)
-                kept = [part.column(c).take(pa.array(rows)) for c in ("sid", "n", "sketch")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(level), pa.array(parent.view(np.int64)), pa.array(key.view(np.int64))], names=["sid", "n", "sketch", "level", "parent", "key"])
+                    rows.append((want, s.tobytes(), sketch(s, FINE_BITS)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["sid", "tokens", "fine"])
 
 
-def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of sets with the text of the document that _rep names."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return keyed.join(sets.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep.doc_id")) & (F.col("text_hash") == F.col("_rep.text_hash")))
+def _judged(batches):
+    reach = near(FINE_BITS)
+    for b in batches:
+        for at in range(0, len(b), 1024):
+            part = b.slice(at, 1024)
+            own, those = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(len(part), -1, FINE_BITS // 64) for c in ("fine", "fines"))
+            far = differing(own, those)
+            apart = differing(those[:, :, None], those[:, None]) > 2 * reach
+            roots = []
+            for k, (sid, pivots) in enumerate(zip(part.column("sid").to_pylist(), part.column("pivots").to_pylist(), strict=True)):
+                met = np.flatnonzero(far[k] <= 2 * reach).tolist()
+                # pivots within reach of an earlier one are joined to it by their own rows
+                roots.append([pivots[i] for x, i in enumerate(met) if pivots[i] != sid and all(apart[k, j, i] for j in met[:x])])
+            kept = [part.column(c) for c in NODE]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array((far <= reach).any(axis=1)), pa.array(roots, pa.list_(pa.binary()))], names=[*NODE, "joined", "roots"])
+
+
+NODE = ["key", "sid", "n", "sketch", "path"]
+NODE_TYPES = "key long, sid binary, n int, sketch binary, path array<long>"
+
+
+def against_pivots(full: DataFrame, whole: DataFrame) -> DataFrame:
+    """Rows of over-full nodes with the pivots they are joined to (roots) and whether they leave the node (joined)."""
+    rows = full.select(*NODE).join(whole.select("sid", "fine"), "sid")
+    least = [F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h") if k else F.lit(0).alias("h"), "sid", "fine")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = rows.groupBy("key").agg(*least).select("key", F.array(*[f"p{k}.sid" for k in range(PIVOTS)]).alias("pivots"), F.concat(*[f"p{k}.fine" for k in range(PIVOTS)]).alias("fines"))
+    return rows.join(pivots, "key").mapInArrow(_judged, f"{NODE_TYPES}, joined boolean, roots array<binary>")
+
+
+def _split(batches):
+    for b in batches:
+        for at in range(0, len(b), 64):
+            part = b.slice(at, 64)
+            rows, keys, paths = [], [], []
+            for k, (tokens, nodes) in enumerate(zip(part.column("tokens").to_pylist(), part.column("nodes").to_pylist(), strict=True)):
+                i, token, key = descents(np.frombuffer(tokens, np.uint64), np.array([x["key"] for x in nodes], np.int64).view(np.uint64), [x["path"] for x in nodes])
+                rows += [k] * len(i)
+                keys.append(key)
+                paths += [[*nodes[x]["path"], t] for x, t in zip(i.tolist(), token.view(np.int64).tolist(), strict=True)]
+            if rows:
+                kept = [part.column(c).take(pa.array(rows)) for c in ("sid", "n", "sketch")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *kept, pa.array(paths, pa.list_(pa.int64()))], names=NODE)
 
 
-def below(docs: DataFrame, feats: DataFrame, full: DataFrame) -> DataFrame:
-    """The nodes of all deeper levels that the sets in over-full nodes of the first level reach."""
-    nodes = full.groupBy("sid", "n", "sketch").agg(F.collect_list(F.struct("key", "token")).alias("nodes"))
-    one = feats.groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("_rep"))
-    found = _texts(docs, nodes.join(one, "sid"))
-    return found.select("text", "sid", "n", "sketch", "nodes").mapInArrow(_below, "sid binary, n int, sketch binary, level int, parent long, key long").dropDuplicates(["level", "key", "sid"])
+def _sized(nodes: DataFrame) -> DataFrame:
+    return nodes.join(nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
 def candidate_edges(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Star edges between set ids that met in a bucket of some run and look alike, and the tables they are read from."""
-    spark = feats.sparkSession
+    """Star edges between set ids that met in a node of some run and look alike, and the tables they are read from."""
     sets = feats.select("sid", "n", "sketch", F.explode(F.arrays_zip("slots", "tokens")).alias("t"))
     cur = written(sets.select(F.xxhash64("t.slots", "t.tokens").alias("key"), "sid", "n", "sketch", F.col("t.tokens").alias("token")).dropDuplicates(["key", "sid"]), "path-level1")
-    leaves, deeper, read = None, None, [cur]
-    for level in range(1, LEVELS + 1):
-        met = cur.join(cur.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    met, edges, read, whole = _sized(cur), [], [cur], None
+    while True:
+        edges.append(compared(met.where(F.col("size") <= BUCKET)))
         full = met.where(F.col("size") > BUCKET)
-        small = met.where(F.col("size") <= BUCKET).select("key", "sid", "n", "sketch")
-        if level == LEVELS:
-            small = small.unionAll(_tiled(full, F.col("key"), F.ceil(F.col("size") / BUCKET)).select("key", "sid", "n", "sketch"))
-        leaves = small if leaves is None else leaves.unionAll(small)
-        if level == LEVELS or full.isEmpty():
+        if full.isEmpty():
             break
-        if deeper is None:
-            deeper = written(below(docs, feats, full), "path-below")
-            read.append(deeper)
-            cur = deeper.where("level = 2")
-        else:
-            cur = deeper.where(F.col("level") == level + 1).join(full.select(F.col("key").alias("parent")).distinct(), "parent", "left_semi")
-    dealt = leaves.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(_compared, "a binary, b binary"), read
+        if whole is None:
+            full = full.withColumn("path", F.array("token"))
+            one = feats.join(full.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("_rep"))
+            whole = written(_texts(docs, one).select("text", "sid").mapInArrow(_finer, "sid binary, tokens binary, fine binary").dropDuplicates(["sid"]), "path-sets")
+            read.append(whole)
+        judged = written(against_pivots(full, whole), "path-judged")
+        edges.append(judged.select(F.col("sid").alias("a"), F.explode("roots").alias("b")))
+        rest = _sized(judged.where("not joined"))
+        edges.append(compared(rest.where(F.col("size") <= BUCKET)))
+        nodes = rest.where(F.col("size") > BUCKET).groupBy("sid", "n", "sketch").agg(F.collect_list(F.struct("key", "path")).alias("nodes"))
+        cur = written(nodes.join(whole.select("sid", "tokens"), "sid").mapInArrow(_split, NODE_TYPES), "path-level")
+        read += [judged, cur]
+        met = _sized(cur)
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionAll(more)
+    return out, read
 
 
 def _sets_of(batches):
@@ -354,8 +413,53 @@ def _decided(batches):
             yield pd.DataFrame(rows, columns=["sid", "links", "root"])
 
 
+def _cored(batches):
+    """Of each chunk with the pivots of its group: sid and the number of the first pivot it is at CORE or more to."""
+    for group in _grouped(batches, "key"):
+        rank = group["rank"].to_numpy()
+        sets = [np.frombuffer(bytes(x), np.uint64) for x in group["tokens"]]
+        pivots = [sets[k] for k in sorted(np.flatnonzero(rank >= 0).tolist(), key=lambda k: rank[k])]  # noqa: B023
+        out = []
+        for k in np.flatnonzero(rank < 0).tolist():
+            for r, p in enumerate(pivots):
+                small, large = sorted((len(sets[k]), len(p)))
+                if small >= CORE * large - 1e-9 and len(np.intersect1d(sets[k], p, assume_unique=True)) * (1 + CORE) >= CORE * (small + large) - 1e-9:
+                    out.append((bytes(group["sid"].iloc[k]), r))
+                    break
+        yield pd.DataFrame(out, columns=["sid", "core"]).astype({"core": "int32"})
+
+
+def _chunks():
+    return F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_TOKENS)).cast("int").alias("chunks")
+
+
+def cores(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(sid, core) of those members (sid, group, n, chunks) of large groups that are at CORE or more to a pivot of their group."""
+    ranks = [F.struct(F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid"))["sid"].alias("sid"), F.lit(k).alias("rank")) for k in range(PIVOTS)]
+    chosen = large.groupBy("group", "chunks").agg(F.array(*ranks).alias("p")).select("group", "chunks", F.explode("p").alias("p"))
+    pivots = chosen.select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "p.sid", "p.rank")
+    rows = large.select("group", F.pmod(F.xxhash64(F.lit(3), "sid"), "chunks").cast("int").alias("chunk"), "sid", F.lit(-1).alias("rank")).unionAll(pivots)
+    rows = rows.select(F.xxhash64("group", "chunk").alias("key"), "sid", "rank").join(tokens, "sid")
+    dealt = rows.repartition(shuffle_partitions(large.sparkSession), "key").sortWithinPartitions("key", "sid")
+    return dealt.mapInPandas(_cored, "sid binary, core int")
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members (sid, group, core, n) for every tile (key, chunk, own) they are in: all pairs of chunks but those of one core."""
+    sized = members.groupBy("group", "core").agg(_chunks())
+    labels = sized.select("group", "core", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+    left, right = (labels.select("group", *[F.col(c).alias(f"{c}{k}") for c in ("core", "c")]) for k in (1, 2))
+    meet = (F.col("core1") < F.col("core2")) | (F.col("core1") == -1) & (F.col("core2") == -1) & (F.col("c1") <= F.col("c2"))
+    pairs = left.join(right, "group").where(meet).withColumn("own", (F.col("core1") == F.col("core2")) & (F.col("c1") == F.col("c2")))
+    side = lambda k: F.struct(F.col(f"core{k}").alias("core"), F.col(f"c{k}").alias("c"))
+    ends = F.when(F.col("own"), F.array(side(1))).otherwise(F.array(side(1), side(2)))
+    met = pairs.select("group", "own", F.xxhash64("group", "core1", "c1", "core2", "c2").alias("key"), F.explode(ends).alias("e")).select("group", "own", "key", "e.core", "e.c")
+    dealt = members.join(sized, ["group", "core"]).withColumn("c", F.pmod(F.xxhash64(F.lit(5), "sid"), "chunks").cast("int"))
+    return dealt.join(met, ["group", "core", "c"]).select("sid", "key", F.xxhash64("core", "c").alias("chunk"), "own")
+
+
 def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
-    """(sid, links, root) as tiles decide them, written; all pairs of sets at or above the threshold are counted once."""
+    """(sid, links, root) as tiles and cores decide them, written; all pairs of sets at or above the threshold are counted once."""
     spark = docs.sparkSession
     edges, read = candidate_edges(docs, feats)
     groups = components(edges, "candidate-components")
@@ -364,15 +468,23 @@ def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
     one = feats.select("sid", "doc_id", "text_hash", "n").join(groups.withColumnsRenamed({"id": "sid", "root": "group"}), "sid").groupBy("sid", "group", "n").agg(F.min(F.struct("doc_id", "text_hash")).alias("_rep"))
     one = written(one, "candidate-sets")
     discard(groups)
-    sizes = one.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
-    tiles = F.greatest(F.ceil(F.col("sets") / TILE_SETS), F.ceil(F.col("all") / TILE_TOKENS)).alias("tiles")
-    found = _texts(docs, one.select("sid", "_rep")).select("text", "sid")
-    sets = found.mapInArrow(_sets_of, "sid binary, tokens binary").dropDuplicates(["sid"])
-    members = one.select("sid", "group").join(sizes.select("group", tiles), "group")
-    members = _tiled(members, F.col("group"), F.col("tiles")).select("sid", "key", "chunk", "own").join(sets, "sid")
-    dealt = members.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "sid")
-    decided = written(dealt.mapInPandas(_decided, "sid binary, links long, root binary"), "set-links")
-    discard(one)
+    sizes = one.groupBy("group").agg(_chunks())
+    members = one.select("sid", "group", "n").join(sizes, "group")
+    whole = lambda rows: _texts(docs, rows).select("text", "sid").mapInArrow(_sets_of, "sid binary, tokens binary").dropDuplicates(["sid"])
+    small = members.where("chunks = 1").select("sid", F.xxhash64("group").alias("key"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("own"))
+    large, made, known = members.where("chunks > 1"), [], None
+    if not large.isEmpty():
+        tokens = written(whole(one.join(large.select("sid"), "sid", "left_semi").select("sid", "_rep")), "large-sets")
+        core = written(cores(large, tokens), "large-cores")
+        made = [tokens, core]
+        placed = large.select("sid", "group", "n").join(core, "sid", "left").withColumn("core", F.coalesce("core", F.lit(-1)))
+        small = small.unionAll(_tiles(placed))
+        same = placed.where("core >= 0")
+        known = same.join(same.groupBy("group", "core").agg(F.count("*").alias("sets"), F.min("sid").alias("root")), ["group", "core"]).where("sets > 1").select("sid", (F.col("sets") - 1).alias("links"), F.when(F.col("sid") != F.col("root"), F.col("root")).alias("root"))
+    dealt = small.join(whole(one.select("sid", "_rep")), "sid").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "sid")
+    found = dealt.mapInPandas(_decided, "sid binary, links long, root binary")
+    decided = written(found.unionAll(known) if known is not None else found, "set-links")
+    discard(one, *made)
     return decided
 
 
