@@ -1,8 +1,8 @@
 """Line dedup across documents by a deletion-neighbourhood join.
 
 A line (trimmed of blanks at both ends) goes if an earlier line, by (doc_id,
-hash of the row's text, line number), is equal to it or, for lines of at least NEAR code points, within
-one edit (insertion, deletion or substitution). Blank lines stay. What an earlier
+hash of the row's text, line number), is within one edit of it (insertion, deletion
+or substitution), whatever its length. Blank lines stay. What an earlier
 line is does not depend on whether that line stays itself, so the result does
 not depend on order of work.
 
@@ -14,12 +14,15 @@ add up to at least M - 1; hence at every level some emitted key is equal:
 
   0. one half of the line deleted: the kept half's hash, one key per side;
   1. a segment of SEGMENT code points deleted: two hashes of what is left;
-  2. inside a segment, one code point deleted: the variants themselves.
+  2. inside a segment, one code point deleted: hashes of all variants.
 
 Equal variants at one position mark substitutions, a variant equal to a whole
 segment marks an insertion. Per variant only minima are kept, never pairs, and
-the edit distance of the segments is verified before a line goes. Exact copies
-are grouped by a 128-bit hash with partial aggregation.
+the edit distance of the segments is verified before a line goes. Only first
+occurrences have variants, so those of one variant differ in one code point and
+its place: such a group is bounded however often a line repeats. Exact copies
+are grouped by a 128-bit hash with partial aggregation; repeated lines are joined
+to their occurrences from a table of their own, whose skew Spark can split.
 
 Defined cases: null texts stay null; null doc_ids order first; rows that share
 a doc_id are told apart by a hash of their texts, those with equal texts count as
@@ -35,9 +38,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
-NEAR, SEGMENT = 20, 16
+SEGMENT = 16
 BLANK = " \t\r"
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 
@@ -60,7 +63,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
     n = F.length("line")
-    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "row", "line_no", F.when(n >= NEAR, _halves(F.col("line"), n)).alias("halves"))
+    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "row", "line_no", _halves(F.col("line"), n).alias("halves"))
 
 
 def _powers(n: int, base: int, prime: int) -> np.ndarray:
@@ -99,7 +102,7 @@ def segment_rows(line: str) -> list[tuple[int, int, int, int, str]]:
         sums.append((np.concatenate([[np.uint64(0)], np.cumsum(codes * up[:n] % np.uint64(p)) % np.uint64(p)]), down, np.uint64(p)))
     out = []
     for m in (n, n + 1):
-        a = np.minimum(np.arange(0, m - 1 + SEGMENT, SEGMENT), m - 1)
+        a = np.minimum(np.arange(0, max(m - 1, 1) + SEGMENT, SEGMENT), m - 1)
         begin, end = a[:-1], n - ((m - 1) - a[1:])
         keys = []
         for total, down, p in sums:
@@ -126,23 +129,25 @@ SEGMENT_COLUMNS = ["doc_id", "row", "line_no", "key1", "key2", "deletes", "mid"]
 
 def near_dropped(docs: DataFrame, occ: DataFrame, first: DataFrame) -> DataFrame:
     """First occurrences (doc_id, row, line_no) of lines within one edit of an earlier line."""
-    halves = occ.where("halves is not null").select("h1", F.explode("halves").alias("half"))
+    halves = occ.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
     met = halves.join(shared, "half", "left_semi").select("h1").distinct()
     places = first.join(met, "h1", "left_semi").select(F.col("at.doc_id").alias("p_id"), F.col("at.row").alias("p_row"), F.col("at.line_no").alias("line_no")).groupBy("p_id", "p_row").agg(F.collect_list("line_no").alias("line_nos"))
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")))
     lines = found.withColumn("lines", F.split("text", "\n", -1)).select("doc_id", "row", F.explode("line_nos").alias("line_no"), "lines")
-    lines = lines.select("doc_id", "row", "line_no", F.col("doc_id").isNull().alias("is_null"), F.btrim(F.get("lines", F.col("line_no")), F.lit(BLANK)).alias("line")).where(F.length("line") >= NEAR)
+    lines = lines.select("doc_id", "row", "line_no", F.col("doc_id").isNull().alias("is_null"), F.btrim(F.get("lines", F.col("line_no")), F.lit(BLANK)).alias("line"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     plain = lines.withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast(id_type))) if id_type in ("bigint", "int", "smallint") else lines
     parts = plain.mapInPandas(_segments, f"doc_id {id_type}, row long, line_no int, key1 long, key2 long, deletes boolean, mid string")
     key = ["key1", "key2"]
     several = parts.groupBy(*key).agg(F.min(F.xxhash64("mid")).alias("low"), F.max(F.xxhash64("mid")).alias("high")).where("low <> high").select(*key)
     parts = parts.join(several, key, "left_semi").withColumn("at", F.struct("doc_id", "row", "line_no", "mid"))
-    deleted = F.transform(F.sequence(F.lit(1), F.length("mid")), lambda i: F.struct(i.alias("pos"), F.concat(F.substring("mid", F.lit(1), i - 1), F.substring("mid", i + 1, F.length("mid"))).alias("variant")))
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.col("mid").alias("variant")))
-    rows = parts.withColumn("v", F.explode(F.when(F.col("deletes"), deleted).otherwise(whole))).select(*key, "at", "v.pos", "v.variant")
-    same, same_pos = Window.partitionBy(*key, "variant"), Window.partitionBy(*key, "variant", "pos")
+    # hashed with one key, compared with the other beside it: 128 bits of the line's rest, the segment and the place
+    hashed = lambda v: F.xxhash64("key1", v)
+    deleted = F.transform(F.sequence(F.lit(1), F.length("mid")), lambda i: F.struct(i.alias("pos"), hashed(F.concat(F.substring("mid", F.lit(1), i - 1), F.substring("mid", i + 1, F.length("mid")))).alias("variant")))
+    whole = F.array(F.struct(F.lit(0).alias("pos"), hashed(F.col("mid")).alias("variant")))
+    rows = parts.withColumn("v", F.explode(F.when(F.col("deletes"), deleted).otherwise(whole))).select("key2", "at", "v.pos", "v.variant")
+    same, same_pos = Window.partitionBy("key2", "variant"), Window.partitionBy("key2", "variant", "pos")
     rows = rows.withColumns({
         "whole_at": F.min(F.when(F.col("pos") == 0, F.col("at"))).over(same), "less_at": F.min(F.when(F.col("pos") > 0, F.col("at"))).over(same), "peer_at": F.min("at").over(same_pos),
     })
@@ -152,19 +157,22 @@ def near_dropped(docs: DataFrame, occ: DataFrame, first: DataFrame) -> DataFrame
     return rows.where(ok).select("at.doc_id", "at.row", "at.line_no").distinct()
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no) of every line that goes."""
+def dropped_lines(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, row, line_no) of every line that goes, and the tables this is read from."""
     occ = written(occurrences(docs), "line-occurrences")
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("at"), F.count("*").alias("n"))
-    copies = occ.select("h1", "h2", "doc_id", "row", "line_no").join(first.where("n > 1").select("h1", "h2", "at"), ["h1", "h2"]).where(F.struct("doc_id", "row", "line_no") != F.col("at")).select("doc_id", "row", "line_no")
-    return copies.unionAll(near_dropped(docs, occ, first)).distinct()
+    repeated = written(first.where("n > 1").select("h1", "h2", "at"), "line-repeated")
+    copies = occ.select("h1", "h2", "doc_id", "row", "line_no").join(repeated, ["h1", "h2"]).where(F.struct("doc_id", "row", "line_no") != F.col("at")).select("doc_id", "row", "line_no")
+    return copies.unionAll(near_dropped(docs, occ, first)), [occ, repeated]
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text reduced to the lines that stay, _lines and _dropped (how many there were and went), and other columns in _rest."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select("doc_id", "text", *([F.struct(*rest).alias("_rest")] if rest else []))
-    gone = dropped_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
+    lost, read = dropped_lines(docs.select("doc_id", "text"))
+    gone = written(lost.groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone")), "line-gone")
+    discard(*read)
     keyed = docs.withColumn("_row", F.xxhash64("text"))
     # rows without an id are documents of their own: all lines of a later one with the same text repeat the first one's
     keyless = keyed.where("doc_id is null")
