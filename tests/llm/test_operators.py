@@ -488,6 +488,19 @@ def test_archives_are_deterministic_and_revisit_copies(spark, tmp_path):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_shards_are_even_for_clustered_ids_and_outliers(spark, tmp_path):
+    """Ids in a cluster with outliers far away, one id with a third of all rows, one long record."""
+    ids = [*range(400), 2**62, -(2**62), *[77] * 200, None]
+    data = [(i, "u", f"{k} " + "t" * 1000) for k, i in enumerate(ids)] + [(500, "u", "long " * 40_000)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    a = warc.write_archives(pages, f"{tmp_path}/a", 20_000, 1 << 30).orderBy("name").toPandas()
+    b = warc.write_archives(pages.repartition(9), f"{tmp_path}/b", 20_000, 1 << 30).orderBy("name").toPandas()
+    assert a.sha256.tolist() == b.sha256.tolist() and a.records.sum() == len(data)
+    assert 25 <= len(a) <= 32 and sorted(a.records)[-1] <= 22
+    got = warc.read_archives(spark, f"{tmp_path}/a").toPandas()
+    assert sorted(got.page_id.fillna(-1)) == sorted(-1 if i is None else i for i, *_ in data) and got.payload_bytes.max() == 200_000
+
+
 def test_damaged_archives_are_noticed():
     record = warc.build_record(1, "http://a", b"payload", None)
     assert [b for _, b in warc.parse_records(warc.gzip_member(record))][0].endswith(b"payload")

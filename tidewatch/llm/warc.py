@@ -1,21 +1,24 @@
 """Deterministic sharded WARC writer and reader.
 
 Writing
-  1. A counts table of at most BINS id intervals fixes the shards: consecutive
-     bins are joined until a shard holds about SHARD_BYTES of payload. It
-     depends on the rows alone, not on partitions or timing.
+  1. Records are ordered by page id, digest and url. Prefix sums of payload bytes
+     over that order, taken range by range, cut it into shards of SHARD_BYTES;
+     a border is a page id and the first 60 bits of a digest. So shards depend on
+     the rows alone, not on partitions or timing, and hold equal shares however
+     ids are spread. A border takes 16 bytes for SHARD_BYTES of payload (50 MB for
+     100 TB) and there are at most MOST_SHARDS (64 MB); beyond 128 TB shards grow.
   2. Revisits are found on digests alone: of equal payloads of at least
      REVISIT_BYTES the largest id is the response, the others get a small
      marker row.
-  3. Rows and markers are dealt to their shards and sorted by id; a task streams
+  3. Rows and markers are dealt by range of shards and sorted; a task streams
      its shards, one gzip member a record, and rolls to a new file when the
      compressed size passes ROLL_BYTES. Record ids and dates are derived from
      the content, so equal tables give equal bytes.
   4. Files are written under temporary names that hold the task attempt; the
      task's manifest rows name them. Only files of successful attempts are in
-     the manifest. The commit renames these and writes the manifest last;
-     readers trust the manifest, so a lost executor or an aborted job leaves
-     nothing visible.
+     the manifest. Tasks rename these, each as often as it is retried with one
+     outcome, and the driver puts the manifest in place last; readers trust the
+     manifest, so a lost executor or an aborted job leaves nothing visible.
 
 Reading checks every record's block and payload digest and resolves revisits to
 the payload facts stated in their headers.
@@ -33,13 +36,14 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_partitions
+from .common import discard, scratch, shuffle_partitions, written
 
-BINS = 1 << 14
+MOST_SHARDS, MOST_TASKS = 1 << 22, 1 << 17
 SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES = 32 << 20, 8 << 20, 1000
 DATE = "1970-01-01T00:00:00Z"  # no capture date is known; a fixed one keeps files reproducible
 CRLF = b"\r\n"
@@ -132,7 +136,7 @@ def _writer(root: str, roll: int):
         from pyspark import TaskContext
 
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        roller, page, marked = None, object(), {}
+        roller, marked = None, None
         for pdf in batches:
             done = []
             for shard, page_id, is_null, url, html, refers_to, digest in zip(*(pdf[c] for c in ("shard", "page_id", "is_null", "url", "html", "refers_to", "digest")), strict=True):
@@ -140,15 +144,14 @@ def _writer(root: str, roll: int):
                     if roller:
                         roller.close()
                         done += roller.made
-                    roller, page = _Roller(root, attempt, int(shard), roll), object()
+                    roller, marked = _Roller(root, attempt, int(shard), roll), None
                 key = None if is_null else int(page_id)
-                if key != page:
-                    page, marked = key, {}
-                if digest is not None:
-                    marked[digest] = int(refers_to)
+                if not pd.isna(refers_to):
+                    marked = (key, digest, int(refers_to))
                     continue
                 payload = html.encode("utf-8", "replace")
-                roller.write(gzip_member(build_record(key, url, payload, marked.get(hashlib.sha1(payload).hexdigest()) if len(payload) >= REVISIT_BYTES else None)))
+                refers = marked[2] if marked and marked[:2] == (key, digest) and len(payload) >= REVISIT_BYTES else None
+                roller.write(gzip_member(build_record(key, url, payload, refers)))
             if done:
                 yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
         if roller:
@@ -158,52 +161,79 @@ def _writer(root: str, roll: int):
     return run
 
 
-def shard_bins(pages: DataFrame, shard_bytes: int, bins: int = BINS) -> tuple[int, int, list[tuple[int, int]]]:
-    """Lowest id, bin width and the shard of every bin with rows; made from at most bins counts."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, []
-    width = (high - low) // bins + 1
-    counts = sorted(pages.where("page_id is not null").groupBy(_bin(low, width)).agg(F.sum(F.octet_length("html")).alias("n")).collect())
-    out, shard, held = [], 0, 0
-    for b, n in counts:
-        if held >= shard_bytes:
-            shard, held = shard + 1, 0
-        out.append((b, shard))
-        held += n
-    return low, width, out
+def _committer(root: str):
+    def run(batches):
+        from pyarrow import fs
+
+        files, at = _filesystem(root)
+        for pdf in batches:
+            for temporary, name, size in zip(pdf["temporary"], pdf["name"], pdf["bytes"], strict=True):
+                if files.get_file_info(f"{at}/{temporary}").type == fs.FileType.File:
+                    files.move(f"{at}/{temporary}", f"{at}/{name}")
+                elif files.get_file_info(f"{at}/{name}").size != size:  # an earlier attempt has moved it, or it is lost
+                    raise OSError(f"can't commit {name}")
+            yield pdf[["name"]]
+
+    return run
 
 
-def _bin(low: int, width: int):
-    wide = lambda c: c.cast("decimal(38,0)")
-    return F.floor((wide(F.col("page_id")) - wide(F.lit(low))) / wide(F.lit(width))).cast("long").alias("bin")
+def shard_borders(rows: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Page id and digest number of the first record of every shard but the first, from rows (page_id, h, bytes)."""
+    spark = rows.sparkSession
+    sums = rows.groupBy("page_id", "h").agg(F.sum("bytes").alias("bytes"))
+    placed = written(sums.repartitionByRange(shuffle_partitions(spark), F.asc_nulls_first("page_id"), "h").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    parts = sorted(placed.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect())
+    total = sum(r["bytes"] for r in parts)
+    each = max(shard_bytes, -(-total // MOST_SHARDS))
+    ahead, offsets = 0, []
+    for r in parts:
+        offsets.append((r["part"], ahead))
+        ahead += r["bytes"]
+    before = F.sum("bytes").over(Window.partitionBy("part").orderBy(F.asc_nulls_first("page_id"), "h")) - F.col("bytes")
+    known = F.broadcast(spark.createDataFrame(offsets, "part int, ahead long"))  # a row for each shuffle partition
+    shard = F.floor((F.col("ahead") + before) / F.lit(each)).alias("shard")
+    first = placed.join(known, "part").select("page_id", "h", shard).groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "h")).alias("f"))
+    found = sorted((r.shard, r.known, r.page_id, r.h) for r in first.select("shard", "f.*").where("shard > 0").collect())
+    discard(placed)
+    ids = np.array([-(1 << 63) if r[2] is None else r[2] for r in found], np.int64)
+    return ids, np.array([r[3] for r in found], np.int64)
+
+
+def _shard_of(ids: np.ndarray, hs: np.ndarray):
+    @F.pandas_udf("long")
+    def shard(page_id: pd.Series, h: pd.Series) -> pd.Series:
+        key, h = page_id.to_numpy(), h.to_numpy()
+        low, high = np.searchsorted(ids, key), np.searchsorted(ids, key, "right")
+        for k in np.flatnonzero(high > low):  # borders inside one page id are told apart by digests
+            low[k] += np.searchsorted(hs[low[k] : high[k]], h[k], "right")
+        return pd.Series(low)
+
+    return shard
 
 
 def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes pages (page_id long, url, html) under root; returns the manifest as reread."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    low, width, bins = shard_bins(rows, shard_bytes)
-    shards = F.broadcast(spark.createDataFrame(bins, "bin long, shard long"))  # at most BINS rows
-    sharded = lambda df: df.withColumn("bin", _bin(low, width)).join(shards, "bin", "left").withColumn("shard", F.coalesce("shard", F.lit(0).cast("long")))
+    number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("h")
+    sized = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    ids, hs = shard_borders(sized.select("page_id", number, "bytes"), shard_bytes)
 
-    long = rows.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", F.sha1("html").alias("digest"))
+    long = sized.where(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest")
     last = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
     marks = long.distinct().join(last, "digest").where("page_id is null or page_id <> refers_to")
-    none = lambda kind: F.lit(None).cast(kind)
-    markers = marks.select("page_id", F.lit("").alias("url"), F.lit("").alias("html"), "refers_to", "digest")
-    records = rows.select("page_id", "url", "html", none("long").alias("refers_to"), none("string").alias("digest"))
-    dealt = sharded(markers.unionAll(records)).withColumn("is_null", F.col("page_id").isNull())
-    n = max(1, min(bins[-1][1] + 1 if bins else 1, 4 * shuffle_partitions(spark)))
-    # markers (digest not null) come before the page's record
-    ordered = dealt.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.desc_nulls_last("digest"), "url", F.sha1("html"))
+    markers = marks.select("page_id", F.lit("").alias("url"), F.lit("").alias("html"), "digest", "refers_to")
+    records = rows.select("page_id", "url", "html", F.sha1("html").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    # null ids come first: they take the least number, which no other row is cut from by a border within it
+    key = F.coalesce("page_id", F.lit(-(1 << 63)).cast("long"))
+    dealt = markers.unionAll(records).withColumns({"is_null": F.col("page_id").isNull(), "page_id": key}).withColumn("shard", _shard_of(ids, hs)("page_id", number))
+    # a marker comes before its page's records of equal payload
+    ordered = dealt.repartitionByRange(min(len(ids) + 1, MOST_TASKS), "shard").sortWithinPartitions("shard", "page_id", F.desc("is_null"), "digest", F.desc_nulls_last("refers_to"), "url")
     jfs, path = _hadoop(spark, root)
     jfs.mkdirs(path(f"{root}/_temporary"))
-    ordered.select("shard", F.coalesce("page_id", F.lit(0).cast("long")).alias("page_id"), "is_null", "url", "html", F.coalesce("refers_to", F.lit(0).cast("long")).alias("refers_to"), "digest").mapInPandas(_writer(root, roll_bytes), MANIFEST).write.parquet(f"{root}/_staged")
-    staged = spark.read.schema(MANIFEST).parquet(f"{root}/_staged")
-    for r in staged.select("temporary", "name").toLocalIterator():
-        if not jfs.rename(path(f"{root}/{r.temporary}"), path(f"{root}/{r.name}")):
-            raise OSError(f"can't commit {r.name}")
+    ordered.select("shard", "page_id", "is_null", "url", "html", "refers_to", "digest").mapInPandas(_writer(root, roll_bytes), MANIFEST).write.parquet(f"{root}/_staged")
+    staged = spark.read.schema(MANIFEST).parquet(f"{root}/_staged").select("temporary", "name", "bytes")
+    staged.repartition(shuffle_partitions(spark), "name").mapInPandas(_committer(root), "name string").write.format("noop").mode("overwrite").save()
     if not jfs.rename(path(f"{root}/_staged"), path(f"{root}/_manifest")):
         raise OSError("can't commit the manifest")
     jfs.delete(path(f"{root}/_temporary"), True)
