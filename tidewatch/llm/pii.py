@@ -4,20 +4,24 @@ Base spans follow fixed patterns per kind, leftmost and non-overlapping. The
 model adds spans of forms the patterns miss, such as written-out mail addresses
 and telephone numbers without a plus sign.
 
-The model scores whole candidate segments of up to LONGEST tokens by features of
-the span (shape, digit groups, separators, checks) and its neighbours (cue words
-before it). A bounded-entity dynamic programme over tokens chooses borders and
-types jointly; the score of a segmentation is the sum of its segments' scores.
-Weights are trained here by gradient ascent on the conditional log-likelihood,
-with the semi-Markov forward-backward recursion, on sentences generated from
-rules below; labels and sources of a corpus play no part.
-
-A candidate segment holds four digits or a written-out dot; tokens further from
-such an anchor than the longest segment are outside every candidate and score
-0, so the programme runs over stretches around anchors only.
+The model scores whole candidate segments by features of the span (shape, digit
+groups, separators, checks) and its neighbours (cue words before it). A
+bounded-entity dynamic programme chooses borders and types jointly; the score of
+a segmentation is the sum of its segments' scores. Weights are trained here by
+gradient ascent on the conditional log-likelihood, with the semi-Markov
+forward-backward recursion, on sentences generated from rules below; labels and
+sources of a corpus play no part.
+
+Candidates: a number of at most 19 digits (the longest card) from the border of
+one run of digits and ().-+ to that of another, with at most GAP such marks, / or
+: between two runs; and a written-out address, one local part, at, and name dot
+name, of any number of names and any length, up to each of its names. A number
+takes part in at most 19 candidates, a name in one, so there are linearly many;
+tokens outside of them score 0 and the programme visits borders only.
 
 Defined cases: null texts count as empty and have no spans; very long texts are
-read whole, in time linear in their length; repeated rows have equal spans.
+read whole, in time linear in their length but for a logarithm; repeated rows have
+equal spans.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -90,7 +95,8 @@ TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 # every candidate holds four digits with nothing but these marks between, or a written-out dot
 ANCHOR = re.compile(r"[0-9](?:[\s().\-+/:]*[0-9]){3}|\b(?:dot|punkt|punto|point)\b", re.I)
 HAS_ANCHOR = re.compile(r"[0-9]|dot|punkt|punto|point", re.I).search
-LONGEST, BEFORE = 12, 4
+DIGITS, GAP, BEFORE = 19, 3, 4
+RUN_MARKS, MARKS, OPEN, CLOSED, LOCAL_MARKS = set("().-+"), set("().-+/:"), set("([{<"), set(")]}>"), set("._%+-")
 AT_WORDS, DOT_WORDS = {"at", "arroba"}, {"dot", "punkt", "punto", "point"}
 CUES = {
     "email": {"email", "mail", "contact", "write", "correo", "courriel", "reach"},
@@ -99,82 +105,114 @@ CUES = {
     "phone": {"phone", "tel", "call", "telefon", "telefono", "mobile", "fax", "dial", "whatsapp"},
 }
 TOPS = {"com", "org", "net", "edu", "de", "fr", "es", "io", "info"}
-FEATURES = ("bias", "length", "written address", "ends in a known domain", "three digit groups", "four octets", "octets in range", "card length", "luhn", "phone length", "telephone grouping", "brackets", "grouped by one separator", "cue before", "inside a longer number", "letters among digits", "only digits")
+FEATURES = ("bias", "length", "written with brackets", "ends in a known domain", "three digit groups", "four octets", "octets in range", "card length", "luhn", "phone length", "telephone grouping", "brackets", "grouped by one separator", "cue before", "goes on beyond", "letters among digits", "only digits")
 
 
 class Stretch:
-    """Tokens around anchors, with each segment's feature vector made on demand."""
+    """Tokens of a text and its candidate segments with their feature vectors."""
 
-    def __init__(self, text: str, begin: int, end: int) -> None:
+    def __init__(self, text: str) -> None:
         self.text = text
-        self.tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, begin, end)]
+        self.tokens = [m.span() for m in TOKEN.finditer(text)]
         self.words = [text[b:e].lower() for b, e in self.tokens]
         self.digit = [w[0].isdigit() and w.isascii() for w in self.words]
-        self.memo: dict[tuple[int, int], list] = {}
-
-    def candidates(self, i: int, j: int) -> list[tuple[str, np.ndarray]]:
-        """Feature vectors of tokens i..j-1 for each kind they could be."""
-        key = (i, j)
-        if key not in self.memo:
-            self.memo[key] = self._candidates(i, j)
-        return self.memo[key]
-
-    def _candidates(self, i: int, j: int) -> list[tuple[str, np.ndarray]]:
-        words, digit = self.words[i:j], self.digit[i:j]
-        out = []
-        if not digit[0] and words[0].isalpha() and words[-1].isalpha() and j - i >= 5 and any(w in DOT_WORDS for w in words) and any(w in AT_WORDS for w in words[1:]):
-            out.append(("email", self._features(i, j, "email")))
-        if digit[-1] and (digit[0] or words[0] in "(+"):
-            n = sum(len(w) for w, d in zip(words, digit, strict=True) if d)
-            if all(d or w in "().-+/:" for w, d in zip(words, digit, strict=True)):
-                if 9 <= n <= 15:
-                    out.append(("phone", self._features(i, j, "phone")))
-                if 13 <= n <= 19:
-                    out.append(("card", self._features(i, j, "card")))
-                if sum(digit) == 4 and n <= 12:
-                    out.append(("ip", self._features(i, j, "ip")))
-        return out
-
-    def _features(self, i: int, j: int, kind: str) -> np.ndarray:
-        words, digit = self.words[i:j], self.digit[i:j]
-        groups = [w for w, d in zip(words, digit, strict=True) if d]
-        marks = {w for w, d in zip(words, digit, strict=True) if not d and not w.isalpha()}
+        #: (first token, one past the last, kind, features), by end
+        self.arcs = sorted([*self._numbers(), *self._addresses()], key=lambda a: (a[1], a[0], a[2]))
+
+    def _joined(self, k: int) -> bool:
+        """Whether token k begins where the one before ends."""
+        return 0 < k < len(self.tokens) and self.tokens[k][0] == self.tokens[k - 1][1]
+
+    def _runs(self):
+        """(first, last + 1, digits) of runs of digits and marks without white space, marks at their ends left out but for ( and + before a digit."""
+        words, digit, k, n = self.words, self.digit, 0, len(self.words)
+        while k < n:
+            if not digit[k] and words[k] not in RUN_MARKS:
+                k += 1
+                continue
+            begin, k = k, k + 1
+            while k < n and (digit[k] or words[k] in RUN_MARKS) and self._joined(k):
+                k += 1
+            inside = [x for x in range(begin, k) if digit[x]]
+            if inside:
+                first = inside[0]
+                while first > begin and words[first - 1] in "(+":
+                    first -= 1
+                yield first, inside[-1] + 1, sum(len(words[x]) for x in inside)
+
+    def _numbers(self):
+        runs = list(self._runs())
+        # whether nothing but a few marks stands between a run and the next
+        linked = [b - a <= GAP and all(w in MARKS for w in self.words[a:b]) for (_, a, _), (b, _, _) in pairwise(runs)]
+        for r, (i, _, _) in enumerate(runs):
+            n = 0
+            for x in range(r, len(runs)):
+                n += runs[x][2]
+                if n > DIGITS:
+                    break
+                j = runs[x][1]
+                if n >= 4:
+                    if 9 <= n <= 15:
+                        yield i, j, "phone", self._features(i, j, "phone")
+                    if n >= 13:
+                        yield i, j, "card", self._features(i, j, "card")
+                    if n <= 12 and sum(self.digit[i:j]) == 4:
+                        yield i, j, "ip", self._features(i, j, "ip")
+                if x < len(linked) and not linked[x]:
+                    break
+
+    def _spelled(self, k: int, names: set[str]) -> tuple[int, int] | None:
+        """First and last token of one of names around token k, brackets included."""
+        if k >= len(self.words) or self.words[k] not in names:
+            return None
+        if 0 < k < len(self.words) - 1 and self.words[k - 1] in OPEN and self.words[k + 1] in CLOSED:
+            return k - 1, k + 1
+        return k, k
+
+    def _name(self, k: int) -> int:
+        """One past the last token of a name that begins at token k, or k."""
+        words, j = self.words, k
+        while j < len(words) and (words[j].isalpha() or self.digit[j] or words[j] == "-" and j > k) and (j == k or self._joined(j)):
+            j += 1
+        while j > k and words[j - 1] == "-":
+            j -= 1
+        return j
+
+    def _addresses(self):
+        words = self.words
+        for k, w in enumerate(words):
+            if w not in AT_WORDS:
+                continue
+            first, last = self._spelled(k, AT_WORDS)
+            i = first
+            while i and (words[i - 1].isalpha() or self.digit[i - 1] or words[i - 1] in LOCAL_MARKS) and (i == first or self._joined(i)):
+                i -= 1
+            j, dots, brackets = self._name(last + 1), 0, first < k
+            if i == first or j == last + 1 or words[i] in ".-":
+                continue
+            while True:
+                dot = self._spelled(j, DOT_WORDS) or (j + 1 < len(words) and words[j] in OPEN and self._spelled(j + 1, DOT_WORDS)) or None
+                end = self._name(dot[1] + 1) if dot else j
+                if dots:
+                    yield i, j, "email", self._features(i, j, "email", brackets, bool(dot) and end > dot[1] + 1)
+                if not dot or end == dot[1] + 1:
+                    break
+                j, dots, brackets = end, dots + 1, brackets or dot[0] < dot[1]
+
+    def _features(self, i: int, j: int, kind: str, brackets: bool = False, beyond: bool = False) -> np.ndarray:
+        words, digit = self.words, self.digit
+        email = kind == "email"
+        groups, marks = ([], set()) if email else ([w for w, d in zip(words[i:j], digit[i:j], strict=True) if d], {w for w, d in zip(words[i:j], digit[i:j], strict=True) if not d})
         digits = "".join(groups)
-        near = lambda k: 0 <= k < len(self.words) and (self.digit[k] or self.words[k] in ".,:-/+" and 0 <= k + (1 if k >= j else -1) < len(self.words) and self.digit[k + (1 if k >= j else -1)])
-        glued = i and self.tokens[i - 1][1] == self.tokens[i][0] and self.words[i - 1].isalpha() or j < len(self.words) and self.tokens[j][0] == self.tokens[j - 1][1] and self.words[j].isalpha()
-        bare = [w for w in words if w.isalpha()]
-        where = [k for k, w in enumerate(bare) if w in AT_WORDS]
-        # one at, then name (dot name)+ up to the end
-        tail = bare[where[0] + 1 :] if len(where) == 1 else []
-        written = bool(tail) and len(tail) % 2 == 1 and len(tail) >= 3 and all((w in DOT_WORDS) == (k % 2 == 1) for k, w in enumerate(tail)) and where[0] == 1 and not groups
-        x = np.zeros(len(FEATURES))
+        near = lambda k: 0 <= k < len(words) and (digit[k] or words[k] in ".,:-/+" and 0 <= k + (1 if k >= j else -1) < len(words) and digit[k + (1 if k >= j else -1)])
+        glued = self._joined(i) and words[i - 1].isalpha() or self._joined(j) and words[j].isalpha()
         values = (
-            1, (j - i) / LONGEST, written, bool(bare) and bare[-1] in TOPS, len(groups) in (3, 4), len(groups) == 4 and marks <= {"."} and bool(marks),
-            all(int(g) <= 255 for g in groups[:4] if len(g) <= 9) and len(groups) == 4, 14 <= len(digits) <= 19, bool(digits) and luhn(digits), 9 <= len(digits) <= 12,
+            1, min(j - i, 12) / 12, brackets, email and words[j - 1] in TOPS, len(groups) in (3, 4), len(groups) == 4 and marks == {"."},
+            len(groups) == 4 and all(int(g) <= 255 for g in groups), 14 <= len(digits) <= 19, bool(digits) and luhn(digits), 9 <= len(digits) <= 12,
             [len(g) for g in groups][-2:] == [3, 4], bool(marks & {"(", ")"}), len(marks - {"(", ")", "+"}) <= 1 and len(groups) > 1,
-            any(w in CUES[kind] for w in self.words[max(0, i - BEFORE) : i]), bool(digits) and (near(i - 1) or near(j)), bool(glued), len(groups) == 1 and not marks,
+            any(w in CUES[kind] for w in words[max(0, i - BEFORE) : i]), beyond or bool(digits) and (near(i - 1) or near(j)), bool(glued), len(groups) == 1 and not marks,
         )
-        x[:] = [float(v) for v in values]
-        return x
-
-
-def stretches(text: str):
-    """Merged ranges around anchors, wider by the longest segment and the words before it that count."""
-    begin = end = None
-    anchors = [m.span() for m in ANCHOR.finditer(text)] if HAS_ANCHOR(text) else []
-    tokens = [m.span() for m in TOKEN.finditer(text)] if anchors else []
-    starts = [b for b, _ in tokens]
-    for first, last in anchors:
-        i, j = bisect_right(starts, first) - 1, bisect_left(starts, last)
-        b, e = tokens[max(0, i - LONGEST - BEFORE)][0], tokens[min(len(tokens), j + LONGEST + BEFORE) - 1][1]
-        if end is not None and b <= end:
-            end = e
-            continue
-        if end is not None:
-            yield begin, end
-        begin, end = b, e
-    if end is not None:
-        yield begin, end
+        return np.array(values, float)
 
 
 class SemiMarkov:
@@ -183,29 +221,28 @@ class SemiMarkov:
 
     def best(self, s: Stretch) -> list[tuple[int, int, str]]:
         """Segments of the highest-scoring segmentation; tokens outside entities score 0."""
-        n = len(s.tokens)
-        score, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            top, how = score[j - 1], None
-            for i in range(max(0, j - LONGEST), j):
-                for kind, x in s.candidates(i, j):
-                    if (v := score[i] + float(self.weights[kind] @ x)) > top:
-                        top, how = v, (i, kind)
-            score[j], back[j] = top, how
-        out, j = [], n
-        while j:
-            if back[j]:
-                i, kind = back[j]
-                out.append((s.tokens[i][0], s.tokens[j - 1][1], kind))
-                j = i
-            else:
-                j -= 1
+        # borders at which the best score rises, that score, the segment that ends there and the border it goes on from
+        at, score, how = [0], [0.0], [None]
+        for i, j, kind, x in s.arcs:
+            k = bisect_right(at, i) - 1
+            v = score[k] + float(self.weights[kind] @ x)
+            if v > score[-1]:
+                if at[-1] == j:
+                    score[-1], how[-1] = v, (i, j, kind, k)
+                else:
+                    at.append(j)
+                    score.append(v)
+                    how.append((i, j, kind, k))
+        out, k = [], len(at) - 1
+        while how[k]:
+            i, j, kind, k = how[k]
+            out.append((s.tokens[i][0], s.tokens[j - 1][1], kind))
         return out[::-1]
 
     def gradient(self, s: Stretch, truth: set[tuple[int, int, str]]) -> tuple[float, dict[str, np.ndarray]]:
         """Log-likelihood of a segmentation and its gradient, by forward-backward over segments."""
         n = len(s.tokens)
-        arcs = [(i, j, kind, x, float(self.weights[kind] @ x)) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j) for kind, x in s.candidates(i, j)]
+        arcs = [(*a, float(self.weights[a[2]] @ a[3])) for a in s.arcs]
         into, outof = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
         for a in arcs:
             into[a[1]].append(a)
@@ -239,8 +276,9 @@ def generated_sentences(n: int = 160, seed: int = 7):
     def entity():
         kind = r.choice(KINDS)
         if kind == "email":
-            at, dot = r.choice(((" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" arroba ", " punto ")))
-            return kind, f"{word()}{at}{word()}{dot}{r.choice(sorted(TOPS))}"
+            at, dot = r.choice(((" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" arroba ", " punto "), ("(at)", "(dot)")))
+            local = word() + r.choice(("", "", "." + word(), "_" + digits(2)))
+            return kind, f"{local}{at}{''.join(word() + dot for _ in range(r.choice((1, 1, 2, 3))))}{r.choice(sorted(TOPS))}"
         if kind == "ip":
             return kind, r.choice((".", " . ")).join(str(r.randrange(256)) for _ in range(4))
         if kind == "card":
@@ -281,7 +319,7 @@ def trained(rounds: int = 40, rate: float = 0.5) -> SemiMarkov:
     for k in KINDS:
         model.weights[k][0] = -2.0
     seen = {k: np.full(len(FEATURES), 1e-6) for k in KINDS}
-    data = [(Stretch(t, 0, len(t)), spans) for t, spans in generated_sentences()]
+    data = [(Stretch(t), spans) for t, spans in generated_sentences()]
     for _ in range(rounds):
         total = {k: -0.02 * model.weights[k] for k in KINDS}
         for s, spans in data:
@@ -295,17 +333,19 @@ def trained(rounds: int = 40, rate: float = 0.5) -> SemiMarkov:
 
 def all_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov) -> list[tuple[int, int, int]]:
     """Base spans and the model's spans that overlap none of them."""
-    found = list(base)
-    for begin, end in stretches(text):
-        # a stretch whose ends fall inside a word begins and ends with the word
-        while begin and not text[begin - 1].isspace():
-            begin -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        taken = [(b, e) for b, e, _ in base if b < end and e > begin]
-        for b, e, kind in model.best(Stretch(text, begin, end)):
-            if all(e <= x or b >= y for x, y in taken):
-                found.append((b, e, KINDS.index(kind)))
+    if not (HAS_ANCHOR(text) and ANCHOR.search(text)):
+        return base
+    found, starts, ends = list(base), [], []
+    for b, e, _ in base:
+        if ends and b <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(b)
+            ends.append(e)
+    for b, e, kind in model.best(Stretch(text)):
+        k = bisect_right(starts, e - 1) - 1
+        if k < 0 or ends[k] <= b:
+            found.append((b, e, KINDS.index(kind)))
     return sorted(set(found), key=lambda s: (s[0], s[2], s[1]))
 
 
