@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import written
 
 SEGMENT = 16
 BLANK = " \t\r"
@@ -157,22 +157,21 @@ def near_dropped(docs: DataFrame, occ: DataFrame, first: DataFrame) -> DataFrame
     return rows.where(ok).select("at.doc_id", "at.row", "at.line_no").distinct()
 
 
-def dropped_lines(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, row, line_no) of every line that goes, and the tables this is read from."""
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line_no) of every line that goes; a line may come twice."""
     occ = written(occurrences(docs), "line-occurrences")
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("at"), F.count("*").alias("n"))
     repeated = written(first.where("n > 1").select("h1", "h2", "at"), "line-repeated")
     copies = occ.select("h1", "h2", "doc_id", "row", "line_no").join(repeated, ["h1", "h2"]).where(F.struct("doc_id", "row", "line_no") != F.col("at")).select("doc_id", "row", "line_no")
-    return copies.unionAll(near_dropped(docs, occ, first)), [occ, repeated]
+    return copies.unionAll(near_dropped(docs, occ, first))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text reduced to the lines that stay, _lines and _dropped (how many there were and went), and other columns in _rest."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     docs = docs.select("doc_id", "text", *([F.struct(*rest).alias("_rest")] if rest else []))
-    lost, read = dropped_lines(docs.select("doc_id", "text"))
-    gone = written(lost.groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone")), "line-gone")
-    discard(*read)
+    # not written, so that Spark can read the exchange of texts by row twice, for the near lines and for the result
+    gone = dropped_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
     keyed = docs.withColumn("_row", F.xxhash64("text"))
     # rows without an id are documents of their own: all lines of a later one with the same text repeat the first one's
     keyless = keyed.where("doc_id is null")
