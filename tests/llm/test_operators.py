@@ -194,6 +194,48 @@ def test_hidden_parts_of_blocks_and_titles_about_hidden_things():
     assert html_mincut.main_text(page, html_mincut.trained()).split("\n") == want
 
 
+PROSE = "A long paragraph of the article that says many things about the world, and then some more."
+
+
+@pytest.mark.parametrize("name", ["comment-content", "comment-body", "comment-text", "sidebar-content", "footer-text", "cookie-text", "entry comments", "postReplies", ""])
+def test_comments_and_notices_go_whatever_their_class(name):
+    model = html_mincut.trained()
+    two = "".join(f"<div><b>{w}</b> wrote {k + 2} hours ago<p>I think this is a very good text and I want to say so here, {w}.</p></div>" for k, w in enumerate(("Ann", "Bob")))
+    plain = f"<div class='{name}'><p>I think this is a very good text and I want to say so.</p><p>No, I do not think so, not at all, my friend.</p></div>"
+    for around in ("<article>%s</article>%s", "<article>%s%s</article>", "<div class='post'>%s</div>%s", "<main>%s%s</main>"):
+        page = "<body class='has-sidebar'>" + around % (f"<header class='entry-header'><h1>Title of it</h1></header><p>{PROSE}</p><p>{PROSE}</p>", two if not name else plain) + "</body>"
+        assert html_mincut.main_text(page, model) == f"Title of it\n{PROSE}\n{PROSE}", around
+
+
+def test_threads_without_cues_and_dated_articles():
+    model = html_mincut.trained()
+    flat = "<div>" + "".join(f"<p>{w}, 2021-03-0{k}</p><p>I think this is a very good text and I want to say so here.</p>" for k, w in enumerate(("Ann", "Bob", "Cy"), 1)) + "</div>"
+    listed = "<ul>" + "".join(f"<li><span>{w} says:</span><p>I think this is a very good text.</p><p>{PROSE}</p></li>" for w in ("Ann", "Bob", "Cy")) + "</ul>"
+    body = f"<h1>Title of it</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    for thread in (flat, listed):
+        assert html_mincut.main_text(f"<body><div>{body}</div>{thread}</body>", model) == f"Title of it\n{PROSE}\n{PROSE}"
+    dated = f"<body><article><h1>Title of it</h1><p>By Ann, 2021-03-01 10:30</p><p>{PROSE}</p><p>{PROSE}</p></article></body>"
+    assert html_mincut.main_text(dated, model) == f"Title of it\nBy Ann, 2021-03-01 10:30\n{PROSE}\n{PROSE}"
+
+
+def test_forms_go_but_pages_in_a_form_stay():
+    model = html_mincut.trained()
+    form = "<form><p>Get our letter every week in your mail box.</p><label>Mail</label><input><select><option>a</select><button>Go</button></form>"
+    assert html_mincut.main_text(f"<body><form action='x'><input type=hidden><div><h1>Title of it</h1><p>{PROSE}</p><select><option>one</select><p>{PROSE}</p></div><button>Send</button></form></body>", model) == f"Title of it\n{PROSE}\n{PROSE}"
+    assert html_mincut.main_text(f"<body><article><h1>Title of it</h1><p>{PROSE}</p>{form}<p>{PROSE}</p></article></body>", model) == f"Title of it\n{PROSE}\n{PROSE}"
+
+
+def test_empty_tables_long_and_deep_pages_and_clashing_names(spark):
+    model = html_mincut.trained()
+    long = "<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article>"
+    assert html_mincut.main_text(f"<body>{long}</body>", model) == "\n".join([PROSE] * 20_000)
+    deep = "<div>" * 20_000 + f"<p>{PROSE}</p>" + "</div>" * 20_000
+    assert html_mincut.main_text(f"<body><article>{deep * 3}</article></body>", model) == "\n".join([PROSE] * 3)
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{PROSE}</p></article>", "t", 1)], "page_id long, url string, html string, text string, n_chars int").withColumn("key", F.lit(1))
+    assert [(r.page_id, r.text) for r in html_mincut.extract(pages).collect()] == [(1, PROSE)]
+    assert html_mincut.extract(pages.limit(0)).count() == 0
+
+
 def test_letters_after_many_signs_count():
     blocks = html_mincut.blocks_of(f"<p>{'1 ' * 150}and prose.</p><p>{'1 ' * 150}</p>")
     assert html_mincut.features(blocks)[:, html_mincut.FEATURES.index("no letters")].tolist() == [0, 1]

@@ -5,10 +5,16 @@ hold no prose by the standard (scripts, styles, forms, controls, ...) give no
 blocks at all. Each block is a node of a graph:
 
 * terminal capacities are classifier costs: a logistic regression over length,
-  link share, punctuation, headings, and cue words in tags, classes, ids and
-  roles; a positive logit ties the block to the content terminal, a negative one
-  to the boilerplate terminal; menus, footers, asides and the like are tied to
-  boilerplate without limit;
+  link share, punctuation, headings, cue words in tags, classes, ids and roles,
+  and membership of a thread; a positive logit ties the block to the content
+  terminal, a negative one to the boilerplate terminal; menus, footers, asides
+  and the like are tied to boilerplate without limit. A bad cue word outweighs
+  good ones of the same class and of all elements around ("comment-content");
+* a thread is what comments look like without any cue: two or more sibling
+  elements without headings that each begin or end with a byline (a short line
+  with a time or a verb of saying), or one element of bylines and prose in turn;
+* a form is furniture and goes, unless it wraps the page: with an article, a main
+  part, a first heading or three paragraphs of prose inside, only its controls go;
 * smoothness edges join neighbours in page order, the stronger the closer they
   are in the DOM, and successive blocks of one container that something stands
   between.
@@ -34,7 +40,6 @@ import random
 import re
 from collections import Counter
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,7 +51,7 @@ HIDDEN = re.compile(r"(?:^|[\s/])hidden(?:[\s/]|$)", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp".split())
-SILENT = set("head noscript template svg iframe object canvas form button select option datalist dialog audio video map".split())
+SILENT = set("head noscript template svg iframe object canvas button select option datalist dialog audio video map label legend".split())
 BLOCK = set("html body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main nav header footer aside blockquote pre figure figcaption address hr center details summary fieldset menu hgroup search".split())
 CLOSES_P = BLOCK - set("html body tr td th thead tbody tfoot caption li dt dd summary".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,18 +63,46 @@ BAD = set(
     "nav navbar navigation menu menubar sidebar aside footer foot masthead topbar header breadcrumb breadcrumbs ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more comment comments reply replies respond disqus discussion widget toolbar pagination pager copyright legal disclaimer tags skip search".split()
 )
-FEATURES = ("bias", "log words", "link share", "ends like a sentence", "heading", "paragraph", "list item", "table cell", "inside article or main", "good cue", "bad cue", "no letters", "very short", "caption")
-
-
-NEAREST = 12
+FEATURES = ("bias", "log words", "link share", "ends like a sentence", "heading", "paragraph", "list item", "table cell", "inside article or main", "good cue", "bad cue", "no letters", "very short", "caption", "in a thread")
+#: Class words with these before them tell of the page, not of the element.
+ABOUT = set("has with without no is not category tag type status format wp js".split())
+TITLED = re.compile(r"\b(?:entry|article|post|story)[-_]?header\b", re.I).search
+BYLINE = re.compile(
+    r"\d{1,2}[:.]\d{2}\b|\d{4}-\d\d?-\d\d?|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b(?:ago|yesterday|today|hours?|minutes?|mins?|days?|says|said|wrote|writes|replied|reply|posted|commented|hier|heures?|jours?|écrit|répond|gestern|heute|stunden?|minuten|tagen?|schrieb|sagt|antwortet|ayer|hoy|horas?|minutos?|días?|escribió|dice|responde)\b", re.I
+)
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "hard", "good", "bad", "inside", "path")
+    __slots__ = ("text", "links", "tag", "hard", "good", "bad", "inside", "box", "thread")
 
 
 class _Element:
-    __slots__ = ("tag", "hard", "good", "bad", "inside", "silent", "link", "number", "up", "depth")
+    __slots__ = ("tag", "hard", "good", "bad", "inside", "silent", "link", "number", "up", "depth", "form", "wraps", "prose", "heads", "thread")
+
+
+def _inside(up: _Element | None, tag: str) -> _Element:
+    """An element without cues inside up."""
+    e = _Element()
+    e.tag, e.up, e.depth, e.form, e.wraps, e.prose, e.heads, e.thread = tag, up, up.depth + 1 if up else 0, up.form if up else None, False, 0, False, False
+    return e
+
+
+def _box(e: _Element) -> _Element:
+    """The nearest element that makes blocks, e or around it."""
+    while e.up and e.tag not in BLOCK:
+        e = e.up
+    return e
+
+
+def meeting(a: _Element, b: _Element) -> tuple[_Element, int]:
+    """The innermost block-making element around both, and how many such levels the deeper one lies below it."""
+    i = j = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a, i = _box(a.up), i + 1
+        else:
+            b, j = _box(b.up), j + 1
+    return a, max(i, j)
 
 
 def _cues(attributes: str) -> tuple[bool, bool, bool, bool]:
@@ -80,7 +113,10 @@ def _cues(attributes: str) -> tuple[bool, bool, bool, bool]:
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             hidden = hidden or name == "class" and "hidden" in value.lower().split()
-            words.update(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("_", " ").replace("-", " ").split())
+            for token in value.split():
+                parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower().replace("_", " ").replace("-", " ").split()
+                # the header of an article or entry holds its title
+                words.update(x for x in parts if parts[0] not in ABOUT and not (x == "header" and not GOOD.isdisjoint(parts)))
         elif name == "role":
             hard = hard or value.lower() in HARD_ROLES
             if value.lower() in ("main", "article"):
@@ -89,14 +125,14 @@ def _cues(attributes: str) -> tuple[bool, bool, bool, bool]:
             words.add("article")
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
-    good = not words.isdisjoint(GOOD)
-    return hidden, hard, good, not good and not words.isdisjoint(BAD)
+    bad = not words.isdisjoint(BAD)
+    return hidden, hard, not bad and not words.isdisjoint(GOOD), bad
 
 
 def blocks_of(page: str) -> list[Block]:
-    root = _Element()
-    root.tag, root.hard, root.good, root.bad, root.inside, root.silent, root.link, root.number, root.up, root.depth = "", False, False, False, False, False, False, 0, None, 0
-    stack, blocks, pieces, n_links, made = [root], [], [], 0, 0
+    root = _inside(None, "")
+    root.hard, root.good, root.bad, root.inside, root.silent, root.link, root.number = False, False, False, False, False, False, 0
+    stack, blocks, pieces, n_links, every = [root], [], [], 0, []
     at, n, blank = 0, len(page), True
 
     def flush():
@@ -106,8 +142,13 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 b, e = Block(), holder
                 b.text, b.links, b.hard, b.good, b.bad, b.inside = text, min(n_links, len(text)), e.hard, e.good, e.bad, e.inside
-                b.tag = next((x.tag for x in reversed(stack) if x.tag in BLOCK), "")
-                b.path = tuple(islice((x.number for x in reversed(stack) if x.tag in BLOCK), NEAREST))
+                b.box, b.thread = _box(stack[-1]), False
+                b.tag = b.box.tag
+                if b.tag[0:1] == "h" and b.tag[1:].isdigit():
+                    while e and not e.heads:
+                        e.heads, e = True, e.up
+                elif b.box.form and b.tag == "p" and text.count(" ") > 8:
+                    b.box.form.prose += 1
                 blocks.append(b)
             pieces, n_links, blank = [], 0, True
 
@@ -173,30 +214,68 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        up, e = stack[-1], _Element()
-        made += 1
+        up = stack[-1]
+        e = _inside(up, tag)
+        every.append(e)
         hidden, hard, good, bad = _cues(m[3]) if m[3] and tag not in ("html", "body") else (False, False, False, False)
-        e.tag, e.number, e.link, e.up, e.depth = tag, made, up.link or tag == "a", up, len(stack)
+        e.number, e.link = len(every), up.link or tag == "a"
+        if tag == "form":
+            e.form = e
+        elif e.form and tag in ("article", "main", "h1"):
+            e.form.wraps = True
         # what is hidden inside a block is skipped, hidden blocks are ruled out
         e.silent = up.silent or tag in SILENT or hidden and tag not in BLOCK
         if tag == "body" and up.tag in ("html", "", "head"):
             e.silent = False
         e.inside = up.inside or tag in ("article", "main")
-        e.hard = up.hard or hidden or hard or tag in HARD or tag == "header" and not up.inside
-        e.good, e.bad = up.good or good, up.bad or bad
+        e.hard = up.hard or hidden or hard or tag in HARD or tag == "header" and not up.inside and not TITLED(m[3])
+        e.bad = up.bad or bad
+        e.good = not e.bad and (up.good or good)
         stack.append(e)
         opened[tag] += 1
     flush()
+    for b in blocks:
+        b.hard = b.hard or bool(b.box.form and not b.box.form.wraps and b.box.form.prose < 3)
+    _mark_threads(blocks, every)
     return blocks
 
 
+def _mark_threads(blocks: list[Block], every: list[_Element]) -> None:
+    """Sets thread of blocks in comment-like units."""
+    headed = lambda b: b.tag[:1] == "h" and b.tag[1:].isdigit()
+    lines = [k for k, b in enumerate(blocks) if b.text.count(" ") < 12 and not headed(b) and BYLINE.search(b.text)]
+    units: dict[tuple, dict[int, _Element]] = {}
+    met: dict[int, tuple[_Element, int]] = {}
+    marked = set(lines)
+    for k in lines:
+        for other in (k + 1, k - 1):
+            if 0 <= other < len(blocks) and other not in marked and not headed(blocks[other]):
+                unit, _ = meeting(blocks[k].box, blocks[other].box)
+                if unit.up and not unit.heads and unit.tag not in ("body", "html", "main"):
+                    units.setdefault((unit.up.number, unit.tag), {})[unit.number] = unit
+                    if other > k:
+                        met[unit.number] = unit, met.get(unit.number, (unit, 0))[1] + 1
+                break
+    for found in units.values():
+        if len(found) > 1:
+            for e in found.values():
+                e.thread = True
+    for unit, n in met.values():
+        if n > 1 and unit.tag != "article":
+            unit.thread = True
+    for e in every:
+        e.thread = e.thread or e.up.thread
+    for b in blocks:
+        b.thread = b.box.thread
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)))
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         x[k] = (
             1, np.log1p(words), b.links / max(1, len(b.text)), b.text[-1] in ".!?…:;\"”»)", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("p", "blockquote", "pre"), b.tag in ("li", "dd", "dt"), b.tag in ("td", "th"),
-            b.inside, b.good, b.bad, not any(map(str.isalpha, b.text)), words <= 2, b.tag == "figcaption",
+            b.inside, b.good, b.bad, not any(map(str.isalpha, b.text)), words <= 2, b.tag == "figcaption", b.thread,
         )
     return x
 
@@ -257,12 +336,9 @@ class Flow:
         return level
 
 
-def closeness(a: tuple, b: tuple) -> float:
-    """1 for blocks of one container, halved for each level up to the common one; 0 beyond the levels kept."""
-    for i, x in enumerate(a):
-        if x in b:
-            return 0.5 ** max(0, max(i, b.index(x)) - 1)
-    return 0.0
+def closeness(a: Block, b: Block) -> float:
+    """1 for blocks of one container, halved for each level up to the common one."""
+    return 0.5 ** max(0, meeting(a.box, b.box)[1] - 1)
 
 
 NEXT, SIBLING = 2.0, 1.0
@@ -274,7 +350,7 @@ def content_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
     logit = features(blocks) @ weights
     n = len(blocks)
     g, source, sink = Flow(n + 2), n, n + 1
-    last: dict[tuple, int] = {}
+    last: dict[int, int] = {}
     for k, b in enumerate(blocks):
         if b.hard:
             g.arc(k, sink, 1e9)
@@ -283,10 +359,10 @@ def content_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
         else:
             g.arc(k, sink, float(-logit[k]))
         if k:
-            w = NEXT * closeness(blocks[k - 1].path, b.path)
+            w = NEXT * closeness(blocks[k - 1], b)
             if w > 1e-3:
                 g.arc(k - 1, k, w, w)
-        parent = b.path[1:2]
+        parent = _box(b.box.up).number if b.box.up else -1
         before = last.get(parent)
         if before is not None and before < k - 1:
             g.arc(before, k, SIBLING, SIBLING)
@@ -313,6 +389,11 @@ def generated_pages(n: int = 80, seed: int = 5):
             parts.insert(r.randrange(1, len(parts) + 1), bad("div", 2, 25, cls(), r.choice((".", ""))))
         if r.random() < 0.3:
             parts.append(f"<div{cls()}>" + bad("p", 3, 40, "", ".") * 2 + "</div>")
+        if r.random() < 0.3:
+            a, z, u = r.choice((("<div>", "</div>", "div"), ("<ul>", "</ul>", "li"), ("<section>", "</section>", "article")))
+            by = lambda: r.choice((f"X {word()}, {r.randrange(2, 23)} hours ago", f"X {word()} {word()} says:", f"X {word()} 2021-03-{r.randrange(10, 29)}", f"X {word()} {r.randrange(1, 23)}:{r.randrange(10, 59)}"))
+            thread = a + "".join(f"<{u}><div>{by()}</div>{bad('p', 5, 60, '', '.')}</{u}>" for _ in range(r.randrange(2, 5))) + z
+            parts.insert(len(parts), thread)
         wrap = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div>", "</div>"), ('<div id="c7">', "</div>")))
         outer = [f"<div>{menu()}</div>", bad("div", 2, 25, cls(), r.choice((".", "")))] + [f"<div{cls()}>{bad('p', 3, 60, '', '.')}{menu()}</div>"] * (r.random() < 0.5)
         r.shuffle(outer)
