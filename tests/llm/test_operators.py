@@ -121,6 +121,9 @@ def test_mix_targets_and_repeats(spark, odd, none):
     again = mixing.mix(odd)
     assert again.columns == odd.columns and again.count() == mixing.mix_report(odd).agg(F.sum("copies")).first()[0]
     assert mixing.mix_report(none).count() == 0 and mixing.mix(none).count() == 0
+    same = spark.createDataFrame([(1, f"w{k}", "en", "a", 1) for k in range(40)] + [(2, "w " * 40, "en", "b", 1)], DOC)
+    assert sorted(map(str, mixing.mix(same).collect())) == sorted(map(str, mixing.mix(same.repartition(5)).collect()))
+    assert mixing.salts_for(10**6) == 64 and mixing.salts_for(10**11) * mixing.PER_SALT >= 10**11
 
 
 def test_mix_needs_no_python(odd):
@@ -137,19 +140,31 @@ def test_search_is_exact_with_ties_and_odd_vectors(spark):
     x[100:160] = x[0]
     x[200] = x[0] * 5
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (550, [0.0] * 16), (600, [float("nan")] * 16), (650, [None] * 16), (700, [1.0, 2.0]), (None, [1.0] * 16), (50, x[1].tolist())]
-    got = ann.nearest(*[(v := ann.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))), v.where("vec_id % 50 = 0")], 5, 2, 64).toPandas()
+    data += [(i, [c * 1e200 for c in x[i].tolist()]) for i in (60,)] + [(800, [1e200, *[1.0] * 15]), (850, [5e-324] * 16), (900, [1e-200, *[0.0] * 15]), (0, x[0].tolist()), (0, x[3].tolist()), (101, x[101].tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("h", "v", "n", "copies", "dim", "rank")})
+    v = ann.usable(df)
+    got = ann.nearest(v, v.where("vec_id % 50 = 0"), 5, 2, 64).toPandas()
     want = []
     ok = [(i, np.array(v)) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    for q in sorted({i for i, _ in ok if i % 50 == 0}):
-        qv = min((tuple(v) for i, v in ok if i == q))
-        c = [(i, v) for i, v in ok if i != q and len(v) == len(qv)]
-        if c:
+    for at, (q, qv) in enumerate(ok):
+        c = [(i, v) for k, (i, v) in enumerate(ok) if k != at and len(v) == len(qv)]
+        if q % 50 == 0 and c:
             s = ann.cosines(np.array([qv] * len(c)), np.array([v for _, v in c]))
+            assert np.isfinite(s).all()
             want += [(q, k + 1, i, -a) for k, (a, i) in enumerate(sorted(zip((-s).tolist(), [i for i, _ in c], strict=True))[:5])]
-    assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == want
+    assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == sorted(want)
     assert ann.search_report(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_long_vectors_have_exact_bounds(spark):
+    x = np.random.default_rng(5).normal(size=(120, 3000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search_report(df).orderBy("query_id", "rank").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 50, 100):
+        assert [r.vec_id for r in got if r.query_id == q] == [int(i) for i in np.argsort(-(unit @ unit[q])) if i != q][:5]
+
+
 # 5 --------------------------------------------------------------------------
 
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1><p>The best site about things in the world.</p></header><div class="cookie-notice">We use cookies to give you the best experience. Accept them now please.</div>

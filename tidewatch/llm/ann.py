@@ -5,8 +5,8 @@ scale a vector, and the norm of each vector's quantisation residue. Query blocks
 meet candidate blocks in an equality join on their shares of a grid, so every
 pair of blocks is one bounded tile and no list of blocks is gathered. In a tile:
 
-1. a product of the int8 codes (held as floats, which is exact for such
-   integers) gives approximate cosines;
+1. a product of the int8 codes (held as floats and summed in parts of EXACT
+   components, which is exact for such integers) gives approximate cosines;
 2. with u = s c + r for unit vectors, |u v - s c t d| <= |r_v| + |r_u| |t d|,
    which bounds the error of each cosine;
 3. a pair survives if its upper bound reaches the k-th largest lower bound of
@@ -20,9 +20,11 @@ each of at most QUERY_BLOCK x VECTOR_BLOCK pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components, and rows without id, take no part; vectors of unequal length do not
-meet; of rows that share a query's id the first by components is the query and
-none is its candidate; fewer candidates than k are all returned; other columns
-are ignored; an empty table gives no rows.
+meet; rows that share an id are queries and candidates of their own, and only a
+query's own row is no candidate of it, so equal rows find each other; components of
+any finite size count (cosines are taken on vectors scaled by powers of two);
+fewer candidates than k are all returned; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,15 +40,22 @@ from .common import shuffle_partitions
 
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 8192
 QUERIES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 15
-SLACK = 1e-5  # for rounding of the float product and scales, relative to 1
-BLOCK = "block long, dim int, n int, ids binary, vectors binary, codes binary, scales binary, residues binary"
+EXACT = 1024  # so many products of codes sum exactly in single precision; more are summed in parts
+SLACK = 1e-9  # for rounding of scales and residues, relative to 1
+BLOCK = "block long, dim int, n int, ids binary, hashes binary, copies binary, vectors binary, codes binary, scales binary, residues binary"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Rows (vec_id long, v array<double>) of finite, nonzero vectors."""
+    """Rows (vec_id long, h long, copies long, v array<double>) of finite, nonzero vectors: of equal rows one with their number, h a hash of v."""
     v = F.col(f"`{embedding}`").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0.0))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0.0))
+    rows = rows.select("vec_id", F.xxhash64("v").alias("h"), F.lit(1).cast("long").alias("copies"), "v")
+    # only rows whose id repeats are grouped; the rest needs no shuffle
+    repeated = rows.groupBy("vec_id").count().where("count > 1").select("vec_id")
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, "vec_id", "left_anti").unionAll(rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id", "h", "v").agg(F.count("*").alias("copies")).select("vec_id", "h", "copies", "v"))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,19 +77,19 @@ def _packer(size: int):
 
         def block(dim):
             nonlocal made
-            ids, rows = held.pop(dim)
+            ids, hashes, copies, rows = held.pop(dim)
             x = np.array(rows)
             codes, scale, residue = quantise(x)
             made += 1
-            return ((task << 24) + made, dim, len(ids), np.array(ids, np.int64).tobytes(), x.tobytes(), codes.tobytes(), scale.tobytes(), residue.tobytes())
+            return ((task << 24) + made, dim, len(ids), *(np.array(c, np.int64).tobytes() for c in (ids, hashes, copies)), x.tobytes(), codes.tobytes(), scale.tobytes(), residue.tobytes())
 
         for pdf in batches:
             out = []
-            for i, v in zip(pdf["vec_id"], pdf["v"], strict=True):
-                ids, rows = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                rows.append(v)
-                if len(ids) == size:
+            for row in zip(pdf["vec_id"], pdf["h"], pdf["copies"], pdf["v"], strict=True):
+                v, lists = row[3], held.setdefault(len(row[3]), ([], [], [], []))
+                for x, value in zip(lists, row, strict=True):
+                    x.append(value)
+                if len(lists[0]) == size:
                     out.append(block(len(v)))
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK.split(", ")])
@@ -95,7 +104,11 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
 
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Row by row in double precision, summed from the first component to the last."""
+    """Row by row in double precision, summed from the first component to the last.
+
+    Vectors are first scaled by powers of two, which changes no bit of a cosine but keeps squares finite.
+    """
+    q, v = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) for x in (q, v))
     dot, a, b = (np.zeros(len(q)) for _ in range(3))
     for d in range(q.shape[1]):
         x, y = q[:, d], v[:, d]
@@ -106,7 +119,7 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def tile(q: dict, c: dict, k: int) -> list[tuple[int, int, float]]:
-    """The k best candidates of each query of a tile: (query_id, vec_id, score)."""
+    """The k best candidates of each query of a tile: (query_id, query_hash, query_copies, vec_id, score)."""
     codes = c["codes"].astype(np.float32).T
     found = []
     for at in range(0, len(q["ids"]), QUERIES_AT_ONCE):
@@ -115,11 +128,16 @@ def tile(q: dict, c: dict, k: int) -> list[tuple[int, int, float]]:
 
 
 def _strip(q: dict, c: dict, codes: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    approx = (q["codes"].astype(np.float32) @ codes).astype(np.float64)
+    approx, own_codes = 0.0, q["codes"].astype(np.float32)
+    for at in range(0, own_codes.shape[1], EXACT):
+        approx = approx + (own_codes[:, at : at + EXACT] @ codes[at : at + EXACT]).astype(np.float64)
     approx *= q["scales"][:, None]
     approx *= c["scales"][None, :]
     error = q["residues"][:, None] * (1 + c["residues"][None, :]) + c["residues"][None, :] + SLACK
-    own = q["ids"][:, None] == c["ids"][None, :]
+    # a query's own row is left out, further copies of it are candidates
+    own = (q["ids"][:, None] == c["ids"][None, :]) & (q["hashes"][:, None] == c["hashes"][None, :])
+    others = np.where(own, c["copies"] - 1, c["copies"])
+    own = others == 0
     low = np.where(own, -np.inf, approx - error)
     n = low.shape[1]
     bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf)
@@ -127,50 +145,56 @@ def _strip(q: dict, c: dict, codes: np.ndarray, k: int) -> list[tuple[int, int,
     heaps: dict[int, list] = {}
     for at in range(0, len(rows), PAIRS_AT_ONCE):
         r, s = rows[at : at + PAIRS_AT_ONCE], cols[at : at + PAIRS_AT_ONCE]
-        for i, j, score in zip(r.tolist(), c["ids"][s].tolist(), cosines(q["vectors"][r], c["vectors"][s]).tolist(), strict=True):
+        for i, j, n, score in zip(r.tolist(), c["ids"][s].tolist(), others[r, s].tolist(), cosines(q["vectors"][r], c["vectors"][s]).tolist(), strict=True):
             heap = heaps.setdefault(i, [])
-            if len(heap) < k:
-                heapq.heappush(heap, (score, -j))
-            elif (score, -j) > heap[0]:
-                heapq.heapreplace(heap, (score, -j))
-    ids = q["ids"].tolist()
-    return [(ids[i], -j, score) for i, heap in heaps.items() for score, j in heap]
+            for _ in range(min(n, k)):
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -j))
+                elif (score, -j) > heap[0]:
+                    heapq.heapreplace(heap, (score, -j))
+    ids, hashes, copies = (q[x].tolist() for x in ("ids", "hashes", "copies"))
+    return [(ids[i], hashes[i], copies[i], -j, score) for i, heap in heaps.items() for score, j in heap]
 
 
 def _side(row, prefix: str) -> dict:
     n, dim = int(row[f"{prefix}n"]), int(row["dim"])
     read = lambda name, kind: np.frombuffer(row[f"{prefix}{name}"], kind)
-    return {"ids": read("ids", np.int64), "vectors": read("vectors", np.float64).reshape(n, dim), "codes": read("codes", np.int8).reshape(n, dim), "scales": read("scales", np.float64), "residues": read("residues", np.float64)}
+    return {"ids": read("ids", np.int64), "hashes": read("hashes", np.int64), "copies": read("copies", np.int64), "vectors": read("vectors", np.float64).reshape(n, dim), "codes": read("codes", np.int8).reshape(n, dim), "scales": read("scales", np.float64), "residues": read("residues", np.float64)}
+
+
+FOUND = ["query_id", "query_hash", "query_copies", "vec_id", "score"]
 
 
 def _tiles(k: int):
     def run(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                yield pd.DataFrame(tile(_side(row, "q_"), _side(row, "c_"), k), columns=["query_id", "vec_id", "score"])
+                yield pd.DataFrame(tile(_side(row, "q_"), _side(row, "c_"), k), columns=FOUND)
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
-    """vectors, queries: (vec_id, v) as usable() gives them. Rows: query_id, rank, vec_id, score."""
+    """vectors, queries: as usable() gives them. Rows: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    first = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = first.count()
-    first = first.repartition(max(1, -(-n // query_block)), "vec_id")
+    n = queries.count()
+    # sorted, so that a task run again packs the same blocks
+    first = queries.repartition(max(1, -(-n // query_block)), "vec_id", "h").sortWithinPartitions("vec_id", "h", "v")
     # tasks form a grid: shares of the candidate blocks by shares of the query blocks
     shares = max(1, min(shuffle_partitions(spark), -(-vectors.count() // vector_block)))
     query_shares = max(1, -(-n // (8 * query_block)))
     of = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    side = lambda df, p: df.select("dim", "share", "query_share", *[F.col(c).alias(p + c) for c in ("n", "ids", "vectors", "codes", "scales", "residues")])
+    side = lambda df, p: df.select("dim", "share", "query_share", *[F.col(c).alias(p + c) for c in ("n", "ids", "hashes", "copies", "vectors", "codes", "scales", "residues")])
     right = side(blocks(vectors, vector_block).withColumn("share", of(shares)).withColumn("query_share", every(query_shares)), "c_")
     left = side(blocks(first, query_block).withColumn("query_share", of(query_shares)).withColumn("share", every(shares)), "q_")
     tiles = right.join(left, ["dim", "share", "query_share"])
     # one tile at a time in memory
-    found = tiles.mapInPandas(_tiles(k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = tiles.mapInPandas(_tiles(k), "query_id long, query_hash long, query_copies long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    # a query row that is there several times is answered as often
+    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "query_copies"))).select("query_id", "rank", "vec_id", "score")
 
 
 def search_report(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -181,11 +205,11 @@ def search_report(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFra
 def oracle(every: int = 50, k: int = 5) -> str:
     return f"""
 with v as (
-  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x)))) as score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % {every} = 0),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs)
+  select q.row as query_row, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x)))) as score
+  from v q join v c on q.row <> c.row and len(q.v) = len(c.v) where q.vec_id % {every} = 0),
+ranked as (select *, row_number() over (partition by query_row order by score desc, vec_id)::int as rank from pairs)
 select query_id, rank, vec_id, score from ranked where rank <= {k}
 """

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WEIGHTS, REPEAT, SALTS = (5, 2, 1), 3, 64
+WEIGHTS, REPEAT, SALTS, PER_SALT = (5, 2, 1), 3, 64, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,6 +32,14 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def salts_for(rows: int) -> int:
+    """SALTS, doubled until a salt holds PER_SALT rows of all at most."""
+    salts = SALTS
+    while salts * PER_SALT < rows:
+        salts *= 2
+    return salts
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat: int = REPEAT) -> DataFrame:
     """sizes: (_null, _source, _size) a row per document; gives a row per source with its target."""
     per = sizes.groupBy("_null", "_source").agg(F.sum("_size").alias("_total"))
@@ -50,12 +58,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat
     return per.select("_null", "_source", "_total", target.alias("_target"))
 
 
-def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat: int = REPEAT, salts: int = SALTS, seed: str = "mix") -> DataFrame:
-    """docs: doc_id, source, _size and any more columns; adds _total, _target and _copies."""
+def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat: int = REPEAT, salts: int | None = None, seed: str = "mix") -> DataFrame:
+    """docs: doc_id, source, _size, _tie (orders what is equal in these) and any more columns; adds _total, _target and _copies."""
+    salts = salts or salts_for(docs.count())
     hex_of = lambda s, n: F.conv(F.substring(F.md5(s), 1, n), 16, 10).cast("long")
     keyed = docs.withColumns({
         "_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_bits": F.length(F.bin("_size")),
-        "_salt": hex_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) % salts,
+        "_salt": hex_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4 if salts <= 1 << 16 else 12) % salts,
     })
     buckets = keyed.groupBy("_null", "_source", "_bits", "_salt").agg(F.count("*").alias("_n"), F.sum("_size").alias("_size"))
     targets = source_targets(buckets, weights, share, repeat)
@@ -64,7 +73,7 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat: in
     plan = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n", "_size").join(targets, ["_null", "_source"])
     plan = plan.withColumns({"_each": F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(0.0), "_offset": offset})
     keys = ["_null", "_source", "_bits", "_salt"]
-    at = F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("_size", "doc_id"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("_size", "doc_id", "_tie"))
     out = keyed.join(plan, keys).withColumn("_at", at)
     crossed = F.floor(F.col("_at") * F.col("_each") + F.col("_offset")) - F.floor((F.col("_at") - 1) * F.col("_each") + F.col("_offset"))
     return out.withColumn("_copies", crossed.cast("long")).drop(*keys, "_before", "_each", "_offset", "_at")
@@ -72,7 +81,7 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, repeat: in
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies."""
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), "mix-sizes")
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), F.lit(0).alias("_tie")), "mix-sizes")
     out = with_copies(sizes, **options)
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
 
@@ -81,6 +90,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with their own columns."""
     names = docs.columns
     packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    packed = packed.withColumn("_tie", F.xxhash64("_row"))
     out = with_copies(packed, **options).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return out.select([F.col("_row")[c].alias(c) for c in names])
 

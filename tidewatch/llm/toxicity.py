@@ -284,8 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     chosen = [marked.where(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     few = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most 2 * per_class rows
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id").toPandas().sort_values(["doc_id", "text"])
-    got = got.drop_duplicates("doc_id")
+    # of rows that share a labelled id the least text, so that a row per label is collected
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     return train(got["text"].tolist(), got["toxic"].astype(int).tolist())
 
 
