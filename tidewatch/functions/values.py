@@ -62,8 +62,18 @@ def priority_level(score: Column) -> Column:
 
 
 def json_ids(text: Column) -> Column:
-    """Integers of a JSON list; also of forms like 1.0; an empty list for junk."""
-    return F.coalesce(F.filter(F.transform(F.from_json(text, "array<double>"), lambda x: x.cast("long")), lambda x: x.isNotNull()), F.array().cast("array<long>"))
+    """Integers of a JSON list, exact up to 64 bits; also of forms like 1.0; an empty list for junk."""
+    return F.coalesce(F.filter(F.transform(F.from_json(text, "array<string>"), lambda x: x.try_cast("decimal(38,10)").try_cast("long")), lambda x: x.isNotNull()), F.array().cast("array<long>"))
+
+
+def round2(x: Column) -> Column:
+    """Two decimals by the exact binary value, ties to even, as the product with 100 and its rounding error decide."""
+    p, low = x * 100.0, x * 134217729.0
+    high = low - (low - x)
+    error = (high * 100.0 - p) + (x - high) * 100.0
+    down = F.floor(p).cast("double")
+    up = (error > 0) | (error == 0) & (F.pmod(down, F.lit(2.0)) == 1)
+    return F.when(p - down == 0.5, down + F.when(up, 1.0).otherwise(0.0)).otherwise(F.rint(p)) / 100.0
 
 
 def or_null(text: Column) -> Column:

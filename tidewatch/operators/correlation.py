@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import id_of
+from ..sources.tables import shared_folder
+from .ranges import by_time
 
 WINDOW_SECONDS = 300
 REASONS = ("Shared flow", "Same source IP", "Within 5-minute window", "Same destination IP", "Overlapping destination port", "Different detection rules")  # fixed values
@@ -48,15 +50,9 @@ def relations(findings: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage through a table in spark.checkpoint.dir, or a checkpoint in a temporary one."""
+    """Cuts the lineage through a table in the shared folder."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,7 +84,7 @@ def cases(findings: DataFrame, relation_rows: DataFrame) -> DataFrame:
         F.min("strength").alias("weak"), F.max("strength").alias("strong"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("correlation_reasons"))
     out = got.join(linked, "root", "left").withColumn("correlation_strength", F.coalesce("strong", F.lit("Single")))
     out = out.withColumn("correlation_reasons", F.coalesce("correlation_reasons", F.array().cast("array<string>")))
-    return out.withColumn("case_id", id_of("CASE", F.row_number().over(Window.orderBy("first_us", "root")))).drop("root", "weak", "strong")
+    return by_time(out, "_number", "first_us", [F.col("root")]).withColumn("case_id", id_of("CASE", F.col("_number"))).drop("root", "weak", "strong", "_number")
 
 
 def case_findings(case_rows: DataFrame) -> DataFrame:

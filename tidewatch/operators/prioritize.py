@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import hour_angle, priority_level, safe_name
+from ..functions.values import hour_angle, priority_level, round2, safe_name
 
 TREES, SUBSAMPLE, TRAINING_CASES, SEED = 300, 256, 50_000, 42
 #: Numeric keys of findings that become sum, mean and max features.
@@ -157,7 +157,7 @@ def percentiles(score_rows: DataFrame, column: str = "isolation_forest_score") -
     counts = score_rows.groupBy(column).agg(F.count("*").alias("_ties"))
     upto = F.sum("_ties").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
     n = F.sum("_ties").over(Window.partitionBy())
-    ranks = counts.withColumn("priority_score", F.round((upto - (F.col("_ties") - 1) / 2) / n * 100, 2)).select(F.col(column).alias("_score"), "priority_score")
+    ranks = counts.withColumn("priority_score", round2((upto - (F.col("_ties") - 1) / 2) / n * 100)).select(F.col(column).alias("_score"), "priority_score")
     return score_rows.join(ranks, F.col(column).eqNullSafe(F.col("_score"))).drop("_score")
 
 

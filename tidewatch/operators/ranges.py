@@ -45,3 +45,63 @@ def islands(df: DataFrame, key: str, start: str, end: str, size: int, name: str
 def _with(x: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     right = summary.withColumnsRenamed({key: "_key", "_bucket": "_b"})
     return x.join(right, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")), "left").drop("_key", "_b")
+
+
+def chained(df: DataFrame, key: str, at: str, width: int, metric: Column, threshold: int) -> DataFrame:
+    """Member rows of episodes: adds episode (its start), value and window_end; both null where a row's own window does not qualify.
+
+    A row's window is [at, at + width]; it qualifies when the metric over it
+    reaches the threshold, and ends at its last row. Qualifying windows chain
+    while the next starts no later than the last one's end; a row is a member of
+    the last episode with a qualifying start at most a width ago.
+
+    All windows share one partitioning by key and bucket. A bucket also sees two
+    widths before it (its episodes' starts depend on them) and one after (its
+    windows do); what lies further back comes as one row per bucket.
+    """
+    size = BUCKET_WIDTHS * width
+    floor = lambda c: F.floor(c / F.lit(size)).cast("long")
+    wide = df.withColumn("_bucket", F.explode(F.sequence(floor(F.col(at) - width), floor(F.col(at) + 2 * width))))
+    w = Window.partitionBy(key, "_bucket").orderBy(at)
+    seen = wide.withColumns({"value": metric.over(w.rangeBetween(0, width)), "window_end": F.max(at).over(w.rangeBetween(0, width))})
+    if seen.schema["value"].dataType.typeName() == "array":
+        seen = seen.withColumn("value", F.size("value"))
+    hit = F.col("value") >= threshold
+    seen = seen.withColumns({"value": F.when(hit, F.col("value")), "window_end": F.when(hit, F.col("window_end"))})
+    before = F.max("window_end").over(w.rangeBetween(-width, -1))
+    begins = F.col("window_end").isNotNull() & (F.col(at) >= F.col("_bucket") * size - width) & (before.isNull() | (before < F.col(at)))
+    seen = seen.withColumn("_start", F.when(begins, F.col(at)))
+    own = floor(F.col(at)) == F.col("_bucket")
+    last = seen.groupBy(key, "_bucket").agg(F.max(F.when(own, F.col("_start"))).alias("_last"))
+    above = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(key, "_bucket", F.max("_last").over(above).alias("_before"))
+    x = seen.join(last, [key, "_bucket"])
+    island = F.when(F.col("window_end").isNotNull(), F.coalesce(F.max("_start").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.col("_before")))
+    x = x.withColumn("_island", island).withColumn("episode", F.max("_island").over(w.rangeBetween(-width, 0)))
+    return x.where(own & F.col("episode").isNotNull()).drop("_bucket", "_start", "_before", "_island")
+
+
+def numbered(df: DataFrame, name: str, group: list[Column], coarse: Column, order: list[Column]) -> DataFrame:
+    """df with 1, 2, ... in the order of group and then order.
+
+    Rows are numbered inside their group, on top of the sizes of earlier groups:
+    one row per group is summed inside coarse, and one per coarse in one task.
+    coarse must not decrease along group and have few values, such as months.
+    """
+    names = [f"_g{k}" for k in range(len(group))]
+    x = df.withColumns({**dict(zip(names, group, strict=True)), "_coarse": coarse})
+    sizes = x.groupBy(*names, "_coarse").agg(F.count("*").alias("_n"))
+    tops = sizes.groupBy("_coarse").agg(F.sum("_n").alias("_n")).select(F.col("_coarse").alias("_c"), (F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_coarse"))) - F.col("_n")).alias("_top"))
+    inside = F.sum("_n").over(Window.partitionBy("_coarse").orderBy(*[F.asc_nulls_first(n) for n in names])) - F.col("_n")
+    offsets = sizes.withColumn("_inside", inside).join(F.broadcast(tops), F.col("_coarse").eqNullSafe(F.col("_c")))  # few by contract
+    offsets = offsets.select(*[F.col(n).alias(f"{n}_") for n in names], (F.col("_inside") + F.col("_top")).alias("_ahead"))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    row = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return x.join(offsets, same).withColumn(name, (row + F.col("_ahead")).cast("long")).drop(*names, *[f"{n}_" for n in names], "_coarse", "_ahead")
+
+
+def by_time(df: DataFrame, name: str, us: str, order: list[Column], seconds: int = 600) -> DataFrame:
+    """df numbered by time and then order: groups of some minutes, months as coarse."""
+    return numbered(df, name, [F.floor(F.col(us) / (seconds * 1_000_000)).cast("long")], F.floor(F.col(us) / (30 * 86_400_000_000)).cast("long"), [F.col(us), *order])

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import INTERNAL, inbound
 from ..functions.values import id_of
-from .ranges import BUCKET_WIDTHS, islands, over_range
+from .ranges import by_time, chained, numbered, over_range
 
 
 @dataclass(frozen=True)
@@ -41,23 +41,8 @@ def first_of_flow(events: DataFrame) -> DataFrame:
 
 
 def episodes(rows: DataFrame, metric: Column, threshold: int, seconds: int) -> DataFrame:
-    """Member rows of each source's episodes: adds episode (its start), value and window_end of their own window.
-
-    A row's window is [us, us + seconds]; it qualifies when the metric over it
-    reaches the threshold, and ends at its last observed row. Qualifying windows
-    chain while the next starts no later than the last one's end.
-    """
-    width = seconds * 1_000_000
-    seen = over_range(rows, ["src_ip"], "us", 0, width, {"value": metric, "window_end": F.max("us")})
-    if seen.schema["value"].dataType.typeName() == "array":
-        seen = seen.withColumn("value", F.size("value"))
-    seen = seen.withColumn("_q", F.when(F.col("value") >= threshold, F.col("window_end")))
-    hits = seen.where("_q is not null").select("src_ip", "us", "window_end").distinct()
-    marked = islands(hits, "src_ip", "us", "window_end", BUCKET_WIDTHS * width, "_island").select(F.col("src_ip").alias("_s"), F.col("us").alias("_u"), "_island")
-    seen = seen.join(marked, F.col("src_ip").eqNullSafe(F.col("_s")) & (F.col("us") == F.col("_u")), "left").drop("_s", "_u")
-    # a row is a member of the last episode with a qualifying start at most a window ago
-    out = over_range(seen, ["src_ip"], "us", -width, 0, {"episode": F.max("_island")})
-    return out.where("episode is not null").withColumn("value", F.when(F.col("_island").isNotNull(), F.col("value"))).drop("_q", "_island")
+    """Member rows of each source's episodes, as ranges.chained() gives them."""
+    return chained(rows, "src_ip", "us", seconds * 1_000_000, metric, threshold)
 
 
 def _sorted_set(c) -> Column:
@@ -68,9 +53,9 @@ def _finding(rule: Rule, members: DataFrame, extra: dict[str, Column]) -> DataFr
     none = {"event_ids": "array<long>", "flow_ids": "array<long>", "destination_ips": "array<string>", "destination_ports": "array<int>", "anomaly_types": "array<string>"}
     top = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("value")).alias("v"), "us")))
     got = members.groupBy("src_ip", "episode").agg(F.max(F.when(F.col("value").isNotNull(), F.col("window_end"))).alias("end_us"), top.alias("top"), *[c.alias(n) for n, c in extra.items()])
-    number = F.row_number().over(Window.orderBy("src_ip", "episode"))
+    got = numbered(got, "_number", [F.col("src_ip")], F.left("src_ip", F.lit(4)), [F.col("episode")])
     columns = {
-        "rule_id": F.lit(rule.rule_id), "rule_name": F.lit(rule.name), "priority": F.lit(rule.priority), "source_ip": F.col("src_ip"), "start_us": F.col("episode"), "episode_id": id_of(rule.rule_id, number),
+        "rule_id": F.lit(rule.rule_id), "rule_name": F.lit(rule.name), "priority": F.lit(rule.priority), "source_ip": F.col("src_ip"), "start_us": F.col("episode"), "episode_id": id_of(rule.rule_id, F.col("_number")),
         "max_value": (-F.col("top.v")).cast("long"), "max_us": F.col("top.us"),
     }
     for n in ("total_flows", "total_events"):
@@ -124,5 +109,4 @@ def all_findings(parts: list[DataFrame]) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    ordinal = F.row_number().over(Window.orderBy("start_us", "rule_id", "source_ip"))
-    return every.withColumn("ordinal", ordinal.cast("long")).withColumn("finding_id", id_of("", F.col("ordinal"))).withColumn("finding_id", F.concat("rule_id", "finding_id"))
+    return by_time(every, "ordinal", "start_us", [F.col("rule_id"), F.col("source_ip")]).withColumn("finding_id", id_of("", F.col("ordinal"))).withColumn("finding_id", F.concat("rule_id", "finding_id"))

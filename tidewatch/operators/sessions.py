@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import id_of, whole_seconds
+from .ranges import by_time, islands
 
 GAP_SECONDS = 300
 
@@ -40,13 +41,11 @@ def sessions(flow_rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
         *[F.array_sort(F.collect_set(c)).alias(f"{n}_ports") for c, n in (("src_port", "source"), ("dest_port", "destination"))], F.array_sort(F.collect_list("flow_id")).alias("flow_ids"),
     )
     got = got.withColumn("duration_seconds", whole_seconds(F.col("first_us"), F.col("last_us"))).drop("session_start")
-    order = Window.orderBy("first_us", F.asc_nulls_first("src_ip"), F.asc_nulls_first("dest_ip"), F.asc_nulls_first("proto"), "last_us")
-    return got.withColumn("session_id", id_of("SESSION", F.row_number().over(order), 5))
+    got = by_time(got, "_number", "first_us", [F.asc_nulls_first("src_ip"), F.asc_nulls_first("dest_ip"), F.asc_nulls_first("proto"), F.col("last_us")])
+    return got.withColumn("session_id", id_of("SESSION", F.col("_number"), 5)).drop("_number")
 
 
 def _marked(rows: DataFrame, size: int) -> DataFrame:
-    from .ranges import islands
-
     return islands(rows, "key", "start_us", "reach", size, "session_start").drop("key", "reach")
 
 

@@ -448,7 +448,10 @@ hit as (select case_id, path from cs join cap on make_timestamp(first_us)::date
 asg as (select * from hit union all select case_id, path from cs join cap on true where case_id not in (select case_id from hit))""", "select case_id, count(*) as captures, min(path) as first_capture from asg group by 1"),
         "case_sessions": _with(W_CASES + ",\n" + W_SESSIONS[len(W_EV) + 2 :], "select case_id, session_id from cs join ss on list_contains(source_ips, src_ip) and ss.first_us <= cs.last_us and ss.last_us >= cs.first_us and (len(cs.destination_ips) = 0 or list_contains(cs.destination_ips, dest_ip))"),
         "finding_number_features": _with(W_FINDINGS, "select rule_id, " + ", ".join(f"{f}(case when rule_id in ({r}) then {c} end)::double as {n}_{f}" for n, c, r in (("details_total_flows", "total_flows", "'R01', 'R02', 'R04'"), ("details_failed_attempts", "max_value", "'R03'"), ("details_max_port_count", "max_value", "'R02'")) for f in ("sum", "max")) + ", sum(len(event_ids))::double as event_ids_length_sum from fi group by 1"),
-        "percentile_scores": "select p_partkey, round((rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0::double) / count(*) over () * 100, 2) as priority_score from part",
+        "percentile_scores": """with v as (select p_partkey, (rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0::double) / count(*) over () * 100.0::double as x from part),
+e as (select *, x * 100.0::double as p, x * 134217729.0::double - (x * 134217729.0::double - x) as h from v)
+select p_partkey, case when p - floor(p) = 0.5 then floor(p) + case when (h * 100.0::double - p) + (x - h) * 100.0::double > 0 or (h * 100.0::double - p) + (x - h) * 100.0::double = 0 and floor(p) % 2 = 1 then 1.0::double else 0.0::double end
+  else round_even(p, 0) end / 100.0::double as priority_score from e""",
         "daily_counts": _with(W_EV, "select strftime(make_timestamp(us)::date, '%Y-%m-%d') as day, count(*) as events from ev group by 1"),
         "type_histogram": _with(W_EV, "select event_type, count(*) as events from ev group by 1"),
         "suspicious_events": _with(W_FINDINGS, "select count(distinct i) as suspicious from (select unnest(event_ids) as i from fi)"),

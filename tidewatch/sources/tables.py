@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS, ContractError, require_columns
@@ -10,6 +12,22 @@ from ..schemas import KEYS, ContractError, require_columns
 LIGHT = ("id", "us", "flow_id", "src_ip", "dest_ip", "dest_port")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Unset, a temporary one on a local master, which has one machine; an error on any other."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ContractError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -28,15 +46,12 @@ def append_new(df: DataFrame, root: str, table: str, partition_by: list[str] | N
     spark, path, keys = df.sparkSession, f"{root}/{table}", list(KEYS[table])
     require_columns(df, keys, table)
     new = df.dropDuplicates(keys)
-    there = exists(spark, path)
-    before = 0
-    if there:
-        old = spark.read.parquet(path).select(*keys)
-        before = old.count()
-        new = new.join(old, keys, "left_anti")
-    writer = new.write.mode("append")
+    if exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    seen = Observation()
+    writer = new.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(new.schema).parquet(path).count() - before
+    return seen.get["rows"]
 
 
 def replace(df: DataFrame, root: str, table: str) -> None:
