@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import id_of
-from ..sources.tables import shared_folder
+from ..sources.tables import stored
 from .ranges import by_time
 
 WINDOW_SECONDS = 300
@@ -49,23 +47,15 @@ def relations(findings: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     return out.where("strength is not null")
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage through a table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): smallest id reachable. nodes: id. Labels spread to neighbours and then jump to their label's label."""
-    pairs = _stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a")).distinct(), "edges")
-    labels = _stored(nodes.select("id", F.col("id").alias("root")), "labels")
+    pairs = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a")).distinct(), "edges")
+    labels = stored(nodes.select("id", F.col("id").alias("root")), "labels")
     while True:
         near = pairs.join(labels, F.col("y") == F.col("id")).groupBy("x").agg(F.min("root").alias("m"))
         step = labels.join(near, F.col("id") == F.col("x"), "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         up = step.select(F.col("id").alias("p"), F.col("root").alias("g"))
-        nxt = _stored(step.join(up, F.col("root") == F.col("p")).select("id", F.least("root", "g").alias("root"), "old"), "labels")
+        nxt = stored(step.join(up, F.col("root") == F.col("p")).select("id", F.least("root", "g").alias("root"), "old"), "labels")
         if nxt.where("root <> old").isEmpty():
             return nxt.select("id", "root")
         labels = nxt.drop("old")
@@ -73,7 +63,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def cases(findings: DataFrame, relation_rows: DataFrame) -> DataFrame:
     """One row per component of findings, numbered by first start."""
-    findings, relation_rows = _stored(findings, "findings"), _stored(relation_rows, "relations")
+    findings, relation_rows = stored(findings, "findings"), stored(relation_rows, "relations")
     roots = components(relation_rows.select("a", "b"), findings.select(F.col("ordinal").alias("id")))
     rows = findings.join(roots, F.col("ordinal") == F.col("id"))
     got = rows.groupBy("root").agg(
@@ -84,7 +74,7 @@ def cases(findings: DataFrame, relation_rows: DataFrame) -> DataFrame:
         F.min("strength").alias("weak"), F.max("strength").alias("strong"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("correlation_reasons"))
     out = got.join(linked, "root", "left").withColumn("correlation_strength", F.coalesce("strong", F.lit("Single")))
     out = out.withColumn("correlation_reasons", F.coalesce("correlation_reasons", F.array().cast("array<string>")))
-    return by_time(out, "_number", "first_us", [F.col("root")]).withColumn("case_id", id_of("CASE", F.col("_number"))).drop("root", "weak", "strong", "_number")
+    return by_time(stored(out, "cases"), "_number", "first_us", [F.col("root")]).withColumn("case_id", id_of("CASE", F.col("_number"))).drop("root", "weak", "strong", "_number")
 
 
 def case_findings(case_rows: DataFrame) -> DataFrame:

@@ -81,25 +81,31 @@ def chained(df: DataFrame, key: str, at: str, width: int, metric: Column, thresh
     return x.where(own & F.col("episode").isNotNull()).drop("_bucket", "_start", "_before", "_island")
 
 
-def numbered(df: DataFrame, name: str, group: list[Column], coarse: Column, order: list[Column]) -> DataFrame:
-    """df with 1, 2, ... in the order of group and then order.
+def numbered(df: DataFrame, name: str, group: list[Column], coarse: Column, order: list[Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """df with 1, 2, ... in the order of group and then order, anew for each value of the columns within.
 
     Rows are numbered inside their group, on top of the sizes of earlier groups:
     one row per group is summed inside coarse, and one per coarse in one task.
-    coarse must not decrease along group and have few values, such as months.
+    coarse must not decrease along group and have few values, such as months. df
+    is read twice: store what is dear.
     """
-    names = [f"_g{k}" for k in range(len(group))]
-    x = df.withColumns({**dict(zip(names, group, strict=True)), "_coarse": coarse})
+    own = [f"_g{k}" for k in range(len(group))]
+    names = [*within, *own]
+    x = df.withColumns({**dict(zip(own, group, strict=True)), "_coarse": coarse})
     sizes = x.groupBy(*names, "_coarse").agg(F.count("*").alias("_n"))
-    tops = sizes.groupBy("_coarse").agg(F.sum("_n").alias("_n")).select(F.col("_coarse").alias("_c"), (F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_coarse"))) - F.col("_n")).alias("_top"))
-    inside = F.sum("_n").over(Window.partitionBy("_coarse").orderBy(*[F.asc_nulls_first(n) for n in names])) - F.col("_n")
-    offsets = sizes.withColumn("_inside", inside).join(F.broadcast(tops), F.col("_coarse").eqNullSafe(F.col("_c")))  # few by contract
+    top = F.sum("_n").over(Window.partitionBy(*within).orderBy(F.asc_nulls_first("_coarse"))) - F.col("_n")
+    tops = sizes.groupBy(*within, "_coarse").agg(F.sum("_n").alias("_n")).select(*[F.col(c).alias(f"_w{k}") for k, c in enumerate(within)], F.col("_coarse").alias("_c"), top.alias("_top"))
+    inside = F.sum("_n").over(Window.partitionBy(*within, "_coarse").orderBy(*[F.asc_nulls_first(n) for n in own])) - F.col("_n")
+    met = F.col("_coarse").eqNullSafe(F.col("_c"))
+    for k, c in enumerate(within):
+        met = met & F.col(c).eqNullSafe(F.col(f"_w{k}"))
+    offsets = sizes.withColumn("_inside", inside).join(F.broadcast(tops), met)  # few by contract
     offsets = offsets.select(*[F.col(n).alias(f"{n}_") for n in names], (F.col("_inside") + F.col("_top")).alias("_ahead"))
     same = F.lit(True)
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
     row = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-    return x.join(offsets, same).withColumn(name, (row + F.col("_ahead")).cast("long")).drop(*names, *[f"{n}_" for n in names], "_coarse", "_ahead")
+    return x.join(offsets, same).withColumn(name, (row + F.col("_ahead")).cast("long")).drop(*own, *[f"{n}_" for n in names], "_coarse", "_ahead")
 
 
 def by_time(df: DataFrame, name: str, us: str, order: list[Column], seconds: int = 600) -> DataFrame:

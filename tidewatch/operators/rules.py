@@ -1,7 +1,8 @@
 """The four detection rules, on one episode operator.
 
 Input rows: id, us (microseconds), flow_id, src_ip, dest_ip, dest_port. Findings
-share one schema; lists a rule does not carry are empty.
+share one schema; lists a rule does not carry are empty, and episodes have no
+number until with_episode_ids() or all_findings() gives them one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import INTERNAL, inbound
 from ..functions.values import id_of
+from ..sources.tables import stored
 from .ranges import by_time, chained, numbered, over_range
 
 
@@ -53,9 +55,8 @@ def _finding(rule: Rule, members: DataFrame, extra: dict[str, Column]) -> DataFr
     none = {"event_ids": "array<long>", "flow_ids": "array<long>", "destination_ips": "array<string>", "destination_ports": "array<int>", "anomaly_types": "array<string>"}
     top = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("value")).alias("v"), "us")))
     got = members.groupBy("src_ip", "episode").agg(F.max(F.when(F.col("value").isNotNull(), F.col("window_end"))).alias("end_us"), top.alias("top"), *[c.alias(n) for n, c in extra.items()])
-    got = numbered(got, "_number", [F.col("src_ip")], F.left("src_ip", F.lit(4)), [F.col("episode")])
     columns = {
-        "rule_id": F.lit(rule.rule_id), "rule_name": F.lit(rule.name), "priority": F.lit(rule.priority), "source_ip": F.col("src_ip"), "start_us": F.col("episode"), "episode_id": id_of(rule.rule_id, F.col("_number")),
+        "rule_id": F.lit(rule.rule_id), "rule_name": F.lit(rule.name), "priority": F.lit(rule.priority), "source_ip": F.col("src_ip"), "start_us": F.col("episode"), "episode_id": F.lit(None).cast("string"),
         "max_value": (-F.col("top.v")).cast("long"), "max_us": F.col("top.us"),
     }
     for n in ("total_flows", "total_events"):
@@ -65,6 +66,12 @@ def _finding(rule: Rule, members: DataFrame, extra: dict[str, Column]) -> DataFr
     return got.withColumns(columns).select(*FINDING)
 
 
+def with_episode_ids(found: DataFrame) -> DataFrame:
+    """Findings of any rules with their episodes numbered by source and start within each rule; found is stored on the way."""
+    x = numbered(stored(found, "episodes"), "_number", [F.col("source_ip")], F.left("source_ip", F.lit(4)), [F.col("start_us")], within=("rule_id",))
+    return x.withColumn("episode_id", F.concat("rule_id", id_of("", F.col("_number")))).select(*found.columns)
+
+
 def high_connection_rate(events: DataFrame, rule: Rule = R01) -> DataFrame:
     flows = first_of_flow(events.where("flow_id is not null and src_ip is not null and us is not null").select("flow_id", "us", "id", "src_ip", "dest_ip"))
     members = episodes(flows, F.count("*"), rule.threshold, rule.seconds)
@@ -105,8 +112,8 @@ def protocol_anomaly(events: DataFrame, anomalous: Column | None = None, rule: R
 
 
 def all_findings(parts: list[DataFrame]) -> DataFrame:
-    """The rules' findings in order of time with a global number: finding_id, ordinal."""
+    """The rules' findings in order of time with a global number: finding_id, ordinal; their episodes are numbered anew."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return by_time(every, "ordinal", "start_us", [F.col("rule_id"), F.col("source_ip")]).withColumn("finding_id", id_of("", F.col("ordinal"))).withColumn("finding_id", F.concat("rule_id", "finding_id"))
+    return by_time(with_episode_ids(every), "ordinal", "start_us", [F.col("rule_id"), F.col("source_ip")]).withColumn("finding_id", id_of("", F.col("ordinal"))).withColumn("finding_id", F.concat("rule_id", "finding_id"))

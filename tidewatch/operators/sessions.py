@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import id_of, whole_seconds
+from ..sources.tables import stored
 from .ranges import by_time, islands
 
 GAP_SECONDS = 300
@@ -41,7 +42,7 @@ def sessions(flow_rows: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
         *[F.array_sort(F.collect_set(c)).alias(f"{n}_ports") for c, n in (("src_port", "source"), ("dest_port", "destination"))], F.array_sort(F.collect_list("flow_id")).alias("flow_ids"),
     )
     got = got.withColumn("duration_seconds", whole_seconds(F.col("first_us"), F.col("last_us"))).drop("session_start")
-    got = by_time(got, "_number", "first_us", [F.asc_nulls_first("src_ip"), F.asc_nulls_first("dest_ip"), F.asc_nulls_first("proto"), F.col("last_us")])
+    got = by_time(stored(got, "sessions"), "_number", "first_us", [F.asc_nulls_first("src_ip"), F.asc_nulls_first("dest_ip"), F.asc_nulls_first("proto"), F.col("last_us")])
     return got.withColumn("session_id", id_of("SESSION", F.col("_number"), 5)).drop("_number")
 
 

@@ -9,6 +9,7 @@ from ..functions.net import community_id, is_internal
 from ..functions.values import json_ids
 from ..operators import anomaly, correlation, dashboard, evidence, prioritize, rules, sessions
 from ..sources import adapter, ndjson
+from ..sources.tables import stored
 from . import pipeline
 
 HOURS = 6
@@ -35,7 +36,7 @@ def findings_df(spark, sf_dir):
 
 
 def stored_findings(spark, sf_dir):
-    return correlation._stored(findings_df(spark, sf_dir), "findings")
+    return stored(findings_df(spark, sf_dir), "findings")
 
 
 def cases_df(found):
@@ -43,19 +44,19 @@ def cases_df(found):
 
 
 def r01_high_connection_rate(spark, sf_dir):
-    return flat(rules.high_connection_rate(ev(spark, sf_dir), WIDE.r01).select("episode_id", *EXPORTED))
+    return flat(rules.with_episode_ids(rules.high_connection_rate(ev(spark, sf_dir), WIDE.r01)).select("episode_id", *EXPORTED))
 
 
 def r02_multi_port(spark, sf_dir):
-    return flat(rules.multi_port(ev(spark, sf_dir), WIDE.r02).select("episode_id", *EXPORTED))
+    return flat(rules.with_episode_ids(rules.multi_port(ev(spark, sf_dir), WIDE.r02)).select("episode_id", *EXPORTED))
 
 
 def r03_failed_authentication(spark, sf_dir):
-    return flat(rules.failed_authentication(ev(spark, sf_dir), alert(), WIDE.r03).select("episode_id", *EXPORTED))
+    return flat(rules.with_episode_ids(rules.failed_authentication(ev(spark, sf_dir), alert(), WIDE.r03)).select("episode_id", *EXPORTED))
 
 
 def r04_protocol_anomaly(spark, sf_dir):
-    return flat(rules.protocol_anomaly(ev(spark, sf_dir), alert(), WIDE.r04).select("episode_id", *EXPORTED))
+    return flat(rules.with_episode_ids(rules.protocol_anomaly(ev(spark, sf_dir), alert(), WIDE.r04)).select("episode_id", *EXPORTED))
 
 
 def findings(spark, sf_dir):
@@ -191,7 +192,7 @@ def finding_number_features(spark, sf_dir):
 
 def features_and_cases(spark, sf_dir):
     found = stored_findings(spark, sf_dir)
-    c = correlation._stored(cases_df(found), "cases")
+    c = stored(cases_df(found), "cases")
     return prioritize.case_features(c, found, sessions_df(spark, sf_dir)), c
 
 
@@ -201,7 +202,7 @@ def case_features(spark, sf_dir):
 
 def case_priorities(spark, sf_dir):
     f, c = features_and_cases(spark, sf_dir)
-    return prioritize.ranked(c, prioritize.scores(correlation._stored(f, "features"), c)).select("case_id", "priority_rank", "priority_score", "priority_level", "isolation_forest_score", "isolation_forest_classification")
+    return prioritize.ranked(c, prioritize.scores(stored(f, "features"), c)).select("case_id", "priority_rank", "priority_score", "priority_level", "isolation_forest_score", "isolation_forest_classification")
 
 
 def percentile_scores(spark, sf_dir):
