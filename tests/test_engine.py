@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions import net, values
 from tidewatch.functions.net import community_id, is_internal
 from tidewatch.functions.values import json_ids, modified_z, parse_time, safe_name
 from tidewatch.operators import anomaly, correlation, evidence, prioritize, rules, sessions
@@ -201,7 +202,9 @@ def test_capture_choice_prefers_the_date(spark):
     c = spark.createDataFrame([("CASE-0001", 1_781_000_000_000_000), ("CASE-0002", 1_700_000_000_000_000)], "case_id string, first_us long")
     caps = spark.createDataFrame([("/a/dump-2026-06-09.pcap",), ("/a/other.pcap",)], "pcap_path string")
     got = sorted((r.case_id, r.pcap_path) for r in evidence.capture_assignment(c, caps).collect())
-    assert got == [("CASE-0001", "/a/dump-2026-06-09.pcap"), ("CASE-0002", "/a/dump-2026-06-09.pcap"), ("CASE-0002", "/a/other.pcap")]
+    assert got == [("CASE-0001", "/a/dump-2026-06-09.pcap"), ("CASE-0002", None)]
+    rows = spark.createDataFrame([("CASE-0001", "/a/other.pcap", 1), ("CASE-0001", "/a/dump-2026-06-09.pcap", 2), ("CASE-0002", "/a/other.pcap", 3)], "case_id string, pcap_path string, packet_number long")
+    assert sorted(r.packet_number for r in evidence.in_assigned(rows, evidence.capture_assignment(c, caps)).collect()) == [2, 3]
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
@@ -256,3 +259,92 @@ def test_empty_events_give_empty_tables(spark, tmp_path):
     pipeline.analyse(spark, root, with_anomaly=True)
     assert {t: tables.scan(spark, root, t).count() for t in ("sessions", "findings", "cases", "anomaly_findings")} == dict.fromkeys(("sessions", "findings", "cases", "anomaly_findings"), 0)
     assert pipeline.prioritized(spark, root, trees=5).count() == 0
+
+
+def test_ipv6_bytes_equal_the_library(spark):
+    import ipaddress
+
+    good = ["::", "::1", "fe80::1", "2001:DB8::", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1", "64:ff9b::192.0.2.33", "1::8", "1:2:3:4:5:6:1.2.3.4", "0:0:0:0:0:0:0:0"]
+    bad = [":", "1:2", "1:2:3:4:5:6:7:8:9", "::1::", "12345::", "g::", "::1.2.3", "1:2:3:4:5:6:7::8:9", "10.0.0.1", "", None, "1:::2", "::300.1.1.1"]
+    got = {r.ip: r.b for r in spark.createDataFrame([(x,) for x in good + bad], "ip string").select("ip", net.ipv6_bytes(F.col("ip")).alias("b")).collect()}
+    assert {x: bytes(got[x]) for x in good} == {x: ipaddress.ip_address(x).packed for x in good}
+    assert {x: got[x] for x in bad} == dict.fromkeys(bad)
+
+
+def test_files_of_one_name_and_ids_that_last(spark, tmp_path):
+    root = str(tmp_path / "db")
+    for d in "abc":
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "eve.json").write_text("".join('{"timestamp": "2026-01-02T03:04:05Z", "event_type": "flow", "flow_id": %d}\n' % (ord(d) * 10 + k) for k in range(3)))
+    assert pipeline.ingest(spark, [f"{tmp_path}/b/eve.json", f"{tmp_path}/c/eve.json"], root).first().new_rows == 6
+    before = {r.flow_id: r.id for r in tables.scan(spark, root, "events").collect()}
+    assert pipeline.ingest(spark, [f"{tmp_path}/a/eve.json", f"{tmp_path}/b/eve.json"], root).first().new_rows == 3
+    after = {r.flow_id: (r.id, r.line_no) for r in tables.scan(spark, root, "events").collect()}
+    assert len(after) == 9 == len({i for i, _ in after.values()}) and all(after[f][0] == i for f, i in before.items())
+    assert sorted(n for _, n in after.values()) == [1, 1, 1, 2, 2, 2, 3, 3, 3]
+
+
+def test_id_lists_are_exact_and_rounding_is_binary(spark):
+    x = spark.createDataFrame([("[9007199254740993, 7234567890123456789, 1.0, \"12\", \"x\", null, 1e3, -5]",), ("junk",), (None,)], "t string")
+    assert [r.ids for r in x.select(values.json_ids(F.col("t")).alias("ids")).collect()] == [[9007199254740993, 7234567890123456789, 1, 12, 1000, -5], [], []]
+    rng = np.random.default_rng(1)
+    data = [k / 8 for k in range(80)] + [2.675, 1.005, 0.015, 99.995] + (rng.integers(0, 100_000, 2000) / 1000).tolist() + (np.arange(1, 2001) / 2000 * 100).tolist()
+    got = spark.createDataFrame([(v,) for v in data], "v double").select("v", values.round2(F.col("v")).alias("r")).collect()
+    assert all(r.r == round(r.v, 2) for r in got)
+
+
+def test_numbering_equals_one_sorted_list(spark):
+    from tidewatch.operators.ranges import by_time, numbered
+
+    r = np.random.default_rng(2)
+    rows = [(int(a) * 400_000_000, f"10.0.{b}.1", k) for k, (a, b) in enumerate(zip(r.integers(-50, 4000, 500), r.integers(0, 30, 500), strict=True))]
+    df = spark.createDataFrame(rows, "us long, ip string, k long")
+    assert [x.k for x in by_time(df, "n", "us", [F.col("ip"), F.col("k")]).orderBy("n").collect()] == [x[2] for x in sorted(rows)]
+    df = df.withColumn("w", F.col("k") % 2)
+    got = numbered(df, "n", [F.col("ip")], F.left("ip", F.lit(4)), [F.col("k")], within=("w",)).collect()
+    for w in (0, 1):
+        assert [x.k for x in sorted((g for g in got if g.w == w), key=lambda g: g.n)] == [x[2] for x in sorted((x for x in rows if x[2] % 2 == w), key=lambda x: (x[1], x[2]))]
+        assert sorted(g.n for g in got if g.w == w) == list(range(1, 251))
+
+
+def test_next_generation_captures_ipv6_and_export(spark, tmp_path):
+    v6 = bytes([0x60, 0, 0, 0, 0, 8, 17, 64]) + bytes(15) + b"\x01" + bytes(15) + b"\x02" + struct.pack(">HHHH", 53, 5353, 8, 0)
+    frame_ = bytes(12) + b"\x81\x00\x00\x05\x86\xdd" + v6
+    block = lambda kind, body: struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+    pad = lambda b: b + bytes(-len(b) % 4)
+    us = 1_780_000_000_250_000
+    packet = lambda at: block(6, struct.pack("<IIIII", 0, at >> 32, at & 0xFFFFFFFF, len(frame_), len(frame_)) + pad(frame_))
+    data = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0)) + packet(us) + block(4, bytes(4)) + packet(us + 1_000_000)
+    (tmp_path / "x.pcapng").write_bytes(data + data[:7])
+    spark.dataSource.register(pcap.CaptureSource)
+    got = spark.read.format("tidewatch_pcap").load(str(tmp_path)).orderBy("packet_number").collect()
+    assert [(r.packet_number, r.packet_epoch, r.src_ip, r.src_port, r.dest_ip, r.dest_port, r.protocol) for r in got] == [(k + 1, 1_780_000_000.25 + k, "::1", 53, "::2", 5353, "UDP") for k in range(2)]
+    rows = spark.createDataFrame([("CASE-0001", got[0].pcap_path, 2), ("CASE-0002", got[0].pcap_path, 1), ("CASE-0002", got[0].pcap_path, 2)], "case_id string, pcap_path string, packet_number long")
+    done = pcap.export_cases(rows, f"{tmp_path}/out").orderBy("case_id").collect()
+    assert [(r.case_id, r.packets) for r in done] == [("CASE-0001", 1), ("CASE-0002", 2)]
+    with open(done[0].file, "rb") as f:
+        assert [(n, e, fr) for n, e, _, _, fr in pcap.frames(f)] == [(1, 1_780_000_001.25, frame_)]
+    assert len(list((tmp_path / "out").iterdir())) == 2
+
+
+def test_filters_for_ipv6_and_in_batches(spark):
+    s = spark.createDataFrame([("C", k, "::1" if k % 2 else "10.0.0.1", 1, "::2" if k % 2 else "10.0.0.2", None, 0, 1) for k in range(1, 60)], "case_id string, ord int, src_ip string, src_port int, dest_ip string, dest_port int, first_us long, last_us long")
+    f = evidence.display_filter(s)
+    assert {("ipv6.src == ::1" in r.filter, "(ip.src == 10.0.0.1" in r.filter) for r in f.collect()} == {(True, False), (False, True)}
+    b = evidence.filter_batches(f, 1000).orderBy("batch").collect()
+    assert [r.batch for r in b] == list(range(1, len(b) + 1)) and all(len(r.filter) <= 1000 for r in b) and len(b) > 5
+    assert " || ".join(r.filter for r in b) == " || ".join(r.filter for r in f.orderBy("ord").collect())
+
+
+def test_features_as_columns_and_runs_noted(spark, tmp_path):
+    root = str(tmp_path / "db")
+    rows = [event(i, i % 50, port=80 + i % 4) for i in range(30)] + [event(90, 9000)] + [event(50 + i, 30 + i, kind="anomaly") for i in range(3)]
+    frame(spark, rows).withColumns({"source_file": F.lit("f"), "line_no": F.col("id")}).write.parquet(f"{root}/events")
+    pipeline.analyse(spark, root, with_anomaly=True)
+    found = tables.scan(spark, root, "findings").collect()
+    assert all(r.description.startswith(r.source_ip) and '"episode_id"' in r.details for r in found)
+    assert sorted(r.status for r in tables.scan(spark, root, "anomaly_runs").collect()) == ["finished", "started"]
+    c = tables.scan(spark, root, "cases")
+    w = prioritize.wide(pipeline.features(spark, root), c)
+    assert w.count() == c.count() and w.columns[0] == "case_id"
+    assert all(r.features["finding_count"] >= 1 for r in pipeline.prioritized(spark, root, trees=10, embed=True).collect())

@@ -1,11 +1,11 @@
-"""Command line: ingest, analyse, anomaly, evidence, prioritize."""
+"""Command line: ingest, analyse, anomaly, evidence, sessions, cases, prioritize."""
 
 from __future__ import annotations
 
 import argparse
 from dataclasses import replace
 
-from .operators import anomaly
+from .operators import anomaly, evidence, prioritize, sessions
 from .plans import pipeline
 from .session import build_session
 from .sources import pcap, tables
@@ -31,15 +31,24 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--case-id", action="append", default=[])
     e.add_argument("--limit", type=int)
     e.add_argument("--time-padding", type=float, default=2.0)
+    e.add_argument("--pcap-dir", action="append", default=[], help="folder searched for captures")
+    e.add_argument("--export-dir", help="folder for each case's packets, as capture files")
+    e.add_argument("--show-filter", action="store_true", help="print display filters and stop")
+    e.add_argument("--show", type=int, help="print so many packets in order of time")
+    sub.add_parser("sessions").add_argument("--top", type=int, default=10)
+    c = sub.add_parser("cases")
+    c.add_argument("--top", type=int, default=25)
     r = sub.add_parser("prioritize")
     r.add_argument("--json")
     r.add_argument("--csv")
+    r.add_argument("--feature-csv", help="the features of each case, one column each")
+    r.add_argument("--embed-features", action="store_true", help="features as a map in the JSON")
     return p
 
 
 def main(argv=None) -> None:
     args = parser().parse_args(argv)
-    spark = build_session()
+    spark = build_session(**{"spark.checkpoint.dir": f"{args.root}/_scratch"})
     s = pipeline.Settings()
     if args.command in ("analyse", "anomaly"):
         anomaly.check(args.window_seconds, args.threshold, args.min_source_windows)
@@ -53,20 +62,33 @@ def main(argv=None) -> None:
         anomaly.top(tables.scan(spark, args.root, "anomaly_findings", where=f"window_seconds = {s.window_seconds}"), args.top).show(args.top, False)
     elif args.command == "evidence":
         spark.dataSource.register(pcap.CaptureSource)
-        reads = [pcap.with_micros(spark.read.format("tidewatch_pcap").load(p)) for p in args.pcap] + [pcap.read_tsv(spark, p) for p in args.tsv]
+        if args.show_filter:
+            pipeline.case_filters(spark, args.root, args.case_id, args.limit, args.time_padding).show(1000, False)
+            return
+        captures = args.pcap + [r.pcap_path for d in args.pcap_dir for r in pcap.discover(spark, d).toLocalIterator()]
+        reads = [pcap.with_micros(spark.read.format("tidewatch_pcap").load(p)) for p in captures] + [pcap.read_tsv(spark, p) for p in args.tsv]
         if not reads:
-            raise SystemExit("give --pcap or --tsv")
-        from .operators.evidence import merge_packets
-
+            raise SystemExit("give --pcap, --pcap-dir or --tsv")
         names = [c for c in reads[0].columns]
-        print(pipeline.link_evidence(spark, args.root, merge_packets([r.select(*names) for r in reads]), replace(s, padding_seconds=args.time_padding), args.case_id, args.limit))
+        print(pipeline.link_evidence(spark, args.root, evidence.merge_packets([r.select(*names) for r in reads]), replace(s, padding_seconds=args.time_padding), args.case_id, args.limit))
+        if args.show:
+            evidence.by_packet_time(tables.scan(spark, args.root, "pcap_evidence"), args.show).show(args.show, False)
+        if args.export_dir:
+            pcap.export_cases(tables.scan(spark, args.root, "pcap_evidence"), args.export_dir).show(1000, False)
+    elif args.command == "sessions":
+        sessions.largest(tables.scan(spark, args.root, "sessions"), args.top).show(args.top, False)
+    elif args.command == "cases":
+        tables.scan(spark, args.root, "cases").orderBy("first_us", "case_id").limit(args.top).show(args.top, False)
     elif args.command == "prioritize":
-        got = pipeline.prioritized(spark, args.root)
+        got = tables.stored(pipeline.prioritized(spark, args.root, embed=args.embed_features), "ranked")
         got.orderBy("priority_rank").show(25, False)
         if args.json:
             tables.export_json(got, args.json)
         if args.csv:
-            tables.export_csv(got, args.csv)
+            tables.export_csv(got.drop("features"), args.csv)
+        if args.feature_csv:
+            tables.export_csv(prioritize.wide(pipeline.features(spark, args.root), tables.scan(spark, args.root, "cases")), args.feature_csv)
+    tables.clear(spark)
 
 
 if __name__ == "__main__":

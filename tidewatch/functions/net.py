@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,20 +37,33 @@ def inbound(src: Column, dest: Column, networks=INTERNAL) -> Column:
     return ~is_internal(src, networks) & is_internal(dest, networks)
 
 
-def _packed_v6(ips: pd.Series) -> pd.Series:
-    def one(ip):
-        try:
-            return ipaddress.ip_address(ip).packed if ip and ":" in ip else None
-        except ValueError:
-            return None
+def _groups(text: Column) -> Column:
+    """The groups of one side of an IPv6 address, a dotted quad as two groups; junk stays and is found by length or form."""
+    tail = F.lower(F.hex(ipv4_number(F.substring_index(text, ":", -1))))
+    quad = F.lpad(tail, 8, "0")
+    whole = F.when(text.contains("."), F.concat(F.left(text, F.length(text) - F.length(F.substring_index(text, ":", -1))), F.left(quad, F.lit(4)), F.lit(":"), F.right(quad, F.lit(4)))).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, ":", -1))
 
-    return ips.map(one)
+
+def ipv6_bytes(ip: Column) -> Column:
+    """Sixteen bytes of an IPv6 address in any of its text forms, without a zone; null for anything else."""
+    sides = F.split(F.when(ip.contains(":"), F.lower(ip)), "::", -1)
+
+    def made(x: Column) -> Column:
+        n = F.size(x["l"]) + F.size(x["r"])
+        fill = F.array_repeat(F.lit("0"), F.when(x["gap"], 8 - n).otherwise(0))
+        every = F.concat(x["l"], fill, x["r"])
+        ok = F.when(x["gap"], n <= 7).otherwise(n == 8) & F.forall(F.concat(x["l"], x["r"]), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(ok, F.unhex(F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")))
+
+    gap = F.size(sides) == 2
+    return F.when(F.size(sides).isin(1, 2), let(F.struct(gap.alias("gap"), _groups(F.get(sides, F.lit(0))).alias("l"), F.when(gap, _groups(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>")).alias("r")), made))
 
 
 def packed(ip: Column, ipv6: bool = False) -> Column:
-    """Network-order bytes of an address; IPv6 needs an Arrow function and is off by default."""
+    """Network-order bytes of an address."""
     v4 = F.unhex(F.lpad(F.hex(ipv4_number(ip)), 8, "0"))
-    return F.coalesce(v4, F.pandas_udf(_packed_v6, "binary")(ip)) if ipv6 else v4
+    return F.coalesce(v4, ipv6_bytes(ip)) if ipv6 else v4
 
 
 def community_id(src_ip: Column, src_port: Column, dest_ip: Column, dest_port: Column, proto: Column, seed: int = 0, ipv6: bool = False) -> Column:

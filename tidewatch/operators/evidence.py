@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PADDING_SECONDS = 2.0
+HOUR_US = 3_600_000_000
 TUPLE = ("src_ip", "src_port", "dest_ip", "dest_port", "proto")
 
 
@@ -45,12 +46,18 @@ def packet_matches(packets: DataFrame, selector_rows: DataFrame, padding_seconds
 
     Addresses and ports must agree in one direction, a null selector port fits
     any; with timed the packet's time must lie in the padded range. Addresses
-    are the join key, the rest filters its rows.
+    are the join key, with timed also the hour, so that a busy pair of addresses
+    is spread over its time; the rest filters its rows.
     """
     pad = int(padding_seconds * 1_000_000)
     s = _oriented(selector_rows)
+    if timed:
+        hour = lambda c: F.floor(c / HOUR_US).cast("long")
+        s = s.withColumn("s_hour", F.explode(F.sequence(hour(F.col("first_us") - pad), hour(F.col("last_us") + pad))))
+        packets_at = packets.withColumn("_hour", hour(F.col("packet_us")))
     fits = lambda c: F.col(f"s_{c}").isNull() | (F.col(f"s_{c}") == F.col(c))
-    x = packets.join(s, (F.col("src_ip") == F.col("s_src_ip")) & (F.col("dest_ip") == F.col("s_dest_ip")) & fits("src_port") & fits("dest_port"))
+    on = (F.col("src_ip") == F.col("s_src_ip")) & (F.col("dest_ip") == F.col("s_dest_ip")) & fits("src_port") & fits("dest_port")
+    x = packets_at.join(s, on & (F.col("_hour") == F.col("s_hour"))) if timed else packets.join(s, on)
     if timed:
         x = x.where(F.col("packet_us").between(F.col("first_us") - pad, F.col("last_us") + pad))
     keys = ["case_id", *packets.columns]
@@ -61,25 +68,43 @@ def display_filter(selector_rows: DataFrame, padding_seconds: float = PADDING_SE
     """(case_id, ord, filter): a capture tool's boolean expression for each selector, both directions and padded time."""
     def part(a: str, b: str):
         port = lambda c, side: F.when(F.col(c).isNotNull(), F.concat(F.lit(f" && (tcp.{side}port == "), F.col(c).cast("string"), F.lit(f" || udp.{side}port == "), F.col(c).cast("string"), F.lit(")"))).otherwise("")
-        return F.concat(F.lit("(ip.src == "), F.col(f"{a}_ip"), F.lit(" && ip.dst == "), F.col(f"{b}_ip"), port(f"{a}_port", "src"), port(f"{b}_port", "dst"), F.lit(")"))
+        kind = F.when(F.col(f"{a}_ip").contains(":"), "ipv6").otherwise("ip")
+        return F.concat(F.lit("("), kind, F.lit(".src == "), F.col(f"{a}_ip"), F.lit(" && "), kind, F.lit(".dst == "), F.col(f"{b}_ip"), port(f"{a}_port", "src"), port(f"{b}_port", "dst"), F.lit(")"))
 
     second = lambda c, d: ((F.col(c) + int(d * 1_000_000)).cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)").cast("string")
     time = F.concat(F.lit(" && frame.time_epoch >= "), second("first_us", -padding_seconds), F.lit(" && frame.time_epoch <= "), second("last_us", padding_seconds))
     return selector_rows.select("case_id", "ord", F.concat(F.lit("("), part("src", "dest"), F.lit(" || "), part("dest", "src"), F.lit(")"), time).alias("filter"))
 
 
-def capture_assignment(case_rows: DataFrame, captures: DataFrame) -> DataFrame:
-    """(case_id, pcap_path): captures whose name holds the UTC date of the case's start, all captures for cases without such.
+def filter_batches(filters: DataFrame, most: int = 6000) -> DataFrame:
+    """(case_id, batch, filter): a case's filters joined by "or" into expressions of at most `most` characters, one of its own where longer."""
+    length = F.length("filter") + 4
+    w = Window.partitionBy("case_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    # a batch begins anew with each multiple of the limit that the running length passes; half the limit keeps sums below it
+    x = filters.withColumn("batch", F.floor((F.sum(length).over(w) - length) / (most // 2)).cast("int"))
+    x = x.groupBy("case_id", "batch", F.when(length > most // 2, F.col("ord")).alias("_own")).agg(F.array_sort(F.collect_list(F.struct("ord", "filter"))).alias("f"))
+    number = F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("f")[0]["ord"]))
+    return x.select("case_id", number.alias("batch"), F.array_join(F.transform("f", lambda r: r["filter"]), " || ").alias("filter"))
 
-    captures is a list of files, far smaller than their content; dates are the
-    join key, and only cases without a dated capture meet all of them.
-    """
+
+def capture_assignment(case_rows: DataFrame, captures: DataFrame) -> DataFrame:
+    """(case_id, pcap_path): captures whose name holds the UTC date of the case's start; a null path, for all captures, for cases without such."""
     dated = captures.withColumn("name", F.element_at(F.split("pcap_path", "/"), -1))
     dated = dated.withColumn("day", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("name", F.lit(r"(?=(\d{4}-?\d{2}-?\d{2}))"), 1), lambda d: F.regexp_replace(d, "-", "")))))
     c = case_rows.select("case_id", F.date_format(F.timestamp_micros("first_us"), "yyyyMMdd").alias("day"))
-    hit = c.join(dated.select("day", "pcap_path"), "day").select("case_id", "pcap_path").distinct()
-    rest = c.join(hit.select("case_id").distinct(), "case_id", "left_anti").select("case_id", F.lit(1).alias("all"))
-    return hit.unionByName(rest.join(captures.select("pcap_path", F.lit(1).alias("all")), "all").select("case_id", "pcap_path"))
+    return c.join(dated.select("day", "pcap_path").distinct(), "day", "left").select("case_id", "pcap_path").distinct()
+
+
+def in_assigned(packet_rows: DataFrame, assignment: DataFrame) -> DataFrame:
+    """Rows (case_id, pcap_path, ...) in a capture that is assigned to their case, or whose case has all captures."""
+    a = assignment.select(F.col("case_id").alias("_case"), F.col("pcap_path").alias("_path"))
+    return packet_rows.join(a, (F.col("case_id") == F.col("_case")) & (F.col("_path").isNull() | (F.col("_path") == F.col("pcap_path"))), "left_semi")
+
+
+def by_packet_time(evidence_rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stored evidence in order of packet time."""
+    out = evidence_rows.orderBy("packet_us", "case_id", "pcap_path", "packet_number")
+    return out.limit(limit) if limit else out
 
 
 def merge_packets(batches: list[DataFrame]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import hour_angle, priority_level, round2, safe_name
+from .evidence import HOUR_US
 
 TREES, SUBSAMPLE, TRAINING_CASES, SEED = 300, 256, 50_000, 42
 #: Numeric keys of findings that become sum, mean and max features.
@@ -18,9 +19,13 @@ FINDING_NUMBERS = ("event_ids_length", "session_ids_length", "details_max_flow_c
 
 def matching_sessions(case_rows: DataFrame, session_rows: DataFrame) -> DataFrame:
     """(case_id, session columns): same source, overlapping time, and destination among the case's unless it has none."""
+    # sources and hours are the key; a pair that shares several hours counts in the first of them
+    hour = lambda c: F.floor(c / HOUR_US).cast("long")
     c = case_rows.select("case_id", F.explode("source_ips").alias("c_src"), F.col("first_us").alias("c_first"), F.col("last_us").alias("c_last"), F.col("destination_ips").alias("c_dest"))
-    on = (F.col("src_ip") == F.col("c_src")) & (F.col("first_us") <= F.col("c_last")) & (F.col("last_us") >= F.col("c_first")) & ((F.size("c_dest") == 0) | F.array_contains("c_dest", F.col("dest_ip")))
-    return c.join(session_rows, on).select("case_id", *session_rows.columns)
+    c = c.withColumn("c_hour", F.explode(F.sequence(hour(F.col("c_first")), hour(F.col("c_last")))))
+    s = session_rows.withColumn("_hour", F.explode(F.sequence(hour(F.col("first_us")), hour(F.greatest("first_us", "last_us")))))
+    on = (F.col("_hour") == F.col("c_hour")) & (F.col("_hour") == F.greatest(hour(F.col("first_us")), hour(F.col("c_first")))) & (F.col("src_ip") == F.col("c_src")) & (F.col("first_us") <= F.col("c_last")) & (F.col("last_us") >= F.col("c_first")) & ((F.size("c_dest") == 0) | F.array_contains("c_dest", F.col("dest_ip")))
+    return c.join(s, on).select("case_id", *session_rows.columns)
 
 
 def finding_numbers(findings: DataFrame) -> DataFrame:
@@ -79,6 +84,13 @@ def variable_features(features: DataFrame, n_cases: int) -> list[str]:
     return sorted(r.name for r in got.where("low <> high").select("name").collect())
 
 
+def wide(features: DataFrame, case_rows: DataFrame) -> DataFrame:
+    """A row per case and a column per feature that varies, absent as 0: what the forest is trained on."""
+    names = variable_features(features, case_rows.count())
+    per = features.groupBy("case_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]) if names else features.select("case_id").distinct()
+    return case_rows.select("case_id").join(per, "case_id", "left").fillna(0.0, names)
+
+
 def _average_path(n):
     n = np.asarray(n, float)
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import INTERNAL, inbound
-from ..functions.values import id_of
+from ..functions.values import epoch_iso, id_of
 from ..sources.tables import stored
 from .ranges import by_time, chained, numbered, over_range
 
@@ -117,3 +117,21 @@ def all_findings(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     return by_time(with_episode_ids(every), "ordinal", "start_us", [F.col("rule_id"), F.col("source_ip")]).withColumn("finding_id", id_of("", F.col("ordinal"))).withColumn("finding_id", F.concat("rule_id", "finding_id"))
+
+
+#: The keys under which a rule's greatest count and its time are known.
+COUNT_KEYS = {"R01": ("max_flow_count", "max_flow_timestamp"), "R02": ("max_port_count", "max_port_timestamp"), "R03": ("failed_attempts", None), "R04": ("max_anomaly_count", "max_anomaly_timestamp")}
+UNITS = {"R01": "flows", "R02": "destination ports", "R03": "failed logins", "R04": "protocol anomalies"}
+
+
+def described(found: DataFrame) -> DataFrame:
+    """Findings with a description in words and details as JSON, by the keys of their rule; what a rule lacks is left out."""
+    when = lambda c: epoch_iso(F.col(c) / 1_000_000)
+    full = lambda c: F.when(F.size(c) > 0, F.col(c))
+    details, words = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for rule, (count, at) in COUNT_KEYS.items():
+        begin, end = ("window_start", "window_end") if rule == "R03" else ("episode_start", "episode_end")
+        fields = [F.col("episode_id"), when("start_us").alias(begin), when("end_us").alias(end), F.col("max_value").alias(count), *([when("max_us").alias(at)] if at else []), "total_flows", "total_events", *[full(c).alias(c) for c in ("destination_ips", "destination_ports", "anomaly_types")]]
+        details = F.when(F.col("rule_id") == rule, F.to_json(F.struct(*fields))).otherwise(details)
+        words = F.when(F.col("rule_id") == rule, F.concat("source_ip", F.lit(": up to "), F.col("max_value").cast("string"), F.lit(f" {UNITS[rule]} in a window, from "), when("start_us"), F.lit(" to "), when("end_us"))).otherwise(words)
+    return found.withColumns({"description": words, "details": details})

@@ -34,7 +34,9 @@ class Settings:
 def ingest(spark: SparkSession, inputs, root: str) -> DataFrame:
     """Stores new events; returns counts by status and type. Lines already stored are not stored again."""
     lines = ndjson.classified(ndjson.numbered_lines(spark, inputs))
-    new = tables.append_new(ndjson.events_of(lines).where("ts is not null"), root, "events")
+    known = tables.scan(spark, root, "files") if tables.exists(spark, f"{root}/files") else spark.createDataFrame([], "source_file string, file_no long")
+    tables.append_new(ndjson.file_numbers(lines, known), root, "files")
+    new = tables.append_new(ndjson.events_of(lines, tables.scan(spark, root, "files")).where("ts is not null"), root, "events")
     return ndjson.summary(lines).withColumn("new_rows", F.lit(new))
 
 
@@ -48,10 +50,11 @@ def analyse(spark: SparkSession, root: str, s: Settings = Settings(), with_anoma
     got = sessions.sessions(sessions.flows(events), s.gap_seconds)
     tables.replace(got, root, "sessions")
     tables.replace(sessions.session_flows(tables.scan(spark, root, "sessions")), root, "session_flows")
-    tables.replace(detect(events, s), root, "findings")
+    tables.replace(rules.described(detect(events, s)), root, "findings")
     findings = tables.scan(spark, root, "findings")
     case_rows = correlation.cases(findings, correlation.relations(findings, s.case_seconds))
     tables.store_cases(case_rows, correlation.case_findings(case_rows), findings, root)
+    tables.clear(spark)
     if with_anomaly:
         detect_anomalies(spark, root, s)
 
@@ -59,8 +62,23 @@ def analyse(spark: SparkSession, root: str, s: Settings = Settings(), with_anoma
 def detect_anomalies(spark: SparkSession, root: str, s: Settings = Settings()) -> None:
     """Windows, baselines, findings and links of one window length; other lengths stay as they are."""
     anomaly.check(s.window_seconds, s.threshold, s.min_windows)
+    run_id = uuid.uuid4().hex
+
+    def note(status: str, findings: int | None = None, error: str | None = None) -> None:
+        row = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), F.current_timestamp().alias("at"), F.lit(s.window_seconds).alias("window_seconds"), F.lit(s.threshold).alias("threshold"), F.lit(findings).cast("long").alias("findings"), F.lit(error).cast("string").alias("error"))
+        row.write.mode("append").parquet(f"{root}/anomaly_runs")
+
+    note("started")
+    try:
+        note("finished", _anomaly_tables(spark, root, s))
+    except Exception as e:
+        note("failed", error=str(e)[:500])
+        raise
+
+
+def _anomaly_tables(spark: SparkSession, root: str, s: Settings) -> int:
+    """Writes the four tables of one window length, each from the one before; returns the number of findings."""
     events = tables.scan(spark, root, "events")
-    width = F.lit(s.window_seconds).alias("window_seconds")
     tables.replace_partition(anomaly.windows(events, s.window_seconds), root, "anomaly_windows", s.window_seconds)
     windows = tables.scan(spark, root, "anomaly_windows", where=f"window_seconds = {s.window_seconds}")
     tables.replace_partition(anomaly.baselines(windows, s.min_windows), root, "anomaly_baselines", s.window_seconds)
@@ -68,26 +86,42 @@ def detect_anomalies(spark: SparkSession, root: str, s: Settings = Settings()) -
     tables.replace_partition(anomaly.findings(windows, lines, s.window_seconds, s.threshold), root, "anomaly_findings", s.window_seconds)
     found = tables.scan(spark, root, "anomaly_findings", where=f"window_seconds = {s.window_seconds}")
     tables.replace_partition(anomaly.linked_events(events, found, s.window_seconds), root, "anomaly_events", s.window_seconds)
-    run = spark.range(1).select(F.lit(uuid.uuid4().hex).alias("run_id"), F.current_timestamp().alias("finished_at"), width, F.lit(s.threshold).alias("threshold"), F.lit(found.count()).alias("findings"))
-    run.write.mode("append").parquet(f"{root}/anomaly_runs")
+    return found.count()
 
 
-def link_evidence(spark: SparkSession, root: str, packets: DataFrame, s: Settings = Settings(), case_ids=None, limit: int | None = None) -> tuple[int, int]:
-    """Links cases to events and packets; returns how many links and packets were new."""
-    case_rows = tables.scan(spark, root, "cases")
+def case_filters(spark: SparkSession, root: str, case_ids=None, limit: int | None = None, padding_seconds: float = evidence.PADDING_SECONDS) -> DataFrame:
+    """(case_id, batch, filter) of the chosen cases."""
+    case_rows = _chosen(tables.scan(spark, root, "cases"), case_ids, limit)
+    linked = evidence.case_events(case_rows, tables.scan(spark, root, "findings"), tables.scan(spark, root, "events"))
+    return evidence.filter_batches(evidence.display_filter(evidence.selectors(linked), padding_seconds))
+
+
+def _chosen(case_rows: DataFrame, case_ids, limit: int | None) -> DataFrame:
     if case_ids:
         case_rows = case_rows.where(F.col("case_id").isin(*case_ids))
-    if limit:
-        case_rows = case_rows.orderBy("first_us", "case_id").limit(limit)
+    return case_rows.orderBy("first_us", "case_id").limit(limit) if limit else case_rows
+
+
+def link_evidence(spark: SparkSession, root: str, packets: DataFrame, s: Settings = Settings(), case_ids=None, limit: int | None = None) -> tuple[int, int]:
+    """Links cases to events and packets; returns how many links and packets were new."""
+    case_rows = _chosen(tables.scan(spark, root, "cases"), case_ids, limit)
     findings, events = tables.scan(spark, root, "findings"), tables.scan(spark, root, "events")
     linked = evidence.case_events(case_rows, findings, events)
     links = tables.append_new(linked.select("case_id", F.col("id").alias("event_id")), root, "case_eve_events")
     matched = evidence.packet_matches(pcap.with_micros(packets) if "packet_us" not in packets.columns else packets, evidence.selectors(linked), s.padding_seconds)
     files = evidence.capture_assignment(case_rows, packets.select("pcap_path").distinct())
-    return links, tables.append_new(matched.join(files, ["case_id", "pcap_path"]), root, "pcap_evidence")
+    return links, tables.append_new(evidence.in_assigned(matched, files), root, "pcap_evidence")
+
+
+def features(spark: SparkSession, root: str) -> DataFrame:
+    """(case_id, name, value) of the stored cases."""
+    return prioritize.case_features(*(tables.scan(spark, root, t) for t in ("cases", "findings", "sessions")))
 
 
-def prioritized(spark: SparkSession, root: str, trees: int = prioritize.TREES) -> DataFrame:
-    case_rows, findings, session_rows = (tables.scan(spark, root, t) for t in ("cases", "findings", "sessions"))
-    features = prioritize.case_features(case_rows, findings, session_rows)
-    return prioritize.ranked(case_rows, prioritize.scores(features, case_rows, trees=trees))
+def prioritized(spark: SparkSession, root: str, trees: int = prioritize.TREES, embed: bool = False) -> DataFrame:
+    """Stored cases, ranked; with embed each with a map of its features."""
+    case_rows, found = tables.scan(spark, root, "cases"), tables.stored(features(spark, root), "features")
+    out = prioritize.ranked(case_rows, prioritize.scores(found, case_rows, trees=trees))
+    if embed:
+        out = out.join(found.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("features")), "case_id", "left")
+    return out

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import community_id, is_internal
+from ..functions import values
 from ..functions.values import json_ids
 from ..operators import anomaly, correlation, dashboard, evidence, prioritize, rules, sessions
-from ..sources import adapter, ndjson
-from ..sources.tables import stored
+from ..sources import adapter, ndjson, pcap
+from ..sources.tables import shared_folder, stored
 from . import pipeline
 
 HOURS = 6
@@ -177,7 +180,7 @@ def captures_df(spark, sf_dir):
 
 
 def capture_assignment(spark, sf_dir):
-    return evidence.capture_assignment(cases_df(stored_findings(spark, sf_dir)), captures_df(spark, sf_dir)).groupBy("case_id").agg(F.count("*").alias("captures"), F.min("pcap_path").alias("first_capture"))
+    return evidence.capture_assignment(cases_df(stored_findings(spark, sf_dir)), captures_df(spark, sf_dir)).groupBy("case_id").agg(F.count("pcap_path").alias("captures"), F.min("pcap_path").alias("first_capture"))
 
 
 def case_sessions(spark, sf_dir):
@@ -234,8 +237,11 @@ def last_day(spark, sf_dir):
     return dashboard.timeframe(ev(spark, sf_dir), hours=24).select("id", "us")
 
 
+SEARCHED = ("id", "event_type", "flow_id", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto", "alert_sid", "alert_signature")
+
+
 def event_search(spark, sf_dir):
-    return dashboard.search(ev(spark, sf_dir), "FTP|10\\.0\\.1[0-9]\\.", ("app_proto", "src_ip", "dest_ip", "event_type")).select("id")
+    return dashboard.search(ev(spark, sf_dir), "FTP|10\\.0\\.1[0-9]\\.", SEARCHED).select("id")
 
 
 def alert_events(spark, sf_dir):
@@ -269,7 +275,14 @@ def lines_df(spark, sf_dir):
     """The events as log lines; some blank, some cut short, some of a type that is left out."""
     e = ev(spark, sf_dir)
     kind = F.when(F.col("id") % 11 == 3, "stats").otherwise(F.col("event_type")).alias("event_type")
-    whole = F.to_json(F.struct(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'").alias("timestamp"), kind, "flow_id", "src_ip", "src_port", "dest_ip", "dest_port", "proto"))
+    stamp = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'")
+    of = lambda ok, **fields: F.when(ok, F.struct(*[v.alias(k) for k, v in fields.items()]))
+    alerted, k = F.col("alert_sid").isNotNull(), F.col("dest_port")
+    whole = F.to_json(F.struct(
+        stamp("us").alias("timestamp"), kind, "flow_id", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto",
+        of(F.lit(True), start=stamp("flow_start_us"), end=stamp("flow_end_us")).alias("flow"), of(F.col("app_proto") == "http", http_method=F.lit("GET"), url=F.concat(F.lit("/p/"), k.cast("string"))).alias("http"),
+        of(k % 5 == 0, client=F.struct(F.concat(F.lit("ssh-"), k.cast("string")).alias("software_version"))).alias("ssh"), of(alerted, signature_id=F.col("alert_sid"), signature=F.col("alert_signature"), severity=k % 3 + 1).alias("alert"),
+    ))
     raw = F.when(F.col("id") % 13 == 5, "  ").when(F.col("id") % 17 == 4, F.substring(whole, 1, 40)).otherwise(whole)
     return e.select(F.lit("events.json").alias("source_file"), (F.col("id") + 1).alias("line_no"), raw.alias("raw"))
 
@@ -279,7 +292,99 @@ def ingest_summary(spark, sf_dir):
 
 
 def ingested_events(spark, sf_dir):
-    return ndjson.events_of(ndjson.classified(lines_df(spark, sf_dir))).select("line_no", "event_type", "us", "flow_id", "src_ip", "dest_port", "community_id")
+    return ndjson.events_of(ndjson.classified(lines_df(spark, sf_dir))).select(*INGESTED)
+
+
+INGESTED = ("id", "line_no", "event_type", "us", "flow_id", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto", "flow_start_us", "flow_end_us", "ssh_client_software", "http_method", "http_url", "alert_sid", "alert_signature", "alert_severity", "community_id")
+
+
+def read_lines(spark, sf_dir):
+    """The log lines as two files of one name in different folders, written and read back with line numbers."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for k, name in enumerate("ab"):
+        lines_df(spark, sf_dir).where(F.col("line_no") % 2 == k).orderBy("line_no").coalesce(1).select("raw").write.text(f"{folder}/{name}")
+        fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        part = next(s.getPath() for s in fs.listStatus(path(f"{folder}/{name}")) if s.getPath().getName().startswith("part-"))
+        fs.rename(part, path(f"{folder}/{name}/eve.json"))
+    got = ndjson.events_of(ndjson.classified(ndjson.numbered_lines(spark, [f"{folder}/a/eve.json", f"{folder}/b/eve.json"])))
+    return got.select("id", "line_no", "flow_id", "us", "dest_ip")
+
+
+def failed_logins(spark, sf_dir):
+    """R03 on log lines: replies as text and as lists, and others that say something else."""
+    reply = F.when(F.col("id") % 16 == 3, '"230 Login OK"').when(F.col("id") % 2 == 0, '"530 Login incorrect."').otherwise('["530 no", "Login incorrect"]')
+    e = ev(spark, sf_dir).withColumns({"event_type": F.when(F.col("event_type") == "alert", "ftp").otherwise("flow"), "raw": F.concat(F.lit('{"ftp": {"reply": '), reply, F.lit("}}"))})
+    return flat(rules.with_episode_ids(rules.failed_authentication(e, rule=WIDE.r03)).select("episode_id", *EXPORTED))
+
+
+def anomaly_type_events(spark, sf_dir):
+    """R04 on events of type anomaly, with kinds from the log line."""
+    kind = F.concat(F.lit('{"anomaly": {"event": "kind'), (F.col("id") % 3).cast("string"), F.lit('"}}'))
+    e = ev(spark, sf_dir).withColumns({"event_type": F.when(F.col("event_type") == "alert", "anomaly").otherwise("flow"), "raw": kind})
+    return flat(rules.with_episode_ids(rules.protocol_anomaly(e, rule=WIDE.r04)).select("episode_id", "anomaly_types", *EXPORTED))
+
+
+def finding_details(spark, sf_dir):
+    """Findings in words and the details of their rules."""
+    x = rules.described(findings_df(spark, sf_dir))
+    of = lambda k: F.get_json_object("details", f"$.{k}")
+    return x.select("finding_id", "description", F.coalesce(*[of(k) for k, _ in rules.COUNT_KEYS.values()]).cast("long").alias("greatest"), F.coalesce(of("episode_start"), of("window_start")).alias("begins"), of("total_flows").cast("long").alias("total_flows"))
+
+
+def alert_search(spark, sf_dir):
+    return dashboard.search(dashboard.alerts(ev(spark, sf_dir)), "port 1[0-9]|\\.7$").select("id")
+
+
+def case_page(spark, sf_dir):
+    """Cases of one strength in order of time, the first 25."""
+    c = dashboard.filter_cases(cases_df(stored_findings(spark, sf_dir)), correlation_strength="Strong", finding_count="All")
+    return c.orderBy("first_us", "case_id").limit(25).select("case_id", "first_us", "finding_count")
+
+
+def display_values(spark, sf_dir):
+    """What pages show of an event, and the values features are made of."""
+    e = dashboard.with_missing(ev(spark, sf_dir), {"app_proto": "application", "sensor": "probe"})
+    text = F.concat(F.lit(" Shared Flow-"), F.col("proto"), F.lit("/x "))
+    return e.select(
+        "id", values.or_na(F.col("application")).alias("application"), values.or_na(F.col("probe")).alias("probe"), values.or_na(F.when(F.col("id") % 2 == 0, F.col("src_port"))).alias("port"), values.display_time(F.timestamp_micros("us")).alias("shown"),
+        values.safe_name(text).alias("name"), values.priority_level((F.col("id") % 101).cast("double")).alias("level"), values.or_null(F.when(F.col("id") % 3 == 0, "  ").otherwise(text)).alias("trimmed"),
+        values.int_or_null(F.when(F.col("id") % 3 == 1, F.concat(F.lit(" "), F.col("src_port").cast("string"), F.lit(" "))).otherwise("x1")).alias("number"), F.round(F.sin(values.hour_angle(F.col("us"))), 9).alias("sine"),
+    )
+
+
+def one_year(spark, sf_dir):
+    e = ev(spark, sf_dir)
+    return dashboard.timeframe(e, year=2024).select("id")
+
+
+def case_links(spark, sf_dir):
+    """Links to findings of which every tenth is lost, and cases that hold the first two findings."""
+    found = stored_findings(spark, sf_dir)
+    c = stored(cases_df(found), "cases")
+    lost = correlation.missing_findings(c, found.where("ordinal % 10 <> 0")).select(F.lit("lost").alias("what"), F.col("finding_id").alias("value"))
+    ids = [r.finding_id for r in found.where("ordinal <= 2").select("finding_id").collect()]
+    return lost.unionByName(correlation.co_membership(c, ids[:1]).select(F.lit("holds").alias("what"), F.col("case_id").alias("value")))
+
+
+def case_filters(spark, sf_dir):
+    f = evidence.display_filter(selectors_df(spark, sf_dir))
+    return f.select("case_id", "ord", "filter")
+
+
+def merged_packets(spark, sf_dir):
+    """Two overlapping reads of one capture."""
+    p = packets_df(spark, sf_dir)
+    return evidence.merge_packets([p.where("packet_number % 3 <> 0"), p.where("packet_number % 2 = 0")]).select("packet_number", "packet_us")
+
+
+def field_export(spark, sf_dir):
+    """Packets as tab-separated text, written and read back."""
+    path = f"{shared_folder(spark)}/tsv-{uuid.uuid4().hex[:12]}"
+    tcp = F.col("proto") == "TCP"
+    x = ev(spark, sf_dir).select("id", ((F.col("us") / 1_000_000).cast("decimal(20,6)")).cast("string").alias("t"), "src_ip", F.lit("").alias("s6"), "dest_ip", F.lit("").alias("d6"), *[F.when(ok, F.col(c).cast("string")).otherwise("") for c in ("src_port", "dest_port") for ok in (tcp, ~tcp)], "proto", F.lit(" 7 "), F.when(F.col("id") % 2 == 0, "60").otherwise("x"))
+    x.select(F.concat_ws("\t", *[F.col(f"`{c}`") if isinstance(c, str) else c for c in x.columns])).write.text(path)
+    return pcap.read_tsv(spark, path).select("packet_number", "packet_us", "src_ip", "src_port", "dest_ip", "dest_port", "protocol", "tcp_stream", "frame_length", "http_method", "is_retransmission")
 
 
 def decoded_ids(spark, sf_dir):
@@ -292,6 +397,7 @@ QUERIES = [
     anomaly_windows, anomaly_baselines, anomaly_findings, anomaly_events, anomaly_event_counts, top_anomalies, case_events, case_selectors, packet_matches, packet_directions, capture_assignment, case_sessions, finding_number_features,
     case_features, case_priorities, percentile_scores, daily_counts, type_histogram, suspicious_events, filtered_events, source_options, last_day, event_search, alert_events, event_page, evidence_rows, case_detail_events,
     internal_addresses, community_ids, ingest_summary, ingested_events, decoded_ids,
+    read_lines, failed_logins, anomaly_type_events, finding_details, alert_search, case_page, display_values, one_year, case_links, case_filters, merged_packets, field_export,
 ]
 
 
@@ -311,7 +417,7 @@ def _text(c: str) -> str:
 
 def _rule(rule, rows: str, metric: str, lists: dict[str, str], p: str) -> str:
     """CTEs that end in {p}: one row per episode with lists."""
-    empty = {"event_ids": "[]::bigint[]", "flow_ids": "[]::bigint[]", "destination_ips": "[]::varchar[]", "destination_ports": "[]::int[]", "total_flows": "null::bigint", "total_events": "null::bigint"}
+    empty = {"event_ids": "[]::bigint[]", "flow_ids": "[]::bigint[]", "destination_ips": "[]::varchar[]", "destination_ports": "[]::int[]", "total_flows": "null::bigint", "total_events": "null::bigint", "anomaly_types": "[]::varchar[]"}
     cols = ", ".join(f"{lists.get(n, e)} as {n}" for n, e in empty.items())
     t = rule.threshold
     return f"""{p}_b as ({rows}),
@@ -334,7 +440,9 @@ r03_f as (select src_ip, min(us) as episode from r03_w where value >= {WIDE.r03.
 r03_m as (select w.*, f.episode from r03_w w join r03_f f on w.src_ip = f.src_ip and w.us between f.episode and f.episode + {US}),
 r03 as (select 'R03' as rule_id, src_ip as source_ip, episode as start_us, max(us) as end_us, count(*) as max_value, episode as max_us, list(id order by us, id) as event_ids, list(flow_id order by us, id) as flow_ids,
   {IPS} as destination_ips, {PORTS} as destination_ports, null::bigint as total_flows, count(*) as total_events from r03_m group by src_ip, episode)"""
-W_R04 = _rule(WIDE.r04, f"select * from ev where event_type = 'alert' and {EXTERNAL}", "count(*)", {"event_ids": "list_sort(list(distinct id))", "flow_ids": "list_sort(list(distinct flow_id))", "destination_ips": IPS, "destination_ports": PORTS, "total_events": "count(distinct id)", "total_flows": "count(distinct flow_id)"}, "r04")
+R04_LISTS = {"event_ids": "list_sort(list(distinct id))", "flow_ids": "list_sort(list(distinct flow_id))", "destination_ips": IPS, "destination_ports": PORTS, "total_events": "count(distinct id)", "total_flows": "count(distinct flow_id)"}
+W_R04 = _rule(WIDE.r04, f"select * from ev where event_type = 'alert' and {EXTERNAL}", "count(*)", R04_LISTS, "r04")
+W_R04K = _rule(WIDE.r04, f"select * from ev where event_type = 'alert' and {EXTERNAL}", "count(*)", R04_LISTS | {"anomaly_types": "list_sort(list(distinct 'kind' || (id % 3)))"}, "r04")
 LIST_COLUMNS = ("event_ids", "flow_ids", "destination_ips", "destination_ports")
 OUT = ", ".join(f"{_text(c)} as {c}" if c in LIST_COLUMNS else c for c in EXPORTED)
 W_EV = f"ev as ({adapter.SQL})"
@@ -409,6 +517,7 @@ def _match(where: str) -> str:
     return _with(W_CASE_IDS, f"select case_id, packet_number, arg_min(direction, ord * 2 + case direction when 'reverse' then 1 else 0 end) as direction from pm {where} group by case_id, packet_number")
 
 
+ISO = "strftime(make_timestamp({} // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
 HEX4 = "lpad(hex({}), 4, '0')"
 IP_HEX = "array_to_string(list_transform(string_split({}, '.'), lambda x: lpad(hex(x::bigint), 2, '0')), '')"
 
@@ -446,7 +555,7 @@ def oracle_sql() -> dict[str, str]:
         "capture_assignment": _with(W_CASES + """,
 cap as (select distinct ts::date as d, '/captures/eth0-' || strftime(ts::date, '%Y-%m-%d') || '.pcap' as path from events where day(ts) % 2 = 0),
 hit as (select case_id, path from cs join cap on make_timestamp(first_us)::date = d),
-asg as (select * from hit union all select case_id, path from cs join cap on true where case_id not in (select case_id from hit))""", "select case_id, count(*) as captures, min(path) as first_capture from asg group by 1"),
+asg as (select case_id, path from cs left join hit using (case_id))""", "select case_id, count(path) as captures, min(path) as first_capture from asg group by 1"),
         "case_sessions": _with(W_CASES + ",\n" + W_SESSIONS[len(W_EV) + 2 :], "select case_id, session_id from cs join ss on list_contains(source_ips, src_ip) and ss.first_us <= cs.last_us and ss.last_us >= cs.first_us and (len(cs.destination_ips) = 0 or list_contains(cs.destination_ips, dest_ip))"),
         "finding_number_features": _with(W_FINDINGS, "select rule_id, " + ", ".join(f"{f}(case when rule_id in ({r}) then {c} end)::double as {n}_{f}" for n, c, r in (("details_total_flows", "total_flows", "'R01', 'R02', 'R04'"), ("details_failed_attempts", "max_value", "'R03'"), ("details_max_port_count", "max_value", "'R02'")) for f in ("sum", "max")) + ", sum(len(event_ids))::double as event_ids_length_sum from fi group by 1"),
         "percentile_scores": """with v as (select p_partkey, (rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0::double) / count(*) over () * 100.0::double as x from part),
@@ -459,7 +568,7 @@ select p_partkey, case when p - floor(p) = 0.5 then floor(p) + case when (h * 10
         "filtered_events": _with(W_EV, "select id from ev where event_type = 'click' and proto = 'UDP'"),
         "source_options": _with(W_EV, "select distinct src_ip as option from ev"),
         "last_day": _with(W_EV, "select id, us from ev where us >= (select max(us) from ev) - 86400000000"),
-        "event_search": _with(W_EV, r"select id from ev where coalesce(regexp_matches(app_proto, 'ftp|10\.0\.1[0-9]\.'), false) or regexp_matches(src_ip, 'ftp|10\.0\.1[0-9]\.') or regexp_matches(dest_ip, 'ftp|10\.0\.1[0-9]\.') or regexp_matches(event_type, 'ftp|10\.0\.1[0-9]\.')"),
+        "event_search": _with(W_EV, r"select id from ev where " + " or ".join(rf"coalesce(regexp_matches(lower({c}::varchar), 'ftp|10\.0\.1[0-9]\.'), false)" for c in SEARCHED)),
         "alert_events": _with(W_EV, "select id, alert_sid, alert_signature from ev where alert_sid is not null and proto = 'TCP'"),
         "event_page": _with(W_EV, "select id from ev order by us, id limit 8 offset 16"),
         "evidence_rows": _with(W_CASE_IDS, "select case_id, finding_id, id as event_id, src_ip, us from (select case_id, finding_id, unnest(event_ids) as id from cf join fi using (finding_id)) join ev using (id)"),
@@ -467,6 +576,21 @@ select p_partkey, case when p - floor(p) = 0.5 then floor(p) + case when (h * 10
         "internal_addresses": _with(W_EV, "select distinct src_ip, src_ip like '192.168.0.%' as internal from ev"),
         "community_ids": _with(W_EV, _community("id", "ev")),
         "ingest_summary": _with(W_EV, f"select {STATUS} as status, case when {STATUS} in ('event', 'skipped') then case when id % 11 = 3 then 'stats' else event_type end end as event_type, count(*) as lines from ev group by all"),
-        "ingested_events": _with(W_EV, _community("id + 1 as line_no, event_type, us, flow_id, src_ip, dest_port", f"(select * from ev where {STATUS} = 'event')")),
+        "ingested_events": _with(W_EV, _community("68719476736 + id + 1 as id, id + 1 as line_no, event_type, us, flow_id, src_ip, src_port, dest_ip, dest_port, proto, app_proto, flow_start_us, flow_end_us, case when dest_port % 5 = 0 then 'ssh-' || dest_port end as ssh_client_software, "
+            "case app_proto when 'http' then 'GET' end as http_method, case app_proto when 'http' then '/p/' || dest_port end as http_url, alert_sid, alert_signature, case when alert_sid is not null then dest_port % 3 + 1 end as alert_severity", f"(select * from ev where {STATUS} = 'event')")),
+        "read_lines": _with(W_EV, f"select (case when (id + 1) % 2 = 0 then 1 else 2 end)::bigint * 68719476736 + n as id, n as line_no, flow_id, us, dest_ip from (select *, row_number() over (partition by (id + 1) % 2 order by id) as n from ev) where {STATUS} = 'event'"),
+        "failed_logins": _episode_sql(W_R03.replace("event_type = 'alert'", "event_type = 'alert' and id % 16 <> 3"), "r03"),
+        "anomaly_type_events": _episode_sql(W_R04K, "r04").replace("as episode_id,", "as episode_id, array_to_string(anomaly_types, ',') as anomaly_types,"),
+        "finding_details": _with(W_FINDINGS, f"select finding_id, source_ip || ': up to ' || max_value || case rule_id " + " ".join(f"when '{k}' then ' {v}'" for k, v in rules.UNITS.items()) + f" end || ' in a window, from ' || {ISO.format('start_us')} || ' to ' || {ISO.format('end_us')} as description, max_value as greatest, {ISO.format('start_us')} as begins, total_flows from fi"),
+        "alert_search": _with(W_EV, "select id from ev where alert_sid is not null and (" + " or ".join(rf"coalesce(regexp_matches(lower({c}::varchar), 'port 1[0-9]|\.7$'), false)" for c in ("us", "flow_start_us", "flow_end_us", *adapter.COLUMNS)) + ")"),
+        "case_page": _with(W_CASES, "select case_id, first_us, finding_count from cs where correlation_strength = 'Strong' order by first_us, case_id limit 25"),
+        "display_values": _with(W_EV, """select id, coalesce(app_proto, 'N/A') as application, 'N/A' as probe, case when id % 2 = 0 then src_port::varchar else 'N/A' end as port, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S UTC') as shown,
+  'shared_flow_' || lower(proto) || '_x' as name, case when id % 101 < 33 then 'Low' when id % 101 < 66 then 'Medium' else 'High' end as level, case when id % 3 <> 0 then 'Shared Flow-' || proto || '/x' end as trimmed, case when id % 3 = 1 then src_port end as number,
+  round(sin((us // 1000000) % 86400 * (2 * pi() / 86400)), 9) as sine from ev"""),
+        "one_year": _with(W_EV, "select id from ev where year(make_timestamp(us)) = 2024"),
+        "case_links": _with(W_CASES, "select 'lost' as what, finding_id as value from (select unnest(finding_ids) as finding_id from cs) join fi using (finding_id) where ordinal % 10 = 0 union all select 'holds', case_id from cs where list_contains(finding_ids, (select finding_id from fi where ordinal = 1))"),
+        "case_filters": _with(W_CASE_IDS, "select case_id, ord::int as ord, '(' || " + " || ' || ' || ".join(f"'(ip.src == ' || {a}_ip || ' && ip.dst == ' || {b}_ip || coalesce(' && (tcp.srcport == ' || {a}_port || ' || udp.srcport == ' || {a}_port || ')', '') || coalesce(' && (tcp.dstport == ' || {b}_port || ' || udp.dstport == ' || {b}_port || ')', '') || ')'" for a, b in (("src", "dest"), ("dest", "src"))) + " || ')' || ' && frame.time_epoch >= ' || ((first_us - 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) || ' && frame.time_epoch <= ' || ((last_us + 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) as filter from sl"),
+        "merged_packets": _with(W_CASE_IDS, "select packet_number, packet_us from pk where packet_number % 3 <> 0 or packet_number % 2 = 0"),
+        "field_export": _with(W_EV, "select id as packet_number, us as packet_us, src_ip, src_port, dest_ip, dest_port, proto as protocol, 7::bigint as tcp_stream, case when id % 2 = 0 then 60::bigint end as frame_length, null::varchar as http_method, false as is_retransmission from ev"),
         "decoded_ids": _with(W_EV, "select id, flow_id::varchar || ',' || id::varchar as ids from ev"),
     }

@@ -14,7 +14,7 @@ PACKETS = (
 )
 #: What identifies a row of each stored table, and the columns whose partitions a rerun replaces.
 KEYS = {
-    "events": ("source_file", "line_no"), "sessions": ("session_id",), "session_flows": ("session_id", "flow_id"), "findings": ("finding_id",), "cases": ("case_id",), "case_findings": ("case_id", "finding_id"),
+    "files": ("source_file",), "events": ("source_file", "line_no"), "sessions": ("session_id",), "session_flows": ("session_id", "flow_id"), "findings": ("finding_id",), "cases": ("case_id",), "case_findings": ("case_id", "finding_id"),
     "anomaly_windows": ("src_ip", "window_start", "window_seconds"), "anomaly_baselines": ("scope", "src_ip", "metric", "window_seconds"), "anomaly_findings": ("finding_id",), "anomaly_events": ("finding_id", "event_id"),
     "pcap_evidence": ("case_id", "pcap_path", "packet_number"), "case_eve_events": ("case_id", "event_id"),
 }

@@ -16,10 +16,11 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
 
     A file's partitions are numbered in order of their offset; line numbers are a
     count per partition, a running sum over these counts and an index inside, so
-    files are split and no file is read by one task.
+    files are split and no file is read by one task. A file is named by its path, as
+    files of one name in several folders are different files.
     """
     lines = spark.read.text(paths).select(
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mono"), F.col("value").alias("raw"))
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mono"), F.col("value").alias("raw"))
     per = lines.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("mono").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.withColumn("before", before).select("source_file", "block", "before", "first")
@@ -48,8 +49,25 @@ LINE = (
 )
 
 
-def events_of(lines: DataFrame) -> DataFrame:
-    """Typed events of classified lines, each parsed once; a null timestamp or a flow that is no object leaves nulls."""
+LINE_BITS = 36
+
+
+def file_numbers(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(source_file, file_no): files that are known keep their number, new ones go on from there in order of path. A row per file."""
+    names = lines.select("source_file").distinct()
+    if known is None:
+        return names.withColumn("file_no", F.row_number().over(Window.orderBy("source_file")).cast("long"))
+    top = known.agg(F.coalesce(F.max("file_no"), F.lit(0)).alias("top"))
+    fresh = names.join(known, "source_file", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("source_file"))).join(F.broadcast(top), F.lit(True))  # one row
+    return known.select("source_file", "file_no").unionByName(fresh.select("source_file", (F.col("top") + F.col("n")).alias("file_no")))
+
+
+def events_of(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Typed events of classified lines, each parsed once; a null timestamp or a flow that is no object leaves nulls.
+
+    An id is the number of its file (see file_numbers) and of its line: no two events
+    share one, and lines read again with the same file numbers keep theirs.
+    """
     rows = lines.where("status = 'event'").withColumn("v", F.from_json("raw", LINE))
     v = lambda p: F.col(f"v.{p}")
     n = lambda p, kind: v(p).try_cast(kind)
@@ -61,8 +79,8 @@ def events_of(lines: DataFrame) -> DataFrame:
     )
     made = community_id(F.col("src_ip"), F.col("src_port"), F.col("dest_ip"), F.col("dest_port"), F.col("proto"), ipv6=True)
     x = x.withColumn("community_id", F.coalesce("given_community_id", made)).drop("given_community_id")
-    # numbers that stay the same when the same lines are read again
-    return x.withColumn("id", F.xxhash64("source_file", "line_no")).withColumns({"us": F.unix_micros("ts"), "flow_start_us": F.unix_micros("flow_start"), "flow_end_us": F.unix_micros("flow_end")})
+    x = x.join(files if files is not None else file_numbers(lines), "source_file")
+    return x.withColumn("id", F.shiftleft("file_no", LINE_BITS) + F.col("line_no")).drop("file_no").withColumns({"us": F.unix_micros("ts"), "flow_start_us": F.unix_micros("flow_start"), "flow_end_us": F.unix_micros("flow_end")})
 
 
 def summary(lines: DataFrame) -> DataFrame:
