@@ -18,7 +18,7 @@ paths, tokeniser merges), so ORACLE_SQL is None; tests compare with brute force.
 from __future__ import annotations
 
 from tidewatch.llm import chosen_path, line_dedup, mixing, sentencepiece_fst, toxicity
-from tidewatch.llm.common import table, written
+from tidewatch.llm.common import clear, made_so_far, table, written
 
 
 def toxicity_stage(spark, docs, sf_dir):
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), made_so_far()
     for k, (name, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{k + 1}")
+        # neither the stage's own tables nor its predecessor's result are read again
+        clear(spark, before | {docs._scratch})
     return docs

@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Unset, a temporary one on a local master, which has one machine; an error on any other."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewatch-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -26,8 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; remembered until it is deleted."""
+    _scratch.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _scratch[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _scratch:
+        _scratch.remove(path)
+
+
+def made_so_far() -> set[str]:
+    return set(_scratch)
+
+
+def clear(spark: SparkSession, keep: set[str]) -> None:
+    """Deletes what operators have left in the shared folder but for the paths to keep, once nothing reads it any more."""
+    for path in [p for p in _scratch if p not in keep]:
+        _delete(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -43,9 +67,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables made by written(), once nothing reads them any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._scratch)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
