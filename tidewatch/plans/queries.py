@@ -505,6 +505,43 @@ pk as (select id as packet_number, us + 1000000 as packet_us, case when id % 2 =
 pm as (select case_id, packet_number, ord, direction, packet_us between first_us - 2000000 and last_us + 2000000 as timed from pk join ori on src_ip = s1 and dest_ip = s2 and (p1 is null or p1 = src_port) and (p2 is null or p2 = dest_port))"""
 
 
+W_CASE_SESSIONS = W_CASES + ",\n" + W_SESSIONS[len(W_EV) + 2 :] + """,
+met as (select case_id, ss.* from cs join ss on list_contains(source_ips, src_ip) and ss.first_us <= cs.last_us and ss.last_us >= cs.first_us and (len(cs.destination_ips) = 0 or list_contains(cs.destination_ips, dest_ip)))"""
+
+
+def _distinct(c: str) -> str:
+    return f"len(list_distinct(flatten(list({c}))))"
+
+
+def _features_sql() -> str:
+    """case_features: one select per group of names, each a list of (name, value) pairs."""
+    angle = lambda c: f"({c} // 1000000) % 86400 * (2 * pi() / 86400)"
+    rule = lambda c, *r: f"case when rule_id in ({', '.join(map(repr, r))}) then {c} end"
+    numbers = {
+        "event_ids_length": "len(event_ids)", "session_ids_length": "0", "details_max_flow_count": rule("max_value", "R01"), "details_total_flows": rule("total_flows", "R01", "R02", "R04"), "details_destination_ips_length": "len(destination_ips)",
+        "details_max_port_count": rule("max_value", "R02"), "details_destination_ports_length": rule("len(destination_ports)", "R02", "R03", "R04"), "details_failed_attempts": rule("max_value", "R03"), "details_max_anomaly_count": rule("max_value", "R04"),
+        "details_anomaly_types_length": rule("0", "R04"), "details_total_events": rule("total_events", "R04"),
+    }
+    groups = {
+        "cs": {
+            "finding_count": "finding_count", "source_ip_count": "len(source_ips)", "destination_ip_count": "len(destination_ips)", "unique_rule_count": "len(rule_ids)", "case_duration_seconds": "greatest(0, last_us - first_us) / 1e6::double",
+            "correlation_reason_count": "len(correlation_reasons)", **{f"case_{e}_hour_{f}": f"{f}({angle(c)})" for e, c in (("start", "first_us"), ("end", "last_us")) for f in ("sin", "cos")},
+        },
+        "cf join fi using (finding_id) group by case_id": {
+            "finding_destination_ip_count": _distinct("destination_ips"), "unique_flow_id_count": _distinct("flow_ids"), "unique_destination_port_count": _distinct("destination_ports"), "findings_with_flow_ids": "count(*) filter (len(flow_ids) > 0)",
+            "findings_with_destination_ports": "count(*) filter (len(destination_ports) > 0)", **{f"finding_{n}_{s}": f"{f}({e})" for n, e in numbers.items() for s, f in (("sum", "sum"), ("mean", "avg"), ("max", "max"))},
+        },
+        "met group by case_id": {
+            "matched_session_count": "count(*)", "session_total_flow_count": "sum(flow_count)", "session_total_event_count": "sum(event_count)", "session_unique_flow_id_count": _distinct("flow_ids"), "session_unique_destination_port_count": _distinct("destination_ports"),
+            "session_unique_source_port_count": _distinct("source_ports"), "session_unique_protocol_count": "count(distinct proto)", "session_duration_total_seconds": "sum(duration_seconds)", "session_duration_mean_seconds": "avg(duration_seconds)", "session_duration_max_seconds": "max(duration_seconds)",
+        },
+    }
+    wide = [f"select case_id, unnest([{', '.join(f'{{name: {n!r}, value: ({v})::double}}' for n, v in values.items())}]) as p from {source}" for source, values in groups.items()]
+    counted = {"correlation_strength": "select case_id, correlation_strength as v from cs", "rule": "select case_id, rule_id as v from cf join fi using (finding_id)", "correlation_reason": "select case_id, unnest(correlation_reasons) as v from cs", "session_protocol": "select case_id, proto as v from met"}
+    counts = [f"select case_id, '{p}_' || regexp_replace(lower(trim(v)), '[ /-]', '_', 'g') || '_count' as name, count(*)::double as value from ({q}) where v is not null group by all" for p, q in counted.items()]
+    return _with(W_CASE_SESSIONS + ", cf as (select case_id, unnest(finding_ids) as finding_id from cs)", f"select case_id, name, round(value, 9) as value from (select case_id, p.name as name, p.value as value from ({' union all '.join(wide)}) union all {' union all '.join(counts)}) where value is not null")
+
+
 def _with(ctes: str, select: str) -> str:
     return f"with {ctes}\n{select}"
 
@@ -558,6 +595,7 @@ hit as (select case_id, path from cs join cap on make_timestamp(first_us)::date
 asg as (select case_id, path from cs left join hit using (case_id))""", "select case_id, count(path) as captures, min(path) as first_capture from asg group by 1"),
         "case_sessions": _with(W_CASES + ",\n" + W_SESSIONS[len(W_EV) + 2 :], "select case_id, session_id from cs join ss on list_contains(source_ips, src_ip) and ss.first_us <= cs.last_us and ss.last_us >= cs.first_us and (len(cs.destination_ips) = 0 or list_contains(cs.destination_ips, dest_ip))"),
         "finding_number_features": _with(W_FINDINGS, "select rule_id, " + ", ".join(f"{f}(case when rule_id in ({r}) then {c} end)::double as {n}_{f}" for n, c, r in (("details_total_flows", "total_flows", "'R01', 'R02', 'R04'"), ("details_failed_attempts", "max_value", "'R03'"), ("details_max_port_count", "max_value", "'R02'")) for f in ("sum", "max")) + ", sum(len(event_ids))::double as event_ids_length_sum from fi group by 1"),
+        "case_features": _features_sql(),
         "percentile_scores": """with v as (select p_partkey, (rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0::double) / count(*) over () * 100.0::double as x from part),
 e as (select *, x * 100.0::double as p, x * 134217729.0::double - (x * 134217729.0::double - x) as h from v)
 select p_partkey, case when p - floor(p) = 0.5 then floor(p) + case when (h * 100.0::double - p) + (x - h) * 100.0::double > 0 or (h * 100.0::double - p) + (x - h) * 100.0::double = 0 and floor(p) % 2 = 1 then 1.0::double else 0.0::double end
