@@ -1,5 +1,6 @@
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -94,6 +95,39 @@ def test_media_report_on_every_case(odd, none):
     assert media.text_media_report(none).count() == 0
 
 
+def plain_feature(samples):
+    """Size, mean, deviation, entropy and difference hash with plain numbers, rows of 64 pixels."""
+    height = len(samples) // 192
+    mean = sum(samples) / len(samples)
+    dev = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+    shares = [samples.count(x) / len(samples) for x in set(samples)]
+    grey = [[sum(samples[192 * y + 3 * x : 192 * y + 3 * x + 3]) for x in range(64)] for y in range(height)]
+    edges, bits = [k * 64 // 9 for k in range(10)], ""
+    for k in range(8):
+        row = grey[k * height // 8]
+        cells = [sum(row[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        bits += "".join("1" if b > a else "0" for a, b in zip(cells, cells[1:], strict=False))
+    return 64, height, mean, dev, -sum(p * math.log2(p) for p in shares), int(bits, 2)
+
+
+def test_images_and_features_equal_a_plain_reading(spark):
+    r = random.Random(4)
+    texts = ["", "a", "one two three " * 30, "".join(chr(r.randrange(32, 1000)) for _ in range(3000)), "\u00e9" * 96]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {x.doc_id: bytes(x.media) for x in media.store_texts(docs).collect()}
+    for got in media.text_media_report(docs).collect():
+        image, data = stored[got.doc_id], texts[got.doc_id].encode()
+        at = image.index(b"IDAT")
+        raw = zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at], "big")])
+        assert image[:8] == b"\x89PNG\r\n\x1a\n" and image[-8:-4] == b"IEND" and int.from_bytes(image[16:20], "big") == 64
+        samples = b"".join(raw[i + 1 : i + 193] for i in range(0, len(raw), 193))
+        assert samples == data.ljust(-(-max(len(data), 1) // 192) * 192) and got.payload_sha256 == hashlib.sha256(samples).hexdigest()
+        m = re.fullmatch(r"(\d+)x(\d+);mean=([\d.]+);dev=([\d.]+);entropy=(-?[\d.]+);dhash=([0-9a-f]{16})", got.feature)
+        width, height, mean, dev, entropy, bits = plain_feature(samples)
+        assert (int(m[1]), int(m[2]), int(m[6], 16)) == (width, height, bits)
+        assert all(abs(float(m[k]) - x) < 1e-4 for k, x in ((3, mean), (4, dev), (5, entropy)))
+
+
 def test_sequences_keep_order_positions_and_captions(spark):
     a, b = media.encode_png(b"a" * 192), media.encode_png(b"b" * 384)
     da, db = (hashlib.sha256(x).hexdigest() for x in (a, b))
@@ -464,6 +498,65 @@ def test_passages_and_words_agree_with_a_plain_model():
         assert sorted(grams[words == k].tolist()) == sorted(g.tolist())
 
 
+def plain_logit(text, model):
+    """Word by word and n-gram by n-gram, as the module's docstring says it."""
+    words, run = [], b""
+    for c in text.lower().encode("utf-8", "replace") + b" ":
+        if c >= 128 or chr(c).isalnum():
+            run += bytes([c])
+        elif run:
+            words.append(run)
+            run = b""
+    scores = []
+    for w in words:
+        w, found = b" " + w + b" ", []
+        for n in (3, 4, 5, 6):
+            for i in range(len(w) - n + 1):
+                h = 0
+                for c in w[i : i + n]:
+                    h = (h * 16777619 + c) % 2**32
+                h = (h * 2654435761 + n * 40503) % 2**32
+                found.append(float(model.table[(h ^ h >> 15) % toxicity.BUCKETS]))
+        scores.append(sum(found) / len(found))
+    k = max(1, round(len(scores) / toxicity.PASSAGE))
+    cut = [i * len(scores) // k for i in range(k + 1)]
+    return model.bias + max(sum(scores[a:b]) / (b - a) for a, b in zip(cut, cut[1:], strict=False)) if scores else float("-inf")
+
+
+def test_scores_equal_a_plain_model():
+    r = random.Random(5)
+    model = toxicity.train(made_texts(r, 80, False) + made_texts(r, 40, True), [0] * 80 + [1] * 40)
+    texts = [*made_texts(r, 20, False), *made_texts(r, 20, True), "", " .,;\n", "a", "Ünïcödé GRUMPFEL, tem!", "\u4e2d\u6587 \U0001f600", "word " * 5_000 + "snarkzig"]
+    want = [plain_logit(t, model) for t in texts]
+    assert np.allclose(model.logits(texts), want, rtol=1e-5, atol=1e-5)
+    for k, t in enumerate(texts):  # alone as in a batch
+        assert np.allclose(model.logits([t]), want[k : k + 1], rtol=1e-5, atol=1e-5)
+
+
+def test_joint_training_adds_to_its_start(monkeypatch):
+    r = random.Random(8)
+    texts, labels = made_texts(r, 300, False) + made_texts(r, 120, True), [0] * 300 + [1] * 120
+    clean, bad = made_texts(r, 300, False), made_texts(r, 120, True)
+
+    def right():
+        model = toxicity.train(texts, labels)
+        return ((model.scores(clean) < 0.5).mean() + (model.scores(bad) >= 0.5).mean()) / 2
+
+    joint = right()
+    monkeypatch.setattr(toxicity, "_fit", lambda *a: None)
+    assert joint >= right() and joint > 0.95
+
+
+def test_equal_labelled_ids_and_very_long_texts(spark):
+    r = random.Random(3)
+    texts = made_texts(r, 150, False) + made_texts(r, 60, True)
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[1]), (1, texts[1]), (900, "tem un der " * 40_000 + "grumpfel snarkzig blorptok grumpfel")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i >= 150)) for i in range(210)] + [(1, 0), (1, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity_report(docs, marks).toPandas()
+    assert len(got) == 213 and (got[got.doc_id == 1].score.nunique(), len(got[got.doc_id == 1])) == (1, 3)
+    assert got[got.doc_id == 900].score.iloc[0] > 0.5 > got[got.doc_id == 1].score.iloc[0]
+
+
 # 9 --------------------------------------------------------------------------
 
 EMAIL, IP, CARD, PHONE = map(re.compile, (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
