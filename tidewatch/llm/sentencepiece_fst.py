@@ -17,7 +17,8 @@ models arcs weigh the negative piece score, in BPE models exactly one path has
 finite weight. No piece may run from a non-space into a space or over a
 character outside the vocabulary such as a line feed, so every path passes
 these positions: paths are found per segment between them and remembered in a
-two-generation cache of bounded size. Long segments are not remembered.
+two-generation cache of bounded size, which is emptied at the end of a task.
+Long segments are not remembered.
 
 Defined cases: null texts count as empty; an empty text has no pieces; control
 pieces' names in a text are ordinary text; repeated rows are encoded alike;
@@ -111,6 +112,10 @@ class Transducer:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.pairs, self.young, self.old = {}, {}, {}
+
     def label(self, state: int) -> str:
         """The characters of a state: pieces by id, characters outside the vocabulary as -2 - code point."""
         return self.text[state] if state >= 0 else chr(-2 - state)
@@ -254,19 +259,23 @@ def _encoder(model: bytes, key: str, text: str, key_type: pa.DataType):
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(exact, pa.bool_())], names=names)
 
-        for b in batches:
-            keys, ids, exact, size = [], [], [], 0
-            for k, value in zip(b.column(key), b.column(text), strict=True):
-                plain = value.as_py() or ""
-                found = t.encode(plain)
-                keys.append(k.as_py())
-                ids.append(found)
-                exact.append(t.decode(found) == plain)
-                size += len(found)
-                if size >= SLICE:
-                    yield batch(keys, ids, exact)
-                    keys, ids, exact, size = [], [], [], 0
-            yield batch(keys, ids, exact)
+        try:
+            for b in batches:
+                keys, ids, exact, size = [], [], [], 0
+                for k, value in zip(b.column(key), b.column(text), strict=True):
+                    plain = value.as_py() or ""
+                    found = t.encode(plain)
+                    keys.append(k.as_py())
+                    ids.append(found)
+                    exact.append(t.decode(found) == plain)
+                    size += len(found)
+                    if size >= SLICE:
+                        yield batch(keys, ids, exact)
+                        keys, ids, exact, size = [], [], [], 0
+                yield batch(keys, ids, exact)
+        finally:
+            t.forget()  # the worker lives on and serves other stages
+            pa.default_memory_pool().release_unused()
 
     return rows
 
