@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chosen_path, html_mincut, line_dedup, media, mixing, pii, sentencepiece_fst, toxicity, warc
+from . import ann, chosen_path, html_mincut, lexical, line_dedup, media, mixing, pii, resample, sentencepiece_fst, simhash, toxicity, warc
 from .common import table
 
 
@@ -46,9 +46,21 @@ def op10_warc(spark, sf_dir):
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours, op5_html_extraction, op6_line_dedup, op7_chosen_path_join, op8_toxicity, op9_pii, op10_warc)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_media_columns, op3_mix_sources, op4_nearest_neighbours, op5_html_extraction, op6_line_dedup, op7_chosen_path_join, op8_toxicity, op9_pii, op10_warc, op11_lexical_search, op12_importance_resampling, op13_simhash)}
 
 
 def oracle_sql():
-    return {"op3_mix_sources": mixing.oracle(), "op4_nearest_neighbours": ann.oracle(), "op10_warc": warc.ORACLE}
+    return {"op3_mix_sources": mixing.oracle(), "op4_nearest_neighbours": ann.oracle(), "op10_warc": warc.ORACLE, "op11_lexical_search": lexical.oracle(), "op12_importance_resampling": resample.oracle()}
