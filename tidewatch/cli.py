@@ -8,7 +8,7 @@ from dataclasses import replace
 from .operators import anomaly, evidence, prioritize, sessions
 from .plans import pipeline
 from .session import build_session
-from .sources import pcap, tables
+from .sources import captures, pcap, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -61,20 +61,23 @@ def main(argv=None) -> None:
         pipeline.detect_anomalies(spark, args.root, s)
         anomaly.top(tables.scan(spark, args.root, "anomaly_findings", where=f"window_seconds = {s.window_seconds}"), args.top).show(args.top, False)
     elif args.command == "evidence":
-        spark.dataSource.register(pcap.CaptureSource)
         if args.show_filter:
             pipeline.case_filters(spark, args.root, args.case_id, args.limit, args.time_padding).show(1000, False)
             return
-        captures = args.pcap + [r.pcap_path for d in args.pcap_dir for r in pcap.discover(spark, d).toLocalIterator()]
-        reads = [pcap.with_micros(spark.read.format("tidewatch_pcap").load(p)) for p in captures] + [pcap.read_tsv(spark, p) for p in args.tsv]
-        if not reads:
+        given = args.pcap + args.pcap_dir
+        files = captures.listed(spark, *given) if given else None
+        exports = [pcap.read_tsv(spark, p) for p in args.tsv]
+        if not given and not exports:
             raise SystemExit("give --pcap, --pcap-dir or --tsv")
-        names = [c for c in reads[0].columns]
-        print(pipeline.link_evidence(spark, args.root, evidence.merge_packets([r.select(*names) for r in reads]), replace(s, padding_seconds=args.time_padding), args.case_id, args.limit))
+        if given and files.isEmpty():
+            raise SystemExit(f"no captures in {', '.join(given)}")
+        print(pipeline.link_evidence(spark, args.root, evidence.merge_packets(exports) if exports else None, replace(s, padding_seconds=args.time_padding), args.case_id, args.limit, files))
         if args.show:
             evidence.by_packet_time(tables.scan(spark, args.root, "pcap_evidence"), args.show).show(args.show, False)
         if args.export_dir:
-            pcap.export_cases(tables.scan(spark, args.root, "pcap_evidence"), args.export_dir).show(1000, False)
+            if not given:
+                raise SystemExit("packets are exported from captures: give --pcap or --pcap-dir")
+            captures.export_cases(tables.scan(spark, args.root, "pcap_evidence"), files, args.export_dir).show(1000, False)
     elif args.command == "sessions":
         sessions.largest(tables.scan(spark, args.root, "sessions"), args.top).show(args.top, False)
     elif args.command == "cases":

@@ -21,7 +21,7 @@ def let(value: Column, body) -> Column:
 def ipv4_number(ip: Column) -> Column:
     """A dotted quad as a number; null for anything else."""
     parts = F.split(F.when(ip.rlike(IPV4), ip), r"\.")
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p.cast("long"))
+    return sum(F.get(parts, F.lit(k)).cast("long") * 256 ** (3 - k) for k in range(4))
 
 
 def is_internal(ip: Column, networks=INTERNAL) -> Column:
@@ -67,15 +67,17 @@ def packed(ip: Column, ipv6: bool = False) -> Column:
 
 
 def community_id(src_ip: Column, src_port: Column, dest_ip: Column, dest_port: Column, proto: Column, seed: int = 0, ipv6: bool = False) -> Column:
-    """Community ID version 1; null unless TCP, UDP or SCTP with both addresses and ports."""
-    two = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0"))
-    number = F.element_at(F.create_map(*[x for k, v in PROTOCOLS.items() for x in (F.lit(k), F.lit(v))]), F.upper(proto))
-
-    def made(x: Column) -> Column:
-        a, b = x["a"], x["b"]
-        # bytes compare as unsigned
-        low = F.when((a < b) | (a == b) & (x["p"] <= x["q"]), F.concat(a, b, two(x["n"] * 256), two(x["p"]), two(x["q"]))).otherwise(F.concat(b, a, two(x["n"] * 256), two(x["q"]), two(x["p"])))
-        ok = x["n"].isNotNull() & (F.length(a) == F.length(b)) & x["p"].isNotNull() & x["q"].isNotNull()
-        return F.when(ok, F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.concat(two(F.lit(seed)), low))))))
+    """Community ID version 1; null unless TCP, UDP or SCTP with both addresses and ports.
 
-    return let(F.struct(packed(src_ip, ipv6).alias("a"), packed(dest_ip, ipv6).alias("b"), src_port.alias("p"), dest_port.alias("q"), number.alias("n")), made)
+    One flat expression, so that it is compiled and its repeated parts are computed once.
+    """
+    two = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0"))
+    name = F.upper(proto)
+    number = F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in PROTOCOLS.items()])
+    a, b, p, q = packed(src_ip, ipv6), packed(dest_ip, ipv6), src_port, dest_port
+    # bytes compare as unsigned
+    first = (a < b) | (a == b) & (p <= q)
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    ok = number.isNotNull() & (F.length(a) == F.length(b)) & p.isNotNull() & q.isNotNull()
+    whole = F.concat(two(F.lit(seed)), pick(a, b), pick(b, a), two(number * 256), two(pick(p, q)), two(pick(q, p)))
+    return F.when(ok, F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(whole)))))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import id_of
 from ..sources.tables import stored
 from .ranges import by_time
 
-WINDOW_SECONDS = 300
+WINDOW_SECONDS, RELATED_WIDTHS = 300, 16
 REASONS = ("Shared flow", "Same source IP", "Within 5-minute window", "Same destination IP", "Overlapping destination port", "Different detection rules")  # fixed values
 
 
@@ -47,6 +47,63 @@ def relations(findings: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     return out.where("strength is not null")
 
 
+def _chain(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """rows (keys, ordinal, start_us) with before: the ordinal of the row before it among equal keys, if it lies within the window."""
+    x, w = _near(rows, keys, seconds)
+    near = F.col("start_us") - F.lag("start_us").over(w) <= seconds * 1_000_000
+    return x.withColumn("before", F.when(near, F.lag("ordinal").over(w))).where("_own and before is not null")
+
+
+def _near(rows: DataFrame, keys: list[str], seconds: int):
+    """rows dealt to buckets of time, each with its neighbours within the window beside it, and a window over a bucket in order of time."""
+    width, size = seconds * 1_000_000, RELATED_WIDTHS * max(1, seconds) * 1_000_000
+    bucket = lambda c: F.floor(c / F.lit(size)).cast("long")
+    at = F.col("start_us")
+    x = rows.withColumn("_bucket", F.explode(F.sequence(bucket(at - width), bucket(at + width)))).withColumn("_own", F.col("_bucket") == bucket(at))
+    return x, Window.partitionBy(*keys, "_bucket").orderBy("start_us", "ordinal")
+
+
+def links(findings: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Edges (a, b, strength, reasons), linearly many, whose components have the same members, greatest strength and reasons as those of relations().
+
+    Findings of one flow are all related: a star. Within one source and a shared
+    destination or port, findings at most a window apart are related: whatever lies
+    between two of them is related to both, so each one's edge to the one before it
+    will do. Findings of one source and different rules: each one's edges to the
+    nearest one of another rule before and after it. Other relations can only hold
+    beside these, and show in the groups of a flow: by source, time, destination,
+    port and rule.
+    """
+    f = findings.select("ordinal", "rule_id", "source_ip", "start_us", "destination_ips", "destination_ports", "flow_ids")
+    edge = lambda x, a, b, strength, *why: x.select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(strength).alias("strength"), F.array(*[F.lit(REASONS[k]) for k in why]).alias("reasons"))
+    each = lambda c, *more: f.select("ordinal", "start_us", *more, F.explode(F.array_distinct(c)).alias("v")).where("v is not null")
+    flow = f.select("ordinal", "rule_id", "source_ip", "start_us", "destination_ips", "destination_ports", F.explode(F.array_distinct("flow_ids")).alias("flow")).where("flow is not null")
+    # only flows with more than one finding have edges
+    shared = flow.groupBy("flow").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"), F.min("rule_id").alias("low"), F.max("rule_id").alias("high")).where("n > 1")
+    members = stored(flow.join(shared, "flow"), "shared-flows")
+    out = [edge(members.where("ordinal <> first"), "first", "ordinal", "Strong", 0), edge(members.where("ordinal = first and low <> high"), "first", "first", "Strong", 5), edge(_chain(members, ["flow"], seconds), "before", "ordinal", "Strong", 2)]
+    for c, why in (("source_ip", 1), ("destination_ips", 3), ("destination_ports", 4)):
+        value = F.col(c) if c == "source_ip" else F.explode(F.array_distinct(c))
+        same = members.select("flow", "ordinal", value.alias("v")).where("v is not null").groupBy("flow", "v").agg(F.min("ordinal").alias("one"), F.max("ordinal").alias("other")).where("one <> other")
+        out.append(edge(same, "one", "other", "Strong", why))
+    placed = f.where("source_ip is not null")
+    for c, why, strength in (("destination_ips", 3, "Strong"), ("destination_ports", 4, "Moderate")):
+        out.append(edge(_chain(each(c, "source_ip").where("source_ip is not null"), ["source_ip", "v"], seconds), "before", "ordinal", strength, 1, 2, why))
+    x, w = _near(placed.select("ordinal", "rule_id", "source_ip", "start_us"), ["source_ip"], seconds)
+    back = Window.partitionBy("source_ip", "_bucket").orderBy(F.desc("start_us"), F.desc("ordinal"))
+    for n, order in (("before", w), ("after", back)):
+        turn = F.when(F.lag("rule_id").over(order) != F.col("rule_id"), F.struct(F.lag("ordinal").over(order).alias("ordinal"), F.lag("start_us").over(order).alias("us")))
+        x = x.withColumn(f"_{n}", turn).withColumn(f"_{n}", F.last(f"_{n}", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        near = F.abs(F.col(f"_{n}.us") - F.col("start_us")) <= seconds * 1_000_000
+        x = x.withColumn(n, F.when(near, F.col(f"_{n}.ordinal")))
+    x = x.where("_own").select("ordinal", F.explode(F.array_compact(F.array("before", "after"))).alias("other"))
+    out.append(edge(x, "ordinal", "other", "Moderate", 1, 2, 5))
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): smallest id reachable. nodes: id. Labels spread to neighbours and then jump to their label's label."""
     pairs = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a")).distinct(), "edges")
@@ -62,7 +119,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cases(findings: DataFrame, relation_rows: DataFrame) -> DataFrame:
-    """One row per component of findings, numbered by first start."""
+    """One row per component of findings, numbered by first start; relation_rows as links() or relations() give them."""
     findings, relation_rows = stored(findings, "findings"), stored(relation_rows, "relations")
     roots = components(relation_rows.select("a", "b"), findings.select(F.col("ordinal").alias("id")))
     rows = findings.join(roots, F.col("ordinal") == F.col("id"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_ROWS = 8
+#: Parts of a pattern that see where a column ends: anchors, negated classes, groups with options, escapes other than of digits, word characters and marks.
+ACROSS = re.compile(r"[\^$\n]|\(\?|\\(?![.dw])\w")
 EVIDENCE_COLUMNS = ("case_id", "finding_id", "rule_id", "event_id", "event_type", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "ts")
 
 
@@ -46,11 +49,17 @@ def timeframe(events: DataFrame, hours: int | None = None, year: int | None = No
 
 
 def search(df: DataFrame, pattern: str, columns=None) -> DataFrame:
-    """Rows with a column that matches the pattern, a regular expression, in lower case."""
+    """Rows with a column that matches the pattern, a regular expression, in lower case.
+
+    All columns are joined by line feeds and searched once, unless the pattern could
+    match a line feed or the ends of a column (see ACROSS).
+    """
     if not pattern:
         return df
-    hits = [F.coalesce(F.lower(F.col(c).cast("string")).rlike(pattern.lower()), F.lit(False)) for c in columns or df.columns]
-    return df.where(reduce(lambda a, b: a | b, hits))
+    text = [F.lower(F.col(c).cast("string")) for c in columns or df.columns]
+    if not ACROSS.search(pattern):
+        return df.where(F.concat_ws("\n", *text).rlike(pattern.lower()))
+    return df.where(reduce(lambda a, b: a | b, [F.coalesce(c.rlike(pattern.lower()), F.lit(False)) for c in text]))
 
 
 def page(df: DataFrame, number: int, order: list, rows: int = PAGE_ROWS) -> DataFrame:

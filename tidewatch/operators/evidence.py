@@ -32,10 +32,24 @@ def selectors(case_event_rows: DataFrame) -> DataFrame:
     return got.withColumn("ord", F.row_number().over(order))
 
 
+def transport(packets: DataFrame):
+    """TCP or UDP in lower case where a packet's fields tell, else null; names of higher protocols don't."""
+    stream = F.col("tcp_stream").isNotNull() if "tcp_stream" in packets.columns else F.lit(False)
+    if "protocol" not in packets.columns:
+        return F.when(stream, "tcp")
+    return F.when(stream, "tcp").when(F.lower("protocol").isin("tcp", "udp"), F.lower("protocol"))
+
+
 def _oriented(selector_rows: DataFrame) -> DataFrame:
     """Each selector forward and, where the ends differ, reversed; the forward one is tried first."""
     ends = ("src_ip", "src_port", "dest_ip", "dest_port")
     keep = ["case_id", "ord", "first_us", "last_us"]
+    if "proto" in selector_rows.columns:
+        named = F.lower(F.trim("proto"))
+        selector_rows = selector_rows.withColumn("s_proto", F.when(named.isin("tcp", "udp"), named))
+    else:
+        selector_rows = selector_rows.withColumn("s_proto", F.lit(None).cast("string"))
+    keep.append("s_proto")
     forward = selector_rows.select(*keep, *[F.col(c).alias(f"s_{c}") for c in ends], F.lit("forward").alias("direction"))
     back = selector_rows.where("src_ip <> dest_ip").select(*keep, *[F.col(a).alias(f"s_{b}") for a, b in zip(("dest_ip", "dest_port", "src_ip", "src_port"), ends, strict=True)], F.lit("reverse").alias("direction"))
     return forward.unionByName(back)
@@ -45,7 +59,7 @@ def packet_matches(packets: DataFrame, selector_rows: DataFrame, padding_seconds
     """(case_id, packet columns, direction): a packet in a case by its first matching selector.
 
     Addresses and ports must agree in one direction, a null selector port fits
-    any; with timed the packet's time must lie in the padded range. Addresses
+    any; TCP and UDP must agree where both are known; with timed the packet's time must lie in the padded range. Addresses
     are the join key, with timed also the hour, so that a busy pair of addresses
     is spread over its time; the rest filters its rows.
     """
@@ -54,37 +68,83 @@ def packet_matches(packets: DataFrame, selector_rows: DataFrame, padding_seconds
     if timed:
         hour = lambda c: F.floor(c / HOUR_US).cast("long")
         s = s.withColumn("s_hour", F.explode(F.sequence(hour(F.col("first_us") - pad), hour(F.col("last_us") + pad))))
-        packets_at = packets.withColumn("_hour", hour(F.col("packet_us")))
     fits = lambda c: F.col(f"s_{c}").isNull() | (F.col(f"s_{c}") == F.col(c))
-    on = (F.col("src_ip") == F.col("s_src_ip")) & (F.col("dest_ip") == F.col("s_dest_ip")) & fits("src_port") & fits("dest_port")
-    x = packets_at.join(s, on & (F.col("_hour") == F.col("s_hour"))) if timed else packets.join(s, on)
-    if timed:
+    on = (F.col("src_ip") == F.col("s_src_ip")) & (F.col("dest_ip") == F.col("s_dest_ip")) & fits("src_port") & fits("dest_port") & (F.col("s_proto").isNull() | F.col("_transport").isNull() | (F.col("s_proto") == F.col("_transport")))
+    names, packets = packets.columns, packets.withColumn("_transport", transport(packets))
+    if not timed:
+        x = packets.join(s, on)
+    else:
+        x = packets.withColumn("_hour", hour(F.col("packet_us"))).join(s, on & (F.col("_hour") == F.col("s_hour")))
         x = x.where(F.col("packet_us").between(F.col("first_us") - pad, F.col("last_us") + pad))
-    keys = ["case_id", *packets.columns]
+    keys = ["case_id", *names]
     return x.groupBy(*keys).agg(F.min(F.struct("ord", "direction")).alias("m")).select(*keys, F.col("m.direction").alias("direction"))
 
 
 def display_filter(selector_rows: DataFrame, padding_seconds: float = PADDING_SECONDS) -> DataFrame:
-    """(case_id, ord, filter): a capture tool's boolean expression for each selector, both directions and padded time."""
+    """(case_id, ord, filter): a capture tool's boolean expression for each selector: protocol, both directions and padded time.
+
+    Ports are named by TCP or UDP; another protocol stands by its name and has
+    none. Selectors whose ends are of two address families match no packet and
+    are left out.
+    """
+    proto = F.lower(F.trim(F.coalesce("proto", F.lit(""))))
+    ported, v6 = proto.isin("tcp", "udp"), F.col("src_ip").contains(":")
+    family = F.when(v6, "ipv6").otherwise("ip")
+
     def part(a: str, b: str):
-        port = lambda c, side: F.when(F.col(c).isNotNull(), F.concat(F.lit(f" && (tcp.{side}port == "), F.col(c).cast("string"), F.lit(f" || udp.{side}port == "), F.col(c).cast("string"), F.lit(")"))).otherwise("")
-        kind = F.when(F.col(f"{a}_ip").contains(":"), "ipv6").otherwise("ip")
-        return F.concat(F.lit("("), kind, F.lit(".src == "), F.col(f"{a}_ip"), F.lit(" && "), kind, F.lit(".dst == "), F.col(f"{b}_ip"), port(f"{a}_port", "src"), port(f"{b}_port", "dst"), F.lit(")"))
+        port = lambda c, side: F.when(ported & F.col(c).isNotNull(), F.concat(F.lit(" && "), proto, F.lit(f".{side}port == "), F.col(c).cast("string"))).otherwise("")
+        return F.concat(F.lit("("), family, F.lit(".src == "), F.col(f"{a}_ip"), F.lit(" && "), family, F.lit(".dst == "), F.col(f"{b}_ip"), port(f"{a}_port", "src"), port(f"{b}_port", "dst"), F.lit(")"))
 
     second = lambda c, d: ((F.col(c) + int(d * 1_000_000)).cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)").cast("string")
     time = F.concat(F.lit(" && frame.time_epoch >= "), second("first_us", -padding_seconds), F.lit(" && frame.time_epoch <= "), second("last_us", padding_seconds))
-    return selector_rows.select("case_id", "ord", F.concat(F.lit("("), part("src", "dest"), F.lit(" || "), part("dest", "src"), F.lit(")"), time).alias("filter"))
+    named = F.when(proto != "", F.concat(proto, F.lit(" && "))).otherwise("")
+    whole = selector_rows.where(v6 == F.col("dest_ip").contains(":"))
+    return whole.select("case_id", "ord", F.concat(named, F.lit("("), part("src", "dest"), F.lit(" || "), part("dest", "src"), F.lit(")"), time).alias("filter"))
 
 
-def filter_batches(filters: DataFrame, most: int = 6000) -> DataFrame:
-    """(case_id, batch, filter): a case's filters joined by "or" into expressions of at most `most` characters, one of its own where longer."""
-    length = F.length("filter") + 4
-    w = Window.partitionBy("case_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    # a batch begins anew with each multiple of the limit that the running length passes; half the limit keeps sums below it
-    x = filters.withColumn("batch", F.floor((F.sum(length).over(w) - length) / (most // 2)).cast("int"))
-    x = x.groupBy("case_id", "batch", F.when(length > most // 2, F.col("ord")).alias("_own")).agg(F.array_sort(F.collect_list(F.struct("ord", "filter"))).alias("f"))
-    number = F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("f")[0]["ord"]))
-    return x.select("case_id", number.alias("batch"), F.array_join(F.transform("f", lambda r: r["filter"]), " || ").alias("filter"))
+FILTER_CHUNK = 10_000
+
+
+def filter_batches(filters: DataFrame, most: int = 6000, by: str = "case_id") -> DataFrame:
+    """(by, batch, filter): filters of a case, or of all cases of a capture, joined by "or" into expressions of at most `most` characters; a longer filter is one of its own.
+
+    Filters are taken in order (by case and number) and a batch is closed when
+    the next one doesn't fit. Each FILTER_CHUNK numbers of a case start a batch of
+    their own, so that a task holds no more than one chunk of filters in order.
+    """
+    order = list(dict.fromkeys([by, "chunk", "case_id", "ord"]))
+    rows = filters.withColumn("chunk", F.floor(F.col("ord") / FILTER_CHUNK).cast("long")).select(*order, "filter")
+    dealt = rows.repartition(by, "chunk").sortWithinPartitions(*order)
+
+    def packed(batches):
+        import pandas as pd
+
+        key, held, size, n = None, [], 0, 0
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                own = (getattr(r, by), r.chunk)
+                if held and (own != key or size + 4 + len(r.filter) > most):
+                    out.append((*key, n, " || ".join(held)))
+                    held, size, n = [], 0, n + 1
+                if own != key:
+                    key, n = own, 0
+                held.append(r.filter)
+                size += len(r.filter) + (4 if size else 0)
+            yield pd.DataFrame(out, columns=[by, "chunk", "n", "filter"])
+        if held:
+            yield pd.DataFrame([(*key, n, " || ".join(held))], columns=[by, "chunk", "n", "filter"])
+
+    x = dealt.mapInPandas(packed, f"{by} string, chunk long, n long, filter string")
+    number = F.row_number().over(Window.partitionBy(by).orderBy("chunk", "n"))
+    return x.select(by, number.alias("batch"), "filter")
+
+
+def capture_filters(filters: DataFrame, assignment: DataFrame, captures: DataFrame) -> DataFrame:
+    """(pcap_path, case_id, ord, filter) of the cases of each capture, so that one pass over a capture serves them all; a case without captures of its own has all."""
+    own = assignment.where("pcap_path is not null")
+    rest = assignment.where("pcap_path is null").select("case_id", F.lit(1).alias("_k")).join(captures.select("pcap_path", F.lit(1).alias("_k")).distinct(), "_k").select("case_id", "pcap_path")
+    return filters.join(own.select("case_id", "pcap_path").unionByName(rest), "case_id").select("pcap_path", "case_id", "ord", "filter")
 
 
 def capture_assignment(case_rows: DataFrame, captures: DataFrame) -> DataFrame:
@@ -95,6 +155,14 @@ def capture_assignment(case_rows: DataFrame, captures: DataFrame) -> DataFrame:
     return c.join(dated.select("day", "pcap_path").distinct(), "day", "left").select("case_id", "pcap_path").distinct()
 
 
+def needed_captures(captures: DataFrame, assignment: DataFrame) -> DataFrame:
+    """Of captures (pcap_path, ...) those that some case is assigned to: all of them if some case has a null path."""
+    some = assignment.where("pcap_path is null").limit(1).select(F.lit(True).alias("_all"))
+    named = assignment.select("pcap_path").where("pcap_path is not null").distinct().select("pcap_path", F.lit(True).alias("_named"))
+    x = captures.join(named, "pcap_path", "left").join(F.broadcast(some), how="left")  # one row
+    return x.where("_named or _all").drop("_named", "_all")
+
+
 def in_assigned(packet_rows: DataFrame, assignment: DataFrame) -> DataFrame:
     """Rows (case_id, pcap_path, ...) in a capture that is assigned to their case, or whose case has all captures."""
     a = assignment.select(F.col("case_id").alias("_case"), F.col("pcap_path").alias("_path"))

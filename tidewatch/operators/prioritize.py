@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import hour_angle, priority_level, round2, safe_name
+from ..sources.tables import stored
 from .evidence import HOUR_US
+from .ranges import accumulated
 
 TREES, SUBSAMPLE, TRAINING_CASES, SEED = 300, 256, 50_000, 42
 #: Numeric keys of findings that become sum, mean and max features.
@@ -40,6 +42,36 @@ def finding_numbers(findings: DataFrame) -> DataFrame:
     })
 
 
+#: What numbers are not taken from. Keys that end in these or hold that word, keys of addresses, and names of lists whose elements are ids or ports.
+LEFT_OUT = r"(_id|_ids)$|timestamp|^(src_ip|source_ip|dest_ip|destination_ip)$"
+ONLY_LENGTH = r"_ids$|flow_id|port"
+
+
+def harvested(rows: DataFrame, keys: list[str], document: str, prefix: str = "details") -> DataFrame:
+    """(keys, name, value): every finite number of a JSON document by its path, true as 1, and the length of every list.
+
+    Objects and lists are opened level by level, as deep as the deepest document
+    goes; a list's elements share its name. Text, null and junk give nothing.
+    """
+    name, v = F.col("name"), F.col("v")
+    cur = rows.select(*keys, F.lit(prefix).alias("name"), F.try_parse_json(document).alias("v")).where("v is not null")
+    out = None
+    while True:
+        kind = F.schema_of_variant(v)
+        number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+        items = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        fields = F.when(kind.startswith("OBJECT"), F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")))
+        x = stored(cur.select(*keys, "name", number.alias("number"), items.alias("items"), fields.alias("fields")), "harvest")
+        found = x.select(*keys, "name", F.col("number").alias("value")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+        found = found.unionAll(x.where("items is not null").select(*keys, F.concat(name, F.lit("_length")).alias("name"), F.size("items").cast("double").alias("value")))
+        out = found if out is None else out.unionAll(found)
+        if x.where("items is not null or fields is not null").isEmpty():
+            return out
+        elements = x.where(F.col("items").isNotNull() & ~F.lower(name).rlike(ONLY_LENGTH)).select(*keys, "name", F.explode("items").alias("v"))
+        inner = x.where("fields is not null").select(*keys, "name", F.explode("fields").alias("f")).where(~F.lower("f.key").rlike(LEFT_OUT))
+        cur = elements.unionAll(inner.select(*keys, F.concat_ws("_", name, F.col("f.key")).alias("name"), F.col("f.value").alias("v")))
+
+
 def _counters(rows: DataFrame, prefix: str) -> DataFrame:
     """(case_id, name, value) counting each value."""
     return rows.where("value is not null").groupBy("case_id", F.concat(F.lit(f"{prefix}_"), safe_name(F.col("value")), F.lit("_count")).alias("name")).agg(F.count("*").cast("double").alias("value"))
@@ -60,6 +92,12 @@ def case_features(case_rows: DataFrame, findings: DataFrame, session_rows: DataF
         F.count_if(F.size("flow_ids") > 0).cast("double").alias("findings_with_flow_ids"), F.count_if(F.size("destination_ports") > 0).cast("double").alias("findings_with_destination_ports"),
         *[f(n).alias(f"finding_{n}_{s}") for n in FINDING_NUMBERS for f, s in ((F.sum, "sum"), (F.avg, "mean"), (F.max, "max"))],
     )
+    more = base.select("case_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value")).limit(0)
+    if "details" in findings.columns:
+        # numbers that the rules' own columns don't cover
+        found = harvested(linked.select("case_id", "details"), ["case_id"], "details").where(~F.col("name").isin(*FINDING_NUMBERS))
+        found = found.groupBy("case_id", "name").agg(F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+        more = found.unpivot(["case_id", "name"], ["sum", "mean", "max"], "_s", "value").select("case_id", F.concat_ws("_", F.lit("finding"), "name", "_s").alias("name"), "value")
     met = matching_sessions(case_rows, session_rows)
     sess = met.groupBy("case_id").agg(
         F.count("*").cast("double").alias("matched_session_count"), F.sum("flow_count").cast("double").alias("session_total_flow_count"), F.sum("event_count").cast("double").alias("session_total_event_count"),
@@ -68,7 +106,7 @@ def case_features(case_rows: DataFrame, findings: DataFrame, session_rows: DataF
     )
     tall = lambda df: df.unpivot(["case_id"], [c for c in df.columns if c != "case_id"], "name", "value").where("value is not null")
     return (
-        tall(base).unionByName(tall(per)).unionByName(tall(sess))
+        tall(base).unionByName(tall(per)).unionByName(tall(sess)).unionByName(more)
         .unionByName(_counters(case_rows.select("case_id", F.col("correlation_strength").alias("value")), "correlation_strength"))
         .unionByName(_counters(linked.select("case_id", F.col("rule_id").alias("value")), "rule"))
         .unionByName(_counters(case_rows.select("case_id", F.explode("correlation_reasons").alias("value")), "correlation_reason"))
@@ -164,12 +202,13 @@ def scores(features: DataFrame, case_rows: DataFrame, sample: int = TRAINING_CAS
 def percentiles(score_rows: DataFrame, column: str = "isolation_forest_score") -> DataFrame:
     """Adds priority_score: average rank among all rows over their number, times 100, to two places.
 
-    Ranks come from one row per distinct score.
+    Scores are counted once each and their counts summed along ranges of scores,
+    as there may be as many scores as rows.
     """
-    counts = score_rows.groupBy(column).agg(F.count("*").alias("_ties"))
-    upto = F.sum("_ties").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_ties").over(Window.partitionBy())
-    ranks = counts.withColumn("priority_score", round2((upto - (F.col("_ties") - 1) / 2) / n * 100)).select(F.col(column).alias("_score"), "priority_score")
+    counts = accumulated(score_rows.groupBy(F.col(column).alias("_score")).agg(F.count("*").alias("_ties")), [F.asc_nulls_first("_score")], {"_upto": F.col("_ties")})
+    n = score_rows.agg(F.count("*").alias("_n"))
+    middle = F.col("_upto") - (F.col("_ties") - 1) / 2
+    ranks = counts.join(F.broadcast(n)).select("_score", round2(middle / F.col("_n") * 100).alias("priority_score"))  # one row
     return score_rows.join(ranks, F.col(column).eqNullSafe(F.col("_score"))).drop("_score")
 
 
@@ -180,5 +219,5 @@ def ranked(case_rows: DataFrame, score_rows: DataFrame) -> DataFrame:
     kind = F.when(F.col("isolation_forest_score").isNull(), "Undetermined").when(F.col("isolation_forest_score") > 0.5, "Anomaly").otherwise("Normal")
     x = x.withColumns({"priority_level": priority_level(F.col("priority_score")), "isolation_forest_classification": kind})
     out = case_rows.join(x, "case_id")
-    order = Window.orderBy(F.desc("priority_score"), F.desc("isolation_forest_score"), "first_us", "case_id")
-    return out.withColumn("priority_rank", F.row_number().over(order))
+    order = [F.desc("priority_score"), F.desc("isolation_forest_score"), F.asc("first_us"), F.asc("case_id")]
+    return accumulated(out, order, {"priority_rank": F.lit(1)})

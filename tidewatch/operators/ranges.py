@@ -3,6 +3,10 @@
 A window function over one key runs in one task, so a key with a third of the
 rows would stop the rest. Here rows of a key are dealt to buckets of time; rows
 near a border also go to the neighbour, where they are seen but not returned.
+
+Frames that slide at both ends are aggregated anew for each row, so none is used:
+every count is a difference of running ones, whose frames only grow, and a burst
+costs in proportion to its rows.
 """
 
 from __future__ import annotations
@@ -10,17 +14,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 BUCKET_WIDTHS = 16
 
 
-def over_range(df: DataFrame, keys: list[str], at: str, low: int, high: int, columns: dict[str, Column]) -> DataFrame:
-    """df with each aggregate over rows of equal keys with `at` in [at+low, at+high], ends and peers included."""
-    size = BUCKET_WIDTHS * max(1, abs(low), abs(high))
+def counted(df: DataFrame, key: str, at: str, width: int, name: str = "value") -> DataFrame:
+    """df with the number of rows of its key in [at, at + width], peers included."""
+    size = BUCKET_WIDTHS * max(1, width)
     floor = lambda c: F.floor(c / F.lit(size)).cast("long")
-    own = floor(F.col(at))
-    wide = df.withColumn("_bucket", F.explode(F.sequence(floor(F.col(at) - max(0, high)), floor(F.col(at) - min(0, low)))))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(at).rangeBetween(low, high)
-    return wide.withColumns({n: c.over(w) for n, c in columns.items()}).where(F.col("_bucket") == own).drop("_bucket")
+    wide = df.withColumn("_bucket", F.explode(F.sequence(floor(F.col(at) - width), floor(F.col(at)))))
+    w = Window.partitionBy(key, "_bucket").orderBy(at)
+    return wide.withColumn(name, _ahead(w, width)).where(F.col("_bucket") == floor(F.col(at))).drop("_bucket")
+
+
+def _ahead(w, width: int) -> Column:
+    """Rows from the current one's peers to those a width later."""
+    before = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    return F.count("*").over(w.rangeBetween(Window.unboundedPreceding, width)) - before
+
+
+def _distinct_ahead(df: DataFrame, keys: list[str], at: str, width: int, value: str, name: str) -> DataFrame:
+    """df with the number of distinct values, nulls left out, of its keys in [at, at + width].
+
+    An occurrence is the first of its value for all windows that begin after the
+    value's previous occurrence and no later than itself, a width before it at
+    most. Each occurrence so opens at a point and closes behind itself, and a
+    window's number is what has opened up to its begin less what has closed.
+    """
+    same = Window.partitionBy(*keys).orderBy(value, at)
+    previous = F.when(F.lag(value).over(same) == F.col(value), F.lag(at).over(same))
+    df = df.withColumn("_from", F.greatest(previous + 1, F.col(at) - width))
+    row = lambda p, o, c: F.struct(p.alias("_pos"), o.cast("int").alias("_opens"), c.cast("int").alias("_closes"))
+    holds = F.col(value).isNotNull()
+    both = F.array(row(F.col(at), F.lit(0), holds), F.when(holds, row(F.col("_from"), F.lit(1), F.lit(0))))
+    x = df.withColumn("_e", F.explode(F.array_compact(both))).select("*", "_e.*").drop("_e")
+    # peers open and close at one point: a frame by range takes all of them, or none
+    w = Window.partitionBy(*keys).orderBy("_pos")
+    opened, closed = F.sum("_opens").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.sum("_closes").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    return x.withColumn(name, opened - F.coalesce(closed, F.lit(0))).where("_opens = 0").drop("_pos", "_opens", "_closes", "_from")
 
 
 def islands(df: DataFrame, key: str, start: str, end: str, size: int, name: str = "island") -> DataFrame:
@@ -47,28 +79,34 @@ def _with(x: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     return x.join(right, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")), "left").drop("_key", "_b")
 
 
-def chained(df: DataFrame, key: str, at: str, width: int, metric: Column, threshold: int) -> DataFrame:
+def chained(df: DataFrame, key: str, at: str, width: int, threshold: int, distinct: str | None = None) -> DataFrame:
     """Member rows of episodes: adds episode (its start), value and window_end; both null where a row's own window does not qualify.
 
-    A row's window is [at, at + width]; it qualifies when the metric over it
-    reaches the threshold, and ends at its last row. Qualifying windows chain
-    while the next starts no later than the last one's end; a row is a member of
-    the last episode with a qualifying start at most a width ago.
+    A row's window is [at, at + width]; its value is the number of rows in it, or
+    of distinct values of a column. It qualifies when the value reaches the
+    threshold, and ends at its last row. Qualifying windows chain while the next
+    starts no later than the last one's end; a row is a member of the last
+    episode with a qualifying start at most a width ago.
 
-    All windows share one partitioning by key and bucket. A bucket also sees two
+    All windows share one partitioning by key and bucket, and all frames begin
+    with the bucket, so each is one pass: ends of windows don't decrease with
+    their starts, which makes the greatest end before a row the last one, and the
+    last qualifying row up to a row decides membership. A bucket also sees two
     widths before it (its episodes' starts depend on them) and one after (its
-    windows do); what lies further back comes as one row per bucket.
+    windows do); what lies further back comes as one row per bucket. Buckets with
+    fewer rows than the threshold hold no window that qualifies and go first.
     """
     size = BUCKET_WIDTHS * width
     floor = lambda c: F.floor(c / F.lit(size)).cast("long")
     wide = df.withColumn("_bucket", F.explode(F.sequence(floor(F.col(at) - width), floor(F.col(at) + 2 * width))))
+    wide = wide.withColumn("_rows", F.count("*").over(Window.partitionBy(key, "_bucket"))).where(F.col("_rows") >= threshold).drop("_rows")
     w = Window.partitionBy(key, "_bucket").orderBy(at)
-    seen = wide.withColumns({"value": metric.over(w.rangeBetween(0, width)), "window_end": F.max(at).over(w.rangeBetween(0, width))})
-    if seen.schema["value"].dataType.typeName() == "array":
-        seen = seen.withColumn("value", F.size("value"))
+    growing = lambda end: w.rangeBetween(Window.unboundedPreceding, end)
+    seen = _distinct_ahead(wide, [key, "_bucket"], at, width, distinct, "value") if distinct else wide.withColumn("value", _ahead(w, width))
+    seen = seen.withColumn("window_end", F.max(at).over(growing(width)))
     hit = F.col("value") >= threshold
     seen = seen.withColumns({"value": F.when(hit, F.col("value")), "window_end": F.when(hit, F.col("window_end"))})
-    before = F.max("window_end").over(w.rangeBetween(-width, -1))
+    before = F.max("window_end").over(growing(-1))
     begins = F.col("window_end").isNotNull() & (F.col(at) >= F.col("_bucket") * size - width) & (before.isNull() | (before < F.col(at)))
     seen = seen.withColumn("_start", F.when(begins, F.col(at)))
     own = floor(F.col(at)) == F.col("_bucket")
@@ -76,9 +114,11 @@ def chained(df: DataFrame, key: str, at: str, width: int, metric: Column, thresh
     above = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = last.select(key, "_bucket", F.max("_last").over(above).alias("_before"))
     x = seen.join(last, [key, "_bucket"])
-    island = F.when(F.col("window_end").isNotNull(), F.coalesce(F.max("_start").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.col("_before")))
-    x = x.withColumn("_island", island).withColumn("episode", F.max("_island").over(w.rangeBetween(-width, 0)))
-    return x.where(own & F.col("episode").isNotNull()).drop("_bucket", "_start", "_before", "_island")
+    hits = F.when(F.col("window_end").isNotNull(), F.col(at))
+    x = x.withColumns({"_hit": F.max(hits).over(growing(0)), "_island": F.coalesce(F.max("_start").over(growing(0)), F.col("_before"))})
+    # an island goes on until the next begins, so the one of the last qualifying row is the last begun
+    x = x.withColumn("episode", F.when(F.col("_hit") >= F.col(at) - width, F.col("_island")))
+    return x.where(own & F.col("episode").isNotNull()).drop("_bucket", "_start", "_before", "_island", "_hit")
 
 
 def numbered(df: DataFrame, name: str, group: list[Column], coarse: Column, order: list[Column], within: tuple[str, ...] = ()) -> DataFrame:
@@ -111,3 +151,20 @@ def numbered(df: DataFrame, name: str, group: list[Column], coarse: Column, orde
 def by_time(df: DataFrame, name: str, us: str, order: list[Column], seconds: int = 600) -> DataFrame:
     """df numbered by time and then order: groups of some minutes, months as coarse."""
     return numbered(df, name, [F.floor(F.col(us) / (seconds * 1_000_000)).cast("long")], F.floor(F.col(us) / (30 * 86_400_000_000)).cast("long"), [F.col(us), *order])
+
+
+def accumulated(df: DataFrame, order: list[Column], columns: dict[str, Column]) -> DataFrame:
+    """df with running sums, up to and with each row, in an order without ties.
+
+    Rows are dealt by range of the order and stored; a part's sums run inside it,
+    on top of those of the parts before, which are one row each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.withColumns({f"_v_{n}": c for n, c in columns.items()}).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    x = stored(x, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = x.groupBy("_range").agg(*[F.sum(f"_v_{n}").alias(f"_a_{n}") for n in columns])
+    ahead = ahead.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_a_{n}").over(before), F.lit(0)).alias(f"_a_{n}") for n in columns])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(F.broadcast(ahead), F.col("_range") == F.col("_r"))  # a row per part
+    return x.withColumns({n: F.sum(f"_v_{n}").over(inside) + F.col(f"_a_{n}") for n in columns}).select(*df.columns, *columns)

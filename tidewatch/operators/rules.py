@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.net import INTERNAL, inbound
 from ..functions.values import epoch_iso, id_of
 from ..sources.tables import stored
-from .ranges import by_time, chained, numbered, over_range
+from .ranges import by_time, chained, counted, numbered
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,9 @@ def first_of_flow(events: DataFrame) -> DataFrame:
     return first.select("flow_id", "r.*")
 
 
-def episodes(rows: DataFrame, metric: Column, threshold: int, seconds: int) -> DataFrame:
+def episodes(rows: DataFrame, rule: Rule, distinct: str | None = None) -> DataFrame:
     """Member rows of each source's episodes, as ranges.chained() gives them."""
-    return chained(rows, "src_ip", "us", seconds * 1_000_000, metric, threshold)
+    return chained(rows, "src_ip", "us", rule.seconds * 1_000_000, rule.threshold, distinct)
 
 
 def _sorted_set(c) -> Column:
@@ -74,14 +74,14 @@ def with_episode_ids(found: DataFrame) -> DataFrame:
 
 def high_connection_rate(events: DataFrame, rule: Rule = R01) -> DataFrame:
     flows = first_of_flow(events.where("flow_id is not null and src_ip is not null and us is not null").select("flow_id", "us", "id", "src_ip", "dest_ip"))
-    members = episodes(flows, F.count("*"), rule.threshold, rule.seconds)
+    members = episodes(flows, rule)
     return _finding(rule, members, {"flow_ids": F.array_sort(F.collect_list("flow_id")), "total_flows": F.count("*"), "destination_ips": _sorted_set("dest_ip")})
 
 
 def multi_port(events: DataFrame, rule: Rule = R02, networks=INTERNAL) -> DataFrame:
     whole = events.where("flow_id is not null and src_ip is not null and us is not null and dest_ip is not null and dest_port is not null").where(inbound(F.col("src_ip"), F.col("dest_ip"), networks))
     flows = first_of_flow(whole.select("flow_id", "us", "id", "src_ip", "dest_ip", "dest_port"))
-    members = episodes(flows, F.collect_set("dest_port"), rule.threshold, rule.seconds)
+    members = episodes(flows, rule, "dest_port")
     return _finding(rule, members, {"flow_ids": F.array_sort(F.collect_list("flow_id")), "total_flows": F.count("*"), "destination_ips": _sorted_set("dest_ip"), "destination_ports": _sorted_set("dest_port")})
 
 
@@ -95,7 +95,7 @@ def failed_authentication(events: DataFrame, failed: Column | None = None, rule:
     rows = events.where(login_failed(F.col("raw"), F.col("event_type")) if failed is None else failed).where("src_ip is not null and us is not null")
     rows = rows.select("id", "us", "flow_id", "src_ip", "dest_ip", "dest_port")
     width = rule.seconds * 1_000_000
-    seen = over_range(rows, ["src_ip"], "us", 0, width, {"value": F.count("*")})
+    seen = counted(rows, "src_ip", "us", width)
     first = seen.where(F.col("value") >= rule.threshold).groupBy("src_ip").agg(F.min("us").alias("episode"))
     found = rows.join(first, "src_ip").where(F.col("us").between(F.col("episode"), F.col("episode") + width)).withColumns({"value": F.lit(1), "window_end": F.col("us")})
     out = _finding(rule, found, {"event_ids": F.transform(F.array_sort(F.collect_list(F.struct("us", "id"))), lambda s: s["id"]), "flow_ids": F.transform(F.array_sort(F.collect_list(F.when(F.col("flow_id").isNotNull(), F.struct("us", "id", "flow_id")))), lambda s: s["flow_id"]), "total_events": F.count("*"), "destination_ips": _sorted_set("dest_ip"), "destination_ports": _sorted_set("dest_port")})
@@ -107,7 +107,7 @@ def protocol_anomaly(events: DataFrame, anomalous: Column | None = None, rule: R
     rows = events.where(F.col("event_type") == "anomaly" if anomalous is None else anomalous).where("src_ip is not null and dest_ip is not null and us is not null").where(inbound(F.col("src_ip"), F.col("dest_ip"), networks))
     kind = F.get_json_object("raw", "$.anomaly.event") if "raw" in events.columns else F.lit(None).cast("string")
     rows = rows.select("id", "us", "flow_id", "src_ip", "dest_ip", "dest_port", kind.alias("anomaly_type"))
-    members = episodes(rows, F.count("*"), rule.threshold, rule.seconds)
+    members = episodes(rows, rule)
     return _finding(rule, members, {"event_ids": _sorted_set("id"), "flow_ids": _sorted_set("flow_id"), "anomaly_types": _sorted_set(F.nullif(F.col("anomaly_type"), F.lit(""))), "destination_ips": _sorted_set("dest_ip"), "destination_ports": _sorted_set("dest_port"), "total_events": F.count_distinct("id"), "total_flows": F.count_distinct("flow_id")})
 
 

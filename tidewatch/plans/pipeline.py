@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, correlation, evidence, prioritize, rules, sessions
-from ..sources import ndjson, pcap, tables
+from ..sources import captures, ndjson, pcap, tables
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def analyse(spark: SparkSession, root: str, s: Settings = Settings(), with_anoma
     tables.replace(sessions.session_flows(tables.scan(spark, root, "sessions")), root, "session_flows")
     tables.replace(rules.described(detect(events, s)), root, "findings")
     findings = tables.scan(spark, root, "findings")
-    case_rows = correlation.cases(findings, correlation.relations(findings, s.case_seconds))
+    case_rows = correlation.cases(findings, correlation.links(findings, s.case_seconds))
     tables.store_cases(case_rows, correlation.case_findings(case_rows), findings, root)
     tables.clear(spark)
     if with_anomaly:
@@ -102,15 +102,26 @@ def _chosen(case_rows: DataFrame, case_ids, limit: int | None) -> DataFrame:
     return case_rows.orderBy("first_us", "case_id").limit(limit) if limit else case_rows
 
 
-def link_evidence(spark: SparkSession, root: str, packets: DataFrame, s: Settings = Settings(), case_ids=None, limit: int | None = None) -> tuple[int, int]:
-    """Links cases to events and packets; returns how many links and packets were new."""
+def link_evidence(spark: SparkSession, root: str, packets: DataFrame | None = None, s: Settings = Settings(), case_ids=None, limit: int | None = None, files: DataFrame | None = None) -> tuple[int, int]:
+    """Links cases to events and packets; returns how many links and packets were new.
+
+    Packets are given, read from captures (pcap_path, size), or both. Of the
+    captures only those that some case is assigned to are opened.
+    """
     case_rows = _chosen(tables.scan(spark, root, "cases"), case_ids, limit)
     findings, events = tables.scan(spark, root, "findings"), tables.scan(spark, root, "events")
     linked = evidence.case_events(case_rows, findings, events)
     links = tables.append_new(linked.select("case_id", F.col("id").alias("event_id")), root, "case_eve_events")
-    matched = evidence.packet_matches(pcap.with_micros(packets) if "packet_us" not in packets.columns else packets, evidence.selectors(linked), s.padding_seconds)
-    files = evidence.capture_assignment(case_rows, packets.select("pcap_path").distinct())
-    return links, tables.append_new(evidence.in_assigned(matched, files), root, "pcap_evidence")
+    reads = [] if packets is None else [packets if "packet_us" in packets.columns else pcap.with_micros(packets)]
+    names = files.select("pcap_path") if files is not None else reads[0].select("pcap_path").distinct()
+    if files is not None and reads:
+        names = names.union(reads[0].select("pcap_path")).distinct()
+    assignment = tables.stored(evidence.capture_assignment(case_rows, names), "assignment")
+    if files is not None:
+        reads.append(captures.packets(evidence.needed_captures(files, assignment)))
+    every = reads[0] if len(reads) == 1 else evidence.merge_packets([r.select(*reads[-1].columns) for r in reads])
+    matched = evidence.packet_matches(every, evidence.selectors(linked), s.padding_seconds)
+    return links, tables.append_new(evidence.in_assigned(matched, assignment), root, "pcap_evidence")
 
 
 def features(spark: SparkSession, root: str) -> DataFrame:

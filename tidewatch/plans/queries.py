@@ -13,7 +13,7 @@ from ..functions.values import json_ids
 from ..operators import anomaly, correlation, dashboard, evidence, prioritize, rules, sessions
 from ..sources import adapter, ndjson, pcap
 from ..sources.tables import shared_folder, stored
-from . import pipeline
+from . import packets, pipeline
 
 HOURS = 6
 WIDE = pipeline.Settings(window_seconds=86400, threshold=1.5).wide(HOURS * 3600)
@@ -43,7 +43,7 @@ def stored_findings(spark, sf_dir):
 
 
 def cases_df(found):
-    return correlation.cases(found, correlation.relations(found, WIDE.case_seconds))
+    return correlation.cases(found, correlation.links(found, WIDE.case_seconds))
 
 
 def r01_high_connection_rate(spark, sf_dir):
@@ -162,7 +162,7 @@ def packets_df(spark, sf_dir):
     """Every event as a packet, odd ones turned round, a second later."""
     odd = F.col("id") % 2 == 1
     turn = lambda a, b: F.when(odd, F.col(b)).otherwise(F.col(a)).alias(a)
-    return ev(spark, sf_dir).select(F.lit("capture").alias("pcap_path"), F.col("id").alias("packet_number"), (F.col("us") + 1_000_000).alias("packet_us"), turn("src_ip", "dest_ip"), turn("src_port", "dest_port"), turn("dest_ip", "src_ip"), turn("dest_port", "src_port"))
+    return ev(spark, sf_dir).select(F.lit("capture").alias("pcap_path"), F.col("id").alias("packet_number"), (F.col("us") + 1_000_000).alias("packet_us"), turn("src_ip", "dest_ip"), turn("src_port", "dest_port"), turn("dest_ip", "src_ip"), turn("dest_port", "src_port"), F.when(F.col("id") % 4 < 2, "TCP").when(F.col("id") % 4 == 2, "udp").alias("protocol"))
 
 
 def packet_matches(spark, sf_dir):
@@ -402,7 +402,7 @@ QUERIES = [
 
 
 def queries():
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, *packets.QUERIES]}
 
 
 # --- SQL -----------------------------------------------------------------------------------------
@@ -498,11 +498,11 @@ cw as (select distinct case_id, unnest(flow_ids) as flow_id from cf join fi usin
 ce as (select case_id, ev.* from ci join ev using (id) union select case_id, ev.* from (select case_id, flow_id as f from cw) x join ev on ev.flow_id = x.f),
 sl as (select *, row_number() over (partition by case_id order by first_us, src_ip, dest_ip, coalesce(src_port, -1), coalesce(dest_port, -1), proto nulls first) as ord from (
   select case_id, src_ip, src_port, dest_ip, dest_port, proto, min(us) as first_us, max(us) as last_us from ce group by all)),
-ori as (select case_id, ord, first_us, last_us, src_ip as s1, src_port as p1, dest_ip as s2, dest_port as p2, 'forward' as direction from sl union all
-  select case_id, ord, first_us, last_us, dest_ip, dest_port, src_ip, src_port, 'reverse' from sl where src_ip <> dest_ip),
+ori as (select case_id, ord, first_us, last_us, proto, src_ip as s1, src_port as p1, dest_ip as s2, dest_port as p2, 'forward' as direction from sl union all
+  select case_id, ord, first_us, last_us, proto, dest_ip, dest_port, src_ip, src_port, 'reverse' from sl where src_ip <> dest_ip),
 pk as (select id as packet_number, us + 1000000 as packet_us, case when id % 2 = 1 then dest_ip else src_ip end as src_ip, case when id % 2 = 1 then dest_port else src_port end as src_port,
-  case when id % 2 = 1 then src_ip else dest_ip end as dest_ip, case when id % 2 = 1 then src_port else dest_port end as dest_port from ev),
-pm as (select case_id, packet_number, ord, direction, packet_us between first_us - 2000000 and last_us + 2000000 as timed from pk join ori on src_ip = s1 and dest_ip = s2 and (p1 is null or p1 = src_port) and (p2 is null or p2 = dest_port))"""
+  case when id % 2 = 1 then src_ip else dest_ip end as dest_ip, case when id % 2 = 1 then src_port else dest_port end as dest_port, case when id % 4 < 2 then 'TCP' when id % 4 = 2 then 'UDP' end as protocol from ev),
+pm as (select case_id, packet_number, ord, direction, packet_us between first_us - 2000000 and last_us + 2000000 as timed from pk join ori on src_ip = s1 and dest_ip = s2 and (p1 is null or p1 = src_port) and (p2 is null or p2 = dest_port) and (protocol is null or protocol = proto))"""
 
 
 W_CASE_SESSIONS = W_CASES + ",\n" + W_SESSIONS[len(W_EV) + 2 :] + """,
@@ -627,8 +627,10 @@ select p_partkey, case when p - floor(p) = 0.5 then floor(p) + case when (h * 10
   round(sin((us // 1000000) % 86400 * (2 * pi() / 86400)), 9) as sine from ev"""),
         "one_year": _with(W_EV, "select id from ev where year(make_timestamp(us)) = 2024"),
         "case_links": _with(W_CASES, "select 'lost' as what, finding_id as value from (select unnest(finding_ids) as finding_id from cs) join fi using (finding_id) where ordinal % 10 = 0 union all select 'holds', case_id from cs where list_contains(finding_ids, (select finding_id from fi where ordinal = 1))"),
-        "case_filters": _with(W_CASE_IDS, "select case_id, ord::int as ord, '(' || " + " || ' || ' || ".join(f"'(ip.src == ' || {a}_ip || ' && ip.dst == ' || {b}_ip || coalesce(' && (tcp.srcport == ' || {a}_port || ' || udp.srcport == ' || {a}_port || ')', '') || coalesce(' && (tcp.dstport == ' || {b}_port || ' || udp.dstport == ' || {b}_port || ')', '') || ')'" for a, b in (("src", "dest"), ("dest", "src"))) + " || ')' || ' && frame.time_epoch >= ' || ((first_us - 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) || ' && frame.time_epoch <= ' || ((last_us + 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) as filter from sl"),
+        "case_filters": _with(W_CASE_IDS, "select case_id, ord::int as ord, lower(proto) || ' && (' || " + " || ' || ' || ".join(f"'(ip.src == ' || {a}_ip || ' && ip.dst == ' || {b}_ip || coalesce(' && ' || lower(proto) || '.srcport == ' || {a}_port, '') || coalesce(' && ' || lower(proto) || '.dstport == ' || {b}_port, '') || ')'" for a, b in (("src", "dest"), ("dest", "src")))
+            + " || ')' || ' && frame.time_epoch >= ' || ((first_us - 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) || ' && frame.time_epoch <= ' || ((last_us + 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) as filter from sl"),
         "merged_packets": _with(W_CASE_IDS, "select packet_number, packet_us from pk where packet_number % 3 <> 0 or packet_number % 2 = 0"),
         "field_export": _with(W_EV, "select id as packet_number, us as packet_us, src_ip, src_port, dest_ip, dest_port, proto as protocol, 7::bigint as tcp_stream, case when id % 2 = 0 then 60::bigint end as frame_length, null::varchar as http_method, false as is_retransmission from ev"),
         "decoded_ids": _with(W_EV, "select id, flow_id::varchar || ',' || id::varchar as ids from ev"),
+        **packets.oracle_sql(),
     }

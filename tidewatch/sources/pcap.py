@@ -1,16 +1,12 @@
-"""Packets from captures: field exports as TSV, or classic and next-generation capture files by a data source."""
+"""Packets from field exports as TSV, and finding captures."""
 
 from __future__ import annotations
 
-import struct
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.values import int_or_null, or_null
-from ..schemas import PACKETS
+from .captures import listed
 
 #: The export's columns, in order.
 TSV_FIELDS = ("frame_number", "frame_time_epoch", "ip_src", "ipv6_src", "ip_dst", "ipv6_dst", "tcp_srcport", "udp_srcport", "tcp_dstport", "udp_dstport", "protocol", "tcp_stream", "frame_len", "http_method", "http_uri", "http_status", "dns_query", "retransmission")
@@ -18,7 +14,7 @@ TSV_FIELDS = ("frame_number", "frame_time_epoch", "ip_src", "ipv6_src", "ip_dst"
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """(pcap_path) of *.pcap and *.pcapng under a folder, sorted; an error if there are none."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pcap,pcapng}").load(folder).select(F.col("path").alias("pcap_path")).distinct().orderBy("pcap_path")
+    found = listed(spark, folder).select("pcap_path").orderBy("pcap_path")
     if found.isEmpty():
         raise FileNotFoundError(f"no captures under {folder}")
     return found
@@ -40,163 +36,3 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def with_micros(packets: DataFrame) -> DataFrame:
     return packets.withColumn("packet_us", F.round(F.col("packet_epoch") * 1_000_000).cast("long"))
-
-
-CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}  # fixed values: magic numbers
-SECTION, INTERFACE, ENHANCED = 0x0A0D0D0A, 1, 6  # fixed values: block types of the next-generation format
-PROTOCOL_NAMES = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMPv6", 132: "SCTP"}  # fixed values: protocol numbers
-
-
-def _exactly(f, n: int) -> bytes | None:
-    data = f.read(n)
-    return data if len(data) == n else None
-
-
-def frames(f):
-    """(number, epoch, original length, link type, frame) of a classic or next-generation capture, read as a stream; a cut last record ends it."""
-    head = f.read(4)
-    if head in CLASSIC:
-        end, unit = CLASSIC[head]
-        rest, number = _exactly(f, 20), 0
-        link = struct.unpack(f"{end}I", rest[16:20])[0] if rest else 1
-        while (record := _exactly(f, 16)) is not None:
-            sec, frac, size, length = struct.unpack(f"{end}IIII", record)
-            if (frame := _exactly(f, size)) is None:
-                return
-            number += 1
-            yield number, sec + frac / unit, length, link, frame
-        return
-    if head != b"\x0a\x0d\x0d\x0a":
-        raise ValueError("not a capture file")
-    end, links, number = "<", [], 0
-    while len(head) == 4:
-        raw = _exactly(f, 4)
-        if raw is None:
-            return
-        if head == b"\x0a\x0d\x0d\x0a":
-            order = f.read(4)
-            end, links = ("<" if order == b"\x4d\x3c\x2b\x1a" else ">"), []
-            body = _exactly(f, struct.unpack(f"{end}I", raw)[0] - 12)
-        else:
-            body = _exactly(f, struct.unpack(f"{end}I", raw)[0] - 8)
-        if body is None:
-            return
-        kind = struct.unpack(f"{end}I", head)[0]
-        if kind == INTERFACE:
-            unit, at = 1e6, 8
-            while at + 4 <= len(body) - 4:
-                code, size = struct.unpack_from(f"{end}HH", body, at)
-                if code == 9 and size:
-                    unit = 2.0 ** (body[at + 4] & 127) if body[at + 4] & 128 else 10.0 ** body[at + 4]
-                at += 4 + (size + 3) // 4 * 4
-                if code == 0:
-                    break
-            links.append((struct.unpack_from(f"{end}H", body)[0], unit))
-        elif kind == ENHANCED:
-            which, high, low, size, length = struct.unpack_from(f"{end}IIIII", body)
-            link, unit = links[which]
-            number += 1
-            yield number, ((high << 32) + low) / unit, length, link, body[20 : 20 + size]
-        head = f.read(4)
-
-
-def decode_frame(frame: bytes, link: int = 1):
-    """(src, sport, dst, dport, protocol) of an Ethernet (VLAN tags skipped) or raw IP frame, IPv4 or IPv6."""
-    import ipaddress
-
-    at, kind = (14, frame[12:14]) if link == 1 else (0, b"\x86\xdd" if frame[:1] and frame[0] >> 4 == 6 else b"\x08\x00")
-    while kind in (b"\x81\x00", b"\x88\xa8"):
-        kind, at = frame[at + 2 : at + 4], at + 4
-    if kind == b"\x08\x00" and len(frame) >= at + 20:
-        protocol, body = frame[at + 9], at + (frame[at] & 15) * 4
-        ends = frame[at + 12 : at + 16], frame[at + 16 : at + 20]
-        whole = struct.unpack_from(">H", frame, at + 6)[0] & 0x1FFF == 0
-    elif kind == b"\x86\xdd" and len(frame) >= at + 40:
-        protocol, body, whole = frame[at + 6], at + 40, True
-        ends = frame[at + 8 : at + 24], frame[at + 24 : at + 40]
-        while protocol in (0, 43, 60, 44) and len(frame) >= body + 8:
-            whole = whole and not (protocol == 44 and struct.unpack_from(">H", frame, body + 2)[0] >> 3)
-            protocol, body = frame[body], body + (8 if protocol == 44 else (frame[body + 1] + 1) * 8)
-    else:
-        return None, None, None, None, "ETH" if link == 1 else "IP"
-    src, dst = (str(ipaddress.ip_address(e)) for e in ends)
-    ports = struct.unpack_from(">HH", frame, body) if whole and protocol in (6, 17, 132) and len(frame) >= body + 4 else (None, None)
-    return src, ports[0], dst, ports[1], PROTOCOL_NAMES.get(protocol, "IP")
-
-
-def decode_capture(f):
-    """(number, epoch, src, sport, dst, dport, protocol, length) of a capture's packets."""
-    for number, epoch, length, link, frame in frames(f):
-        src, sport, dst, dport, kind = decode_frame(frame, link)
-        yield number, epoch, src, sport, dst, dport, kind, length
-
-
-def export_cases(evidence_rows: DataFrame, folder: str) -> DataFrame:
-    """Writes each case's packets as classic captures, one file for a case and a source capture; returns (case_id, pcap_path, file, packets).
-
-    A task holds the numbers of one case's packets in one capture and streams that capture.
-    """
-    def run(key, pdf):
-        import hashlib
-
-        import pandas as pd
-        from pyarrow import fs
-
-        case_id, source = key
-        wanted, n = set(pdf["packet_number"].tolist()), 0
-        name = f"{case_id}-{hashlib.sha1(source.encode()).hexdigest()[:12]}.pcap"
-        files, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"file:///{folder}")
-        files.create_dir(at, recursive=True)
-        store, path = fs.FileSystem.from_uri(source.replace("file:///", "/") if source.startswith("file:/") else source)
-        temporary = f"{at}/_{uuid.uuid4().hex}"
-        with store.open_input_stream(path, compression=None) as f, files.open_output_stream(temporary, compression=None) as out:
-            for number, epoch, length, link, frame in frames(f):
-                if not n and number in wanted:
-                    out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, link))
-                if number in wanted:
-                    us = round(epoch * 1e6)
-                    out.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(frame), length) + frame)
-                    n += 1
-        files.move(temporary, f"{at}/{name}")
-        return pd.DataFrame([(case_id, source, f"{folder}/{name}", n)], columns=["case_id", "pcap_path", "file", "packets"])
-
-    return evidence_rows.select("case_id", "pcap_path", "packet_number").groupBy("case_id", "pcap_path").applyInPandas(run, "case_id string, pcap_path string, file string, packets long")
-
-
-class CaptureSource(DataSource):
-    """format("tidewatch_pcap"): option path, one file a partition, read through pyarrow's file systems."""
-
-    @classmethod
-    def name(cls):
-        return "tidewatch_pcap"
-
-    def schema(self):
-        return PACKETS
-
-    def reader(self, schema):
-        return _CaptureReader(self.options)
-
-
-class _CaptureReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.paths = options["path"].split(",")
-
-    def partitions(self):
-        from pyarrow import fs
-
-        files = []
-        for p in self.paths:
-            system, root = fs.FileSystem.from_uri(p)
-            info = system.get_file_info(root)
-            found = [f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file] if info.type == fs.FileType.Directory else [root]
-            prefix = p[: p.index("://") + 3] if "://" in p else ""
-            files += [prefix + f for f in found if f.endswith((".pcap", ".pcapng"))]
-        return [InputPartition(f) for f in sorted(set(files))]
-
-    def read(self, partition):
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(partition.value)
-        with system.open_input_stream(path, compression=None) as f:
-            for number, epoch, src, sport, dst, dport, kind, length in decode_capture(f):
-                yield partition.value, number, epoch, src, sport, dst, dport, kind, None, length, None, None, None, None, False
