@@ -97,8 +97,8 @@ bg as (select *, k = 1 or flags = 2 and seq is distinct from opened as begins fr
 cn as (select *, max(case when begins then packet_number end) over (partition by day, one, other, port_one order by packet_number) as begun from bg),
 st as (select *, dense_rank() over (partition by day order by begun) - 1 as stream from cn),
 ps as (select *, coalesce((seq - lag(seq) over d + 6442450944) % 4294967296 - 2147483648, 0) as step from st window d as (partition by day, begun, {TURNED} order by packet_number)),
-at as (select *, sum(step) over (partition by day, begun, {TURNED} order by packet_number) as pos from ps),
-re as (select *, max(case when span > 0 then {{'t': pos + span, 'a': -us}} end) over (partition by day, begun, {TURNED} order by packet_number rows between unbounded preceding and 1 preceding) as top from at),
+po as (select *, sum(step) over (partition by day, begun, {TURNED} order by packet_number) as pos from ps),
+re as (select *, max(case when span > 0 then {{'t': pos + span, 'a': -us}} end) over (partition by day, begun, {TURNED} order by packet_number rows between unbounded preceding and 1 preceding) as top from po),
 ag as (select day, packet_number, stream, span > 0 and coalesce(pos < top.t and us + top.a >= 3000 and not (span <= 1 and flags <> 2 and pos = top.t - 1), false) as again from re)"""
 
 
