@@ -8,8 +8,8 @@ Candidates are exact: two fingerprints at most RADIUS bits apart agree in one of
 RADIUS + 1 bands, so fingerprints meet by band and value. A bucket of at most
 BUCKET fingerprints is compared by brute force. A larger one, of up to LARGE, is
 dealt to tiles in which each pair meets; one beyond that is split again by
-RADIUS + 1 bands of the bits that are still open, as often as it takes. No pair is
-lost on any way.
+RADIUS + 1 bands of the bits that are still open, as long as SPLIT_BITS are, so
+three times at most, and dealt to tiles after that. No pair is lost on any way.
 
 Comparison: the 64 bits of a bucket are stored as planes, 64 fingerprints a word.
 A fingerprint meets a word with one XOR a plane; the differing bits of its 64
@@ -36,7 +36,7 @@ from xxhash import xxh64_intdigest
 from .common import components, discard, shuffle_partitions, written
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
-BUCKET, LARGE, CHUNK = 4096, 65536, 2048
+BUCKET, LARGE, CHUNK, SPLIT_BITS = 4096, 65536, 2048, 40
 SALTS = 16
 U = np.uint64
 ALL = U(0xFFFFFFFFFFFFFFFF)
@@ -219,11 +219,13 @@ def links(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         met = written(_sized(cur), "simhash-buckets")
         read.append(met)
         edges += [compared(met.where(F.col("size") <= BUCKET))]
-        over = met.where((F.col("size") > BUCKET) & (F.col("size") <= LARGE))
+        # all paths of a level have about as many open bits
+        last = min(m.bit_count() for m in masks) < SPLIT_BITS
+        over = met.where((F.col("size") > BUCKET) & ((F.col("size") <= LARGE) | F.lit(last)))
         if not over.isEmpty():
             edges += [compared(_tiles(over))]
         huge = met.where(F.col("size") > LARGE)
-        if huge.isEmpty():
+        if last or huge.isEmpty():
             break
         cur, masks = _split(huge, masks)
     out = edges[0]
