@@ -70,6 +70,20 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._scratch)
 
 
+def slices(batch, column: str, most: int = 512, size: int = 4 << 20):
+    """An Arrow batch in slices of at most `most` rows and about `size` bytes of a text column, one row at least: what a task holds as Python strings is bounded whatever the texts' length."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        end = min(len(batch), at + most, max(at + 1, end))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import slices
+
 BUCKETS, DIM, SIZES = 1 << 18, 4, (3, 4, 5, 6)
 PASSAGE, PER_CLASS, EPOCHS, BATCH = 8, 2000, 3, 1024
 SMOOTHING, PICKED = 4.0, 0.1
@@ -293,8 +295,9 @@ def _scored(batches, model, name):
     import pyarrow as pa
 
     for b in batches:
-        score = model.scores([t or "" for t in b.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, name])
+        for part in slices(b, "text"):
+            score = model.scores([t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
