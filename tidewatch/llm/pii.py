@@ -15,8 +15,9 @@ sources of a corpus play no part.
 Candidates: a number of at most 19 digits (the longest card) from the border of
 one run of digits and ().-+ to that of another, with at most GAP such marks, / or
 : between two runs; and a written-out address, one local part, at, and name dot
-name, of any number of names and any length, up to each of its names. A number
-takes part in at most 19 candidates, a name in one, so there are linearly many;
+name, up to each of its names, of which a domain name's 253 characters are the
+limit. Where names and local parts end is found in one pass over all tokens. A
+number takes part in at most 19 candidates, an at in 126, so there are linearly many;
 tokens outside of them score 0 and the programme visits borders only.
 
 Defined cases: null texts count as empty and have no spans; very long texts are
@@ -96,6 +97,7 @@ TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 ANCHOR = re.compile(r"[0-9](?:[\s().\-+/:]*[0-9]){3}|\b(?:dot|punkt|punto|point)\b", re.I)
 HAS_ANCHOR = re.compile(r"[0-9]|dot|punkt|punto|point", re.I).search
 DIGITS, GAP, BEFORE = 19, 3, 4
+DOMAIN_LENGTH = 253  # fixed value: a domain name has no more characters
 RUN_MARKS, MARKS, OPEN, CLOSED, LOCAL_MARKS = set("().-+"), set("().-+/:"), set("([{<"), set(")]}>"), set("._%+-")
 AT_WORDS, DOT_WORDS = {"at", "arroba"}, {"dot", "punkt", "punto", "point"}
 CUES = {
@@ -169,27 +171,43 @@ class Stretch:
             return k - 1, k + 1
         return k, k
 
+    def _names(self) -> None:
+        """For each token where a name that begins at it ends, and where the local part that ends with it begins; each a pass over the tokens."""
+        words, n = self.words, len(self.words)
+        plain = [w.isalpha() or d for w, d in zip(words, self.digit, strict=True)]
+        kept = 0  # one past the last token that is no dash
+        last = []
+        for k in range(n):
+            kept = kept if words[k] == "-" else k + 1
+            last.append(kept)
+        reach = [0] * n
+        for k in range(n - 1, -1, -1):
+            goes_on = k + 1 < n and self._joined(k + 1) and (plain[k + 1] or words[k + 1] == "-")
+            reach[k] = reach[k + 1] if goes_on else k + 1
+        self.name_end = [last[reach[k] - 1] if plain[k] else k for k in range(n)]
+        self.local_begin = []
+        for k in range(n):
+            local = plain[k] or words[k] in LOCAL_MARKS
+            before = k and self._joined(k) and self.local_begin[k - 1] <= k - 1
+            self.local_begin.append(self.local_begin[k - 1] if local and before else k if local else k + 1)
+
     def _name(self, k: int) -> int:
         """One past the last token of a name that begins at token k, or k."""
-        words, j = self.words, k
-        while j < len(words) and (words[j].isalpha() or self.digit[j] or words[j] == "-" and j > k) and (j == k or self._joined(j)):
-            j += 1
-        while j > k and words[j - 1] == "-":
-            j -= 1
-        return j
+        return self.name_end[k] if k < len(self.words) else k
 
     def _addresses(self):
         words = self.words
+        if not AT_WORDS.isdisjoint(words):
+            self._names()
         for k, w in enumerate(words):
             if w not in AT_WORDS:
                 continue
             first, last = self._spelled(k, AT_WORDS)
-            i = first
-            while i and (words[i - 1].isalpha() or self.digit[i - 1] or words[i - 1] in LOCAL_MARKS) and (i == first or self._joined(i)):
-                i -= 1
+            i = self.local_begin[first - 1] if first else first
             j, dots, brackets = self._name(last + 1), 0, first < k
             if i == first or j == last + 1 or words[i] in ".-":
                 continue
+            size = self.tokens[j - 1][1] - self.tokens[last + 1][0]
             while True:
                 dot = self._spelled(j, DOT_WORDS) or (j + 1 < len(words) and words[j] in OPEN and self._spelled(j + 1, DOT_WORDS)) or None
                 end = self._name(dot[1] + 1) if dot else j
@@ -197,6 +215,9 @@ class Stretch:
                     yield i, j, "email", self._features(i, j, "email", brackets, bool(dot) and end > dot[1] + 1)
                 if not dot or end == dot[1] + 1:
                     break
+                size += 1 + self.tokens[end - 1][1] - self.tokens[dot[1] + 1][0]
+                if size > DOMAIN_LENGTH:
+                    break
                 j, dots, brackets = end, dots + 1, brackets or dot[0] < dot[1]
 
     def _features(self, i: int, j: int, kind: str, brackets: bool = False, beyond: bool = False) -> np.ndarray:
@@ -285,12 +306,13 @@ def generated_sentences(n: int = 160, seed: int = 7):
             c = card()
             return kind, c if r.random() < 0.5 else r.choice(" -.").join(c[k : k + 4] for k in range(0, 16, 4))
         a, b, c = digits(3), digits(3), digits(4)
-        return kind, r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"{a} {b} {c}"))
+        pairs = lambda k: " ".join(digits(2) for _ in range(k))
+        return kind, r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"{a} {b} {c}", f"0{a} / {pairs(2)} {digits(3)} {digits(2)}", f"0{digits(1)} {pairs(4)}", f"0{digits(2)} / {digits(3)} {digits(4)}"))
 
     def lookalike():
         return r.choice((
             lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", lambda: f"{r.randrange(1, 29)}.{r.randrange(1, 13)}.{r.randrange(1990, 2030)}", lambda: f"version {r.randrange(9)}.{r.randrange(20)}.{r.randrange(20)}",
-            lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: digits(r.randrange(4, 9)), lambda: digits(r.choice((10, 12, 13, 20, 24))), lambda: f"{digits(3)},{digits(3)}.{digits(2)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()} {word()}",
+            lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: digits(r.randrange(4, 9)), lambda: digits(r.choice((10, 12, 13, 20, 24))), lambda: f"{digits(3)},{digits(3)}.{digits(2)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at {word()} {word()}",
             lambda: f"{word()} at the {word()} com", lambda: f"{word()} at the dot of {word()}", lambda: f"{word()} at {word()} {r.choice(sorted(DOT_WORDS))} {word()}", lambda: hashlib.md5(digits(5).encode()).hexdigest(), lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"order {digits(16)}" if not luhn(x := digits(16)) else f"page {x[:3]}",
         ))()
 
