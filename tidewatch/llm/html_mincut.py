@@ -14,7 +14,8 @@ blocks at all. Each block is a node of a graph:
   elements without headings that each begin or end with a byline (a short line
   with a time or a verb of saying), or one element of bylines and prose in turn;
 * a form is furniture and goes, unless it wraps the page: with an article, a main
-  part, a first heading or three paragraphs of prose inside, only its controls go;
+  part, a first heading or more than half of the page's prose inside, only its
+  controls go;
 * smoothness edges join neighbours in page order, the stronger the closer they
   are in the DOM, and successive blocks of one container that something stands
   between.
@@ -64,7 +65,9 @@ BAD = set(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations more comment comments reply replies respond disqus discussion widget toolbar pagination pager copyright legal disclaimer tags skip search".split()
 )
 FEATURES = ("bias", "log words", "link share", "ends like a sentence", "heading", "paragraph", "list item", "table cell", "inside article or main", "good cue", "bad cue", "no letters", "very short", "caption", "in a thread")
-#: Class words with these before them tell of the page, not of the element.
+#: Shares of a page's prose that make an element its wrapper: with the first heading, and without one.
+WRAPPED, ALONE = 0.3, 0.8
+#: What comes after these in a class word tells of the page, not of the element.
 ABOUT = set("has with without no is not category tag type status format wp js".split())
 TITLED = re.compile(r"\b(?:entry|article|post|story)[-_]?header\b", re.I).search
 BYLINE = re.compile(
@@ -73,17 +76,17 @@ BYLINE = re.compile(
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "hard", "good", "bad", "inside", "box", "thread")
+    __slots__ = ("text", "links", "tag", "hard", "good", "bad", "inside", "box", "holder", "thread")
 
 
 class _Element:
-    __slots__ = ("tag", "hard", "good", "bad", "inside", "silent", "link", "number", "up", "depth", "form", "wraps", "prose", "heads", "thread")
+    __slots__ = ("tag", "hard", "good", "bad", "inside", "silent", "link", "number", "up", "depth", "form", "wraps", "prose", "heads", "first", "thread")
 
 
 def _inside(up: _Element | None, tag: str) -> _Element:
     """An element without cues inside up."""
     e = _Element()
-    e.tag, e.up, e.depth, e.form, e.wraps, e.prose, e.heads, e.thread = tag, up, up.depth + 1 if up else 0, up.form if up else None, False, 0, False, False
+    e.tag, e.up, e.depth, e.form, e.wraps, e.prose, e.heads, e.first, e.thread = tag, up, up.depth + 1 if up else 0, up.form if up else None, False, 0, False, False, False
     return e
 
 
@@ -115,8 +118,9 @@ def _cues(attributes: str) -> tuple[bool, bool, bool, bool]:
             hidden = hidden or name == "class" and "hidden" in value.lower().split()
             for token in value.split():
                 parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower().replace("_", " ").replace("-", " ").split()
+                parts = parts[: next((k for k, x in enumerate(parts) if x in ABOUT), None)]
                 # the header of an article or entry holds its title
-                words.update(x for x in parts if parts[0] not in ABOUT and not (x == "header" and not GOOD.isdisjoint(parts)))
+                words.update(x for x in parts if not (x == "header" and not GOOD.isdisjoint(parts)))
         elif name == "role":
             hard = hard or value.lower() in HARD_ROLES
             if value.lower() in ("main", "article"):
@@ -134,6 +138,7 @@ def blocks_of(page: str) -> list[Block]:
     root.hard, root.good, root.bad, root.inside, root.silent, root.link, root.number = False, False, False, False, False, False, 0
     stack, blocks, pieces, n_links, every = [root], [], [], 0, []
     at, n, blank = 0, len(page), True
+    any_first: list[Block] = []
 
     def flush():
         nonlocal pieces, n_links, blank
@@ -141,14 +146,19 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(_html.unescape("".join(pieces)).split())
             if text:
                 b, e = Block(), holder
-                b.text, b.links, b.hard, b.good, b.bad, b.inside = text, min(n_links, len(text)), e.hard, e.good, e.bad, e.inside
+                b.text, b.links, b.hard, b.inside, b.holder = text, min(n_links, len(text)), e.hard, e.inside, e
                 b.box, b.thread = _box(stack[-1]), False
                 b.tag = b.box.tag
                 if b.tag[0:1] == "h" and b.tag[1:].isdigit():
                     while e and not e.heads:
                         e.heads, e = True, e.up
-                elif b.box.form and b.tag == "p" and text.count(" ") > 8:
-                    b.box.form.prose += 1
+                elif not b.hard and text.count(" ") > 8:
+                    b.box.prose += text.count(" ")
+                if b.tag == "h1" and not b.hard and not any_first:
+                    any_first.append(b)
+                    e = b.box
+                    while e and not e.first:
+                        e.first, e = True, e.up
                 blocks.append(b)
             pieces, n_links, blank = [], 0, True
 
@@ -229,17 +239,29 @@ def blocks_of(page: str) -> list[Block]:
             e.silent = False
         e.inside = up.inside or tag in ("article", "main")
         e.hard = up.hard or hidden or hard or tag in HARD or tag == "header" and not up.inside and not TITLED(m[3])
-        e.bad = up.bad or bad
-        e.good = not e.bad and (up.good or good)
+        e.good, e.bad = good, bad
         stack.append(e)
         opened[tag] += 1
     flush()
+    _inherit(root, every, bool(any_first))
     for b in blocks:
-        b.hard = b.hard or bool(b.box.form and not b.box.form.wraps and b.box.form.prose < 3)
+        b.good, b.bad = b.holder.good, b.holder.bad
+        b.hard = b.hard or bool(b.box.form and not b.box.form.wraps and 2 * b.box.form.prose <= root.prose)
     _mark_threads(blocks, every)
     return blocks
 
 
+def _inherit(root: _Element, every: list[_Element], headed: bool) -> None:
+    """Sums prose over the elements around it, then hands cues down from elements that don't wrap the page."""
+    for e in reversed(every):
+        e.up.prose += e.prose
+    for e in every:
+        share = e.prose / root.prose if root.prose else 0
+        wraps = e.first and share >= WRAPPED if headed else share >= ALONE
+        e.bad = e.up.bad or e.bad and not wraps
+        e.good = not e.bad and (e.up.good or e.good)
+
+
 def _mark_threads(blocks: list[Block], every: list[_Element]) -> None:
     """Sets thread of blocks in comment-like units."""
     headed = lambda b: b.tag[:1] == "h" and b.tag[1:].isdigit()
@@ -371,15 +393,15 @@ def content_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
     return [b for k, b in enumerate(blocks) if side[k] >= 0]
 
 
-def generated_pages(n: int = 80, seed: int = 5):
-    """Pages whose content blocks start with the letter Q, other blocks with X."""
+def generated_pages(n: int = 80, seed: int = 5, named=tuple(sorted(BAD))):
+    """Pages whose content blocks start with the letter Q, other blocks with X; named are the class words of furniture."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("lo", "ra", "tem", "is", "un", "der", "qua", "en")) for _ in range(r.randrange(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(r.randrange(a, b)))
     good = lambda tag, a, b, end=".": f"<{tag}>Q {words(a, b)}{end}</{tag}>"
     bad = lambda tag, a, b, cls="", end="": f"<{tag}{cls}>X {words(a, b)}{end}</{tag}>"
     menu = lambda: "<ul>" + "".join(f'<li><a href="#">X {words(0, 3)}</a></li>' for _ in range(r.randrange(2, 7))) + "</ul>"
-    cls = lambda: f' class="{r.choice(sorted(BAD))}{r.choice(("", "-box", " c1"))}"'
+    cls = lambda: f' class="{r.choice(named)}{r.choice(("", "-box", " c1"))}"'
     for _ in range(n):
         parts = [good("h1", 2, 9, "")]
         for _ in range(r.randrange(1, 9)):
@@ -400,10 +422,10 @@ def generated_pages(n: int = 80, seed: int = 5):
         yield "<body>" + outer[0] + wrap[0] + "".join(parts) + wrap[1] + "".join(outer[1:]) + bad("div", 2, 6, "", "") * (r.random() < 0.5) + "</body>"
 
 
-@lru_cache(maxsize=1)
-def trained(steps: int = 400) -> np.ndarray:
+@lru_cache(maxsize=2)
+def trained(steps: int = 400, named=tuple(sorted(BAD))) -> np.ndarray:
     """Regularised logistic regression by Newton steps on the generated pages' blocks."""
-    every = [b for page in generated_pages() for b in blocks_of(page)]
+    every = [b for page in generated_pages(named=named) for b in blocks_of(page)]
     x, y = features(every), np.array([b.text[0] == "Q" for b in every], float)
     w = np.zeros(x.shape[1])
     for _ in range(min(steps, 25)):
