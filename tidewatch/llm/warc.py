@@ -1,12 +1,15 @@
 """Deterministic sharded WARC writer and reader.
 
 Writing
-  1. Records are ordered by page id, digest and url. Prefix sums of payload bytes
-     over that order, taken range by range, cut it into shards of SHARD_BYTES;
-     a border is a page id and the first 60 bits of a digest. So shards depend on
-     the rows alone, not on partitions or timing, and hold equal shares however
-     ids are spread. A border takes 16 bytes for SHARD_BYTES of payload (50 MB for
-     100 TB) and there are at most MOST_SHARDS (64 MB); beyond 128 TB shards grow.
+  1. Records are ordered by page id, digest and a hash of the url. Prefix sums of
+     their sizes (payload, url and HEADER_BYTES, so that empty pages count too)
+     over that order, taken range by range, cut it into shards of SHARD_BYTES; a
+     border is a page id, the first 60 bits of a digest and the hash of a url. So
+     shards depend on the rows alone, not on partitions or timing, and hold equal
+     shares however ids are spread; only rows that are equal in all three stay
+     together. A border takes 24 bytes for SHARD_BYTES of records (75 MB for 100
+     TB), as Arrow columns, and there are at most MOST_SHARDS (96 MB); beyond 128
+     TB shards grow.
   2. Revisits are found on digests alone: of equal payloads of at least
      REVISIT_BYTES the largest id is the response, the others get a small
      marker row.
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import discard, scratch, shuffle_partitions, written
 
 MOST_SHARDS, MOST_TASKS = 1 << 22, 1 << 17
-SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES = 32 << 20, 8 << 20, 1000
+SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES, HEADER_BYTES = 32 << 20, 8 << 20, 1000, 700
 DATE = "1970-01-01T00:00:00Z"  # no capture date is known; a fixed one keeps files reproducible
 CRLF = b"\r\n"
 MANIFEST = "shard long, seq int, name string, temporary string, bytes long, records long, sha256 string"
@@ -177,11 +180,14 @@ def _committer(root: str):
     return run
 
 
-def shard_borders(rows: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Page id and digest number of the first record of every shard but the first, from rows (page_id, h, bytes)."""
-    spark = rows.sparkSession
-    sums = rows.groupBy("page_id", "h").agg(F.sum("bytes").alias("bytes"))
-    placed = written(sums.repartitionByRange(shuffle_partitions(spark), F.asc_nulls_first("page_id"), "h").withColumn("part", F.spark_partition_id()), "warc-sizes")
+KEY = ("page_id", "h", "u")
+
+
+def shard_borders(rows: DataFrame, shard_bytes: int) -> np.ndarray:
+    """Page id, digest number and url hash of the first record of every shard but the first, from rows (page_id, h, u, bytes)."""
+    spark, order = rows.sparkSession, [F.asc_nulls_first("page_id"), "h", "u"]
+    sums = rows.groupBy(*KEY).agg(F.sum("bytes").alias("bytes"))
+    placed = written(sums.repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id()), "warc-sizes")
     parts = sorted(placed.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect())
     total = sum(r["bytes"] for r in parts)
     each = max(shard_bytes, -(-total // MOST_SHARDS))
@@ -189,26 +195,33 @@ def shard_borders(rows: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.nda
     for r in parts:
         offsets.append((r["part"], ahead))
         ahead += r["bytes"]
-    before = F.sum("bytes").over(Window.partitionBy("part").orderBy(F.asc_nulls_first("page_id"), "h")) - F.col("bytes")
+    before = F.sum("bytes").over(Window.partitionBy("part").orderBy(*order)) - F.col("bytes")
     known = F.broadcast(spark.createDataFrame(offsets, "part int, ahead long"))  # a row for each shuffle partition
     shard = F.floor((F.col("ahead") + before) / F.lit(each)).alias("shard")
-    first = placed.join(known, "part").select("page_id", "h", shard).groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "h")).alias("f"))
-    found = sorted((r.shard, r.known, r.page_id, r.h) for r in first.select("shard", "f.*").where("shard > 0").collect())
+    least = F.coalesce("page_id", F.lit(-(1 << 63)).cast("long")).alias("page_id")
+    first = placed.join(known, "part").select(least, "h", "u", shard).groupBy("shard").agg(F.min(F.struct(*KEY)).alias("f")).where("shard > 0")
+    found = first.select("f.*").toArrow()
     discard(placed)
-    ids = np.array([-(1 << 63) if r[2] is None else r[2] for r in found], np.int64)
-    return ids, np.array([r[3] for r in found], np.int64)
+    made = np.array([found.column(c).to_numpy() for c in KEY], np.int64).reshape(3, -1)
+    return made[:, np.lexsort(made[::-1])]
 
 
-def _shard_of(ids: np.ndarray, hs: np.ndarray):
-    @F.pandas_udf("long")
-    def shard(page_id: pd.Series, h: pd.Series) -> pd.Series:
-        key, h = page_id.to_numpy(), h.to_numpy()
+def _shard_of(borders: np.ndarray):
+    """Shards from that of (page_id, h, low) to that of (page_id, h, high), as first and last."""
+
+    def place(key: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
+        ids, hs, us = borders
         low, high = np.searchsorted(ids, key), np.searchsorted(ids, key, "right")
-        for k in np.flatnonzero(high > low):  # borders inside one page id are told apart by digests
-            low[k] += np.searchsorted(hs[low[k] : high[k]], h[k], "right")
-        return pd.Series(low)
+        for k in np.flatnonzero(high > low):  # borders inside one page id are told apart by digests, and then by urls
+            a, b = low[k] + np.searchsorted(hs[low[k] : high[k]], h[k]), low[k] + np.searchsorted(hs[low[k] : high[k]], h[k], "right")
+            low[k] = a + np.searchsorted(us[a:b], u[k], "right")
+        return low
+
+    @F.pandas_udf("struct<first: long, last: long>")
+    def shards(page_id: pd.Series, h: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"first": place(page_id.to_numpy(), h.to_numpy(), low.to_numpy()), "last": place(page_id.to_numpy(), h.to_numpy(), high.to_numpy())})
 
-    return shard
+    return shards
 
 
 def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -216,8 +229,8 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES,
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("h")
-    sized = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
-    ids, hs = shard_borders(sized.select("page_id", number, "bytes"), shard_bytes)
+    sized = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes"), F.xxhash64("url").alias("u"), (F.octet_length("html") + F.octet_length("url") + HEADER_BYTES).cast("long").alias("whole"))
+    borders = shard_borders(sized.select("page_id", number, "u", F.col("whole").alias("bytes")), shard_bytes)
 
     long = sized.where(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest")
     last = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
@@ -226,9 +239,12 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES,
     records = rows.select("page_id", "url", "html", F.sha1("html").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     # null ids come first: they take the least number, which no other row is cut from by a border within it
     key = F.coalesce("page_id", F.lit(-(1 << 63)).cast("long"))
-    dealt = markers.unionAll(records).withColumns({"is_null": F.col("page_id").isNull(), "page_id": key}).withColumn("shard", _shard_of(ids, hs)("page_id", number))
-    # a marker comes before its page's records of equal payload
-    ordered = dealt.repartitionByRange(min(len(ids) + 1, MOST_TASKS), "shard").sortWithinPartitions("shard", "page_id", F.desc("is_null"), "digest", F.desc_nulls_last("refers_to"), "url")
+    # a marker goes to every shard that holds its page's records of equal payload, and comes before them
+    mark, url = F.col("refers_to").isNotNull(), F.xxhash64("url")
+    low, high = (F.when(mark, F.lit(v).cast("long")).otherwise(url) for v in (-(1 << 63), (1 << 63) - 1))
+    dealt = markers.unionAll(records).withColumns({"is_null": F.col("page_id").isNull(), "page_id": key}).withColumn("s", _shard_of(borders)("page_id", number, low, high))
+    dealt = dealt.withColumn("shard", F.explode(F.sequence("s.first", "s.last"))).drop("s")
+    ordered = dealt.repartitionByRange(min(borders.shape[1] + 1, MOST_TASKS), "shard").sortWithinPartitions("shard", "page_id", F.desc("is_null"), "digest", F.desc_nulls_last("refers_to"), "url")
     jfs, path = _hadoop(spark, root)
     jfs.mkdirs(path(f"{root}/_temporary"))
     ordered.select("shard", "page_id", "is_null", "url", "html", "refers_to", "digest").mapInPandas(_writer(root, roll_bytes), MANIFEST).write.parquet(f"{root}/_staged")
