@@ -49,7 +49,7 @@ from .common import discard, scratch, shuffle_partitions, written
 MOST_SHARDS, MOST_TASKS = 1 << 22, 1 << 17
 SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES, HEADER_BYTES = 32 << 20, 8 << 20, 1000, 700
 DATE = "1970-01-01T00:00:00Z"  # no capture date is known; a fixed one keeps files reproducible
-CRLF = b"\r\n"
+CRLF, STEP = b"\r\n", 1 << 14
 MANIFEST = "shard long, seq int, name string, temporary string, bytes long, records long, sha256 string"
 
 
@@ -87,10 +87,14 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 def parse_records(data: bytes):
     """Headers and block of every record of a .warc.gz file; raises on damaged digests."""
-    while data:
-        d = zlib.decompressobj(31)
-        raw = d.decompress(data) + d.flush()
-        data = d.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof and at < len(data):  # in steps, as what follows a member is copied
+            parts.append(d.decompress(view[at : at + STEP]))
+            at += STEP
+        raw = b"".join(parts) + d.flush()
+        at = min(at, len(data)) - len(d.unused_data)
         head, _, rest = raw.partition(CRLF + CRLF)
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
