@@ -178,6 +178,37 @@ def test_ingest_is_idempotent_and_counts_lines(spark, tmp_path):
     assert [r.line_no for r in e] == [1, 6] and e[0].flow_id == 100801491427561 and e[0].community_id.startswith("1:")
 
 
+def test_events_without_a_readable_time_are_stored(spark, tmp_path):
+    rows = ['{"timestamp":"soon","event_type":"flow","flow_id":7,"src_ip":"10.0.0.1","dest_ip":"192.168.0.2"}', '{"timestamp":null,"event_type":"flow","flow_id":8}', '{"timestamp":"2026-06-20T17:11:22Z","event_type":"flow","flow_id":9,"src_ip":"10.0.0.1","dest_ip":"192.168.0.2"}']
+    (tmp_path / "eve.json").write_text("\n".join(rows))
+    root = str(tmp_path / "db")
+    assert pipeline.ingest(spark, str(tmp_path / "eve.json"), root).first().new_rows == 3
+    assert [(r.flow_id, r.ts_raw, r.us is None) for r in tables.scan(spark, root, "events").orderBy("flow_id").collect()] == [(7, "soon", True), (8, None, True), (9, "2026-06-20T17:11:22Z", False)]
+    pipeline.analyse(spark, root, with_anomaly=True)
+    assert [r.flow_ids for r in tables.scan(spark, root, "sessions").collect()] == [[9]]
+
+
+def test_runs_are_published_at_once(spark, tmp_path):
+    root, df = str(tmp_path / "db"), spark.range(3)
+    for k in range(4):
+        run = tables.new_run()
+        for name in ("a", "b"):
+            tables.replace(df.withColumn("k", F.lit(k)), f"{root}/{run}", name)
+            if k:
+                assert tables.scan(spark, root, name).first().k == k - 1
+        began = tables.scan(spark, root, "a") if k else None
+        tables.publish(spark, root, run, ("a", "b"))
+        assert {tables.scan(spark, root, n).first().k for n in ("a", "b")} == {k}
+        assert began is None or began.first().k == k - 1
+        assert len(list((tmp_path / "db" / "_runs").iterdir())) == min(k + 1, 2)
+    for seconds in ("60", "300", "60"):
+        run = tables.new_run()
+        tables.replace(df.withColumn("w", F.lit(int(seconds))), f"{root}/{run}", "c")
+        tables.publish(spark, root, run, ("c",), seconds)
+    assert sorted(r.w for r in tables.scan(spark, root, "c").collect()) == [60] * 3 + [300] * 3
+    assert tables.scan(spark, root, "a").first().k == 3 and not [p for p in (tmp_path / "db").iterdir() if p.name.startswith("_current-")]
+
+
 def test_line_numbers_hold_when_files_are_split(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join(f"row {i}" for i in range(1, 5001)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

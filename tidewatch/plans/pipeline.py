@@ -32,11 +32,11 @@ class Settings:
 
 
 def ingest(spark: SparkSession, inputs, root: str) -> DataFrame:
-    """Stores new events; returns counts by status and type. Lines already stored are not stored again."""
+    """Stores new events, those whose time can't be read with a null time; returns counts by status and type. Lines already stored are not stored again."""
     lines = ndjson.classified(ndjson.numbered_lines(spark, inputs))
     known = tables.scan(spark, root, "files") if tables.exists(spark, f"{root}/files") else spark.createDataFrame([], "source_file string, file_no long")
     tables.append_new(ndjson.file_numbers(lines, known), root, "files")
-    new = tables.append_new(ndjson.events_of(lines, tables.scan(spark, root, "files")).where("ts is not null"), root, "events")
+    new = tables.append_new(ndjson.events_of(lines, tables.scan(spark, root, "files")), root, "events")
     return ndjson.summary(lines).withColumn("new_rows", F.lit(new))
 
 
@@ -44,16 +44,22 @@ def detect(events: DataFrame, s: Settings = Settings(), failed=None, anomalous=N
     return rules.all_findings([rules.high_connection_rate(events, s.r01), rules.multi_port(events, s.r02), rules.failed_authentication(events, failed, s.r03), rules.protocol_anomaly(events, anomalous, s.r04)])
 
 
+ANALYSED = ("sessions", "session_flows", "findings", "cases", "case_findings")
+ANOMALIES = ("anomaly_windows", "anomaly_baselines", "anomaly_findings", "anomaly_events")
+
+
 def analyse(spark: SparkSession, root: str, s: Settings = Settings(), with_anomaly: bool = False) -> None:
-    """Sessions, findings and cases anew from the stored events."""
-    events = tables.scan(spark, root, "events")
+    """Sessions, findings and cases anew from the stored events; readers see all of them or those of the run before."""
+    events, run = tables.scan(spark, root, "events"), tables.new_run()
+    base = f"{root}/{run}"
     got = sessions.sessions(sessions.flows(events), s.gap_seconds)
-    tables.replace(got, root, "sessions")
-    tables.replace(sessions.session_flows(tables.scan(spark, root, "sessions")), root, "session_flows")
-    tables.replace(rules.described(detect(events, s)), root, "findings")
-    findings = tables.scan(spark, root, "findings")
+    tables.replace(got, base, "sessions")
+    tables.replace(sessions.session_flows(tables.scan(spark, base, "sessions")), base, "session_flows")
+    tables.replace(rules.described(detect(events, s)), base, "findings")
+    findings = tables.scan(spark, base, "findings")
     case_rows = correlation.cases(findings, correlation.links(findings, s.case_seconds))
-    tables.store_cases(case_rows, correlation.case_findings(case_rows), findings, root)
+    tables.store_cases(case_rows, correlation.case_findings(case_rows), findings, base)
+    tables.publish(spark, root, run, ANALYSED)
     tables.clear(spark)
     if with_anomaly:
         detect_anomalies(spark, root, s)
@@ -77,15 +83,18 @@ def detect_anomalies(spark: SparkSession, root: str, s: Settings = Settings()) -
 
 
 def _anomaly_tables(spark: SparkSession, root: str, s: Settings) -> int:
-    """Writes the four tables of one window length, each from the one before; returns the number of findings."""
-    events = tables.scan(spark, root, "events")
-    tables.replace_partition(anomaly.windows(events, s.window_seconds), root, "anomaly_windows", s.window_seconds)
-    windows = tables.scan(spark, root, "anomaly_windows", where=f"window_seconds = {s.window_seconds}")
-    tables.replace_partition(anomaly.baselines(windows, s.min_windows), root, "anomaly_baselines", s.window_seconds)
-    lines = tables.scan(spark, root, "anomaly_baselines", where=f"window_seconds = {s.window_seconds}")
-    tables.replace_partition(anomaly.findings(windows, lines, s.window_seconds, s.threshold), root, "anomaly_findings", s.window_seconds)
-    found = tables.scan(spark, root, "anomaly_findings", where=f"window_seconds = {s.window_seconds}")
-    tables.replace_partition(anomaly.linked_events(events, found, s.window_seconds), root, "anomaly_events", s.window_seconds)
+    """Writes the four tables of one window length, each from the one before, and publishes them; returns the number of findings."""
+    events, run = tables.scan(spark, root, "events"), tables.new_run()
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        tables.replace(df.drop("window_seconds").withColumn("window_seconds", F.lit(s.window_seconds)), f"{root}/{run}", name)
+        return tables.scan(spark, f"{root}/{run}", name)
+
+    windows = kept(anomaly.windows(events, s.window_seconds), "anomaly_windows")
+    lines = kept(anomaly.baselines(windows, s.min_windows), "anomaly_baselines")
+    found = kept(anomaly.findings(windows, lines, s.window_seconds, s.threshold), "anomaly_findings")
+    kept(anomaly.linked_events(events, found, s.window_seconds), "anomaly_events")
+    tables.publish(spark, root, run, ANOMALIES, str(s.window_seconds))
     return found.count()
 
 

@@ -213,6 +213,22 @@ def percentile_scores(spark, sf_dir):
     return prioritize.percentiles(p).select("p_partkey", "priority_score")
 
 
+def priority_ranks(spark, sf_dir):
+    """Parts as cases whose scores are given, with many ties."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    case_rows = p.select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("case_id"), (F.col("p_partkey") % 100).alias("first_us"))
+    given = p.select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("case_id"), (F.col("p_size") / 60.0).alias("isolation_forest_score"))
+    return prioritize.ranked(case_rows, given).select("case_id", "priority_score", "priority_level", "isolation_forest_classification", "priority_rank")
+
+
+def nested_numbers(spark, sf_dir):
+    """Numbers of nested details, made of events."""
+    e = ev(spark, sf_dir)
+    inner = F.struct((F.col("id") % 7).alias("b"), F.col("us").alias("timestamp_us"), F.array(F.col("dest_port"), F.col("src_port")).alias("ports"))
+    details = F.to_json(F.struct(inner.alias("a"), F.array(F.col("id") % 3, F.col("dest_port")).alias("list"), F.col("id").alias("episode_id"), (F.col("id") % 2 == 0).alias("even"), F.col("proto")))
+    return prioritize.harvested(e.select("id", details.alias("details")), ["id"], "details")
+
+
 def daily_counts(spark, sf_dir):
     return dashboard.daily_counts(ev(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -359,12 +375,12 @@ def one_year(spark, sf_dir):
 
 
 def case_links(spark, sf_dir):
-    """Links to findings of which every tenth is lost, and cases that hold the first two findings."""
+    """Links to findings of which every tenth is lost, and cases that hold the first two findings of the first case with two."""
     found = stored_findings(spark, sf_dir)
     c = stored(cases_df(found), "cases")
     lost = correlation.missing_findings(c, found.where("ordinal % 10 <> 0")).select(F.lit("lost").alias("what"), F.col("finding_id").alias("value"))
-    ids = [r.finding_id for r in found.where("ordinal <= 2").select("finding_id").collect()]
-    return lost.unionByName(correlation.co_membership(c, ids[:1]).select(F.lit("holds").alias("what"), F.col("case_id").alias("value")))
+    ids = c.where("finding_count > 1").orderBy("case_id").first().finding_ids[:2]
+    return lost.unionByName(correlation.co_membership(c, ids).select(F.lit("holds").alias("what"), F.col("case_id").alias("value")))
 
 
 def case_filters(spark, sf_dir):
@@ -395,7 +411,7 @@ def decoded_ids(spark, sf_dir):
 QUERIES = [
     r01_high_connection_rate, r02_multi_port, r03_failed_authentication, r04_protocol_anomaly, findings, flows, sessions_of_flows, session_validation, session_statistics, top_sessions, finding_relations, cases, case_evaluation,
     anomaly_windows, anomaly_baselines, anomaly_findings, anomaly_events, anomaly_event_counts, top_anomalies, case_events, case_selectors, packet_matches, packet_directions, capture_assignment, case_sessions, finding_number_features,
-    case_features, case_priorities, percentile_scores, daily_counts, type_histogram, suspicious_events, filtered_events, source_options, last_day, event_search, alert_events, event_page, evidence_rows, case_detail_events,
+    case_features, case_priorities, percentile_scores, priority_ranks, nested_numbers, daily_counts, type_histogram, suspicious_events, filtered_events, source_options, last_day, event_search, alert_events, event_page, evidence_rows, case_detail_events,
     internal_addresses, community_ids, ingest_summary, ingested_events, decoded_ids,
     read_lines, failed_logins, anomaly_type_events, finding_details, alert_search, case_page, display_values, one_year, case_links, case_filters, merged_packets, field_export,
 ]
@@ -568,6 +584,12 @@ from (select *, a < b or a = b and src_port <= dest_port as first from (select *
 STATUS = "case when id % 13 = 5 then 'blank' when id % 17 = 4 then 'malformed' when id % 11 = 3 then 'skipped' else 'event' end"
 
 
+PERCENTILES = """with v as (select p_partkey, p_size, (rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0::double) / count(*) over () * 100.0::double as x from part),
+e as (select *, x * 100.0::double as p, x * 134217729.0::double - (x * 134217729.0::double - x) as h from v)"""
+PERCENTILE = """case when p - floor(p) = 0.5 then floor(p) + case when (h * 100.0::double - p) + (x - h) * 100.0::double > 0 or (h * 100.0::double - p) + (x - h) * 100.0::double = 0 and floor(p) % 2 = 1 then 1.0::double else 0.0::double end
+  else round_even(p, 0) end / 100.0::double"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "r01_high_connection_rate": _episode_sql(W_R01, "r01"), "r02_multi_port": _episode_sql(W_R02, "r02"), "r03_failed_authentication": _episode_sql(W_R03, "r03"), "r04_protocol_anomaly": _episode_sql(W_R04, "r04"),
@@ -596,10 +618,13 @@ asg as (select case_id, path from cs left join hit using (case_id))""", "select
         "case_sessions": _with(W_CASES + ",\n" + W_SESSIONS[len(W_EV) + 2 :], "select case_id, session_id from cs join ss on list_contains(source_ips, src_ip) and ss.first_us <= cs.last_us and ss.last_us >= cs.first_us and (len(cs.destination_ips) = 0 or list_contains(cs.destination_ips, dest_ip))"),
         "finding_number_features": _with(W_FINDINGS, "select rule_id, " + ", ".join(f"{f}(case when rule_id in ({r}) then {c} end)::double as {n}_{f}" for n, c, r in (("details_total_flows", "total_flows", "'R01', 'R02', 'R04'"), ("details_failed_attempts", "max_value", "'R03'"), ("details_max_port_count", "max_value", "'R02'")) for f in ("sum", "max")) + ", sum(len(event_ids))::double as event_ids_length_sum from fi group by 1"),
         "case_features": _features_sql(),
-        "percentile_scores": """with v as (select p_partkey, (rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0::double) / count(*) over () * 100.0::double as x from part),
-e as (select *, x * 100.0::double as p, x * 134217729.0::double - (x * 134217729.0::double - x) as h from v)
-select p_partkey, case when p - floor(p) = 0.5 then floor(p) + case when (h * 100.0::double - p) + (x - h) * 100.0::double > 0 or (h * 100.0::double - p) + (x - h) * 100.0::double = 0 and floor(p) % 2 = 1 then 1.0::double else 0.0::double end
-  else round_even(p, 0) end / 100.0::double as priority_score from e""",
+        "percentile_scores": PERCENTILES + "\nselect p_partkey, " + PERCENTILE + " as priority_score from e",
+        "priority_ranks": PERCENTILES + """,
+ps as (select p_partkey, p_size, """ + PERCENTILE + """ as score from e)
+select 'P-' || p_partkey as case_id, score as priority_score, case when score < 33 then 'Low' when score < 66 then 'Medium' else 'High' end as priority_level, case when p_size / 60.0::double > 0.5 then 'Anomaly' else 'Normal' end as isolation_forest_classification,
+  row_number() over (order by score desc, p_size desc, p_partkey % 100, 'P-' || p_partkey) as priority_rank from ps""",
+        "nested_numbers": _with(W_EV, """select id, 'details_a_b' as name, (id % 7)::double as value from ev union all select id, 'details_a_ports_length', 2 from ev union all select id, 'details_list_length', 2 from ev
+  union all select id, 'details_list', (id % 3)::double from ev union all select id, 'details_list', dest_port::double from ev union all select id, 'details_even', case when id % 2 = 0 then 1 else 0 end from ev"""),
         "daily_counts": _with(W_EV, "select strftime(make_timestamp(us)::date, '%Y-%m-%d') as day, count(*) as events from ev group by 1"),
         "type_histogram": _with(W_EV, "select event_type, count(*) as events from ev group by 1"),
         "suspicious_events": _with(W_FINDINGS, "select count(distinct i) as suspicious from (select unnest(event_ids) as i from fi)"),
@@ -626,7 +651,7 @@ select p_partkey, case when p - floor(p) = 0.5 then floor(p) + case when (h * 10
   'shared_flow_' || lower(proto) || '_x' as name, case when id % 101 < 33 then 'Low' when id % 101 < 66 then 'Medium' else 'High' end as level, case when id % 3 <> 0 then 'Shared Flow-' || proto || '/x' end as trimmed, case when id % 3 = 1 then src_port end as number,
   round(sin((us // 1000000) % 86400 * (2 * pi() / 86400)), 9) as sine from ev"""),
         "one_year": _with(W_EV, "select id from ev where year(make_timestamp(us)) = 2024"),
-        "case_links": _with(W_CASES, "select 'lost' as what, finding_id as value from (select unnest(finding_ids) as finding_id from cs) join fi using (finding_id) where ordinal % 10 = 0 union all select 'holds', case_id from cs where list_contains(finding_ids, (select finding_id from fi where ordinal = 1))"),
+        "case_links": _with(W_CASES, "select 'lost' as what, finding_id as value from (select unnest(finding_ids) as finding_id from cs) join fi using (finding_id) where ordinal % 10 = 0 union all select 'holds', case_id from cs where list_has_all(finding_ids, (select finding_ids[1:2] from cs where finding_count > 1 order by case_id limit 1))"),
         "case_filters": _with(W_CASE_IDS, "select case_id, ord::int as ord, lower(proto) || ' && (' || " + " || ' || ' || ".join(f"'(ip.src == ' || {a}_ip || ' && ip.dst == ' || {b}_ip || coalesce(' && ' || lower(proto) || '.srcport == ' || {a}_port, '') || coalesce(' && ' || lower(proto) || '.dstport == ' || {b}_port, '') || ')'" for a, b in (("src", "dest"), ("dest", "src")))
             + " || ')' || ' && frame.time_epoch >= ' || ((first_us - 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) || ' && frame.time_epoch <= ' || ((last_us + 2000000)::decimal(20, 0) / 1000000)::decimal(20, 6) as filter from sl"),
         "merged_packets": _with(W_CASE_IDS, "select packet_number, packet_us from pk where packet_number % 3 <> 0 or packet_number % 2 = 0"),

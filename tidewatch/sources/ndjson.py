@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.net import community_id, let
 from ..functions.values import parse_time
+from .tables import stored
 
 EXCLUDED_TYPES = ("stats", "mdns", "dhcp")  # fixed values
+MOST_BLOCKS = 500_000
 
 
 def numbered_lines(spark: SparkSession, paths) -> DataFrame:
@@ -16,14 +18,18 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
 
     A file's partitions are numbered in order of their offset; line numbers are a
     count per partition, a running sum over these counts and an index inside, so
-    files are split and no file is read by one task. A file is named by its path, as
-    files of one name in several folders are different files.
+    files are split and no file is read by one task. The lines aren't shuffled: the
+    counts, one row per partition of a file, are broadcast, and only beyond
+    MOST_BLOCKS of them joined by shuffle. A file is named by its path, as files of
+    one name in several folders are different files.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mono"), F.col("value").alias("raw"))
     per = lines.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("mono").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per.withColumn("before", before).select("source_file", "block", "before", "first")
+    offsets = stored(per.withColumn("before", before).select("source_file", "block", "before", "first"), "line-blocks")
+    if offsets.count() <= MOST_BLOCKS:
+        offsets = F.broadcast(offsets)
     return lines.join(offsets, ["source_file", "block"]).select("source_file", (F.col("before") + F.col("mono") - F.col("first") + 1).alias("line_no"), "raw")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -52,9 +53,61 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+CURRENT, RUNS = "_current", "_runs"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
+
+
+def published(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
+    """Where the derived tables of the last published runs are: table to part to folder below root."""
+    fs, path = _fs(spark, f"{root}/{CURRENT}")
+    if not fs.exists(path):
+        return {}
+    stream = fs.open(path)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)))
+    finally:
+        stream.close()
+
+
+def new_run() -> str:
+    """A folder below root for the tables of one run; nobody reads it until it is published."""
+    return f"{RUNS}/{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, root: str, run: str, names, part: str = "") -> None:
+    """Makes a run's tables the current ones, all at once: readers find tables by one file, and one rename replaces it.
+
+    A run may be one part of its tables (a window length) beside others. Folders of
+    runs that neither this file nor the one before it names are deleted, so what a
+    reader has begun to read stays for one more run. One writer at a time.
+    """
+    before = published(spark, root)
+    after = before | {n: {**(before.get(n, {}) if part else {}), part: f"{run}/{n}"} for n in names}
+    fs, path = _fs(spark, f"{root}/{CURRENT}")
+    _, temporary = _fs(spark, f"{root}/{CURRENT}-{uuid.uuid4().hex}")
+    stream = fs.create(temporary, True)
+    stream.write(bytearray(json.dumps(after, indent=1, sort_keys=True).encode()))
+    stream.close()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(temporary, path, how)
+    kept = {p.split("/")[1] for parts in [*before.values(), *after.values()] for p in parts.values()}
+    _, runs = _fs(spark, f"{root}/{RUNS}")
+    for status in fs.listStatus(runs):
+        if status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)
+
+
 def scan(spark: SparkSession, root: str, table: str, columns=None, where: str | None = None) -> DataFrame:
     """A stored table; columns and filters reach the Parquet scan."""
-    df = spark.read.parquet(f"{root}/{table}")
+    parts = published(spark, root).get(table)
+    df = spark.read.parquet(*([f"{root}/{p}" for p in parts.values()] if parts else [f"{root}/{table}"]))
     if where:
         df = df.where(where)
     return require_columns(df, columns, table).select(*columns) if columns else df
@@ -78,11 +131,6 @@ def replace(df: DataFrame, root: str, table: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}")
 
 
-def replace_partition(df: DataFrame, root: str, table: str, value, by: str = "window_seconds") -> None:
-    """Replaces one partition, also by nothing; others stay as they are."""
-    df.drop(by).write.mode("overwrite").parquet(f"{root}/{table}/{by}={value}")
-
-
 def store_cases(case_rows: DataFrame, links: DataFrame, findings: DataFrame, root: str) -> None:
     """Cases and their links, once every linked finding exists."""
     lost = links.join(findings.select("finding_id"), "finding_id", "left_anti")
