@@ -1,4 +1,5 @@
 import struct
+import threading
 
 import numpy as np
 import pytest
@@ -178,6 +179,45 @@ def test_ingest_is_idempotent_and_counts_lines(spark, tmp_path):
     assert [r.line_no for r in e] == [1, 6] and e[0].flow_id == 100801491427561 and e[0].community_id.startswith("1:")
 
 
+def test_only_files_read_again_are_compared_with_stored_events(spark, tmp_path, monkeypatch):
+    line = lambda n: f'{{"timestamp":"2026-06-20T17:11:22Z","event_type":"flow","flow_id":{n}}}\n'
+    root, compared = str(tmp_path / "db"), []
+    append, append_new = tables.append, tables.append_new
+    monkeypatch.setattr(tables, "append_new", lambda df, root, table, *a, **k: compared.append((table, k.get("among"))) or append_new(df, root, table, *a, **k))
+    for name, flows in (("a", (1, 2)), ("b", (3,)), ("c", ()), ("d", (4,))):
+        (tmp_path / f"{name}.json").write_text("".join(map(line, flows)))
+    ingest = lambda *names: pipeline.ingest(spark, [f"{tmp_path}/{n}.json" for n in names], root)
+    assert ingest("a", "b", "a", "c").first().new_rows == 3 and compared == [("files", None)]
+    assert {r.lines for r in ingest("d").collect()} == {1} and compared == [("files", None)] * 2
+    with (tmp_path / "b.json").open("a") as f:  # a log that grew, beside a new one
+        f.write(line(5) + line(6))
+    (tmp_path / "e.json").write_text(line(7))
+    assert ingest("b", "e").first().new_rows == 3
+    first = 2 << 36
+    assert compared[2:] == [("files", None), ("events", f"id >= {first} and id < {first + (1 << 36)}")]
+    assert ingest("a", "b", "c", "d", "e").first().new_rows == 0
+    got = tables.scan(spark, root, "events").select("flow_id", "id", "line_no").collect()
+    assert sorted(r.flow_id for r in got) == list(range(1, 8)) and len({r.id for r in got}) == 7
+    assert {r.flow_id: r.line_no for r in got if r.flow_id in (3, 5, 6)} == {3: 1, 5: 2, 6: 3}
+    # a run that broke off after it had numbered its files
+    (tmp_path / "f.json").write_text(line(8))
+    with monkeypatch.context() as m:
+        m.setattr(tables, "append", lambda df, root, table, *a: append(df, root, table, *a) if table == "files" else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest("f")
+    assert ingest("f").first().new_rows == 1 and ingest("f").first().new_rows == 0
+    plan = spark.read.parquet(f"{root}/events").where(compared[-1][1])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(id," in plan and "LessThan(id," in plan
+
+
+def test_scratch_of_one_thread_is_not_another_s(spark):
+    kept = tables.stored(spark.range(5), "kept")
+    other = threading.Thread(target=lambda: (tables.stored(spark.range(1), "other"), tables.clear(spark)))
+    other.start()
+    other.join()
+    assert kept.count() == 5 and len(tables._scratch.paths) > 0
+
+
 def test_events_without_a_readable_time_are_stored(spark, tmp_path):
     rows = ['{"timestamp":"soon","event_type":"flow","flow_id":7,"src_ip":"10.0.0.1","dest_ip":"192.168.0.2"}', '{"timestamp":null,"event_type":"flow","flow_id":8}', '{"timestamp":"2026-06-20T17:11:22Z","event_type":"flow","flow_id":9,"src_ip":"10.0.0.1","dest_ip":"192.168.0.2"}']
     (tmp_path / "eve.json").write_text("\n".join(rows))

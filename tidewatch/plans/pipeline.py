@@ -32,11 +32,26 @@ class Settings:
 
 
 def ingest(spark: SparkSession, inputs, root: str) -> DataFrame:
-    """Stores new events, those whose time can't be read with a null time; returns counts by status and type. Lines already stored are not stored again."""
+    """Stores new events, those whose time can't be read with a null time; returns counts by status and type.
+
+    Lines already stored are not stored again. Events of files read for the first
+    time can't be stored yet, so they are added without a shuffle or a look at what
+    is stored; those of files read again (grown ones, or a run that broke off) are
+    compared with the stored ones whose ids lie among these files'.
+    """
     lines = ndjson.classified(ndjson.numbered_lines(spark, inputs))
     known = tables.scan(spark, root, "files") if tables.exists(spark, f"{root}/files") else spark.createDataFrame([], "source_file string, file_no long")
-    tables.append_new(ndjson.file_numbers(lines, known), root, "files")
-    new = tables.append_new(ndjson.events_of(lines, tables.scan(spark, root, "files")), root, "events")
+    names = ndjson.input_files(spark, inputs)
+    again = tables.stored(known.join(names, "source_file", "left_semi"), "read-again")
+    first, last = again.agg(F.min("file_no"), F.max("file_no")).first()
+    tables.append_new(ndjson.file_numbers(names, known), root, "files")
+    fresh = tables.stored(tables.scan(spark, root, "files").join(names, "source_file", "left_semi").join(again.select("source_file"), "source_file", "left_anti"), "read-first")
+    new = 0
+    if not fresh.isEmpty() or first is None:
+        new += tables.append(ndjson.events_of(lines, ndjson.small(fresh)), root, "events")
+    if first is not None:
+        among = f"id >= {first << ndjson.LINE_BITS} and id < {last + 1 << ndjson.LINE_BITS}"
+        new += tables.append_new(ndjson.events_of(lines, ndjson.small(again)), root, "events", among=among)
     return ndjson.summary(lines).withColumn("new_rows", F.lit(new))
 
 

@@ -21,16 +21,25 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     files are split and no file is read by one task. The lines aren't shuffled: the
     counts, one row per partition of a file, are broadcast, and only beyond
     MOST_BLOCKS of them joined by shuffle. A file is named by its path, as files of
-    one name in several folders are different files.
+    one name in several folders are different files. A path given twice is read once.
     """
+    paths = paths if isinstance(paths, str) else list(dict.fromkeys(paths))
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mono"), F.col("value").alias("raw"))
     per = lines.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("mono").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = stored(per.withColumn("before", before).select("source_file", "block", "before", "first"), "line-blocks")
-    if offsets.count() <= MOST_BLOCKS:
-        offsets = F.broadcast(offsets)
-    return lines.join(offsets, ["source_file", "block"]).select("source_file", (F.col("before") + F.col("mono") - F.col("first") + 1).alias("line_no"), "raw")
+    return lines.join(small(offsets), ["source_file", "block"]).select("source_file", (F.col("before") + F.col("mono") - F.col("first") + 1).alias("line_no"), "raw")
+
+
+def input_files(spark: SparkSession, paths) -> DataFrame:
+    """(source_file) of the given inputs, a row per file; no file's content is read."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("source_file"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast, if its counted rows are at most MOST_BLOCKS, else as it is."""
+    return F.broadcast(df) if df.count() <= MOST_BLOCKS else df
 
 
 def _judged(raw: Column) -> Column:
@@ -72,20 +81,20 @@ def events_of(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Typed events of classified lines, each parsed once; a null timestamp or a flow that is no object leaves nulls.
 
     An id is the number of its file (see file_numbers) and of its line: no two events
-    share one, and lines read again with the same file numbers keep theirs.
+    share one, and lines read again with the same file numbers keep theirs. Lines of
+    files without a number are left out before they are parsed.
     """
-    rows = lines.where("status = 'event'").withColumn("v", F.from_json("raw", LINE))
+    rows = lines.where("status = 'event'").join(files if files is not None else file_numbers(lines), "source_file").withColumn("v", F.from_json("raw", LINE))
     v = lambda p: F.col(f"v.{p}")
     n = lambda p, kind: v(p).try_cast(kind)
     x = rows.select(
-        "source_file", "line_no", parse_time(v("timestamp")).alias("ts"), v("timestamp").alias("ts_raw"), "event_type", n("flow_id", "long").alias("flow_id"), v("community_id").alias("given_community_id"),
+        "source_file", "file_no", "line_no", parse_time(v("timestamp")).alias("ts"), v("timestamp").alias("ts_raw"), "event_type", n("flow_id", "long").alias("flow_id"), v("community_id").alias("given_community_id"),
         v("src_ip").alias("src_ip"), n("src_port", "int").alias("src_port"), v("dest_ip").alias("dest_ip"), n("dest_port", "int").alias("dest_port"), v("proto").alias("proto"), v("app_proto").alias("app_proto"),
         parse_time(v("flow.start")).alias("flow_start"), parse_time(v("flow.end")).alias("flow_end"), v("ssh.client.software_version").alias("ssh_client_software"), v("http.http_method").alias("http_method"), v("http.url").alias("http_url"),
         n("alert.signature_id", "long").alias("alert_sid"), v("alert.signature").alias("alert_signature"), n("alert.severity", "int").alias("alert_severity"), "raw",
     )
     made = community_id(F.col("src_ip"), F.col("src_port"), F.col("dest_ip"), F.col("dest_port"), F.col("proto"), ipv6=True)
     x = x.withColumn("community_id", F.coalesce("given_community_id", made)).drop("given_community_id")
-    x = x.join(files if files is not None else file_numbers(lines), "source_file")
     return x.withColumn("id", F.shiftleft("file_no", LINE_BITS) + F.col("line_no")).drop("file_no").withColumns({"us": F.unix_micros("ts"), "flow_start_us": F.unix_micros("flow_start"), "flow_end_us": F.unix_micros("flow_end")})
 
 

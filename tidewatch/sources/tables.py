@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,7 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_scratch: list[str] = []
+class _Scratch(threading.local):
+    """What this thread's run has stored: runs in other threads keep theirs."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_scratch = _Scratch()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -33,14 +41,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _scratch.append(path)
+    _scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what stored() has made, once nothing reads it any more."""
-    while _scratch:
-        delete(spark, _scratch.pop())
+    """Deletes what stored() has made in this thread, once nothing reads it any more."""
+    while _scratch.paths:
+        delete(spark, _scratch.paths.pop())
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -113,17 +121,27 @@ def scan(spark: SparkSession, root: str, table: str, columns=None, where: str |
     return require_columns(df, columns, table).select(*columns) if columns else df
 
 
-def append_new(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None) -> int:
-    """Insert-or-ignore by the table's key; returns how many rows were new."""
+def append(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None) -> int:
+    """Adds rows whose keys are known to be new, without a shuffle; returns how many."""
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{table}")
+    return seen.get["rows"]
+
+
+def append_new(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None, among: str | None = None) -> int:
+    """Insert-or-ignore by the table's key; returns how many rows were new.
+
+    among: a condition that all stored rows meet which may share a key with df; it
+    reaches the scan, so that other stored files aren't read.
+    """
     spark, path, keys = df.sparkSession, f"{root}/{table}", list(KEYS[table])
     require_columns(df, keys, table)
     new = df.dropDuplicates(keys)
     if exists(spark, path):
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    seen = Observation()
-    writer = new.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return seen.get["rows"]
+        stored_keys = spark.read.parquet(path)
+        new = new.join((stored_keys.where(among) if among else stored_keys).select(*keys), keys, "left_anti")
+    return append(new, root, table, partition_by)
 
 
 def replace(df: DataFrame, root: str, table: str) -> None:
