@@ -178,7 +178,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int
     """vectors, queries: as usable() gives them. Rows: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     n = queries.count()
-    # sorted, so that a task run again packs the same blocks
+    # both sides are sorted, so that a task run again packs the same blocks
+    rest = vectors.sortWithinPartitions("vec_id", "h", "v")
     first = queries.repartition(max(1, -(-n // query_block)), "vec_id", "h").sortWithinPartitions("vec_id", "h", "v")
     # tasks form a grid: shares of the candidate blocks by shares of the query blocks
     shares = max(1, min(shuffle_partitions(spark), -(-vectors.count() // vector_block)))
@@ -186,7 +187,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int
     of = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     side = lambda df, p: df.select("dim", "share", "query_share", *[F.col(c).alias(p + c) for c in ("n", "ids", "hashes", "copies", "vectors", "codes", "scales", "residues")])
-    right = side(blocks(vectors, vector_block).withColumn("share", of(shares)).withColumn("query_share", every(query_shares)), "c_")
+    right = side(blocks(rest, vector_block).withColumn("share", of(shares)).withColumn("query_share", every(query_shares)), "c_")
     left = side(blocks(first, query_block).withColumn("query_share", of(query_shares)).withColumn("share", every(shares)), "q_")
     tiles = right.join(left, ["dim", "share", "query_share"])
     # one tile at a time in memory
