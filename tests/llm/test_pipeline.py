@@ -36,10 +36,25 @@ def test_stages_one_by_one(spark):
 
 
 def test_odd_rows_pass_every_stage(spark):
-    docs = spark.createDataFrame(ODD, DOC)
-    for _, stage in corpus_pipeline.STAGES:
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL_PATH)
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    docs, got = spark.createDataFrame(ODD, DOC), {}
+    for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "odd")
-    docs.collect()
+        got[name.split()[0]] = docs.collect()
+    # nothing is toxic, no line repeats another document's; a null text has no characters
+    assert order(got["toxicity"]) == order(ODD)
+    assert order((r[0], r[1], r[2], r[3], 0 if r[1] is None else r[4]) for r in ODD) == order(got["line"])
+    # null and empty texts are one class, equal rows another; of each the smallest id stays
+    kept = got["n-gram"]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (False, 7), (False, 8), (True, 0)]
+    assert set(map(tuple, kept)) <= set(map(tuple, got["line"]))
+    # the mix repeats whole rows, at most three times
+    mixed = [tuple(r) for r in got["mixing"]]
+    assert set(mixed) <= set(map(tuple, kept)) and max(mixed.count(r) for r in mixed) <= 3
+    texts = {r.doc_id: r.text or "" for r in kept}
+    assert order([r.doc_id] for r in got["SentencePiece"]) == order([r[0]] for r in mixed)
+    assert all(r.exact and r.ids == library.encode(texts[r.doc_id]) for r in got["SentencePiece"])
     docs = spark.createDataFrame([], DOC)
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "none")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,29 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scratch: list[str] = []
+class _Scratch(threading.local):
+    """Paths that this thread's run has made: runs in other threads keep theirs."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_scratch = _Scratch()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; remembered until it is deleted."""
-    _scratch.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}")
-    return _scratch[-1]
+    _scratch.paths.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _scratch.paths[-1]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _scratch:
-        _scratch.remove(path)
+    if path in _scratch.paths:
+        _scratch.paths.remove(path)
 
 
 def made_so_far() -> set[str]:
-    return set(_scratch)
+    return set(_scratch.paths)
 
 
 def clear(spark: SparkSession, keep: set[str]) -> None:
-    """Deletes what operators have left in the shared folder but for the paths to keep, once nothing reads it any more."""
-    for path in [p for p in _scratch if p not in keep]:
+    """Deletes what operators have left in the shared folder in this thread but for the paths to keep, once nothing reads it any more."""
+    for path in [p for p in _scratch.paths if p not in keep]:
         _delete(spark, path)
 
 
