@@ -533,6 +533,15 @@ def test_scores_equal_a_plain_model():
         assert np.allclose(model.logits([t]), want[k : k + 1], rtol=1e-5, atol=1e-5)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_training_learns_from_a_random_start(seed):
+    """Toxic words are about one in thirty and the start knows nothing of them: what tells the classes apart comes from the gradients."""
+    r = random.Random(20 + seed)
+    model = toxicity.train(made_texts(r, 400, False) + made_texts(r, 160, True), [0] * 400 + [1] * 160, seed)
+    clean, bad = model.logits(made_texts(r, 300, False)), model.logits(made_texts(r, 120, True))
+    assert (bad[:, None] > clean[None, :]).mean() > 0.99
+
+
 def test_joint_training_adds_to_its_start(monkeypatch):
     r = random.Random(8)
     texts, labels = made_texts(r, 300, False) + made_texts(r, 120, True), [0] * 300 + [1] * 120

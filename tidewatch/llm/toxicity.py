@@ -3,16 +3,18 @@
 A word is the bag of its byte n-grams (3 to 6, with border marks), hashed to
 BUCKETS vectors; its vector is their mean, a passage's vector the mean of its
 words, and a linear softmax on top gives the classes. Embeddings and softmax are
-trained together in numpy by minibatch gradients with Adagrad. Misspellings that
-were never seen share most n-grams with words that were.
+trained together in numpy by minibatch gradients with Adagrad, each update on a
+random half of every word's n-grams. Misspellings that were never seen share most
+n-grams with words that were.
 
 A document is cut into passages of about PASSAGE words and scored by its most
 toxic one, so a long text does not dilute a toxic passage. Only documents are
-labelled, so training picks passages: embeddings start from each n-gram's
-smoothed log ratio of document frequencies; of every document its highest
-passages (and random ones of clean documents) train the softmax, twice, each
-time picked by the model so far. A logistic curve fitted on training documents
-that the softmax did not see maps the largest passage logit to the score.
+labelled, so training goes in rounds, from a random start: the first takes every
+passage with its document's label, which clean passages of toxic documents share
+with clean documents and toxic ones don't; in the next two, of every document
+the passages that the model so far puts highest (and random ones of clean
+documents) train it on. A logistic curve fitted on training documents that the
+model did not see maps the largest passage logit to the score.
 
 The training sample is bounded: at most PER_CLASS labelled documents per class,
 first by hash of doc_id, of those for which crc32(doc_id) mod 5 is not 0.
@@ -37,8 +39,10 @@ from .common import slices
 
 BUCKETS, DIM, SIZES = 1 << 18, 4, (3, 4, 5, 6)
 PASSAGE, PER_CLASS, EPOCHS, BATCH = 8, 2000, 3, 1024
-SMOOTHING, PICKED = 4.0, 0.1
-UPDATES = 64  # at least, however few passages there are
+PICKED = 0.1
+KEPT = 0.5  # share of a word's n-grams that an update sees, so that all of them learn what some would tell: a misspelling lacks some
+FLOOR = 1e-16  # of Adagrad's sums; a passage's gradient is spread over its n-grams, squares of some 1e-13 must not drown in it
+ROUNDS, UPDATES = 3, 64  # updates of a round at least, however few passages there are
 CHUNK = 1 << 19
 WORD_BYTE = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
 
@@ -148,30 +152,22 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class _Layers:
-    """Embeddings and softmax; the first dimension starts as the given logits."""
+    """Embeddings and softmax, from a random start."""
 
-    def __init__(self, start: np.ndarray, rng) -> None:
+    def __init__(self, rng) -> None:
         self.emb = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
-        self.emb[:, 0] = start
         self.soft = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32)
-        self.soft[0] = [-0.5, 0.5]
         self.bias = np.zeros(2, np.float32)
 
     def table(self) -> np.ndarray:
         return (self.emb @ (self.soft[:, 1] - self.soft[:, 0])).astype(np.float32)
 
 
-def _log_ratios(sample: _Sample, docs: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of each bucket, the smoothed log ratio of its document frequencies by class."""
-    df = np.zeros((2, BUCKETS))
-    edge = np.searchsorted(sample.owner, np.arange(len(y) + 1))
-    for k in docs:
-        if edge[k] < edge[k + 1]:
-            used = np.unique(sample.tokens[sample.starts[edge[k]] : sample.starts[edge[k + 1]]])
-            df[y[k], np.unique(sample.grams[_ranges(sample.first[used], sample.first[used + 1] - sample.first[used])])] += 1
-    n = np.bincount(y[docs], minlength=2)
-    rate = (df + SMOOTHING * (n / n.sum())[:, None]) / n[:, None]
-    return np.log(rate[1] / rate[0])
+def _passages(sample: _Sample, docs: np.ndarray, n: int) -> np.ndarray:
+    """All passages of the given of n documents."""
+    use = np.zeros(n, bool)
+    use[docs] = True
+    return np.flatnonzero(use[sample.owner])
 
 
 def _pick(sample: _Sample, table: np.ndarray, docs: np.ndarray, y: np.ndarray, rng) -> np.ndarray:
@@ -185,15 +181,14 @@ def _pick(sample: _Sample, table: np.ndarray, docs: np.ndarray, y: np.ndarray, r
     top = np.zeros(len(order), bool)
     top[order] = rank < np.maximum(1, PICKED * size[sample.owner[order]])
     top |= (y[sample.owner] == 0) & (rng.random(len(order)) < PICKED)
-    use = np.zeros(len(y), bool)
-    use[docs] = True
-    return np.flatnonzero(top & use[sample.owner])
+    every = _passages(sample, docs, len(y))
+    return every[top[every]]
 
 
 def _fit(layers: _Layers, sample: _Sample, rows: np.ndarray, labels: np.ndarray, epochs: int, rng) -> None:
     """Trains embeddings and softmax together on passages."""
     emb, soft, bias = layers.emb, layers.soft, layers.bias
-    seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-9, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
+    seen_e, seen_s, seen_b = np.full(BUCKETS, FLOOR, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     weight = (0.5 / np.maximum(share, 1e-9))[labels].astype(np.float32)
     batches = max(min(8, len(rows)), len(rows) // BATCH)
@@ -206,7 +201,8 @@ def _fit(layers: _Layers, sample: _Sample, rows: np.ndarray, labels: np.ndarray,
             grams = sample.grams[_ranges(sample.first[used], n_grams)]
             of_word = np.repeat(np.arange(len(used)), n_grams)
             edge = np.concatenate([[0], np.cumsum(n_grams)[:-1]])
-            vectors = np.add.reduceat(emb[grams], edge, axis=0) / n_grams[:, None]
+            here = (rng.random(len(grams)) < KEPT).astype(np.float32) / KEPT
+            vectors = np.add.reduceat(emb[grams] * here[:, None], edge, axis=0) / n_grams[:, None]
             edge = np.concatenate([[0], np.cumsum(n_words)[:-1]])
             mean = np.add.reduceat(vectors[word], edge, axis=0) / n_words[:, None]
             z = mean @ soft + bias
@@ -220,7 +216,7 @@ def _fit(layers: _Layers, sample: _Sample, rows: np.ndarray, labels: np.ndarray,
             of_passage = np.repeat(np.arange(len(p)), n_words)
             g_word = np.stack([np.bincount(word, g_mean[of_passage, k], len(used)) for k in range(DIM)], axis=1) / n_grams[:, None]
             some, where = np.unique(grams, return_inverse=True)
-            g_emb = np.stack([np.bincount(where, g_word[of_word, k], len(some)) for k in range(DIM)], axis=1).astype(np.float32)
+            g_emb = np.stack([np.bincount(where, g_word[of_word, k] * here, len(some)) for k in range(DIM)], axis=1).astype(np.float32)
             seen_e[some] += (g_emb**2).mean(axis=1)
             emb[some] -= 0.1 * g_emb / np.sqrt(seen_e[some])[:, None]
             seen_s += g_soft**2
@@ -262,9 +258,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     docs = np.flatnonzero(~aside & np.isin(np.arange(len(y)), sample.owner))
     if len(set(y[docs].tolist())) < 2:
         return fallback
-    layers = _Layers(_log_ratios(sample, docs, y), rng)
-    for _ in range(2):
-        rows = _pick(sample, layers.table(), docs, y, rng)
+    layers = _Layers(rng)
+    for k in range(ROUNDS):
+        rows = _pick(sample, layers.table(), docs, y, rng) if k else _passages(sample, docs, len(y))
         _fit(layers, sample, rows, y[sample.owner[rows]], EPOCHS, rng)
     table, bias = layers.table(), float(layers.bias[1] - layers.bias[0])
     raw = Model(table, bias, 1.0, 0.0)
