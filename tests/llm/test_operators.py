@@ -11,7 +11,7 @@ import sentencepiece
 from compare import SF, duck, rows
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, chosen_path, html_mincut, line_dedup, media, mixing, pii, queries, sentencepiece_fst, toxicity, warc
+from tidewatch.llm import ann, chosen_path, common, html_mincut, line_dedup, media, mixing, pii, queries, sentencepiece_fst, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "plain words here and there", "en", "a", 26), (3, "plain words here and there", "en", "a", 26), (None, "no id at all", "en", None, 12), (7, "x" * 60_000, "en", "b", 60_000), (8, "many words " * 9_000, "fr", "b", 99_000)]
@@ -443,6 +443,44 @@ def test_pairs_are_counted_in_one_tile(spark, monkeypatch):
     assert len(got) == 80 and {(r.n_links, r.class_id == r.doc_id - r.doc_id % 2) for r in got} == {(1, True)}
 
 
+def test_filtered_rows_hold_all_keys_and_few_others(spark, tmp_path):
+    rows = spark.range(20000).selectExpr("id", "xxhash64(id) as h")
+    rows.where("id % 20 = 0").select("h").write.parquet(str(tmp_path / "keys"))
+    got = {r.id for r in common.perhaps_in(rows, spark.read.parquet(str(tmp_path / "keys"))).collect()}
+    assert got >= set(range(0, 20000, 20)) and len(got) < 1500
+
+
+def test_sets_are_made_without_a_shuffle_of_texts(spark):
+    docs = spark.createDataFrame([(k, f"some words of text number {k} and more") for k in range(50)], "doc_id long, text string")
+    feats = common.written(chosen_path.features(docs), "test-features")
+    one = common.written(feats.where("doc_id % 7 = 0").selectExpr("sid", "struct(doc_id, text_hash) as _rep"), "test-sets")
+    got = chosen_path.whole_sets(docs, one)
+    assert {bytes(r.sid) for r in got.collect()} == {bytes(r.sid) for r in one.collect()}
+    shuffled = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x or "Aggregate" in x]
+    assert shuffled and not any("text#" in x for x in shuffled if "_word" not in x)
+
+
+def test_copies_are_in_nodes_once(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(40))) for k in range(300)], "doc_id long, text string").coalesce(1)
+    got = chosen_path.features(docs).selectExpr("sid", "sketch", "size(tokens) as n").collect()
+    assert len(got) == 300 and sum(r.n > 0 for r in got) == 1 and len({(bytes(r.sid), bytes(r.sketch)) for r in got}) == 1
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 40])
+def test_components_of_few_and_of_many_edges(spark, monkeypatch, at_once):
+    """Few edges take two written tables, without a join; more end in rounds of joins; both equal a plain union."""
+    monkeypatch.setattr(common, "EDGES", at_once)
+    r, up, made = random.Random(3), list(range(200)), []
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)]
+    for a, b in edges:
+        up = [up[min(a, b)] if x == up[max(a, b)] else x for x in up]
+    least = {x: min(k for k in range(200) if up[k] == x) for x in up}
+    plain = common.written
+    monkeypatch.setattr(common, "written", lambda df, label: made.append(label) or plain(df, label))
+    got = {x.id: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {k: least[up[k]] for a, b in edges if a != b for k in (a, b)} and (len(made) == 2) == (at_once > 150)
+
+
 def test_one_of_each_keeps_columns(odd, none):
     got = chosen_path.one_of_each(odd)
     assert got.columns == odd.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "7", "8", "None"]

@@ -55,15 +55,17 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, shuffle_partitions, written
+from .common import components, discard, perhaps_in, shuffle_partitions, slices, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 RUNS, BRANCH, BUCKET, PIVOTS = 15, 1.15, 4096, 4
 TILE_SETS, TILE_TOKENS, CORE = 1024, 2_000_000, 0.9
 SKETCH_BITS, FINE_BITS = 256, 2048
+SMALL = 32  # sets of a bucket that is compared together with others
+REMEMBERED = 1 << 16  # sets that a task remembers to leave out the nodes of their copies
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.default_rng(20240229)
@@ -172,16 +174,23 @@ def sampled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _featured(batches):
+    seen: dict[bytes, bytes] = {}
     for b in batches:
         ids, texts, hashes = b.column("doc_id"), b.column("text"), b.column("text_hash")
         for at in range(0, len(b), 512):
             sids, sizes, marks, slots, tokens = [], [], [], [], []
             for text in texts.slice(at, 512).to_pylist():
                 s = shingles(text)
-                sids.append(digest(s))
+                sid = digest(s)
+                # a copy is in the nodes of its set already
+                i, t = sampled(s[:0] if sid in seen else s)
+                if sid not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[sid] = sketch(s)
+                sids.append(sid)
                 sizes.append(len(s))
-                marks.append(sketch(s))
-                i, t = sampled(s)
+                marks.append(seen[sid])
                 slots.append(i)
                 tokens.append(t)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in slots])]).astype(np.int32))
@@ -237,25 +246,50 @@ def _grouped(batches, key: str):
         yield held[0] if len(held) == 1 else pd.concat(held)
 
 
+def _runs(batches, key: str):
+    """Frames of whole groups of equal key, many at once, from batches sorted by key."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        keys = pdf[key].to_numpy()
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut or held and held[-1][key].iloc[-1] != keys[0]:
+            yield pd.concat([*held, pdf.iloc[:cut]])
+            held = []
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held)
+
+
 def _compared(batches):
     """Star edges of the pairs of each bucket that sizes and sketches leave."""
-    out, reach = [], near(SKETCH_BITS)
-    for group in _grouped(batches, "key"):
-        if len(group) < 2:
-            continue
-        n = group["n"].to_numpy()
-        marks = np.frombuffer(b"".join(map(bytes, group["sketch"])), np.uint64).reshape(len(n), -1)
-        ids = [bytes(x) for x in group["sid"]]
-        for at in range(0, len(n), 256):
-            part = slice(at, at + 256)
-            close = (differing(marks[part, None], marks[None]) <= reach) & (np.minimum(n[part, None], n) >= THRESHOLD * np.maximum(n[part, None], n) - 1e-9)
-            i, j = np.nonzero(close)
-            apart = i + at < j
-            out += _stars(ids, i[apart] + at, j[apart])
-        if len(out) >= 20_000:
-            yield pd.DataFrame(out, columns=["a", "b"])
-            out = []
-    yield pd.DataFrame(out, columns=["a", "b"])
+    reach = near(SKETCH_BITS)
+    for pdf in _runs(batches, "key"):
+        keys, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
+        marks = np.frombuffer(b"".join(map(bytes, pdf["sketch"])), np.uint64).reshape(len(n), -1)
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(begin, len(keys)))
+        pairs = []
+        # small buckets together, rows that lie d apart at a time
+        few = np.flatnonzero(np.repeat(size <= SMALL, size))
+        for d in range(1, SMALL):
+            i, j = few[:-d], few[d:]
+            met = (keys[i] == keys[j]) & (np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[met], j[met]
+            close = differing(marks[i], marks[j]) <= reach
+            pairs.append((i[close], j[close]))
+        for first, rows in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            m, own = n[first : first + rows], marks[first : first + rows]
+            for at in range(0, rows, 256):
+                part = slice(at, at + 256)
+                close = (differing(own[part, None], own[None]) <= reach) & (np.minimum(m[part, None], m) >= THRESHOLD * np.maximum(m[part, None], m) - 1e-9)
+                i, j = np.nonzero(close)
+                apart = i + at < j
+                pairs.append((first + at + i[apart], first + j[apart]))
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        rows, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+        yield pd.DataFrame(_stars([bytes(x) for x in pdf["sid"].to_numpy()[rows]], where[: len(i)], where[len(i) :]), columns=["a", "b"])
 
 
 def compared(nodes: DataFrame) -> DataFrame:
@@ -264,21 +298,23 @@ def compared(nodes: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_compared, "a binary, b binary")
 
 
-def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of sets with the text of the document that _rep names."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return keyed.join(sets.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_rep.doc_id")) & (F.col("text_hash") == F.col("_rep.text_hash")))
+def _sets_of(fine: bool):
+    def sets(batches):
+        for b in batches:
+            for part in slices(b, "text", 256):
+                found = [shingles(text) for text in part.column("text").to_pylist()]
+                columns = {"sid": [digest(s) for s in found], "tokens": [s.tobytes() for s in found]} | ({"fine": [sketch(s, FINE_BITS) for s in found]} if fine else {})
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns.values()], names=list(columns))
 
+    return sets
 
-def _finer(batches):
-    for b in batches:
-        for at in range(0, len(b), 64):
-            rows = []
-            for text, want in zip(b.column("text").slice(at, 64).to_pylist(), b.column("sid").slice(at, 64).to_pylist(), strict=True):
-                s = shingles(text)
-                if digest(s) == want:
-                    rows.append((want, s.tobytes(), sketch(s, FINE_BITS)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["sid", "tokens", "fine"])
+
+def whole_sets(docs: DataFrame, sets: DataFrame, fine: bool = False) -> DataFrame:
+    """(sid, tokens) of sets (written, a document of each in _rep), with their fine sketches if asked for. Sets are made where the texts are read, so that texts aren't shuffled."""
+    h = lambda doc_id, text_hash: F.xxhash64(doc_id, text_hash).alias("h")
+    rows = perhaps_in(docs.select("text", h("doc_id", F.xxhash64("text"))), sets.select(h("_rep.doc_id", "_rep.text_hash")))
+    made = rows.select("text").mapInArrow(_sets_of(fine), "sid binary, tokens binary" + ", fine binary" * fine)
+    return made.join(sets.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def _judged(batches):
@@ -326,50 +362,39 @@ def _split(batches):
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    return nodes.join(nodes.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    """The rows of nodes that more than one set is in, once each, with the size of the node; in one shuffle."""
+    dealt = nodes.repartition(shuffle_partitions(nodes.sparkSession), "key").dropDuplicates(["key", "sid"])
+    return dealt.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
 
 
 def candidate_edges(docs: DataFrame, feats: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Star edges between set ids that met in a node of some run and look alike, and the tables they are read from."""
     sets = feats.select("sid", "n", "sketch", F.explode(F.arrays_zip("slots", "tokens")).alias("t"))
-    cur = written(sets.select(F.xxhash64("t.slots", "t.tokens").alias("key"), "sid", "n", "sketch", F.col("t.tokens").alias("token")).dropDuplicates(["key", "sid"]), "path-level1")
-    met, edges, read, whole = _sized(cur), [], [cur], None
+    met = written(_sized(sets.select(F.xxhash64("t.slots", "t.tokens").alias("key"), "sid", "n", "sketch", F.array("t.tokens").alias("path"))), "path-level1")
+    edges, read, whole = [], [met], None
+    nodes = lambda rows: rows.where(F.col("size") <= BUCKET).select("key", "sid", "n", "sketch")
+    small = nodes(met)
     while True:
-        edges.append(compared(met.where(F.col("size") <= BUCKET)))
         full = met.where(F.col("size") > BUCKET)
         if full.isEmpty():
             break
         if whole is None:
-            full = full.withColumn("path", F.array("token"))
-            one = feats.join(full.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("_rep"))
-            whole = written(_texts(docs, one).select("text", "sid").mapInArrow(_finer, "sid binary, tokens binary, fine binary").dropDuplicates(["sid"]), "path-sets")
-            read.append(whole)
+            one = written(feats.join(full.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("_rep")), "path-full")
+            whole = written(whole_sets(docs, one, fine=True), "path-sets")
+            read += [one, whole]
         judged = written(against_pivots(full, whole), "path-judged")
         edges.append(judged.select(F.col("sid").alias("a"), F.explode("roots").alias("b")))
-        rest = _sized(judged.where("not joined"))
-        edges.append(compared(rest.where(F.col("size") <= BUCKET)))
-        nodes = rest.where(F.col("size") > BUCKET).groupBy("sid", "n", "sketch").agg(F.collect_list(F.struct("key", "path")).alias("nodes"))
-        cur = written(nodes.join(whole.select("sid", "tokens"), "sid").mapInArrow(_split, NODE_TYPES), "path-level")
-        read += [judged, cur]
-        met = _sized(cur)
-    out = edges[0]
-    for more in edges[1:]:
+        rest = _sized(judged.where("not joined").select(*NODE))
+        split = rest.where(F.col("size") > BUCKET).groupBy("sid", "n", "sketch").agg(F.collect_list(F.struct("key", "path")).alias("nodes"))
+        met = written(_sized(split.join(whole.select("sid", "tokens"), "sid").mapInArrow(_split, NODE_TYPES)), "path-level")
+        small = small.unionAll(nodes(rest)).unionAll(nodes(met))
+        read += [judged, met]
+    out = compared(small)
+    for more in edges:
         out = out.unionAll(more)
     return out, read
 
 
-def _sets_of(batches):
-    for b in batches:
-        for at in range(0, len(b), 256):
-            sids, sets = [], []
-            for text, want in zip(b.column("text").slice(at, 256).to_pylist(), b.column("sid").slice(at, 256).to_pylist(), strict=True):
-                s = shingles(text)
-                if digest(s) == want:
-                    sids.append(want)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
-
-
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, by the cheaper of a matrix product and merging pairs."""
     b = len(sets)
@@ -474,21 +499,20 @@ def similar_sets(docs: DataFrame, feats: DataFrame) -> DataFrame:
     discard(groups)
     sizes = one.groupBy("group").agg(_chunks())
     members = one.select("sid", "group", "n").join(sizes, "group")
-    whole = lambda rows: _texts(docs, rows).select("text", "sid").mapInArrow(_sets_of, "sid binary, tokens binary").dropDuplicates(["sid"])
     small = members.where("chunks = 1").select("sid", F.xxhash64("group").alias("key"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("own"))
+    tokens = written(whole_sets(docs, one), "candidate-tokens")
     large, made, known = members.where("chunks > 1"), [], None
     if not large.isEmpty():
-        tokens = written(whole(one.join(large.select("sid"), "sid", "left_semi").select("sid", "_rep")), "large-sets")
         core = written(cores(large, tokens), "large-cores")
-        made = [tokens, core]
+        made = [core]
         placed = large.select("sid", "group", "n").join(core, "sid", "left").withColumn("core", F.coalesce("core", F.lit(-1)))
         small = small.unionAll(_tiles(placed))
         same = placed.where("core >= 0")
         known = same.join(same.groupBy("group", "core").agg(F.count("*").alias("sets"), F.min("sid").alias("root")), ["group", "core"]).where("sets > 1").select("sid", (F.col("sets") - 1).alias("links"), F.when(F.col("sid") != F.col("root"), F.col("root")).alias("root"))
-    dealt = small.join(whole(one.select("sid", "_rep")), "sid").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "sid")
+    dealt = small.join(tokens, "sid").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "sid")
     found = dealt.mapInPandas(_decided, "sid binary, links long, root binary")
     decided = written(found.unionAll(known) if known is not None else found, "set-links")
-    discard(one, *made)
+    discard(one, tokens, *made)
     return decided
 
 

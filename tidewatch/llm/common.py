@@ -92,20 +92,89 @@ def slices(batch, column: str, most: int = 512, size: int = 4 << 20):
         at = end
 
 
+WORDS = 1 << 19
+
+
+def perhaps_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose hash h is one of keys' (written, column h), and a few others: a Bloom filter, so that rows needn't be shuffled to leave out most.
+
+    Each key sets four bits of one of at most WORDS words; more keys only let more other rows pass. Callers join what stays exactly.
+    """
+    words = 1
+    while words < min(WORDS, keys.count() / 4):
+        words *= 2
+    word = F.col("h").bitwiseAND(F.lit(words - 1).cast("long")).alias("_word")
+    bit = lambda at: f"shiftleft(1L, cast(shiftrightunsigned(h, {at}) & 63 as int))"
+    mask = F.expr(" | ".join(bit(at) for at in (40, 46, 52, 58)))
+    bits = keys.select(word, mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    return rows.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(bits), "_word").where("_bits & _mask = _mask").select(*rows.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+EDGES = 1 << 18
+
+
+def _forest(batches):
+    """Star edges with the components of each EDGES edges, their smallest id as root."""
+    import pyarrow as pa
+
+    def stars(up, kinds):
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        found = [(x, r) for x in up if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], kinds[k]) for k in (0, 1)], names=["a", "b"])
+
+    up, n = {}, 0
+    for whole in batches:
+        kinds = [whole.schema.field(c).type for c in ("a", "b")]
+        for at in range(0, len(whole), EDGES):
+            b = whole.slice(at, EDGES)
+            if n + len(b) > EDGES:
+                yield stars(up, kinds)
+                up, n = {}, 0
+            n += len(b)
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                up.setdefault(x, x)
+                up.setdefault(y, y)
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                while up[y] != y:
+                    up[y] = up[up[y]]
+                    y = up[y]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+    if up:
+        yield stars(up, kinds)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, root), root the smallest id.
 
-    Alternates large-star and small-star steps, each one grouping by node, so a
-    hub's neighbours are replaced by one row each and no pair list is built.
-    Every round is written to the shared folder; it ends when no edge changes.
+    First each task replaces its edges, EDGES at a time, by stars, then so do as
+    many tasks as what is left needs. If that is more than one, large-star and
+    small-star steps follow in turn, each one grouping by node, so a hub's
+    neighbours are replaced by one row each and no pair list is built. Every
+    round is written to the shared folder; it ends when no edge changes.
     """
-    cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    cur = written(cur, label)
-    while True:
+    cur = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    contracted = lambda df: written(df.mapInArrow(_forest, df.schema), label)
+    first = contracted(cur)
+    tasks = max(1, -(-first.count() // EDGES))
+    cur = contracted(first.coalesce(tasks))
+    discard(first)
+    while tasks > 1:
+        # a star forest is the fixed point: no node is both a leaf and a root, no leaf has two roots
+        n, leaves = cur.agg(F.count("*"), F.countDistinct("a")).first()
+        if n == leaves and cur.join(cur.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            break
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(cur.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -113,12 +182,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(m, "a")
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         nxt = written(small, label)
-        # a star forest is the fixed point: no node is both a leaf and a root, no leaf has two roots
-        n, leaves = nxt.agg(F.count("*"), F.countDistinct("a")).first()
-        if n == leaves and nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            discard(cur)
-            out = nxt.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(nxt.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-            out._scratch = nxt._scratch
-            return out
         discard(cur)
         cur = nxt
+    out = cur.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(cur.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out._scratch = cur._scratch
+    return out
