@@ -53,6 +53,15 @@ def test_transducer_equals_the_library(library):
     assert t.encode("x" * 30_000).tolist() == library.encode("x" * 30_000)
 
 
+def test_decided_pairs_outlive_a_task_and_segments_do_not():
+    t = sentencepiece_fst.Transducer(sentencepiece_fst.read_model())
+    first = t.encode("pairs of pieces are decided once")
+    known = dict(t.pairs)
+    t.forget()
+    assert known and t.pairs == known and not t.young and not t.old
+    assert t.encode("pairs of pieces are decided once").tolist() == first.tolist() and t.pairs == known
+
+
 def test_unigram_models_take_the_lightest_path():
     """A hand-made model: pieces a, b, ab with ab lighter than a b."""
     import struct

@@ -17,7 +17,8 @@ models arcs weigh the negative piece score, in BPE models exactly one path has
 finite weight. No piece may run from a non-space into a space or over a
 character outside the vocabulary such as a line feed, so every path passes
 these positions: paths are found per segment between them and remembered in a
-two-generation cache of bounded size, which is emptied at the end of a task.
+two-generation cache of bounded size, which is emptied at the end of a task
+(of the decided pairs of pieces up to CACHE / 2 stay).
 Long segments are not remembered.
 
 Defined cases: null texts count as empty; an empty text has no pieces; control
@@ -95,12 +96,14 @@ class Transducer:
         self.score = [s for _, s, _ in pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown_weight = 10.0 - min((self.score[i] for i in self.ids.values()), default=0.0)
+        # a node is its arcs and its piece, so that a step takes one look-up
         self.trie: dict = {}
         for piece, i in self.ids.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+            arcs = self.trie
+            for c in piece[:-1]:
+                arcs = arcs.setdefault(c, ({}, None))[0]
+            if piece:
+                arcs[piece[-1]] = (arcs.get(piece[-1], ({}, None))[0], i)
         surface = [b""] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
             surface[i] = bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode()
@@ -113,8 +116,10 @@ class Transducer:
         self.old: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        """Empties the caches."""
-        self.pairs, self.young, self.old = {}, {}, {}
+        """Empties the caches of segments; pairs of pieces hold for all texts, a bounded number of them stays."""
+        self.young, self.old = {}, {}
+        if len(self.pairs) > CACHE // 2:
+            self.pairs = {}
 
     def label(self, state: int) -> str:
         """The characters of a state: pieces by id, characters outside the vocabulary as -2 - code point."""
@@ -163,11 +168,11 @@ class Transducer:
                 continue
             node, j, single = trie, i, False
             while j < n:
-                node = node.get(text[j])
-                if node is None:
+                found = node.get(text[j])
+                if found is None:
                     break
                 j += 1
-                piece = node.get("")
+                node, piece = found
                 if piece is None:
                     continue
                 single = single or j == i + 1
