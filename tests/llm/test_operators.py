@@ -208,6 +208,29 @@ def test_long_vectors_have_exact_bounds(spark):
         assert [r.vec_id for r in got if r.query_id == q] == [int(i) for i in np.argsort(-(unit @ unit[q])) if i != q][:5]
 
 
+def test_blocks_are_not_copied_and_tasks_give_k_rows_a_query(spark):
+    x = np.random.default_rng(6).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    v = ann.usable(df)
+    q = v.where("vec_id % 20 = 0")
+    # 100 blocks of candidates in one share, 10 of queries
+    plan = ann.nearest(v, q, 5, 2, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1
+    got = ann.tiles(v, q, 5, 2, 4).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 400, 20):
+        assert got[got.query_id == i].sort_values("score", ascending=False).vec_id.tolist() == [int(j) for j in np.argsort(-(unit @ unit[i])) if j != i][:5]
+    assert len(got) == 20 * 5
+
+
+def test_blocks_are_bounded_in_bytes_and_keep_narrow_components(spark):
+    x = np.random.default_rng(7).normal(size=(900, 2000)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    got = ann.blocks(ann.usable(df), 8192).collect()
+    assert sum(r.n for r in got) == 900 and max(len(r.vectors) + len(r.codes) for r in got) <= ann.BLOCK_BYTES
+    assert all(np.array_equal(np.frombuffer(r.vectors, np.float32).reshape(r.n, -1), x[np.frombuffer(r.ids, np.int64)]) for r in got)
+
+
 # 5 --------------------------------------------------------------------------
 
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1><p>The best site about things in the world.</p></header><div class="cookie-notice">We use cookies to give you the best experience. Accept them now please.</div>

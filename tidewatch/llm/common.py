@@ -62,11 +62,11 @@ def clear(spark: SparkSession, keep: set[str]) -> None:
         _delete(spark, path)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and reread it: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write df as Parquet, with the writer's options, in the shared folder and reread it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
