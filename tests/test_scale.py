@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import correlation, dashboard, evidence, prioritize
 from tidewatch.operators.ranges import accumulated
+from tidewatch.sources import captures
 
 FINDING = "ordinal long, finding_id string, rule_id string, source_ip string, start_us long, destination_ips array<string>, destination_ports array<int>, flow_ids array<long>"
 
@@ -184,3 +185,11 @@ def test_sessions_meet_cases_of_any_length(spark):
     got = [(x.case_id, x.session_id) for x in prioritize.matching_sessions(c, s).collect()]
     want = [(a[0], b[0]) for a in case_rows for b in session_rows if b[1] in a[3] and b[3] <= a[2] and b[4] >= a[1] and (not a[4] or b[2] in a[4])]
     assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_small_ranges_of_captures_share_tasks(spark):
+    rows = spark.range(2000).selectExpr("'/c' as pcap_path", "cast(id as int) as range", "id * 16384 as begin", "(id + 1) * 16384 as stop")
+    assert captures._spread(rows).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    large = rows.selectExpr("pcap_path", "range", "range * 33554432L as begin", "(range + 1) * 33554432L as stop")
+    assert captures._spread(large).rdd.getNumPartitions() == 2000
+    assert captures._spread(rows.limit(0)).collect() == []

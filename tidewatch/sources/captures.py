@@ -29,7 +29,7 @@ from ..schemas import PACKETS
 from .frames import ACK, FIN, SYN, decode_frame
 from .tables import stored
 
-SPLIT, BLOCK, SALTS = 32 << 20, 65_536, 16
+SPLIT, BLOCK, SALTS, TASKS = 32 << 20, 65_536, 16, 4
 CHAIN, LIMIT = 8, 1 << 26
 #: Magic numbers with byte order and ticks a second; block types; time from which a late packet counts as sent again.
 CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
@@ -253,8 +253,7 @@ def indexed(files: DataFrame, split: int = SPLIT) -> DataFrame:
 
 
 def _read_index(ranges: DataFrame) -> DataFrame:
-    n = max(1, ranges.count())
-    return stored(ranges.repartition(min(n, 100_000), "pcap_path", "range").mapInPandas(_index, INDEX), "captures")
+    return stored(_spread(stored(ranges, "captures")).mapInPandas(_index, INDEX), "captures")
 
 
 def _walked(r: dict):
@@ -294,8 +293,10 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def _spread(index: DataFrame) -> DataFrame:
-    """A range a task: ranges are large and their rows small."""
-    return index.repartition(max(1, min(index.count(), 100_000)), "pcap_path", "range")
+    """Ranges dealt to tasks of SPLIT bytes each, or to a few for each core if there are less: ranges are large and their rows small, and a task for each small one would cost more than its bytes."""
+    n, size = index.agg(F.count("*"), F.sum(F.col("stop") - F.col("begin"))).first()
+    tasks = max(min(n, TASKS * index.sparkSession.sparkContext.defaultParallelism), -(-(size or 0) // SPLIT))
+    return index.repartition(max(1, min(n, tasks, 100_000)), "pcap_path", "range")
 
 
 def packets(files: DataFrame, split: int = SPLIT) -> DataFrame:
